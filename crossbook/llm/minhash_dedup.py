@@ -8,10 +8,13 @@
    posterior chance that its similarity reaches the threshold is under ``MISS``.
 4. Each class keeps its best candidate; the pair is verified on the full sets.
    Verified pairs join classes into components.
-5. What is left, exactly: every pair of classes that share a bucket and are still
+5. Where many pairs of different components share buckets, buckets are dealt into
+   parts of about ``PART`` classes, differently each time, and 3 and 4 run again
+   with a leader in each part, until such pairs are few or no link is new.
+6. What is left, exactly: every pair of classes that share a bucket and are still
    in different components runs through 3 and the verification. So no link that
    the bands find is lost, while pairs within a component are never listed.
-6. Components of all links.
+7. Components of all links.
 
 Recall: a pair at the threshold shares no band with a chance of
 ``(1 - 0.75**ROWS) ** BANDS``, about 5e-6.
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from crossbook.llm._common import narrowed, stored, text_of
 
 WIDTH, BANDS, ROWS, BATCH, MISS = 5, 32, 4, 32, 1e-6
+#: Classes of a part of a bucket; open pairs for each member up to which they are all verified.
+PART, DIRECT = 16, 3
 _SEED = np.random.default_rng(20240501)
 _XOR = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype="u8").astype("u4")
 _MUL = _SEED.integers(0, 1 << 31, BANDS * ROWS, dtype="u8").astype("u4") * np.uint32(2) + np.uint32(1)
@@ -216,6 +221,19 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: in
     return _both(pairs, sets, "set").select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a long, b long")
 
 
+def _sorted(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+
+
+def _unsettled(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, int]:
+    """Members of the buckets with several components; how many pairs of different components these have, and how many members."""
+    rooted = members.filter("size > 2").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
+    sizes = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.sum("n").alias("in_bucket"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    mixed = stored(sizes.withColumn("pairs", (F.col("in_bucket") * F.col("in_bucket") - F.col("squares")) / 2).filter("pairs > 0"), "mixed")
+    total = mixed.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("in_bucket"), F.lit(0))).first()
+    return stored(rooted.join(mixed.select("key", "in_bucket"), "key"), "unsettled"), int(total[0]), int(total[1])
+
+
 def near_dedup(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, key (xxhash64 of the text; with doc_id it names the row)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
@@ -230,14 +248,26 @@ def near_dedup(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", te
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     links = stored(_verified(stored(best, "best"), classes, rows, percent), "links")
 
-    roots = components(links)
-    rooted = members.filter("size > 2").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("root", "cid").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).filter("r1 != r2").select("key")
-    rooted = stored(rooted.join(mixed, "key"), "mixed")
+    tried, at = best, 0
+    while True:
+        at += 1
+        roots = components(links)
+        rooted, open_pairs, size = _unsettled(members, roots)
+        if open_pairs <= DIRECT * size:
+            break
+        parts = rooted.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(at)), F.ceil(F.col("in_bucket") / PART)))
+        leads = parts.groupBy("key", "part").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(-at))).alias("lead"))
+        stars2 = parts.join(leads, ["key", "part"]).filter("root != lead.root").select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
+        close = _pruned(stars2.join(_sorted(tried), [F.least("a", "b") == F.col("x"), F.greatest("a", "b") == F.col("y")], "left_anti"), classes, percent)
+        picked = stored(close.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b"), "picked")
+        new = stored(_verified(picked, classes, rows, percent), "links")
+        tried, links = tried.unionByName(picked), links.unionByName(new)
+        if new.isEmpty():
+            break
     other = rooted.select("key", F.col("cid").alias("b"), F.col("root").alias("root_b"))
     pairs = rooted.withColumnRenamed("cid", "a").join(other, "key").filter("a < b and root != root_b").select("a", "b")
-    tried = links.select("a", "b").unionByName(best)
-    rest = _pruned(pairs.unionByName(stars.select("a", "b")).distinct().join(tried, ["a", "b"], "left_anti"), classes, percent)
+    fresh = pairs.unionByName(stars.select("a", "b")).distinct().join(_sorted(tried), [F.col("a") == F.col("x"), F.col("b") == F.col("y")], "left_anti")
+    rest = _pruned(fresh, classes, percent)
     for side in "ab":
         rest = rest.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
     rest = stored(rest.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b"), "rest")
