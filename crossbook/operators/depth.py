@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from crossbook.functions.economics import BUFFER, CAP, fee_ticks
+from crossbook.functions.economics import BUFFER, CAP, FEE_A, FEE_B, fee_ticks
 
 
 def asks_from_bids(ladder: DataFrame) -> DataFrame:
@@ -54,3 +54,36 @@ def largest_viable(found: DataFrame, keys: list[str], buffer: int = BUFFER) -> D
     part = F.least("n1", "size") - F.col("n0")
     total = lambda c: F.sum(F.col(c) * part).alias(f"total_{c}")
     return found.join(sized, keys).filter("n0 < size").groupBy(*keys, "size").agg(*map(total, ("py", "pn", "fy", "fn")))
+
+
+def evaluate(ladder: DataFrame, buffer: int = BUFFER, cap: int = CAP, require_edge: bool = True) -> DataFrame:
+    """The better direction of each pair: key, direction, size, tops, fills, fees and spreads.
+
+    ``ladder``: key, leg (a or b), side, price, size; legs too old are left out before. Direction 0
+    buys YES at a and NO at b, 1 the other way. A direction that no size clears is taken at one
+    contract on top of the book, with size 0. Amounts are shares of 1, as doubles; equal
+    directions: 0. With ``require_edge``, pairs whose better direction has no edge on top are left out.
+    """
+    best = lambda leg, side: F.min(F.when((F.col("leg") == leg) & (F.col("side") == side), F.col("price")))
+    tops = ladder.groupBy("key").agg(best("a", "YES").alias("ya"), best("a", "NO").alias("na"), best("b", "YES").alias("yb"), best("b", "NO").alias("nb"))
+    both = F.array(F.struct(F.lit(0).alias("direction"), F.col("ya").alias("y"), F.col("nb").alias("n")), F.struct(F.lit(1).alias("direction"), F.col("yb").alias("y"), F.col("na").alias("n")))
+    at_top = tops.select("key", F.explode(both).alias("x")).select("key", "x.*").filter("y is not null and n is not null")
+    first = F.col("leg") == "a"
+    of_yes = ladder.filter("side = 'YES'").withColumn("direction", F.when(first, 0).otherwise(1)).select("key", "direction", "price", "size")
+    of_no = ladder.filter("side = 'NO'").withColumn("direction", F.when(first, 1).otherwise(0)).select("key", "direction", "price", "size")
+    straight = F.col("direction") == 0
+    yes_fee, no_fee = F.when(straight, FEE_A).otherwise(FEE_B), F.when(straight, FEE_B).otherwise(FEE_A)
+    keys = ["key", "direction"]
+    sized = largest_viable(segments(of_yes, of_no, keys, yes_fee, no_fee, cap), keys, buffer)
+    found = at_top.join(sized, keys, "left")
+    each = lambda total, top: F.coalesce(F.col(total) / F.col("size"), top) / 10000
+    out = found.select(
+        "key", "direction", F.coalesce("size", F.lit(0)).alias("size"), (F.col("y") / 10000).alias("yes_top"), (F.col("n") / 10000).alias("no_top"),
+        each("total_py", F.col("y")).alias("yes_fill"), each("total_pn", F.col("n")).alias("no_fill"), each("total_fy", fee_ticks(yes_fee, F.col("y"))).alias("yes_fee"), each("total_fn", fee_ticks(no_fee, F.col("n"))).alias("no_fee"),
+        ((10000 - F.col("y") - F.col("n")) / 10000).alias("raw_top"),
+    )
+    out = out.withColumn("raw_depth", 1 - F.col("yes_fill") - F.col("no_fill")).withColumn("net", F.col("raw_depth") - F.col("yes_fee") - F.col("no_fee"))
+    # The order is by whole hundredths of ticks, so that sums of doubles don't decide between equals.
+    rank = F.struct(F.round(F.col("net") * 1e8).cast("long").alias("net"), (-F.col("direction")).alias("direction"))
+    kept = out.groupBy("key").agg(F.max_by(F.struct(*[c for c in out.columns if c != "key"]), rank).alias("x")).select("key", "x.*")
+    return kept.filter("raw_top > 0") if require_edge else kept
