@@ -31,7 +31,7 @@ from crossbook.llm._common import small, stored, text_of
 
 VOCABULARY, MIN_COUNT, PRIOR, SENT_ROWS = 65_533, 3, 2.0, 4_000_000
 _UNKNOWN, _START = 0, 1
-HELD = 400_000
+HELD, BUFFERED = 400_000, 1_000_000
 
 
 def _word_counts(batches):
@@ -79,7 +79,7 @@ def _bigram_counts(sent):
                 parts[0].append(keys)
                 parts[1].append(np.full(len(keys), target, "i8"))
                 size += len(keys)
-                if size > 4_000_000:
+                if size > BUFFERED:
                     yield out()
                     size = 0
         if size:
@@ -124,17 +124,33 @@ def _score_here(sent, table):
 
 
 def _postings(sent):
+    """(row, doc_id, key, times): a row's doc_id stands on its first posting only, which is half the bytes."""
+
     def run(batches):
-        ids, at = sent.value[0], TaskContext.get().partitionId() << 33
+        ids, at, parts, size = sent.value[0], TaskContext.get().partitionId() << 33, [], 0
+
+        def out():
+            rows, docs, keys, counts = zip(*parts, strict=True)
+            sizes = np.fromiter(map(len, keys), "i8", len(keys))
+            first = np.zeros(sizes.sum(), bool)
+            first[np.cumsum(sizes) - sizes] = True
+            doc = pa.array(docs, pa.int64()).take(pa.array(np.cumsum(first) - 1, mask=~first))
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, "i8"), sizes)), doc, pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["row", "doc_id", "key", "times"])
+
         for batch in batches:
-            cols = [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 keys, counts = np.unique(_keys(text, ids), return_counts=True)
-                # A row without tokens has a key that no bigram has, another one each time.
-                for c, x in zip(cols, ([at] * max(1, len(keys)), [doc] * max(1, len(keys)), keys.tolist() or [-1 - at], counts.tolist() or [0]), strict=True):
-                    c.extend(x)
-                at += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["row", "doc_id", "key", "times"])
+                if not len(keys):
+                    # A row without tokens has a key that no bigram has, another one each time.
+                    keys, counts = np.array([-1 - at]), np.array([0])
+                parts.append((at, doc, keys.astype("i8"), counts.astype("i8")))
+                at, size = at + 1, size + len(keys)
+                if size > HELD:
+                    yield out()
+                    size = 0
+        if parts:
+            yield out()
 
     return run
 
