@@ -10,7 +10,8 @@
    Verified pairs join classes into components.
 5. Where many pairs of different components share buckets, buckets are dealt into
    parts of about ``PART`` classes, differently each time, and 3 and 4 run again
-   with a leader in each part, until such pairs are few or no link is new.
+   with a leader in each part, until such pairs are few or a round no longer
+   settles a good share of them (they are truly different, or nearly all are).
 6. What is left, exactly: every pair of classes that share a bucket and are still
    in different components runs through 3 and the verification. So no link that
    the bands find is lost, while pairs within a component are never listed.
@@ -39,6 +40,8 @@ from crossbook.llm._common import narrowed, stored, text_of
 WIDTH, BANDS, ROWS, BATCH, MISS = 5, 32, 4, 32, 1e-6
 #: Classes of a part of a bucket; open pairs for each member up to which they are all verified.
 PART, DIRECT = 16, 3
+#: Share of the open pairs that a round must settle for another one to follow; the rest is verified pair by pair.
+PAYS = 0.25
 _SEED = np.random.default_rng(20240501)
 _XOR = _SEED.integers(0, 1 << 32, BANDS * ROWS, dtype="u8").astype("u4")
 _MUL = _SEED.integers(0, 1 << 31, BANDS * ROWS, dtype="u8").astype("u4") * np.uint32(2) + np.uint32(1)
@@ -248,13 +251,14 @@ def near_dedup(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", te
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("matches", -F.col("a"))).alias("a")).select("a", "b")
     links = stored(_verified(stored(best, "best"), classes, rows, percent), "links")
 
-    tried, at = best, 0
+    tried, at, before = best, 0, None
     while True:
         at += 1
         roots = components(links)
         rooted, open_pairs, size = _unsettled(members, roots)
-        if open_pairs <= DIRECT * size:
+        if open_pairs <= DIRECT * size or (before is not None and open_pairs > (1 - PAYS) * before):
             break
+        before = open_pairs
         parts = rooted.withColumn("part", F.pmod(F.xxhash64("cid", F.lit(at)), F.ceil(F.col("in_bucket") / PART)))
         leads = parts.groupBy("key", "part").agg(F.min_by(F.struct("cid", "root"), F.xxhash64("cid", F.lit(-at))).alias("lead"))
         stars2 = parts.join(leads, ["key", "part"]).filter("root != lead.root").select(F.col("lead.cid").alias("a"), F.col("cid").alias("b")).distinct()
