@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from crossbook.llm._common import small, stored, text_of
 
-VOCABULARY, MIN_COUNT, PRIOR, SENT_ROWS = 65_533, 3, 2.0, 4_000_000
+VOCABULARY, MIN_COUNT, PRIOR, SENT_ROWS = 65_533, 1, 2.0, 4_000_000
 _UNKNOWN, _START = 0, 1
 HELD, BUFFERED = 400_000, 1_000_000
 

@@ -228,6 +228,11 @@ def test_lm_scoring(spark, docs, no_docs):
     assert lm_scoring.lm_scoring(no_docs, targets).count() == 0
 
 
+def test_lm_scoring_keeps_rare_bigrams_in_production(docs, spark):
+    targets = spark.createDataFrame([(7,)], "doc_id long")
+    assert rows(lm_scoring.lm_scoring(docs, targets)) == rows(lm_scoring.lm_scoring(docs, targets, min_count=1))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy</div>
 <article><h1>Ti&amp;tle</h1><p><b>First para
