@@ -5,11 +5,12 @@ target documents, one of all documents. A document's score is the mean over its
 tokens of target loss minus background loss (in nats): the lower, the more the
 document is like the target.
 
-Counts cover every token of every document. The vocabulary is the ``vocabulary``
-most frequent words, a size of the model; other words are one unknown word. Bigrams
-of fewer than ``min_count`` occurrences that the target doesn't have back off to
-the unigrams. The bigram table grows with the corpus: it is sent to the tasks up
-to ``sent_rows`` rows, and beyond that bigrams are looked up by a shuffle join.
+Counts cover every token of every document, every word and every bigram. A word
+is named by a 64-bit hash, a bigram by a 63-bit one: at 10^9 bigrams two of them
+share a name with a chance of a few in a hundred. What occurs once in the corpus
+needs no table: where it stands, its count is 1. Words and bigrams that occur more
+often are sent to the tasks, the most frequent ones up to ``sent_words`` and
+``sent_rows`` rows; the rest is looked up by a shuffle join.
 
 Defined results: a null or empty text has no tokens, losses and score 0; target
 ids that are null or unknown are ignored; repeated rows count and are scored one
@@ -19,52 +20,52 @@ background's unigrams; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossbook.llm._common import small, stored, text_of
 
-VOCABULARY, MIN_COUNT, PRIOR, SENT_ROWS = 65_533, 1, 2.0, 4_000_000
-_UNKNOWN, _START = 0, 1
+MIN_COUNT, PRIOR, SENT_WORDS, SENT_ROWS = 1, 2.0, 2_000_000, 4_000_000
+_START = 1
 HELD, BUFFERED = 400_000, 1_000_000
 
 
-def _word_counts(batches):
-    held = Counter(), Counter()
+class _Hashes(dict):
+    """64-bit hash of a word; the first ``HELD`` words are kept."""
 
-    def out():
-        words = list(held[0])
-        cols = [pa.array([w.decode() for w in words], pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in held)]
-        for c in held:
-            c.clear()
-        return pa.RecordBatch.from_arrays(cols, names=["word", "n", "t"])
+    def __missing__(self, word: bytes) -> int:
+        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
+        if len(self) < HELD:
+            self[word] = value
+        return value
 
-    for batch in batches:
-        for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-            words = text.encode().lower().split()
-            held[0].update(words)
-            if target:
-                held[1].update(words)
-            if len(held[0]) > HELD:
-                yield out()
-    yield out()
 
-
-def _keys(text: str, ids: dict[bytes, int]) -> np.ndarray:
-    """A number for each bigram of the text, the start of the text included."""
+def _words(text: str, hashes: _Hashes) -> np.ndarray:
     words = text.encode().lower().split()
-    w = np.fromiter((ids.get(x, _UNKNOWN) for x in words), "i8", len(words))
-    return np.concatenate([[_START], w[:-1]]) << 16 | w if len(w) else w
+    return np.fromiter(map(hashes.__getitem__, words), "i8", len(words))
+
+
+def _keys(w: np.ndarray) -> np.ndarray:
+    """A number, not negative, for each bigram of the text, the start of the text included."""
+    if not len(w):
+        return w
+    before, word = np.concatenate([[_START], w[:-1]]).view("u8"), w.view("u8")
+    x = (before ^ before >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ x >> np.uint64(32)) >> np.uint64(1)).view("i8")
 
 
-def _bigram_counts(sent):
+def _counts(keys_of):
+    """(key, n, t) of the numbers that ``keys_of`` gives for each text's words."""
+
     def run(batches):
-        ids, parts, size = sent.value, ([], []), 0
+        hashes, parts, size = _Hashes(), ([], []), 0
 
         def out():
             keys, place = np.unique(np.concatenate(parts[0]), return_inverse=True)
@@ -75,9 +76,9 @@ def _bigram_counts(sent):
 
         for batch in batches:
             for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                keys = _keys(text, ids)
+                keys = keys_of(_words(text, hashes))
                 parts[0].append(keys)
-                parts[1].append(np.full(len(keys), target, "i8"))
+                parts[1].append(np.full(len(keys), target, "i1"))
                 size += len(keys)
                 if size > BUFFERED:
                     yield out()
@@ -88,64 +89,87 @@ def _bigram_counts(sent):
     return run
 
 
-class Models:
-    """Both models' unigrams; with a bigram's counts, its loss under each."""
+def _found(table: tuple, keys: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of the keys, 1 for those that the (sorted) table doesn't have, and whether it has them."""
+    if not len(table[0]):
+        return np.ones(len(keys), "i8"), np.full(len(keys), target, "i8"), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
+    there = table[0][at] == keys
+    return np.where(there, table[1][at], 1), np.where(there, table[2][at], target), there
 
-    def __init__(self, n: np.ndarray, t: np.ndarray):
-        self.n, self.t = n.astype("f8"), t.astype("f8")
-        self.pn = (self.n + 1) / (self.n.sum() + len(n))
-        self.pt = (self.t + self.pn * len(n)) / (self.t.sum() + len(n))
 
-    def losses(self, keys: np.ndarray, n: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        before, word = keys >> 16, keys & 0xFFFF
-        return -np.log((t + PRIOR * self.pt[word]) / (self.t[before] + PRIOR)), -np.log((n + PRIOR * self.pn[word]) / (self.n[before] + PRIOR))
+def _sorted(table: pa.Table) -> tuple:
+    order = np.argsort(table.column("key").to_numpy())
+    return tuple(table.column(c).to_numpy()[order] for c in ("key", "n", "t"))
 
 
-def _row(ids, sums):
-    names = ["doc_id", "n_tokens", "target_loss", "background_loss"]
-    return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*sums, strict=True) if sums else ((), (), ()), (pa.int64(), pa.float64(), pa.float64()), strict=True))], names=names)
+def _unsent(sent):
+    """(row, key) of each text's words that weren't sent."""
 
-
-def _score_here(sent, table):
     def run(batches):
-        (ids, n, t), (keys, kn, kt) = sent.value, table.value
-        models = Models(n, t)
+        table, hashes = sent.value, _Hashes()
         for batch in batches:
-            sums = []
-            for text in batch.column("text").to_pylist():
-                k = _keys(text, ids)
-                at = np.minimum(np.searchsorted(keys, k), max(len(keys) - 1, 0))
-                there = keys[at] == k if len(keys) else np.zeros(len(k), bool)
-                target, background = models.losses(k, np.where(there, kn[at], 0) if len(keys) else 0 * k, np.where(there, kt[at], 0) if len(keys) else 0 * k)
-                sums.append((len(k), float(target.sum()), float(background.sum())))
-            yield _row(batch.column("doc_id"), sums)
+            rows, keys = [], []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                w = np.unique(_words(text, hashes))
+                keys.append(w[~_found(table, w, 0)[2]])
+                rows.append(np.full(len(keys[-1]), row))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "i8"), *c]), pa.int64()) for c in (rows, keys)], names=["row", "key"])
 
     return run
 
 
-def _postings(sent):
-    """(row, doc_id, key, times): a row's doc_id stands on its first posting only, which is half the bytes."""
+class Models:
+    """Both models: what a bigram adds to a loss, from its counts and those of its words."""
+
+    def __init__(self, size: int, n: int, t: int, texts: int, targets: int, min_count: int):
+        self.size, self.n, self.t, self.texts, self.targets, self.min_count = size, n + texts, t + targets, texts, targets, min_count
+
+    def tops(self, n, t, wn, wt) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms of the numerators: (target, background)."""
+        pn = (wn + 1) / (self.n + self.size)
+        pt = (wt + pn * self.size) / (self.t + self.size)
+        return np.log(t + PRIOR * pt), np.log(np.where((n < self.min_count) & (t == 0), 0, n) + PRIOR * pn)
+
+
+def _scored(sent, models: Models, whole: bool):
+    """(row, key, times, own, wn, wt): a head of each row, and the bigrams still to be looked up.
+
+    A head has a key that no bigram has, the number of tokens, the doc_id, and the bits
+    of what the row's other bigrams add to the losses. ``whole``: all that occurs twice was sent.
+    A bigram has its times in the row, those that are the target's, and its word's counts.
+    """
 
     def run(batches):
-        ids, at, parts, size = sent.value[0], TaskContext.get().partitionId() << 33, [], 0
+        (words, bigrams), hashes, at, parts, size = sent.value, _Hashes(), TaskContext.get().partitionId() << 33, [], 0
 
         def out():
-            rows, docs, keys, counts = zip(*parts, strict=True)
-            sizes = np.fromiter(map(len, keys), "i8", len(keys))
-            first = np.zeros(sizes.sum(), bool)
-            first[np.cumsum(sizes) - sizes] = True
-            doc = pa.array(docs, pa.int64()).take(pa.array(np.cumsum(first) - 1, mask=~first))
+            heads, docs, more = zip(*parts, strict=True)
+            head = np.array(heads)
+            doc = pa.array(docs, pa.int64())
+            cols = [np.concatenate([head[:, i], *(m[i] for m in more)]) for i in range(5)]
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, "i8"), sizes)), doc, pa.array(np.concatenate(keys)), pa.array(np.concatenate(counts))], names=["row", "doc_id", "key", "times"])
+            own = pa.chunked_array([doc, pa.array(np.concatenate([np.zeros(0, "i8"), *(m[5] for m in more)]), pa.int64())]).combine_chunks()
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), own], names=["row", "key", "times", "wn", "wt", "own"])
 
         for batch in batches:
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                keys, counts = np.unique(_keys(text, ids), return_counts=True)
-                if not len(keys):
-                    # A row without tokens has a key that no bigram has, another one each time.
-                    keys, counts = np.array([-1 - at]), np.array([0])
-                parts.append((at, doc, keys.astype("i8"), counts.astype("i8")))
-                at, size = at + 1, size + len(keys)
+            rare = batch.column("rare")
+            for i, (doc, text, target) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "target")), strict=True)):
+                w = _words(text, hashes)
+                wn, wt, _ = _found(words, w, target)
+                if rare[i].is_valid:
+                    table = rare[i].values
+                    rn, rt, there = _found(_sorted(pa.Table.from_arrays(table.flatten(), names=["key", "n", "t"])), w, target)
+                    wn, wt = np.where(there, rn, wn), np.where(there, rt, wt)
+                keys, bn, bt = _keys(w), np.concatenate([[models.texts], wn[:-1]])[: len(w)], np.concatenate([[models.targets], wt[:-1]])[: len(w)]
+                n, t, there = _found(bigrams, keys, target)
+                # A bigram with a word that occurs once occurs once.
+                left = np.zeros(len(w), bool) if whole else ~there & (wn > 1) & (bn > 1)
+                tops = [np.where(left, 0, x).sum() for x in models.tops(n, t, wn, wt)]
+                sums = np.array([np.log(b + PRIOR).sum() - top for b, top in zip((bt, bn), tops, strict=True)])
+                open_keys, first, times = np.unique(keys[left], return_index=True, return_counts=True)
+                parts.append(((at, -1 - at, len(w), *sums.view("i8")), doc, (np.full(len(times), at), open_keys, times, wn[left][first], wt[left][first], times * target)))
+                at, size = at + 1, size + len(times) + 1
                 if size > HELD:
                     yield out()
                     size = 0
@@ -155,47 +179,73 @@ def _postings(sent):
     return run
 
 
-def _losses(sent):
+def _losses(models: Models):
     def run(batches):
-        models = Models(*sent.value[1:])
         for batch in batches:
-            key, times, n, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "times", "n", "t"))
-            target, background = models.losses(np.maximum(key, 0), n, t)
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), pa.array(times, pa.int64()), pa.array(times * target), pa.array(times * background)], names=["row", "doc_id", "times", "target", "background"])
+            key, times, wn, wt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "times", "wn", "wt"))
+            own, head = batch.column("own"), key < 0
+            n, t = (pc.coalesce(batch.column(c), batch.column(d)).fill_null(0).to_numpy(zero_copy_only=False) for c, d in (("n", "times"), ("t", "own")))
+            tops = models.tops(*(np.where(head, 1, c) for c in (n, t, wn, wt)))
+            sums = [np.where(head, bits.view("f8"), -times * top) for bits, top in zip((wn, wt), tops, strict=True)]
+            doc = pc.if_else(pa.array(head), own, pa.scalar(None, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), doc, pa.array(np.where(head, times, 0)), *map(pa.array, sums)], names=["row", "doc_id", "times", "target", "background"])
 
     return run
 
 
-def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, vocabulary: int = VOCABULARY, min_count: int = MIN_COUNT, sent_rows: int = SENT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _sent(table: DataFrame, rows: int) -> tuple[tuple, DataFrame, bool]:
+    """The most frequent rows that occur twice or more, up to so many; the other such rows; whether there are none."""
+    again, at, lowest = 0, None, table.filter("n > 1").groupBy("n").count().orderBy(F.desc("n")).collect()
+    for r in lowest:
+        again += r["count"]
+        if again > rows:
+            break
+        at = r["n"]
+    most = F.lit(False) if at is None else F.col("n") >= at
+    return _sorted(table.filter(most).toArrow()), table.filter((F.col("n") > 1) & ~most), again <= rows
+
+
+def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, min_count: int = MIN_COUNT, sent_words: int = SENT_WORDS, sent_rows: int = SENT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_tokens, target_loss, background_loss, score (losses per token).
 
-    target_ids: a table with a column doc_id.
+    target_ids: a table with a column doc_id. Bigrams of fewer than ``min_count``
+    occurrences that the target doesn't have back off to the unigrams.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     wanted = stored(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(1)), "targets")
-    marked = rows.join(F.broadcast(wanted) if small(wanted) else wanted, "doc_id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
+    few = small(wanted)
+    marked = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
+    marked = marked if few else stored(marked, "marked")
 
-    words = stored(marked.mapInArrow(_word_counts, "word string, n long, t long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "words")
-    whole = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    def counted(keys_of) -> DataFrame:
+        each = marked.select("text", "target").mapInArrow(_counts(keys_of), "key long, n long, t long")
+        return each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
+    words = stored(counted(lambda w: w), "words")
+    whole = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
     ends = marked.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0))).first()
-    top = words.orderBy(F.desc("n"), "word").limit(min(vocabulary, VOCABULARY)).toArrow()
-    ids = {w.encode(): i + 2 for i, w in enumerate(top.column("word").to_pylist())}
-    unigrams = []
-    for col, total, texts in zip("nt", whole, ends, strict=True):
-        known = top.column(col).to_numpy()
-        unigrams.append(np.concatenate([[total - known.sum(), texts], known]))
-    sent = sc.broadcast((ids, *unigrams))
-
-    pairs = marked.mapInArrow(_bigram_counts(sc.broadcast(ids)), "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    table = stored(pairs.filter((F.col("n") >= min_count) | (F.col("t") > 0)), "bigrams")
-    if table.count() <= sent_rows:
-        got = table.toArrow()
-        order = np.argsort(got.column("key").to_numpy())
-        sums = rows.mapInArrow(_score_here(sent, sc.broadcast(tuple(got.column(c).to_numpy()[order].astype(k) for c, k in zip(("key", "n", "t"), ("i8", "i4", "i4"), strict=True)))), "doc_id long, n_tokens long, target_loss double, background_loss double")
+    # One more word and the start of a text are in the vocabulary.
+    models = Models(whole[0] + 2, *whole[1:], *ends, min_count)
+    known, others, all_words = _sent(words, sent_words)
+    table = stored(counted(_keys).filter("n > 1"), "bigrams")
+    pairs, rest, all_pairs = _sent(table, sent_rows)
+
+    counts = "array<struct<key:bigint,n:bigint,t:bigint>>"
+    if all_words:
+        marked = marked.withColumn("rare", F.lit(None).cast(counts))
+    else:
+        marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
+        rare = marked.select("row", "text").mapInArrow(_unsent(sc.broadcast(known)), "row long, key long").join(others, "key")
+        rare = rare.groupBy("row").agg(F.collect_list(F.struct("key", "n", "t")).cast(counts).alias("rare"))
+        marked = marked.join(rare, "row", "left").select("doc_id", "text", "target", "rare")
+    parts = marked.mapInArrow(_scored(sc.broadcast((known, pairs)), models, all_pairs), "row long, key long, times long, wn long, wt long, own long")
+    if all_pairs:
+        each = parts.withColumns({"n": F.lit(1).cast("long"), "t": F.lit(0).cast("long")}).mapInArrow(_losses(models), "row long, doc_id long, times long, target double, background double")
+        sums = each.select("doc_id", F.col("times").alias("n_tokens"), F.col("target").alias("target_loss"), F.col("background").alias("background_loss"))
     else:
-        found = rows.mapInArrow(_postings(sent), "row long, doc_id long, key long, times long").join(table, "key", "left").select("row", "doc_id", "key", "times", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("t", F.lit(0)).alias("t"))
-        each = found.mapInArrow(_losses(sent), "row long, doc_id long, times long, target double, background double")
+        found = parts.join(rest, "key", "left").select(*parts.columns, "n", "t")
+        each = found.mapInArrow(_losses(models), "row long, doc_id long, times long, target double, background double")
         sums = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("times").alias("n_tokens"), F.sum("target").alias("target_loss"), F.sum("background").alias("background_loss"))
     n = F.greatest("n_tokens", F.lit(1))
     return sums.select("doc_id", "n_tokens", (F.col("target_loss") / n).alias("target_loss"), (F.col("background_loss") / n).alias("background_loss"), ((F.col("target_loss") - F.col("background_loss")) / n).alias("score"))

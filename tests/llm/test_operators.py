@@ -233,6 +233,38 @@ def test_lm_scoring_keeps_rare_bigrams_in_production(docs, spark):
     assert rows(lm_scoring.lm_scoring(docs, targets)) == rows(lm_scoring.lm_scoring(docs, targets, min_count=1))
 
 
+def test_lm_scoring_has_every_word_and_bigram(spark):
+    import math
+
+    # More words than 16 bits can number, most bigrams once or twice.
+    rng = random.Random(4)
+    table = [(i, " ".join(f"w{rng.randrange(10 ** rng.choice((2, 4, 7)))}" for _ in range(5000))) for i in range(45)]
+    table += [(100, "w1 rare1 rare2 w1"), (101, "w2 rare1 rare2 w2"), (102, "w3 once1 once2")]
+    docs = spark.createDataFrame(table, "doc_id long, text string").repartition(3)
+    targets = spark.createDataFrame([(0,), (1,)], "doc_id long")
+    n, t, big, bigt = Counter(), Counter(), Counter(), Counter()
+    for i, text in table:
+        words = text.encode().split()
+        two = list(zip([None, *words], words, strict=False))
+        n.update([None, *words]), big.update(two)
+        if i in (0, 1):
+            t.update([None, *words]), bigt.update(two)
+    size, all_n, all_t, want = len(n) + 1, n.total(), t.total(), {}
+    assert size > 65_536
+    for i, text in table:
+        words, a, b = text.encode().split(), 0.0, 0.0
+        for v, w in zip([None, *words], words, strict=False):
+            pn = (n[w] + 1) / (all_n + size)
+            a -= math.log((bigt[v, w] + 2 * (t[w] + pn * size) / (all_t + size)) / (t[v] + 2))
+            b -= math.log((big[v, w] + 2 * pn) / (n[v] + 2))
+        want[i] = len(words), a / len(words), b / len(words), (a - b) / len(words)
+    for limits in ({}, {"sent_rows": 500}, {"sent_words": 500, "sent_rows": 500}, {"sent_words": 0, "sent_rows": 0}):
+        got = {r.doc_id: tuple(r)[1:] for r in lm_scoring.lm_scoring(docs, targets, **limits).collect()}
+        assert got.keys() == want.keys()
+        for i in want:
+            assert got[i] == pytest.approx(want[i], abs=1e-9)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header>Site</header><nav><ul><li><a href="/x">Menu</a></li></ul></nav><!-- ad --><div class="ad">Buy</div>
 <article><h1>Ti&amp;tle</h1><p><b>First para
