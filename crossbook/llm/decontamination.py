@@ -1,9 +1,11 @@
 """Benchmark decontamination with SimHash windows and Hamming blocks.
 
 Benchmark items are cut into shingles of five words (shorter items are one
-shingle). A window of a document is as many words as an item has, and is looked
-at only where it shares a shingle with the item: without one, their similarity
-is 0. Every window and item has a 64-bit SimHash over its shingles, weighted by
+shingle). A window of a document is as many words as an item has, fewer at the
+document's end. Looked at are those that begin with a shingle of the item and hold
+enough of the item's shingles to reach the threshold. No item is lost by that: a
+window that begins with another shingle is moved on to the next one of the item
+without losing any of what they share. Every window and item has a 64-bit SimHash over its shingles, weighted by
 how often each occurs. The fingerprint is cut into ``RADIUS + 1`` blocks;
 fingerprints within the radius agree in at least one block, so joining on
 (item, block, bits) finds all of them. Candidates within the radius are verified by
@@ -76,20 +78,24 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, key, item_id, start, n_words, shared, total): each window that repeats an item; start counts words.
+    """(doc_id, key, item_id, start, n_words, shared, total): each window looked at that repeats an item; start counts words.
 
     key is xxhash64 of the document's text; shared / total is the similarity.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     items = _items(benchmark, item_id_col, item_text_col)
-    index = stored(items.select("item", "n", "width", F.posexplode("hashes").alias("at", "h")), "item-shingles")
+    index = stored(items.select("item", "width", F.explode(F.array_distinct("hashes")).alias("h")), "item-shingles")
     index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
     seeds = None
     for width in sorted(r[0] for r in items.select("width").distinct().collect()) or [WIDTH]:  # WIDTH values at most
         cut = rows.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(shingles(words_of(F.col("text")), width)).alias("pos", "h"))
-        found = cut.join(index.filter(F.col("width") == width), "h").select("doc_id", "key", "item", "n", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"))
+        found = cut.join(index.filter(F.col("width") == width), "h").select("doc_id", "key", "item", "pos")
         seeds = found if seeds is None else seeds.unionByName(found)
-    seeds = stored(seeds.distinct(), "seeds")
+    sizes = items.select("item", "n", F.size("hashes").alias("size")).withColumn("least", F.greatest(F.ceil(F.col("size") * percent / 100), F.lit(1)).cast("int"))
+    placed = seeds.groupBy("doc_id", "key", "item").agg(F.array_sort(F.collect_set("pos")).alias("places")).join(sizes, "item")
+    # The shared part is at most the window's places, and at least this share of the item.
+    starts = F.filter("places", lambda p, i: F.get("places", i + F.col("least") - 1) < p + F.col("size"))
+    seeds = stored(placed.select("doc_id", "key", "item", "n", F.explode(starts).alias("start")), "seeds")
 
     # Once more over the texts, of documents with a seed only: their windows' own shingles.
     hit = narrowed(rows, stored(seeds.select("doc_id").distinct(), "seed-ids")).dropDuplicates(["doc_id", "text"])

@@ -177,6 +177,29 @@ def test_decontamination(spark, docs, no_docs):
     assert decontamination.decontamination(docs, items.limit(0)).filter("contaminated").count() == 0
 
 
+def test_decontamination_looks_at_every_window(spark):
+    rng = random.Random(8)
+    items = [[f"i{k}w{rng.randrange(n)}" for _ in range(n)] for k, n in enumerate((50, 40, 30, 12, 6))] + [["few", "words"]]
+    texts = [items[0][25:] + items[0][:25], ["x"] * 30 + items[1][20:] + items[1][:20] + ["y"] * 3]
+    for _ in range(40):
+        item = list(rng.choice(items))
+        at = rng.randrange(len(item))
+        item = item[at:] + item[:at] if rng.random() < 0.6 else item
+        for _ in range(rng.randrange(3)):
+            item.insert(rng.randrange(len(item)), "new")
+        texts.append([*["a", "b", "c"][: rng.randrange(4)], *item, *["d", "e"][: rng.randrange(3)], *item[: rng.randrange(4)]])
+    cut = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    want = []
+    for i, words in enumerate(texts):
+        best = [max(((cut(words[s : s + len(x)]) & cut(x)).total() / (cut(words[s : s + len(x)]) | cut(x)).total() for s in range(len(words))), default=0) for x in items]
+        ids = sorted(str(k) for k, b in enumerate(best) if b >= 0.75)
+        want.append((i, ",".join(ids), round(max(best), 4) if ids else 0))
+    assert want[0][1:] == ("0", 0.84) and 10 < sum(bool(w[1]) for w in want)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    found = decontamination.decontamination(docs, spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_ids, r.similarity) for r in found.collect()) == want
+
+
 def test_toxicity(spark, docs, no_docs):
     rng, words = random.Random(2), [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in ("l", "rn", "st", "m")]
     table, labels = [], []
