@@ -3,8 +3,10 @@
 Base spans come from three patterns. Further candidates are long tokens that mix
 cases and digits outside the base spans. The hash of every candidate's value is
 counted over the corpus by distinct repositories and distinct owners: a value
-that several owners have is a widely copied example, one that a single owner has
-looks live. Live further candidates add a span of kind ``owner``; base spans stay
+that several owners have, or many repositories of one owner, is a widely copied
+example; one that a single owner has in a few repositories looks live. A document
+is a repository of its own, and documents with the same text are one; its source
+is the owner. Live further candidates add a span of kind ``owner``; base spans stay
 whatever their frequency.
 
 Only DataFrame functions. A value is counted after its (repository, owner) pairs
@@ -28,6 +30,8 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?(
 # A longest run is long enough or not, whatever the repetition's lower bound.
 ACCESS, HEX = "AKIA[A-Z0-9]{16,}", "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+#: A single owner's value in more repositories than this is copied.
+MAX_REPOS = 2
 _SPANS = "array<struct<start:int,kind:int,end:int,hash:string>>"
 
 
@@ -55,8 +59,9 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"), F.coalesce(docs[repo_col].cast("string"), F.lit("")).alias("repo"), F.coalesce(docs[owner_col].cast("string"), F.lit("")).alias("owner"))
+def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None, owner_col: str) -> DataFrame:
+    repo = F.coalesce(docs[repo_col].cast("string"), F.lit("")) if repo_col else F.md5(text_of(docs, text_col))
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"), repo.alias("repo"), F.coalesce(docs[owner_col].cast("string"), F.lit("")).alias("owner"))
     t = F.col("text")
     always = lambda hit, value: F.lit(True)
     mixed = lambda hit, value: hit.rlike("[0-9].*[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]")
@@ -66,16 +71,17 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_c
     return found.select("doc_id", "repo", "owner", "base", apart.alias("more"))
 
 
-def secret_scan(docs: DataFrame, *, max_owners: int = 1, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "source", owner_col: str = "source") -> DataFrame:
+def secret_scan(docs: DataFrame, *, max_owners: int = 1, max_repos: int = MAX_REPOS, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     n_live and n_copied: candidates, base ones included, whose value at most
-    ``max_owners`` owners have, and those that more have.
+    ``max_owners`` owners and ``max_repos`` repositories have, and those that more
+    have. Without ``repo_col`` the digest of the text is the repository.
     """
     scanned = stored(_scanned(docs, id_col, text_col, repo_col, owner_col).withColumn("at", F.monotonically_increasing_id()), "secrets")
     each = scanned.select("at", "repo", "owner", F.explode(F.concat("base", "more")).alias("s")).select("at", "repo", "owner", "s")
     owned = each.select(F.col("s.hash").alias("hash"), "repo", "owner").distinct().groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
-    told = each.withColumn("hash", F.col("s.hash")).join(stored(owned, "owned"), "hash").withColumn("live", F.col("owners") <= max_owners)
+    told = each.withColumn("hash", F.col("s.hash")).join(stored(owned, "owned"), "hash").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
     per_doc = told.groupBy("at").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), F.collect_list(F.when(F.col("live") & (F.col("s.kind") == 3), F.col("s"))).alias("added"))
     out = scanned.join(per_doc, "at", "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")

@@ -168,6 +168,15 @@ def test_secret_copied_by_many_owners_is_an_example(spark):
     assert got[3] == got[4] == (f"owner:0:{len(value) + 1}", 1, 0)
 
 
+def test_secret_copied_through_one_source_is_an_example(spark):
+    value = "xYz9" + "QwErTy" * 4 + "77"
+    table = [(i, f"text {i} {value}", "hot") for i in range(30)] + [(100 + i, f"same text Q{value}", "hot") for i in range(30)]
+    table += [(200 + i, f"note {i} R{value}", "b") for i in range(2)]
+    got = {r.doc_id: (r.spans, r.n_live, r.n_copied) for r in secret_scan.secret_scan(spark.createDataFrame(table, "doc_id long, text string, source string")).collect()}
+    assert {got[i] for i in range(30)} == {("", 0, 1)}
+    assert {got[i][1:] for i in got if i >= 100} == {(1, 0)}
+
+
 def test_decontamination(spark, docs, no_docs):
     items = spark.createDataFrame([(1, " ".join(WORDS[3:33])), (2, "One two THREE"), (3, None), (None, "lorem ipsum lorem ipsum lorem ipsum"), (4, "not in any text at all here")], "item_id long, text string")
     got = {(r.doc_id, r.item_ids) for r in decontamination.decontamination(docs, items).collect() if r.contaminated}
