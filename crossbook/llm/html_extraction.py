@@ -7,8 +7,8 @@ its host in Spark; a subtree that is on most of a host's pages is its template
 and is deleted.
 
 Defined results: a null or empty page has no text; a null url has no host and no
-template; rows with null ids and repeated rows are handled one by one (they count
-as pages of the host); an empty table gives an empty result; other columns are ignored.
+template; rows with null ids and repeated rows are handled one by one (pages of
+a host with the same text count as one); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -153,17 +153,20 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
 
 
 def _subtrees(batches):
-    held: Counter = Counter()
+    """(host, tree, page): each subtree of each page's text, and one row without a subtree."""
+    held: set = set()
 
     def out():
-        items = list(held.items())
+        items = list(held)
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in items], pa.string()), pa.array([k[1] for k, _ in items], pa.int64()), pa.array([n for _, n in items], pa.int64())], names=["host", "tree", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in items], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["host", "tree", "page"])
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
             if host:
-                held.update((host, t) for t in {t for t, _, _ in walk(page)[1]})
+                blocks, trees = walk(page)
+                own = _digest("\n".join(blocks))
+                held.update((host, t, own) for t in [None, *(t for t, _, _ in trees)])
         if len(held) > 200_000:
             yield out()
     yield out()
@@ -175,7 +178,7 @@ def _extract(batches):
         for page, known in zip(batch.column("html").to_pylist(), batch.column("trees").to_pylist(), strict=True):
             blocks, trees = walk(page)
             known = set(known or ())
-            gone = {i for t, a, b in trees if t in known for i in range(a, b)} if known else ()
+            gone = {i for t, a, b in trees if t in known and b - a < len(blocks) for i in range(a, b)} if known else ()
             texts.append("\n".join(b for i, b in enumerate(blocks) if i not in gone))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
@@ -184,9 +187,10 @@ def html_extraction(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share:
     """One row for each page: page_id, url, text, n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col], F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"), host.alias("host"))
-    counted = rows.select("host", "html").mapInArrow(_subtrees, "host string, tree long, n long").groupBy("host", "tree").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
-    hosts = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    templates = counted.join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("trees"))
+    counted = rows.select("host", "html").mapInArrow(_subtrees, "host string, tree long, page long").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
+    counted = stored(counted, "subtrees")
+    hosts = counted.filter("tree is null").select("host", F.col("n").alias("pages"))
+    templates = counted.filter("tree is not null").join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("trees"))
     templates = stored(templates, "templates")
     if templates.isEmpty():
         rows = rows.withColumn("trees", F.lit(None).cast("array<long>"))

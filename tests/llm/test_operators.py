@@ -317,6 +317,17 @@ def test_html_extraction(spark):
     assert html_extraction.html_extraction(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_copies_are_no_template(spark):
+    pages = [(i, f"http://c.example/{i}", "<body><article><h1>Same</h1><p>whole text</p></article></body>") for i in range(15)]
+    pages += [(100 + i, f"http://c.example/o{i}", f"<article><p>own {i}</p></article>") for i in range(5)]
+    # The only block of each of these pages, and no copy: the texts differ by what isn't in the block.
+    pages += [(200 + i, f"http://w.example/{i}", "<article><p>the whole</p></article>" if i < 8 else f"<article><div><p>the whole</p></div><p>{i}</p></article>") for i in range(20)]
+    got = {r.page_id: r.text for r in html_extraction.html_extraction(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(15)} == {"Same\nwhole text"}
+    assert [got[100 + i] for i in range(5)] == [f"own {i}" for i in range(5)]
+    assert got[200] == "the whole" and got[210] == "10"
+
+
 def test_pipeline_keeps_clean_documents(spark, docs, tmp_path):
     import corpus_pipeline
 
