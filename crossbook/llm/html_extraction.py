@@ -2,9 +2,11 @@
 
 A page is walked once, tag by tag. Menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments go by their tags, classes and roles.
+All articles are the main region if they hold most of the text, else all of
+``main``, without one the page.
 The hash of each remaining block element's subtree is counted over the pages of
-its host in Spark; a subtree that is on most of a host's pages is its template
-and is deleted.
+its host in Spark, copies of a page as one; a subtree that is on most of a host's
+pages is its template and is deleted, unless it is the whole main region.
 
 Defined results: a null or empty page has no text; a null url has no host and no
 template; rows with null ids and repeated rows are handled one by one (pages of
@@ -73,7 +75,7 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
     """The blocks of the main region, and the subtrees in it as (hash, first block, end)."""
     blocks: list[tuple[int, str]] = []
     trees: list[tuple[int, int, int, int]] = []
-    stack, text, regions, at = [_Open("", False, 0, 0)], [], 0, 0
+    stack, text, regions, in_main, at = [_Open("", False, 0, 0)], [], 0, set(), 0
 
     def flush():
         if text:
@@ -135,21 +137,25 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
         if not top.gone and tag in ("article", "main") and not (region and region % 2 == 1):
             regions += 1
             region = 2 * regions + (1 if tag == "article" else 0)
+            if tag == "main" or top.region in in_main:
+                in_main.add(region)
         gone = top.gone or _unwanted(tag, found[3], bool(region % 2))
         if gone and not top.gone:
             flush() if tag not in _INLINE else None
         stack.append(_Open(tag, gone, region, len(blocks)))
     close(1)
     flush()
-    # The longest article; without one, the longest main; without that, the page.
+    # All articles if they hold most of the text; else all of main; without one, the page.
     sizes: Counter = Counter()
     for region, words in blocks:
         sizes[region] += len(words)
-    odd = [r for r in sizes if r % 2] or [r for r in sizes if r] or [0]
-    best = max(odd, key=lambda r: (sizes[r], -r))
-    places = {i: k for k, i in enumerate(i for i, (r, _) in enumerate(blocks) if r == best)}
-    mine = [(v, places[s], places[e - 1] + 1) for v, r, s, e in trees if r == best and s in places and e - 1 in places]
-    return [b for r, b in blocks if r == best], mine
+    articles, mains = {r for r in sizes if r % 2}, in_main.intersection(sizes)
+    kept = mains or set(sizes)
+    if 2 * sum(sizes[r] for r in articles) > sum(sizes[r] for r in articles | kept):
+        kept = articles
+    places = {i: k for k, i in enumerate(i for i, (r, _) in enumerate(blocks) if r in kept)}
+    mine = [(v, places[s], places[e - 1] + 1) for v, r, s, e in trees if r in kept and s in places and e - 1 in places and places[e - 1] - places[s] == e - 1 - s]
+    return [b for r, b in blocks if r in kept], mine
 
 
 def _subtrees(batches):

@@ -328,6 +328,16 @@ def test_html_copies_are_no_template(spark):
     assert got[200] == "the whole" and got[210] == "10"
 
 
+def test_html_keeps_all_main_regions():
+    long = "a long text that is most of what the page has to say"
+    text = lambda page: html_extraction.walk(page)[0]
+    assert text(f"<body><p>Top</p><article><p>{long}</p></article><p>Between</p><article><p>second</p></article></body>") == [long, "second"]
+    assert text(f"<main><p>{long}</p></main><article><p>Teaser</p></article>") == [long]
+    assert text(f"<main><p>{long}</p><article><p>Teaser</p></article></main>") == [long, "Teaser"]
+    assert text(f"<main><p>{long}</p></main><p>x</p><main><p>more</p></main>") == [long, "more"]
+    assert text(f"<div><p>{long}</p></div><article><p>Teaser</p></article>") == [long, "Teaser"]
+
+
 def test_pipeline_keeps_clean_documents(spark, docs, tmp_path):
     import corpus_pipeline
 
