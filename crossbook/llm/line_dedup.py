@@ -91,10 +91,10 @@ def repeated_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: in
 
 def line_dedup(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and text without the deleted lines, of each document."""
-    found = stored(repeated_lines(docs, min_lines=min_lines, min_words=min_words, id_col=id_col, text_col=text_col).filter("n_deleted > 0").dropDuplicates(["doc_id", "key", "deleted"]), "deleted")
+    found = stored(repeated_lines(docs, min_lines=min_lines, min_words=min_words, id_col=id_col, text_col=text_col), "deleted")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     # Of repeated rows the first keeps its lines; they can't be told apart here, so all keep them.
-    found = found.groupBy("doc_id", "key").agg(F.min_by("deleted", "n_deleted").alias("deleted"))
+    found = found.groupBy("doc_id", "key").agg(F.min_by("deleted", "n_deleted").alias("deleted")).filter("deleted <> ''")
     a, b = rows.alias("a"), found.alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.key")), "left")
     runs = F.transform(F.split(F.coalesce("deleted", F.lit("")), ","), lambda r: F.split(r, ":"))

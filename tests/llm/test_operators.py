@@ -160,6 +160,13 @@ def test_secret_scan(docs, no_docs):
     assert secret_scan.secret_scan(no_docs).count() == 0
 
 
+def test_line_dedup_keeps_a_repeated_row(spark):
+    text = "a b\nc d\ne f\ng"
+    table = spark.createDataFrame([(1, text), (1, text), (2, text), (None, text), (None, text)], "doc_id long, text string")
+    assert rows(line_dedup.line_dedup(table)) == sorted([(1, text), (1, text), (2, ""), (None, ""), (None, "")], key=repr)
+    assert {r.text for r in line_dedup.line_dedup(table.filter("doc_id is null")).collect()} == {text}
+
+
 def test_secret_copied_by_many_owners_is_an_example(spark):
     value = "xYz9" + "QwErTy" * 4 + "77"
     table = spark.createDataFrame([(1, value, "a"), (2, value, "b"), (3, "Q" + value, "a"), (4, "Q" + value, "a")], "doc_id long, text string, source string")
