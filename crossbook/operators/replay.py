@@ -35,10 +35,19 @@ def funnel(rows: DataFrame, key: str, stages: dict[str, Column]) -> DataFrame:
     return met.agg(F.count("*").alias("pairs"), *[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in stages])
 
 
-def sequence_gaps(rows: DataFrame, key: str, seq: str) -> DataFrame:
-    """Rows whose sequence number isn't one more than the key's previous one."""
-    before = F.lag(seq).over(W.partitionBy(key).orderBy(seq))
-    return rows.withColumn("before", before).filter(F.col(seq) - F.col("before") != 1)
+def sequence_gaps(rows: DataFrame, key: str, seq: str, width: int = 65_536) -> DataFrame:
+    """Rows whose sequence number isn't one more than the key's previous one.
+
+    A task orders ``width`` numbers of a key; only these buckets' borders are ordered by key.
+    """
+    cut = rows.withColumn("_bucket", F.floor(F.col(seq) / width))
+    order = W.partitionBy(key, "_bucket").orderBy(seq)
+    last = cut.groupBy(key, "_bucket").agg(F.max(seq).alias("_last"))
+    borders = last.select(F.col(key).alias("_key"), F.col("_bucket").alias("_of"), F.lag("_last").over(W.partitionBy(key).orderBy("_bucket")).alias("_border"))
+    inside = cut.withColumn("_first", F.row_number().over(order) == 1).withColumn("before", F.lag(seq).over(order)).filter(F.col("_first") | (F.col(seq) - F.col("before") != 1))
+    met = inside.join(borders, F.col("_first") & F.col(key).eqNullSafe(F.col("_key")) & F.col("_bucket").eqNullSafe(F.col("_of")), "left")
+    found = met.withColumn("before", F.when(F.col("_first"), F.col("_border")).otherwise(F.col("before")))
+    return found.filter(F.col(seq) - F.col("before") != 1).select(*rows.columns, "before")
 
 
 def exclusive_quartiles(rows: DataFrame, key: str, value: str) -> DataFrame:
