@@ -12,11 +12,16 @@
    parts of about ``PART`` classes, differently each time, and 3 and 4 run again
    with a leader in each part, until such pairs are few or a round no longer
    settles a good share of them (they are truly different, or nearly all are).
-6. What is left, exactly: every pair of classes that share a bucket and are still
-   in different components runs through 3 and the verification. So no link that
-   the bands find is lost, while pairs within a component are never listed.
+6. What is left, exactly: classes that share a bucket and are still in different
+   components are compared by size and by a parity mask of their shingles, inside
+   the join, which only gives out pairs that may still be linked. Two sets differ
+   in at least as many shingles as their masks in bits, so no link is lost. Only
+   these pairs run through 3 and the verification; pairs within a component never do.
 7. Components of all links.
 
+The comparison in 6 still looks at every two unsettled classes of a bucket, in
+blocks of about ``BLOCK`` classes; what it gives out grows with the links.
+
 Recall: a pair at the threshold shares no band with a chance of
 ``(1 - 0.75**ROWS) ** BANDS``, about 5e-6.
 
@@ -40,6 +45,8 @@ from crossbook.llm._common import narrowed, stored, text_of
 WIDTH, BANDS, ROWS, BATCH, MISS = 5, 32, 4, 32, 1e-6
 #: Classes of a part of a bucket; open pairs for each member up to which they are all verified.
 PART, DIRECT = 16, 3
+#: Classes of a block of a bucket's unsettled members; 64-bit words of a mask.
+BLOCK, MASK = 1024, 16
 #: Share of the open pairs that a round must settle for another one to follow; the rest is verified pair by pair.
 PAYS = 0.25
 _SEED = np.random.default_rng(20240501)
@@ -100,6 +107,12 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h.view("i8")
 
 
+def mask(shingles: np.ndarray) -> list[int]:
+    """Parity of how many shingles fall on each of 64 * MASK bits."""
+    odd = np.bincount(_mix(shingles) >> np.uint64(64 - (64 * MASK).bit_length() + 1), minlength=64 * MASK) & 1
+    return np.packbits(odd.astype("u1")).view("i8").tolist()
+
+
 def _digest(shingles: np.ndarray) -> tuple[int, int]:
     import xxhash
 
@@ -109,7 +122,7 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
 def _signed(batches):
     shingler = Shingler()
     for batch in batches:
-        n, lo, hi, sigs, bands = [], [], [], [], []
+        n, lo, hi, sigs, bands, masks = [], [], [], [], [], []
         for text in batch.column("text").to_pylist():
             s = shingler.set(text)
             n.append(len(s))
@@ -119,8 +132,9 @@ def _signed(batches):
             sig = signature(s) if len(s) else None
             sigs.append(None if sig is None else sig.astype("u2").tobytes())
             bands.append(None if sig is None else band_keys(sig))
-        cols = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "lo", "hi", "sig", "bands"])
+            masks.append(None if sig is None else mask(s))
+        cols = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(masks, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "lo", "hi", "sig", "bands", "mask"])
 
 
 def _sets(batches):
@@ -217,7 +231,7 @@ def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs whose full sets reach the threshold; sets are made again for the classes in question."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = stored(classes.select("cid", "lo", "hi", "rep").join(ids, "cid", "left_semi"), "wanted")
     texts = narrowed(rows, stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted-ids")).select("text")
     sets = stored(texts.mapInArrow(_sets, "lo long, hi long, set binary").join(wanted, ["lo", "hi"]).dropDuplicates(["cid"]).select("cid", "set"), "sets")
@@ -237,11 +251,31 @@ def _unsettled(members: DataFrame, roots: DataFrame) -> tuple[DataFrame, int, in
     return stored(rooted.join(mixed.select("key", "in_bucket"), "key"), "unsettled"), int(total[0]), int(total[1])
 
 
+def _may_link(rooted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in a bucket whose sizes and masks leave the similarity open.
+
+    A pair reaches it only if the sets differ in at most (100 - percent) / (100 + percent) of both sizes.
+    """
+    sized = rooted.join(classes.select("cid", "n", "mask"), "cid").withColumn("parts", F.ceil(F.col("in_bucket") / BLOCK))
+    sized = sized.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")))
+    cells = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    cells = cells.withColumn("x", F.least("part", "other")).withColumn("y", F.greatest("part", "other"))
+    cells = cells.select("key", "x", "y", "cid", "root", "n", "part", *[F.col("mask")[k].alias(f"m{k}") for k in range(MASK)])
+    a, b = cells.alias("a"), cells.alias("b")
+    col = lambda side, c: F.col(f"{side}.{c}")
+    met = [col("a", c) == col("b", c) for c in ("key", "x", "y")] + [col("a", "cid") < col("b", "cid"), col("a", "root") != col("b", "root")]
+    met.append((col("a", "x") == col("a", "y")) | (col("a", "part") != col("b", "part")))
+    met.append(F.least(col("a", "n"), col("b", "n")) * 100 >= F.greatest(col("a", "n"), col("b", "n")) * percent)
+    differ = sum((F.bit_count(col("a", f"m{k}").bitwiseXOR(col("b", f"m{k}"))) for k in range(1, MASK)), F.bit_count(col("a", "m0").bitwiseXOR(col("b", "m0"))))
+    met.append(differ * (100 + percent) <= (col("a", "n") + col("b", "n")) * (100 - percent))
+    return a.join(b, met).select(col("a", "cid").alias("a"), col("b", "cid").alias("b"))
+
+
 def near_dedup(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, key (xxhash64 of the text; with doc_id it names the row)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    signed = stored(rows.withColumn("key", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, key long, n long, lo long, hi long, sig binary, bands array<long>"), "signed")
-    classes = signed.filter("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"))
+    signed = stored(rows.withColumn("key", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, key long, n long, lo long, hi long, sig binary, bands array<long>, mask array<long>"), "signed")
+    classes = signed.filter("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"), F.any_value("mask").alias("mask"))
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", F.explode("bands").alias("key"))
     buckets = stored(members.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("size")).filter("size > 1"), "buckets")
@@ -268,8 +302,7 @@ def near_dedup(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", te
         tried, links = tried.unionByName(picked), links.unionByName(new)
         if new.isEmpty():
             break
-    other = rooted.select("key", F.col("cid").alias("b"), F.col("root").alias("root_b"))
-    pairs = rooted.withColumnRenamed("cid", "a").join(other, "key").filter("a < b and root != root_b").select("a", "b")
+    pairs = stored(_may_link(rooted, classes, percent).distinct(), "open")
     fresh = pairs.unionByName(stars.select("a", "b")).distinct().join(_sorted(tried), [F.col("a") == F.col("x"), F.col("b") == F.col("y")], "left_anti")
     rest = _pruned(fresh, classes, percent)
     for side in "ab":
