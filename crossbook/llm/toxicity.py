@@ -11,12 +11,15 @@ of a toxic document the window that the model finds worst, of a clean one its
 worst windows and some others. A document scores as its worst window does.
 
 Training uses at most ``MAX_TOXIC`` and ``MAX_CLEAN`` labelled documents, taken
-in the order of a hash of their id. Scoring covers all documents and whole texts.
+in the order of a hash of their id, and of each class those that together have at
+most ``MAX_CHARS`` characters. Scoring covers all documents and whole texts, a few
+documents at a time; a word of over ``LONG`` characters is taken as several.
 
 Defined results: a null or empty text has the score of an empty bag; labels
 that are null or without an id are left out, of several labels for one id the
 largest counts; without both classes every score is 0; rows with null id are
-scored and never held out; repeated rows are scored one by one.
+scored and never held out; repeated rows are scored one by one; an empty table
+gives an empty result; other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -27,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
-from crossbook.llm._common import text_of
+from crossbook.llm._common import stored, text_of
 
 #: Labelled documents that are trained on, at most.
-MAX_TOXIC, MAX_CLEAN = 2000, 4000
+MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 16_000_000
 THRESHOLD = 0.3
 BUCKETS_BITS, DIM, NGRAMS, WINDOW = 18, 4, (3, 4, 5), 5
 #: Pull of the embeddings towards zero, in the unit of the mean gradient. Chosen of 1e-6 to 1e-3
@@ -42,12 +45,11 @@ RATE = 0.1
 #: Documents of the sample that an n-gram must be in to be trained at all.
 LEAST_DOCS = 4
 #: Words whose scores a task remembers; then it starts afresh.
-REMEMBERED = 500_000
-#: Words whose n-grams are made at a time in training.
+REMEMBERED = 200_000
+#: Words whose n-grams are made at a time.
 CHUNK = 20_000
-#: Columns that are added to the caller's own.
-TEXT, SCORE = "_toxicity_text", "_toxicity_score"
-_WORDS = re.compile(r"\w+").findall
+LONG = 65_536
+_WORDS = re.compile(rf"\w{{1,{LONG}}}").findall
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -194,7 +196,10 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
         return None
     rng = np.random.default_rng(seed)
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in _WORDS(t.lower())], "i4") for t in texts]
+    docs = []
+    for at, text in enumerate(texts):
+        docs.append(np.array([index.setdefault(w, len(index)) for w in _WORDS(text.lower())], "i4"))
+        texts[at] = ""  # its words are all that is needed from here on
     aside = np.zeros(len(docs), bool)
     for label in (0, 1):
         aside[np.flatnonzero(y == label)[4::5]] = True
@@ -225,51 +230,70 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
     return (slope * model.margin()).astype("f4"), slope * model.logit_bias() + shift
 
 
+class Scorer:
+    """Scores of texts by a trained model; without one every score is 0."""
+
+    def __init__(self, model: tuple[np.ndarray, float] | None):
+        self.model, self.known = model, {}
+
+    def _learn(self, group: list[list[str]]) -> None:
+        fresh = list({w for words in group for w in words}.difference(self.known))
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known.clear()
+            fresh = list({w for words in group for w in words})
+        for at in range(0, len(fresh), CHUNK):
+            part = fresh[at : at + CHUNK]
+            self.known.update(zip(part, word_logits(part, self.model[0]).tolist(), strict=True))
+
+    def scores(self, group: list[list[str]]) -> list[float]:
+        if self.model is None:
+            return [0.0] * len(group)
+        self._learn(group)
+        found = (windows(np.fromiter(map(self.known.__getitem__, words), "f8", len(words))).max() for words in group)
+        return [float(1 / (1 + np.exp(-np.clip(z + self.model[1], -50, 50)))) for z in found]
+
+
 def _score(sent):
     def run(batches):
-        model, known = sent.value, {}
+        scorer = Scorer(sent.value)
         for batch in batches:
-            scores = []
-            texts = [_WORDS(x.lower()) for x in batch.column(TEXT).to_pylist()]
-            if model is not None:
-                if len(known) > REMEMBERED:
-                    known.clear()
-                fresh = list({w for words in texts for w in words}.difference(known))
-                known.update(zip(fresh, word_logits(fresh, model[0]).tolist(), strict=True))
-            for words in texts:
-                if model is None:
-                    scores.append(0.0)
-                    continue
-                z = windows(np.fromiter(map(known.__getitem__, words), "f8", len(words))).max() + model[1]
-                scores.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
-            own = [n for n in batch.schema.names if n != TEXT]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), pa.array(scores, pa.float64())], names=[*own, SCORE])
+            scores, group, size, texts = [], [], 0, batch.column("text")
+            for i in range(len(texts)):
+                group.append(_WORDS(texts[i].as_py().lower()))
+                size += len(group[-1])
+                if size > CHUNK:
+                    scores += scorer.scores(group)
+                    group, size = [], 0
+            scores += scorer.scores(group)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(scores, pa.float64())], names=["doc_id", "key", "score"])
 
     return run
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int) -> tuple[list[str], list[int], float]:
-    """Texts and labels to train on, a bounded number and none that is held out, and the share of toxic labels."""
+def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> tuple[list[str], list[int], float]:
+    """Texts and labels to train on, a bounded number and size and none that is held out, and the share of toxic labels."""
     named = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     named = named.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     share = named.agg(F.avg("y")).first()[0]
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = named.filter("y = 1").orderBy(*order).limit(max_toxic).unionByName(named.filter("y = 0").orderBy(*order).limit(max_clean))
-    found = docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy(*order).select("text", "y").toArrow()  # max_toxic + max_clean rows at most
-    return found.column("text").to_pylist(), found.column("y").to_pylist(), share or 0.0
+    # max_toxic + max_clean rows at most from here on.
+    found = stored(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text"), "toxicity-sample")
+    so_far = F.sum(F.length("text")).over(W.partitionBy("y").orderBy(*order))
+    kept = found.select("doc_id", so_far.alias("chars")).filter(F.col("chars") <= max_chars).select("doc_id")
+    rows = found.join(F.broadcast(kept), "doc_id", "left_semi").orderBy(*order).select("text", "y").toArrow()
+    return rows.column("text").to_pylist(), rows.column("y").to_pylist(), share or 0.0
 
 
-def scored(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of the documents and ``SCORE``."""
+def scored(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, key, score (0 to 1). key is xxhash64 of the text: with doc_id it names the row."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    sent = docs.sparkSession.sparkContext.broadcast(train(*sample(rows, labels, max_toxic, max_clean)))
-    added = T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())])
-    return docs.withColumn(TEXT, text_of(docs, text_col)).mapInArrow(_score(sent), added)
+    sent = docs.sparkSession.sparkContext.broadcast(train(*sample(rows, labels, max_toxic, max_clean, max_chars)))
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_score(sent), "doc_id long, key long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted."""
-    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    out = scored(rows, labels, max_toxic=max_toxic, max_clean=max_clean)
+    out = scored(docs, labels, max_toxic=max_toxic, max_clean=max_clean, max_chars=max_chars, id_col=id_col, text_col=text_col)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", held.alias("held_out"), F.col(SCORE).alias("score"), (F.col(SCORE) >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
