@@ -21,7 +21,7 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.scored(docs, labels).filter(F.col(toxicity.SCORE) < toxicity.THRESHOLD).select(*docs.columns)
+    return _without(docs, toxicity.scored(docs, labels).filter(F.col("score") >= toxicity.THRESHOLD))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
