@@ -5,17 +5,26 @@ target documents, one of all documents. A document's score is the mean over its
 tokens of target loss minus background loss (in nats): the lower, the more the
 document is like the target.
 
-Counts cover every token of every document, every word and every bigram. A word
-is named by a 64-bit hash, a bigram by a 63-bit one: at 10^9 bigrams two of them
-share a name with a chance of a few in a hundred. What occurs once in the corpus
-needs no table: where it stands, its count is 1. Words and bigrams that occur more
-often are sent to the tasks, the most frequent ones up to ``sent_words`` and
-``sent_rows`` rows; the rest is looked up by a shuffle join.
+Counts cover every token of every document, every word and every bigram; nothing
+is pruned on either side. A word is named by a 64-bit hash, a bigram by a 63-bit
+one: at 10^9 bigrams two of them share a name with a chance of a few in a hundred.
+
+1. Words are counted; so are, as candidates, the bigrams that occur ``OFTEN`` times
+   in some stretch of ``BUFFERED`` tokens.
+2. The most frequent candidates, up to ``sent_rows``, are counted exactly, task by
+   task, and sent to the tasks with the words, up to ``sent_words``; other words that
+   occur twice or more are looked up by a join, one array a document.
+3. Each document is scored with the counts sent, every other bigram taken to occur
+   in this document only. These others are dealt by bigram, once; where one turns
+   out to be in more documents, its documents get the difference.
+
+So a bigram that is frequent everywhere never is dealt by its key, and one that
+occurs once moves once. All sizes of input go this one way.
 
 Defined results: a null or empty text has no tokens, losses and score 0; target
 ids that are null or unknown are ignored; repeated rows count and are scored one
 by one; without target documents the target model is the uniform prior over the
-background's unigrams; an empty table gives an empty result.
+background's unigrams; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +40,10 @@ from pyspark.sql import functions as F
 
 from crossbook.llm._common import small, stored, text_of
 
-MIN_COUNT, PRIOR, SENT_WORDS, SENT_ROWS = 1, 2.0, 2_000_000, 4_000_000
+PRIOR, SENT_WORDS, SENT_ROWS = 2.0, 2_000_000, 500_000
+OFTEN = 8
 _START = 1
-HELD, BUFFERED = 400_000, 1_000_000
+HELD, BUFFERED = 200_000, 1_000_000
 
 
 class _Hashes(dict):
@@ -61,30 +71,55 @@ def _keys(w: np.ndarray) -> np.ndarray:
     return ((x ^ x >> np.uint64(32)) >> np.uint64(1)).view("i8")
 
 
-def _counts(keys_of):
-    """(key, n, t) of the numbers that ``keys_of`` gives for each text's words."""
+def _counted(batches):
+    """(pair, key, n, t): the words of each stretch of tokens, and the bigrams that are in it OFTEN times."""
+    hashes, parts, size = _Hashes(), ([], [], []), 0
+
+    def out():
+        words, pairs, target = map(np.concatenate, parts)
+        cols = []
+        for pair, keys, least in ((0, words, 1), (1, pairs, OFTEN)):
+            keys, place, n = np.unique(keys, return_inverse=True, return_counts=True)
+            kept, t = n >= least, np.bincount(place, target, len(keys)).astype("i8")
+            cols.append((np.full(kept.sum(), pair, "i4"), keys[kept], n[kept], t[kept]))
+        for p in parts:
+            p.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["pair", "key", "n", "t"])
+
+    for batch in batches:
+        texts = batch.column("text")
+        for i, target in enumerate(batch.column("target").to_pylist()):
+            w = _words(texts[i].as_py(), hashes)
+            keys = _keys(w)
+            for at in range(0, len(w), BUFFERED):
+                parts[0].append(w[at : at + BUFFERED])
+                parts[1].append(keys[at : at + BUFFERED])
+                parts[2].append(np.full(len(parts[0][-1]), target, "i1"))
+                size += len(parts[0][-1])
+                if size >= BUFFERED:
+                    yield out()
+                    size = 0
+    if size:
+        yield out()
 
-    def run(batches):
-        hashes, parts, size = _Hashes(), ([], []), 0
 
-        def out():
-            keys, place = np.unique(np.concatenate(parts[0]), return_inverse=True)
-            target = np.concatenate(parts[1])
-            cols = [keys, np.bincount(place, minlength=len(keys)), np.bincount(place, target, len(keys)).astype("i8")]
-            parts[0].clear(), parts[1].clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["key", "n", "t"])
+def _counted_exactly(sent):
+    """(key, n, t) of the (sorted) keys sent, over all of a task's texts."""
 
+    def run(batches):
+        keys, hashes = sent.value, _Hashes()
+        n, t = np.zeros(len(keys), "i8"), np.zeros(len(keys), "i8")
         for batch in batches:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                keys = keys_of(_words(text, hashes))
-                parts[0].append(keys)
-                parts[1].append(np.full(len(keys), target, "i1"))
-                size += len(keys)
-                if size > BUFFERED:
-                    yield out()
-                    size = 0
-        if size:
-            yield out()
+            texts = batch.column("text")
+            for i, target in enumerate(batch.column("target").to_pylist()):
+                mine = _keys(_words(texts[i].as_py(), hashes))
+                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                at = at[keys[at] == mine]
+                np.add.at(n, at, 1)
+                if target:
+                    np.add.at(t, at, 1)
+        kept = n > 0
+        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (keys, n, t)], names=["key", "n", "t"])
 
     return run
 
@@ -122,22 +157,22 @@ def _unsent(sent):
 class Models:
     """Both models: what a bigram adds to a loss, from its counts and those of its words."""
 
-    def __init__(self, size: int, n: int, t: int, texts: int, targets: int, min_count: int):
-        self.size, self.n, self.t, self.texts, self.targets, self.min_count = size, n + texts, t + targets, texts, targets, min_count
+    def __init__(self, size: int, n: int, t: int, texts: int, targets: int):
+        self.size, self.n, self.t, self.texts, self.targets = size, n + texts, t + targets, texts, targets
 
     def tops(self, n, t, wn, wt) -> tuple[np.ndarray, np.ndarray]:
         """Logarithms of the numerators: (target, background)."""
         pn = (wn + 1) / (self.n + self.size)
         pt = (wt + pn * self.size) / (self.t + self.size)
-        return np.log(t + PRIOR * pt), np.log(np.where((n < self.min_count) & (t == 0), 0, n) + PRIOR * pn)
+        return np.log(t + PRIOR * pt), np.log(n + PRIOR * pn)
 
 
-def _scored(sent, models: Models, whole: bool):
-    """(row, key, times, own, wn, wt): a head of each row, and the bigrams still to be looked up.
+def _scored(sent, models: Models):
+    """(key, row, times, own, wn, wt): a head of each row, and its bigrams that others may have too.
 
-    A head has a key that no bigram has, the number of tokens, the doc_id, and the bits
-    of what the row's other bigrams add to the losses. ``whole``: all that occurs twice was sent.
-    A bigram has its times in the row, those that are the target's, and its word's counts.
+    A head has a key that no bigram has, the number of tokens, the doc_id, and the bits of
+    both losses so far. A bigram has its times in the row, those that are the target's, and
+    its word's counts.
     """
 
     def run(batches):
@@ -146,16 +181,15 @@ def _scored(sent, models: Models, whole: bool):
         def out():
             heads, docs, more = zip(*parts, strict=True)
             head = np.array(heads)
-            doc = pa.array(docs, pa.int64())
             cols = [np.concatenate([head[:, i], *(m[i] for m in more)]) for i in range(5)]
+            own = pa.chunked_array([pa.array(docs, pa.int64()), pa.array(np.concatenate([m[5] for m in more]), pa.int64())]).combine_chunks()
             parts.clear()
-            own = pa.chunked_array([doc, pa.array(np.concatenate([np.zeros(0, "i8"), *(m[5] for m in more)]), pa.int64())]).combine_chunks()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), own], names=["row", "key", "times", "wn", "wt", "own"])
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), own], names=["key", "row", "times", "wn", "wt", "own"])
 
         for batch in batches:
-            rare = batch.column("rare")
-            for i, (doc, text, target) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "target")), strict=True)):
-                w = _words(text, hashes)
+            rare, texts = batch.column("rare"), batch.column("text")
+            for i, (doc, target) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "target")), strict=True)):
+                w = _words(texts[i].as_py(), hashes)
                 wn, wt, _ = _found(words, w, target)
                 if rare[i].is_valid:
                     table = rare[i].values
@@ -164,12 +198,12 @@ def _scored(sent, models: Models, whole: bool):
                 keys, bn, bt = _keys(w), np.concatenate([[models.texts], wn[:-1]])[: len(w)], np.concatenate([[models.targets], wt[:-1]])[: len(w)]
                 n, t, there = _found(bigrams, keys, target)
                 # A bigram with a word that occurs once occurs once.
-                left = np.zeros(len(w), bool) if whole else ~there & (wn > 1) & (bn > 1)
-                tops = [np.where(left, 0, x).sum() for x in models.tops(n, t, wn, wt)]
-                sums = np.array([np.log(b + PRIOR).sum() - top for b, top in zip((bt, bn), tops, strict=True)])
-                open_keys, first, times = np.unique(keys[left], return_index=True, return_counts=True)
-                parts.append(((at, -1 - at, len(w), *sums.view("i8")), doc, (np.full(len(times), at), open_keys, times, wn[left][first], wt[left][first], times * target)))
-                at, size = at + 1, size + len(times) + 1
+                left = ~there & (wn > 1) & (bn > 1)
+                mine, first, place, times = np.unique(keys[left], return_index=True, return_inverse=True, return_counts=True)
+                n[left], t[left] = times[place], times[place] * target
+                sums = np.array([np.log(b + PRIOR).sum() - top.sum() for b, top in zip((bt, bn), models.tops(n, t, wn, wt), strict=True)])
+                parts.append(((-1 - at, at, len(w), *sums.view("i8")), doc, (mine, np.full(len(mine), at), times, wn[left][first], wt[left][first], times * target)))
+                at, size = at + 1, size + len(mine) + 1
                 if size > HELD:
                     yield out()
                     size = 0
@@ -179,37 +213,64 @@ def _scored(sent, models: Models, whole: bool):
     return run
 
 
-def _losses(models: Models):
+def _corrected(models: Models):
+    """(row, doc_id, times, target, background): each head, and what a row's losses change by bigrams that others have too.
+
+    Rows come in the order of their keys; the last key of a batch waits for the next one.
+    """
+    names = ["key", "row", "times", "own", "wn", "wt"]
+
+    def changes(held: list[np.ndarray]):
+        key, row, times, own, wn, wt = held
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.concatenate([first, [len(key)]]))
+        n, t = (np.repeat(np.add.reduceat(c, first), sizes) for c in (times, own))
+        more = n > times
+        n, t, row, times, own, wn, wt = (c[more] for c in (n, t, row, times, own, wn, wt))
+        after, before = models.tops(n, t, wn, wt), models.tops(times, own, wn, wt)
+        sums = [times * (b - a) for a, b in zip(after, before, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), pa.array(np.zeros(len(row), "i8")), *map(pa.array, sums)], names=["row", "doc_id", "times", "target", "background"])
+
     def run(batches):
+        waiting: list[list[np.ndarray]] = []
         for batch in batches:
-            key, times, wn, wt = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "times", "wn", "wt"))
-            own, head = batch.column("own"), key < 0
-            n, t = (pc.coalesce(batch.column(c), batch.column(d)).fill_null(0).to_numpy(zero_copy_only=False) for c, d in (("n", "times"), ("t", "own")))
-            tops = models.tops(*(np.where(head, 1, c) for c in (n, t, wn, wt)))
-            sums = [np.where(head, bits.view("f8"), -times * top) for bits, top in zip((wn, wt), tops, strict=True)]
-            doc = pc.if_else(pa.array(head), own, pa.scalar(None, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), doc, pa.array(np.where(head, times, 0)), *map(pa.array, sums)], names=["row", "doc_id", "times", "target", "background"])
+            head = batch.filter(pc.less(batch.column("key"), 0))
+            if head.num_rows:
+                sums = [pa.array(head.column(c).to_numpy().view("f8")) for c in ("wn", "wt")]
+                yield pa.RecordBatch.from_arrays([head.column("row"), head.column("own"), head.column("times"), *sums], names=["row", "doc_id", "times", "target", "background"])
+            rest = batch.slice(head.num_rows)
+            if not rest.num_rows:
+                continue
+            cols = [rest.column(c).to_numpy(zero_copy_only=False) for c in names]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if waiting and (last or waiting[0][0][0] != cols[0][0]):
+                yield changes([np.concatenate(c) for c in zip(*waiting, [c[:last] for c in cols], strict=True)])
+                waiting = []
+            elif last:
+                yield changes([c[:last] for c in cols])
+            waiting.append([c[last:] for c in cols])
+        if waiting:
+            yield changes([np.concatenate(c) for c in zip(*waiting, strict=True)])
 
     return run
 
 
-def _sent(table: DataFrame, rows: int) -> tuple[tuple, DataFrame, bool]:
-    """The most frequent rows that occur twice or more, up to so many; the other such rows; whether there are none."""
-    again, at, lowest = 0, None, table.filter("n > 1").groupBy("n").count().orderBy(F.desc("n")).collect()
-    for r in lowest:
-        again += r["count"]
-        if again > rows:
+def _most(table: DataFrame, rows: int) -> DataFrame:
+    """The rows with the highest n, as many as fit in ``rows`` if rows of about the same n stay together."""
+    steps = table.groupBy(F.floor(F.log2("n") * 16).alias("step")).count().orderBy(F.desc("step")).collect()  # 16 for each doubling of n
+    taken, least = 0, None
+    for r in steps:
+        taken += r["count"]
+        if taken > rows:
             break
-        at = r["n"]
-    most = F.lit(False) if at is None else F.col("n") >= at
-    return _sorted(table.filter(most).toArrow()), table.filter((F.col("n") > 1) & ~most), again <= rows
+        least = r["step"]
+    return table.filter(F.lit(False) if least is None else F.floor(F.log2("n") * 16) >= least)
 
 
-def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, min_count: int = MIN_COUNT, sent_words: int = SENT_WORDS, sent_rows: int = SENT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, sent_words: int = SENT_WORDS, sent_rows: int = SENT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_tokens, target_loss, background_loss, score (losses per token).
 
-    target_ids: a table with a column doc_id. Bigrams of fewer than ``min_count``
-    occurrences that the target doesn't have back off to the unigrams.
+    target_ids: a table with a column doc_id.
     """
     sc = docs.sparkSession.sparkContext
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
@@ -218,34 +279,34 @@ def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, min_count: int = MIN_C
     marked = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
     marked = marked if few else stored(marked, "marked")
 
-    def counted(keys_of) -> DataFrame:
-        each = marked.select("text", "target").mapInArrow(_counts(keys_of), "key long, n long, t long")
-        return each.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-    words = stored(counted(lambda w: w), "words")
-    whole = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0))).first()
+    each = marked.select("text", "target").mapInArrow(_counted, "pair int, key long, n long, t long")
+    counts = stored(each.groupBy("pair", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
+    words, frequent = counts.filter("pair = 0").drop("pair"), counts.filter("pair = 1").drop("pair")
+    whole = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
     ends = marked.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0))).first()
     # One more word and the start of a text are in the vocabulary.
-    models = Models(whole[0] + 2, *whole[1:], *ends, min_count)
-    known, others, all_words = _sent(words, sent_words)
-    table = stored(counted(_keys).filter("n > 1"), "bigrams")
-    pairs, rest, all_pairs = _sent(table, sent_rows)
-
-    counts = "array<struct<key:bigint,n:bigint,t:bigint>>"
+    models = Models(whole[0] + 2, *whole[1:3], *ends)
+
+    again = words.filter("n > 1")
+    all_words = whole[3] <= sent_words
+    known = _sorted((again if all_words else _most(again, sent_words)).toArrow())
+    keys = np.sort(_most(frequent, sent_rows).select("key").toArrow().column("key").to_numpy())
+    pairs = (keys, keys, keys)
+    if len(keys):
+        exact = marked.select("text", "target").mapInArrow(_counted_exactly(sc.broadcast(keys)), "key long, n long, t long")
+        pairs = _sorted(exact.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow())
+
+    counted = "array<struct<key:bigint,n:bigint,t:bigint>>"
     if all_words:
-        marked = marked.withColumn("rare", F.lit(None).cast(counts))
+        marked = marked.withColumn("rare", F.lit(None).cast(counted))
     else:
         marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
-        rare = marked.select("row", "text").mapInArrow(_unsent(sc.broadcast(known)), "row long, key long").join(others, "key")
-        rare = rare.groupBy("row").agg(F.collect_list(F.struct("key", "n", "t")).cast(counts).alias("rare"))
+        rare = marked.select("row", "text").mapInArrow(_unsent(sc.broadcast(known)), "row long, key long").join(again, "key")
+        rare = rare.groupBy("row").agg(F.collect_list(F.struct("key", "n", "t")).cast(counted).alias("rare"))
         marked = marked.join(rare, "row", "left").select("doc_id", "text", "target", "rare")
-    parts = marked.mapInArrow(_scored(sc.broadcast((known, pairs)), models, all_pairs), "row long, key long, times long, wn long, wt long, own long")
-    if all_pairs:
-        each = parts.withColumns({"n": F.lit(1).cast("long"), "t": F.lit(0).cast("long")}).mapInArrow(_losses(models), "row long, doc_id long, times long, target double, background double")
-        sums = each.select("doc_id", F.col("times").alias("n_tokens"), F.col("target").alias("target_loss"), F.col("background").alias("background_loss"))
-    else:
-        found = parts.join(rest, "key", "left").select(*parts.columns, "n", "t")
-        each = found.mapInArrow(_losses(models), "row long, doc_id long, times long, target double, background double")
-        sums = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("times").alias("n_tokens"), F.sum("target").alias("target_loss"), F.sum("background").alias("background_loss"))
+    parts = marked.mapInArrow(_scored(sc.broadcast((known, pairs)), models), "key long, row long, times long, wn long, wt long, own long")
+    dealt = parts.repartition("key").sortWithinPartitions("key")
+    each = dealt.mapInArrow(_corrected(models), "row long, doc_id long, times long, target double, background double")
+    sums = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("times").alias("n_tokens"), F.sum("target").alias("target_loss"), F.sum("background").alias("background_loss"))
     n = F.greatest("n_tokens", F.lit(1))
     return sums.select("doc_id", "n_tokens", (F.col("target_loss") / n).alias("target_loss"), (F.col("background_loss") / n).alias("background_loss"), ((F.col("target_loss") - F.col("background_loss")) / n).alias("score"))

@@ -239,8 +239,8 @@ def test_toxicity(spark, docs, no_docs):
 
 def test_lm_scoring(spark, docs, no_docs):
     targets = spark.createDataFrame([(7,), (8,), (None,), (7,)], "doc_id long")
-    here = {r.doc_id: tuple(r)[1:] for r in lm_scoring.lm_scoring(docs, targets, min_count=1).collect() if r.doc_id}
-    shuffled = {r.doc_id: tuple(r)[1:] for r in lm_scoring.lm_scoring(docs, targets, min_count=1, sent_rows=0).collect() if r.doc_id}
+    here = {r.doc_id: tuple(r)[1:] for r in lm_scoring.lm_scoring(docs, targets).collect() if r.doc_id}
+    shuffled = {r.doc_id: tuple(r)[1:] for r in lm_scoring.lm_scoring(docs, targets, sent_rows=0).collect() if r.doc_id}
     texts = [low(t).encode().split() for _, t in TEXTS]
     target = [i in (7, 8) for i, _ in TEXTS]
     n, t, big, bigt = Counter(), Counter(), Counter(), Counter()
@@ -267,11 +267,6 @@ def test_lm_scoring(spark, docs, no_docs):
     assert lm_scoring.lm_scoring(no_docs, targets).count() == 0
 
 
-def test_lm_scoring_keeps_rare_bigrams_in_production(docs, spark):
-    targets = spark.createDataFrame([(7,)], "doc_id long")
-    assert rows(lm_scoring.lm_scoring(docs, targets)) == rows(lm_scoring.lm_scoring(docs, targets, min_count=1))
-
-
 def test_lm_scoring_has_every_word_and_bigram(spark):
     import math
 
