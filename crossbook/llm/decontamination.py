@@ -2,26 +2,32 @@
 
 Benchmark items are cut into shingles of five words (shorter items are one
 shingle). A window of a document is as many words as an item has, fewer at the
-document's end. Looked at are those that begin with a shingle of the item and hold
-enough of the item's shingles to reach the threshold. No item is lost by that: a
-window that begins with another shingle is moved on to the next one of the item
-without losing any of what they share. Every window and item has a 64-bit SimHash over its shingles, weighted by
-how often each occurs. The fingerprint is cut into ``RADIUS + 1`` blocks;
-fingerprints within the radius agree in at least one block, so joining on
-(item, block, bits) finds all of them. Candidates within the radius are verified by
-the exact weighted similarity: sum of the smaller counts over sum of the larger.
+document's end. Every window and item has a 64-bit SimHash over its shingles,
+weighted by how often each occurs. The fingerprint is cut into ``RADIUS + 1``
+blocks; fingerprints within the radius agree in at least one block, so joining
+windows and items of a size on (block, bits) finds all of them, whatever item a
+window comes from. Candidates within the radius are verified by the exact weighted
+similarity: sum of the smaller counts over sum of the larger.
+
+Windows that can't be similar to any item of their size aren't fingerprinted: those
+with too few shingles of such items in them to reach the threshold. Of the others,
+those count that begin with such a shingle: a window that begins with another word
+is moved on to the next one without losing anything that it shares with an item.
 
 The radius is wide, since at a similarity of 0.75 the expected distance is 11
 bits and its deviation 3: at 22, a window at the threshold is lost with a chance
-of about 1e-4, an exact copy never.
+of about 1e-4, an exact copy never. Blocks are then 2 or 3 bits, so they select
+little of a size's items; what is given out of the join are pairs within the radius.
 
 Only DataFrame functions. Hot passages: shingles meet the benchmark table where
-the documents are read, so nothing is dealt by passage.
+the documents are read, and equal fingerprints are looked up once, so nothing is
+dealt by passage.
 
 Defined results: null and empty texts have no windows; an item that is null or
 blank matches nothing; items with null id are named "null"; repeated items and
-documents are handled row by row; an empty table on either side finds nothing.
-Words are lower-cased and split at x20 and x09-x0D.
+documents are handled row by row; an empty table on either side finds nothing;
+other columns of either table are ignored. Words are lower-cased (letters beyond
+A-Z too) and split at x20 and x09-x0D.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm._common import BROADCAST_ROWS, narrowed, stored, text_of
+from crossbook.llm._common import BROADCAST_ROWS, narrowed, small, stored, text_of
 
 WIDTH, RADIUS, BITS = 5, 22, 64
 
@@ -78,41 +84,45 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(doc_id, key, item_id, start, n_words, shared, total): each window looked at that repeats an item; start counts words.
+    """(doc_id, key, item_id, start, n_words, shared, total): each fingerprinted window that repeats an item; start counts words.
 
     key is xxhash64 of the document's text; shared / total is the similarity.
     """
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     items = _items(benchmark, item_id_col, item_text_col)
-    index = stored(items.select("item", "width", F.explode(F.array_distinct("hashes")).alias("h")), "item-shingles")
+    index = stored(items.select("width", "n", F.explode("hashes").alias("h")).distinct(), "item-shingles")
     index = F.broadcast(index) if index.count() <= BROADCAST_ROWS else index
     seeds = None
     for width in sorted(r[0] for r in items.select("width").distinct().collect()) or [WIDTH]:  # WIDTH values at most
         cut = rows.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(shingles(words_of(F.col("text")), width)).alias("pos", "h"))
-        found = cut.join(index.filter(F.col("width") == width), "h").select("doc_id", "key", "item", "pos")
+        found = cut.join(index.filter(F.col("width") == width), "h").select("doc_id", "key", "n", "pos")
         seeds = found if seeds is None else seeds.unionByName(found)
-    sizes = items.select("item", "n", F.size("hashes").alias("size")).withColumn("least", F.greatest(F.ceil(F.col("size") * percent / 100), F.lit(1)).cast("int"))
-    placed = seeds.groupBy("doc_id", "key", "item").agg(F.array_sort(F.collect_set("pos")).alias("places")).join(sizes, "item")
-    # The shared part is at most the window's places, and at least this share of the item.
+    placed = seeds.groupBy("doc_id", "key", "n").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    placed = placed.withColumn("size", F.greatest(F.col("n") - (WIDTH - 1), F.lit(1)))
+    placed = placed.withColumn("least", F.greatest(F.ceil(F.col("size") * percent / 100), F.lit(1)).cast("int"))
+    # What a window shares with an item is at most its places, and at least this share of the item.
     starts = F.filter("places", lambda p, i: F.get("places", i + F.col("least") - 1) < p + F.col("size"))
-    seeds = stored(placed.select("doc_id", "key", "item", "n", F.explode(starts).alias("start")), "seeds")
+    seeds = stored(placed.select("doc_id", "key", "n", F.explode(starts).alias("start")), "seeds")
 
     # Once more over the texts, of documents with a seed only: their windows' own shingles.
     hit = narrowed(rows, stored(seeds.select("doc_id").distinct(), "seed-ids")).dropDuplicates(["doc_id", "text"])
     worded = hit.select("doc_id", F.xxhash64("text").alias("key"), words_of(F.col("text")).alias("words"))
-    per_doc = seeds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("item", "n", "start")).alias("seeds"))
+    per_doc = seeds.groupBy("doc_id", "key").agg(F.collect_list(F.struct("n", "start")).alias("seeds"))
     a, b = worded.alias("a"), per_doc.alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))).select("a.doc_id", "a.key", "a.words", F.explode("b.seeds").alias("s"))
-    cut = both.select("doc_id", "key", "s.item", "s.start", "s.n", F.slice("words", F.col("s.start") + 1, F.col("s.n")).alias("window"))
+    cut = both.select("doc_id", "key", "s.start", "s.n", F.slice("words", F.col("s.start") + 1, F.col("s.n")).alias("window"))
     hashes = F.when(F.size("window") < WIDTH, F.array(F.xxhash64("window"))).otherwise(shingles(F.col("window"), WIDTH))
-    windows = cut.withColumn("hashes", hashes).drop("window").withColumn("fingerprint", simhash(F.col("hashes")))
-    windows = stored(windows.withColumn("at", F.monotonically_increasing_id()), "windows")
-
-    of_window = windows.select("at", "item", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("at", "item", "b.*")
-    of_item = items.select("item", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("item", "b.*")
-    near = of_window.join(of_item, ["item", "block", "bits"]).select("at").distinct()
-    pairs = windows.join(near, "at").join(items.select("item", "item_id", F.col("hashes").alias("of_item"), F.col("fingerprint").alias("of")), "item")
-    pairs = pairs.filter(F.bit_count(F.col("fingerprint").bitwiseXOR(F.col("of"))) <= radius).withColumn("shared", shared_weight(F.col("of_item"), F.col("hashes")))
+    windows = stored(cut.withColumn("hashes", hashes).drop("window").withColumn("fingerprint", simhash(F.col("hashes"))), "windows")
+
+    prints = windows.select("n", "fingerprint").distinct()
+    of_window = prints.select("n", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("n", "fingerprint", "b.*").alias("w")
+    of_item = items.select("item", "n", F.col("fingerprint").alias("of"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("item", "n", "of", "b.*").alias("i")
+    met = [F.col(f"w.{c}") == F.col(f"i.{c}") for c in ("n", "block", "bits")]
+    near = of_window.join(of_item, [*met, F.bit_count(F.col("w.fingerprint").bitwiseXOR(F.col("i.of"))) <= radius])
+    near = stored(near.select("w.n", "w.fingerprint", "i.item").distinct(), "near")
+    pairs = windows.join(F.broadcast(near) if small(near) else near, ["n", "fingerprint"])
+    pairs = pairs.join(items.select("item", "item_id", F.col("hashes").alias("of_item")), "item")
+    pairs = pairs.withColumn("shared", shared_weight(F.col("of_item"), F.col("hashes")))
     pairs = pairs.withColumn("total", F.size("of_item") + F.size("hashes") - F.col("shared"))
     return pairs.filter(F.col("shared") * 100 >= F.col("total") * percent).select("doc_id", "key", "item_id", "start", F.col("n").alias("n_words"), "shared", "total")
 
