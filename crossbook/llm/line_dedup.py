@@ -2,20 +2,25 @@
 
 Every line becomes an integer, its place among all lines that occur twice or
 more (a line that occurs once ends every repeated run, so it needs none). Then
-the order of runs of 1, 2, 4, ... lines follows by doubling: a run of 2h lines is
-the pair of the names of its halves, and sorting the distinct pairs gives the
-next names. Suffixes with one name share a prefix of at least that many lines:
-they are an interval of the suffix array whose longest common prefixes are that
-long. Doubling ends at ``min_lines``, as deeper rounds only order suffixes within
-the intervals; a run whose length is no power of two is named by two that
-overlap in it. Maximal runs come from joining adjacent members.
-
-A run is repeated if it has ``min_lines`` lines, or fewer with ``min_words``
-words together. The first occurrence (by doc_id, then row, then line) stays;
-every later one is deleted, whole runs at their full length.
-
-Only DataFrame functions. A line that a third of all rows are meets a table of
-names with one row; names that occur once drop out of the next round.
+runs of 2, 4, 8, ... lines are named by doubling: a run of 2h lines is the pair of
+the names of its halves, and sorting the distinct pairs gives the next names. A
+name that occurs once drops out, so rounds end at the longest repeat. Suffixes
+with one name are an interval of the suffix array, whose longest common prefix is
+at least that long; the first of them is the copy that stays.
+
+The longest prefix that a suffix shares with an earlier one follows by descent:
+from its deepest such interval of 2**k lines, half as much, a quarter as much, ...
+is added while the longer interval still has an earlier suffix. A run of any
+length up to 2**(k + 1) is named by two runs of 2**k lines that cover it. Runs that
+no longer run contains are the maximal repeated ones.
+
+A run counts if it has ``min_lines`` lines, or fewer with ``min_words`` words
+together. The first occurrence (by doc_id, then row, then line) stays; every
+later one is deleted, whole runs at their full length.
+
+Only DataFrame functions. Rows look a name up in a table with one row for each:
+it is sent to them, in part if it is large. The names with most rows are in that
+part, so a line that a third of all rows are is never dealt by its name.
 
 Defined results: null and empty texts are one empty line; rows without id come
 last; repeated rows are copies of each other; an empty table gives an empty
@@ -24,30 +29,80 @@ result; other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from crossbook.llm._common import numbered, stored, text_of
+from crossbook.llm._common import BROADCAST_ROWS, small, stored, text_of
 
 MIN_LINES, MIN_WORDS = 3, 50
 
 
-def _renamed(rows: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:
-    """Rows whose keys occur more than once, with the integer of the keys in their order."""
-    again = rows.groupBy(*keys).count().filter("count > 1")
-    names = numbered(again, keys, name, label)
-    return rows.join(names, keys).drop(*keys)
+def _place() -> Column:
+    return F.struct("doc", "row", "line")
+
+
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], sent: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows with the columns of the (stored) table; its ``n``, how many rows look, isn't given out.
+
+    A table too large to send goes in two parts: the rows that most look up are sent, the
+    others are dealt with those that look them up.
+    """
+    if small(table, sent):
+        return rows.join(F.broadcast(table), keys).drop("n")
+    hot = stored(table.orderBy(F.desc("n")).limit(sent), "hot-names")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest).drop("n")
+
+
+def _named(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """Rows whose keys occur more than once, with ``name``, the integer of the keys in their order, and ``first``, their first place."""
+    again = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1")
+    ordered = again.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    names = stored(ordered.withColumn("name", F.monotonically_increasing_id()), label)
+    return _looked_up(rows, names, keys).drop(*keys)
 
 
-def _ahead(rows: DataFrame, name: str, by: int) -> DataFrame:
-    """Column ``next``: the name ``by`` lines further on in the document, if it has one."""
+def _ahead(rows: DataFrame, by: int) -> DataFrame:
+    """Rows with ``a``, their name, and ``b``, the name ``by`` lines further on in the document, if it has one."""
     there = W.partitionBy("row").orderBy("line").rangeBetween(by, by)
-    return rows.withColumn("next", F.max(name).over(there)).filter("next is not null")
+    return rows.select("row", "doc", "line", F.col("name").alias("a"), F.max("name").over(there).alias("b")).filter("b is not null")
+
+
+def intervals(lines: DataFrame) -> DataFrame:
+    """(k, row, doc, line, name, first): each run of 2**k lines that occurs more than once; lines: row, doc, line, h1, h2."""
+    level, found = stored(_named(lines, ["h1", "h2"], "line-names"), "runs-0"), []
+    while not level.isEmpty():
+        found.append(level.withColumn("k", F.lit(len(found))))
+        level = stored(_named(_ahead(level, 1 << (len(found) - 1)), ["a", "b"], f"run-names-{len(found)}"), f"runs-{len(found)}")
+    out = found[0] if found else level.withColumn("k", F.lit(0))
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def longest_earlier(levels: DataFrame) -> DataFrame:
+    """(row, line, size): lines of the longest run from there on that occurs at an earlier place too; none if it has no line."""
+    deepest = levels.filter(_place() > F.col("first")).groupBy("row", "line").agg(F.max(F.struct("k", "name")).alias("x"))
+    state = stored(deepest.select("row", "line", "x.*", F.expr("shiftleft(1, x.k)").alias("size")), "deepest")
+    most = state.agg(F.max("k")).first()[0] or 0
+    for j in reversed(range(most)):
+        step = state.filter(F.col("k") > j).withColumn("long", F.col("size") + (1 << j))
+        asked = stored(step.groupBy("k", "name", "long").agg(F.count("*").alias("n")), "asked")
+        members = _looked_up(levels.filter(F.col("k") > j).drop("first"), asked, ["k", "name"])
+        members = members.withColumn("at", F.col("line") + F.col("long") - F.expr("shiftleft(1, k)"))
+        ends = levels.select("k", "row", F.col("line").alias("at"), F.col("name").alias("end"))
+        members = stored(members.join(ends, ["k", "row", "at"]).drop("at"), "members")
+        keys = ["k", "name", "long", "end"]
+        first = members.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1")
+        later = _looked_up(members, stored(first, "intervals"), keys).filter(_place() > F.col("first")).select("row", "line", "k", "long", F.lit(True).alias("more"))
+        longer = step.join(later, ["row", "line", "k", "long"], "left").select("row", "line", "k", "name", F.when(F.col("more"), F.col("long")).otherwise(F.col("size")).alias("size"))
+        state = stored(longer.unionByName(state.filter(F.col("k") <= j)), "deepest")
+    return state.select("row", "line", "size")
 
 
 def repeated_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, key, n_lines, n_deleted, deleted ("first:count" of each run, from 0).
+    """One row for each document: doc_id, key, n_lines, n_deleted, deleted ("first:count" of each maximal run, from 0; runs may overlap).
 
     key is xxhash64 of the text: with doc_id it names the row.
     """
@@ -55,38 +110,20 @@ def repeated_lines(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: in
     hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.size(F.filter(F.split(x, " "), lambda w: w != "")).alias("words")))
     table = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text_of(docs, text_col)).alias("key"), hashed.alias("lines"))
     table = stored(table.withColumn("row", F.monotonically_increasing_id()), "lines")
-    each = table.select("row", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.posexplode("lines").alias("line", "x")).select("row", "doc", "line", "x.*")
-
-    size, flagged = 1, []
-    level = stored(_renamed(each, ["h1", "h2"], "name", "line-names"), "runs-1")
-    levels = {1: level}
-    while size * 2 <= min_lines:
-        pairs = _ahead(level.select("row", "doc", "line", "words", "name"), "name", size).withColumnRenamed("name", "first")
-        size *= 2
-        level = stored(_renamed(pairs.withColumnRenamed("next", "second"), ["first", "second"], "name", f"run-names-{size}"), f"runs-{size}")
-        levels[size] = level
-    for length in range(1, min_lines + 1):
-        below = max(k for k in levels if k <= length)
-        runs, name = levels[below], ["name"]
-        if length > below:
-            runs, name = _ahead(runs, "name", length - below), ["name", "next"]
-        if length < min_lines:
-            # words of the run: those of its lines; all of them are repeated lines
-            if length > 1:
-                whole = levels[1].withColumn("in_run", F.sum("words").over(W.partitionBy("row").orderBy("line").rangeBetween(0, length - 1))).select("row", "line", "in_run")
-                runs = runs.join(whole, ["row", "line"])
-            runs = runs.filter((F.col("in_run") if length > 1 else F.col("words")) >= min_words)
-        first = runs.groupBy(*name).agg(F.min(F.struct("doc", "row", "line")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        later = runs.join(first, name).filter(F.struct("doc", "row", "line") > F.col("first"))
-        flagged.append(later.select("row", F.explode(F.sequence("line", F.col("line") + (length - 1))).alias("line")))
-    gone = flagged[0]
-    for more in flagged[1:]:
-        gone = gone.unionByName(more)
-    in_row = W.partitionBy("row").orderBy("line")
-    islands = gone.distinct().withColumn("island", F.col("line") - F.row_number().over(in_row)).groupBy("row", "island").agg(F.min("line").alias("start"), F.count("*").alias("n"))
-    per_row = islands.groupBy("row").agg(F.sum("n").alias("n_deleted"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "n"))), lambda r: F.concat_ws(":", r["start"].cast("string"), r["n"].cast("string"))), ",").alias("deleted"))
-    out = table.select("row", "doc_id", "key", F.size("lines").cast("long").alias("n_lines")).join(per_row, "row", "left")
-    return out.select("doc_id", "key", "n_lines", F.coalesce("n_deleted", F.lit(0)).alias("n_deleted"), F.coalesce("deleted", F.lit("")).alias("deleted"))
+    each = table.select("row", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.posexplode("lines").alias("line", "x")).select("row", "doc", "line", "x.h1", "x.h2")
+
+    found = longest_earlier(stored(intervals(each), "intervals"))
+    per_row = found.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("line", "size"))).alias("runs"))
+    # A run that the one a line before contains isn't maximal.
+    inside = lambda r, i: F.coalesce((F.get("runs", i - 1)["line"] == r["line"] - 1) & (F.get("runs", i - 1)["size"] == r["size"] + 1), F.lit(False))
+    words = lambda r: F.aggregate(F.slice("lines", r["line"] + 1, r["size"]), F.lit(0), lambda s, x: s + x["words"])
+    maximal = F.filter(F.filter("runs", lambda r, i: ~inside(r, i)), lambda r: (r["size"] >= min_lines) | (words(r) >= min_words))
+    none = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
+    ending = lambda r: r["line"] + r["size"]
+    n = F.aggregate("runs", none, lambda acc, r: F.struct(ending(r).alias("end"), (acc["n"] + ending(r) - F.greatest(r["line"], acc["end"])).alias("n")), lambda acc: acc["n"])
+    named = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["line"].cast("string"), r["size"].cast("string"))), ",")
+    out = table.join(per_row, "row", "left").withColumn("runs", maximal)
+    return out.select("doc_id", "key", F.size("lines").cast("long").alias("n_lines"), F.coalesce(n, F.lit(0)).cast("long").alias("n_deleted"), F.coalesce(named, F.lit("")).alias("deleted"))
 
 
 def line_dedup(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,6 +131,7 @@ def line_dedup(docs: DataFrame, *, min_lines: int = MIN_LINES, min_words: int =
     found = stored(repeated_lines(docs, min_lines=min_lines, min_words=min_words, id_col=id_col, text_col=text_col), "deleted")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     # Of repeated rows the first keeps its lines; they can't be told apart here, so all keep them.
+    # The smallest count decides before rows without deletions are left out.
     found = found.groupBy("doc_id", "key").agg(F.min_by("deleted", "n_deleted").alias("deleted")).filter("deleted <> ''")
     a, b = rows.alias("a"), found.alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.text") == F.col("b.key")), "left")

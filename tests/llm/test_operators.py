@@ -124,28 +124,50 @@ def test_near_dedup(spark, docs, no_docs):
     assert rows(minhash_dedup.near_dedup(spark.createDataFrame(table, "doc_id long, text string")).drop("key")) == near(table)
 
 
-def test_line_dedup(docs, no_docs):
-    order = sorted(range(len(TEXTS)), key=lambda k: (TEXTS[k][0] is None, TEXTS[k][0] or 0))
-    seen, want = set(), []
+def line_runs(table, min_lines=3, min_words=50):
+    """Brute force: (doc_id, lines, deleted lines, maximal runs) in the table's order."""
+    order = sorted(range(len(table)), key=lambda k: (table[k][0] is None, table[k][0] or 0, k))
+    seen, want = set(), {}
     for k in order:
-        lines = (TEXTS[k][1] or "").split("\n")
-        gone = set()
+        lines = (table[k][1] or "").split("\n")
+        sizes = []
         for i in range(len(lines)):
-            for n in (1, 2, 3):
-                run = tuple(lines[i : i + n])
-                if len(run) < n or (n < 3 and sum(len([w for w in x.split(" ") if w]) for x in run) < 50):
-                    continue
-                if run in seen:
-                    gone |= set(range(i, i + n))
-                seen.add(run)
-        want.append((TEXTS[k][0], len(lines), len(gone)))
+            # A run may begin in this text as well, at an earlier line.
+            sizes.append(0)
+            for n in range(1, len(lines) - i + 1):
+                if tuple(lines[i : i + n]) not in seen and not any(lines[j : j + n] == lines[i : i + n] for j in range(i)):
+                    break
+                sizes[i] = n
+        runs = [(i, n) for i, n in enumerate(sizes) if n and not (i and sizes[i - 1] == n + 1)]
+        runs = [(i, n) for i, n in runs if n >= min_lines or sum(bool(w) for x in lines[i : i + n] for w in x.split(" ")) >= min_words]
+        want[k] = (table[k][0], len(lines), len({x for i, n in runs for x in range(i, i + n)}), ",".join(f"{i}:{n}" for i, n in runs))
+        seen |= {tuple(lines[i:j]) for i in range(len(lines)) for j in range(i + 1, len(lines) + 1)}
+    return want
+
+
+def test_line_dedup(docs, no_docs):
     got = line_dedup.repeated_lines(docs)
-    assert sorted(((r.doc_id, r.n_lines, r.n_deleted) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert rows(got.drop("key")) == sorted(line_runs(TEXTS).values(), key=repr)
     text = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
     assert text[12] == "z\ny" and text[2] == "hello world" and text[1] == TEXTS[0][1]
     assert line_dedup.repeated_lines(no_docs).count() == 0
 
 
+def test_line_runs_are_maximal(spark, monkeypatch):
+    table = [(1, "a1\na2\na3"), (2, "b1\nb2\nb3"), (3, "a1\na2\na3\nb1\nb2\nb3"), (4, "a1\na2\na3\nb1"), (5, "x\nx\nx\nx\nx\nx"), (6, "x\nx\nx\nx\ny")]
+    rng = random.Random(6)
+    for i in range(10, 40):
+        lines = [rng.choice("pqrs") for _ in range(rng.randrange(12))]
+        at = rng.randrange(len(table))
+        table.append((i, "\n".join([*lines, *(table[at][1].split("\n") if rng.random() < 0.6 else []), *lines[:3]])))
+    want = line_runs(table)
+    assert want[2] == (3, 6, 6, "0:3,3:3") and want[3][3] == "0:4" and want[4] == (5, 6, 5, "1:5")
+    lines = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    assert rows(line_dedup.repeated_lines(lines).drop("key")) == sorted(want.values(), key=repr)
+    monkeypatch.setattr(line_dedup._looked_up, "__defaults__", (5,))
+    assert rows(line_dedup.repeated_lines(lines).drop("key")) == sorted(want.values(), key=repr)
+
+
 def test_secret_scan(docs, no_docs):
     patterns = {"assign": re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), "access": re.compile(r"AKIA[A-Z0-9]+"), "hex": re.compile(r"[0-9a-f]+")}
     fits = {"assign": lambda m: len(m[1]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
