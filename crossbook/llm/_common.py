@@ -79,12 +79,15 @@ def narrowed(rows: DataFrame, ids: DataFrame, how: str = "left_semi", key: bool
     return rows.join(F.broadcast(ids) if small(ids) else ids, match, how)
 
 
-def numbered(df: DataFrame, keys: list[str], name: str, label: str) -> DataFrame:
-    """The distinct rows of ``keys`` with ``name``: an integer in their order.
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], sent: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows with the columns of the (stored) table, which has one row for each value of the keys.
 
-    Sorted by range over all partitions; stored, so an integer never changes
-    when a lost task runs again. Equal rows have one integer and no two
-    different rows share one. Keys must not be null.
+    Its ``n``, how many rows look, isn't given out. A table too large to send goes in two
+    parts: the rows that most look up are sent, so none of them is dealt by its key; the
+    others are dealt with those that look them up.
     """
-    ordered = df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return stored(ordered.withColumn(name, F.monotonically_increasing_id()), label)
+    if small(table, sent):
+        return rows.join(F.broadcast(table), keys).drop("n")
+    hot = stored(table.orderBy(F.desc("n")).limit(sent), "looked-up")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest).drop("n")

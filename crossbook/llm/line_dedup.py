@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from crossbook.llm._common import BROADCAST_ROWS, small, stored, text_of
+from crossbook.llm._common import looked_up, stored, text_of
 
 MIN_LINES, MIN_WORDS = 3, 50
 
@@ -42,25 +42,12 @@ def _place() -> Column:
     return F.struct("doc", "row", "line")
 
 
-def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str], sent: int = BROADCAST_ROWS) -> DataFrame:
-    """Rows with the columns of the (stored) table; its ``n``, how many rows look, isn't given out.
-
-    A table too large to send goes in two parts: the rows that most look up are sent, the
-    others are dealt with those that look them up.
-    """
-    if small(table, sent):
-        return rows.join(F.broadcast(table), keys).drop("n")
-    hot = stored(table.orderBy(F.desc("n")).limit(sent), "hot-names")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(table, keys)
-    return rows.join(F.broadcast(hot), keys).unionByName(rest).drop("n")
-
-
 def _named(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Rows whose keys occur more than once, with ``name``, the integer of the keys in their order, and ``first``, their first place."""
     again = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1")
     ordered = again.repartitionByRange(*keys).sortWithinPartitions(*keys)
     names = stored(ordered.withColumn("name", F.monotonically_increasing_id()), label)
-    return _looked_up(rows, names, keys).drop(*keys)
+    return looked_up(rows, names, keys).drop(*keys)
 
 
 def _ahead(rows: DataFrame, by: int) -> DataFrame:
@@ -89,13 +76,13 @@ def longest_earlier(levels: DataFrame) -> DataFrame:
     for j in reversed(range(most)):
         step = state.filter(F.col("k") > j).withColumn("long", F.col("size") + (1 << j))
         asked = stored(step.groupBy("k", "name", "long").agg(F.count("*").alias("n")), "asked")
-        members = _looked_up(levels.filter(F.col("k") > j).drop("first"), asked, ["k", "name"])
+        members = looked_up(levels.filter(F.col("k") > j).drop("first"), asked, ["k", "name"])
         members = members.withColumn("at", F.col("line") + F.col("long") - F.expr("shiftleft(1, k)"))
         ends = levels.select("k", "row", F.col("line").alias("at"), F.col("name").alias("end"))
         members = stored(members.join(ends, ["k", "row", "at"]).drop("at"), "members")
         keys = ["k", "name", "long", "end"]
         first = members.groupBy(*keys).agg(F.count("*").alias("n"), F.min(_place()).alias("first")).filter("n > 1")
-        later = _looked_up(members, stored(first, "intervals"), keys).filter(_place() > F.col("first")).select("row", "line", "k", "long", F.lit(True).alias("more"))
+        later = looked_up(members, stored(first, "intervals"), keys).filter(_place() > F.col("first")).select("row", "line", "k", "long", F.lit(True).alias("more"))
         longer = step.join(later, ["row", "line", "k", "long"], "left").select("row", "line", "k", "name", F.when(F.col("more"), F.col("long")).otherwise(F.col("size")).alias("size"))
         state = stored(longer.unionByName(state.filter(F.col("k") <= j)), "deepest")
     return state.select("row", "line", "size")

@@ -89,6 +89,17 @@ def test_exact_dedup(docs, no_docs):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_exact_dedup_names_every_text_and_survives_collisions(spark, docs):
+    found = exact_dedup.identities(docs, block_bytes=7)
+    names = {}
+    for r in found.collect():
+        assert r.name is not None
+        names.setdefault(r.text_sha256, set()).add((r.level, r.name))
+    assert all(len(x) == 1 for x in names.values()) and len({min(x) for x in names.values()}) == len(names)
+    # Routing by 3 bits: nearly all blocks share their hash with others.
+    assert rows(exact_dedup.exact_dedup(docs, block_bytes=5, bits=3)) == rows(exact_dedup.exact_dedup(docs))
+
+
 def shingle_set(text):
     w = (text or "").encode().lower().split()
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
@@ -164,7 +175,7 @@ def test_line_runs_are_maximal(spark, monkeypatch):
     assert want[2] == (3, 6, 6, "0:3,3:3") and want[3][3] == "0:4" and want[4] == (5, 6, 5, "1:5")
     lines = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
     assert rows(line_dedup.repeated_lines(lines).drop("key")) == sorted(want.values(), key=repr)
-    monkeypatch.setattr(line_dedup._looked_up, "__defaults__", (5,))
+    monkeypatch.setattr(line_dedup.looked_up, "__defaults__", (5,))
     assert rows(line_dedup.repeated_lines(lines).drop("key")) == sorted(want.values(), key=repr)
 
 
