@@ -1,8 +1,9 @@
 """Main text of web pages, with site template removal.
 
-A page is walked once, tag by tag. Menus, headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and comments go by their tags, classes and roles.
-All articles are the main region if they hold most of the text, else all of
+A page is walked once, tag by tag, in time that grows with its length. Menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles and comments go by their
+tags, roles and whole class names (or ids; not those of headings and sections in the
+main region). A header in an article or ``main`` is a part of it. All articles are the main region if they hold most of the text, else all of
 ``main``, without one the page.
 The hash of each remaining block element's subtree is counted over the pages of
 its host in Spark, copies of a page as one; a subtree that is on most of a host's
@@ -10,7 +11,9 @@ pages is its template and is deleted, unless it is the whole main region.
 
 Defined results: a null or empty page has no text; a null url has no host and no
 template; rows with null ids and repeated rows are handled one by one (pages of
-a host with the same text count as one); an empty table gives an empty result; other columns are ignored.
+a host with the same text count as one); a tag that isn't closed is text, one with
+a quote that isn't ends at the next ">"; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ from crossbook.llm._common import small, stored
 #: A template is on so many pages of the host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.5
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
+# Neither gives back what it has matched, so a failure costs one look at the rest.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -39,20 +44,37 @@ _CLASSES = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "notice", "banner", "alert", "popup", "modal",
     "newsletter", "subscribe", "signup", "comment", "comments", "disqus", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "toolbar", "widget", "masthead",
 }
+#: Words that make a class name of these longer without changing what it means.
+_PLAIN = {
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "wrapper", "container", "box", "bar", "block", "list", "area", "inner", "outer", "links", "items", "item", "buttons", "button", "icons", "form", "section", "posts", "articles",
+    "stories", "policy", "slot", "unit", "media", "user", "reader", "thread", "body", "text", "content",
+}
+_HEADERS = {"site-header", "page-header", "global-header", "top-header"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
+_TITLED = {"section", "h1", "h2", "h3", "h4", "h5", "h6"}
 _CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
-    if tag in _DROPPED or (tag == "header" and not in_article):
+def _names_unwanted(value: str, in_region: bool) -> bool:
+    for name in value.lower().split():
+        parts = {p for p in re.split("[-_]+", name) if p}
+        if not parts.isdisjoint(_CLASSES) and parts <= _CLASSES | _PLAIN or (name in _HEADERS and not in_region):
+            return True
+    return False
+
+
+def _unwanted(tag: str, attrs: str, in_region: bool) -> bool:
+    if tag in _DROPPED or (tag == "header" and not in_region):
         return True
     if not attrs.strip() or tag in ("body", "html", "article", "main"):
         # An article in a list of comments is one as well.
         return tag == "article" and bool(re.search(r"""class\s*=\s*["']?[^"'>]*\bcomment""", attrs))
+    spared = in_region and tag in _TITLED
     for name, a, b, c in _ATTR.findall(attrs):
-        value, name = (a or b or c).lower(), name.lower()
-        if name in ("class", "id") and not _CLASSES.isdisjoint(re.split(r"[^a-z]+", value)):
+        value, name = a or b or c, name.lower()
+        if (name == "class" or (name == "id" and not spared)) and _names_unwanted(value, in_region):
             return True
+        value = value.lower()
         if (name == "role" and value in _ROLES) or name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
     return False
@@ -76,6 +98,8 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
     blocks: list[tuple[int, str]] = []
     trees: list[tuple[int, int, int, int]] = []
     stack, text, regions, in_main, at = [_Open("", False, 0, 0)], [], 0, set(), 0
+    # Places of the block elements in the stack, and how many elements of each name are open.
+    holders, opened, last_end = [0], Counter(), page.rfind(">")
 
     def flush():
         if text:
@@ -83,33 +107,54 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
             text.clear()
             if words:
                 blocks.append((stack[-1].region, " ".join(words)))
-                holder = next(e for e in reversed(stack) if e.tag not in _INLINE)
-                holder.parts.append(blocks[-1][1])
+                stack[holders[-1]].parts.append(blocks[-1][1])
 
     def close(to: int):
         while len(stack) > to:
             top = stack[-1]
             if top.tag not in _INLINE:
                 flush()
+                holders.pop()
             stack.pop()
+            opened[top.tag] -= 1
             if top.tag not in _INLINE and top.parts:
                 value = _digest(f"{top.tag}\0" + "\0".join(top.parts))
                 trees.append((value, top.region, top.start, len(blocks)))
-                next(e for e in reversed(stack) if e.tag not in _INLINE).parts.append(str(value))
+                stack[holders[-1]].parts.append(str(value))
 
     while True:
-        found = _TOKEN.search(page, at)
+        begin = page.find("<", at)
         if not stack[-1].gone:
-            text.append(page[at : found.start() if found else len(page)])
-        if not found:
+            text.append(page[at : begin if begin >= 0 else len(page)])
+        if begin < 0:
             break
-        at = found.end()
-        tag = (found[2] or "").lower()
-        if not tag:
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            at = end + 3 if end >= 0 else len(page)
             continue
+        if page.startswith(("<!", "<?"), begin) and begin < last_end:
+            at = page.find(">", begin) + 1
+            continue
+        found = (_TAG.match(page, begin) or _NAME.match(page, begin)) if begin < last_end else None
+        if not found:
+            text.append("<") if not stack[-1].gone else None
+            at = begin + 1
+            continue
+        if found.re is _TAG:
+            at, attrs = found.end(), found[3]
+        else:
+            at = page.find(">", found.end()) + 1
+            attrs = page[found.end() : at - 1]
+            if not at:
+                text.append("<") if not stack[-1].gone else None
+                at = begin + 1
+                continue
+        tag = found[2].lower()
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if depth:
+            if opened[tag] > 0:
+                depth = len(stack) - 1
+                while stack[depth].tag != tag:
+                    depth -= 1
                 close(depth)
             continue
         if tag == "br":
@@ -125,13 +170,8 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
             continue
         if tag not in _INLINE:
             flush()
-            ends = _CLOSED_BY.get(tag, {"p"})
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ends:
-                    close(i)
-                    break
-                if stack[i].tag not in _INLINE:
-                    break
+            if len(holders) > 1 and stack[holders[-1]].tag in _CLOSED_BY.get(tag, {"p"}):
+                close(holders[-1])
         top = stack[-1]
         region = top.region
         if not top.gone and tag in ("article", "main") and not (region and region % 2 == 1):
@@ -139,10 +179,13 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
             region = 2 * regions + (1 if tag == "article" else 0)
             if tag == "main" or top.region in in_main:
                 in_main.add(region)
-        gone = top.gone or _unwanted(tag, found[3], bool(region % 2))
-        if gone and not top.gone:
-            flush() if tag not in _INLINE else None
+        gone = top.gone or _unwanted(tag, attrs, bool(region))
+        if tag not in _INLINE:
+            if gone and not top.gone:
+                flush()
+            holders.append(len(stack))
         stack.append(_Open(tag, gone, region, len(blocks)))
+        opened[tag] += 1
     close(1)
     flush()
     # All articles if they hold most of the text; else all of main; without one, the page.

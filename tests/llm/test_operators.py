@@ -363,6 +363,52 @@ def test_html_copies_are_no_template(spark):
     assert got[200] == "the whole" and got[210] == "10"
 
 
+def test_html_spares_parts_of_the_article():
+    text = lambda page: html_extraction.walk(page)[0]
+    page = '<article><h2 id="social-effects">Social</h2><section id="related-work"><p>Work</p></section><p class="ad-hoc">Hoc</p><section id="comments-on-law"><p>Law</p></section><h3 id="share">Share</h3>%s</article>'
+    gone = "".join(f'<div class="{c}">x</div>' for c in ("ad", "big ad-box", "cookie-banner", "comments_list", "related-posts", "sidebar-left", "share-buttons"))
+    assert text(page % gone) == ["Social", "Work", "Hoc", "Law", "Share"]
+    assert text("<header>Site</header><main><header><h1>Title</h1></header><p>body</p></main>") == ["Title", "body"]
+    assert text('<div class="site-header">Site</div><article><div class="page-header">Kept</div></article>') == ["Kept"]
+    assert text("a < b and c <d <!-- x") == ["a < b and c <d"] and text('<p title="x>y">z<p a="b>w') == ["z", "w"]
+    assert text("1 <2 > 0 <!doctype x") == ["1 <2 > 0 <!doctype x"]
+
+
+def test_html_takes_time_by_length():
+    import time
+
+    began = time.time()
+    for part in ('<b>', '</i>', '<a href="x', "<a<a", "<p><b>", "<a '>", '<div class="', "<!--", "<!", "<script>", "x </b></p><li>", "<a b='\"'"):
+        for page in (part * 20_000, "<b>" * 20_000 + part * 20_000, (part + "t>") * 20_000):
+            html_extraction.walk(page)
+    assert time.time() - began < 60
+
+
+def test_html_clashing_columns_ties_and_repeated_pages(spark):
+    page = "<article><p>one</p></article>"
+    table = spark.createDataFrame([(1, "http://a.example/", page, "h", 5, "x")] * 3 + [(None, None, None, None, None, None)], "page_id long, url string, html string, host string, tree long, text string")
+    assert rows(html_extraction.html_extraction(table)) == sorted([(1, "http://a.example/", "one", 3)] * 3 + [(None, None, "", 0)], key=repr)
+
+
+def test_html_templates_by_brute_force(spark):
+    # Pages of paragraphs only, so every block element is one block.
+    rng, pages = random.Random(9), []
+    for i in range(120):
+        blocks = [f"own {i} {k}" for k in range(rng.randrange(3))] + [b for b in ("every page", "most pages", "few pages") if rng.random() < {"e": 1, "m": 0.7, "f": 0.2}[b[0]]]
+        rng.shuffle(blocks)
+        pages.append((i, f"http://h{i % 7 if i < 100 else 9}.example/{i}", blocks))
+    by_host, want = {}, []
+    for _, url, blocks in pages:
+        by_host.setdefault(url.split("/")[2], set()).add(tuple(blocks))
+    for i, url, blocks in pages:
+        others = by_host[url.split("/")[2]]
+        known = {b for b in blocks if (n := sum(b in o for o in others)) >= 5 and 2 * n >= len(others)}
+        want.append((i, "\n".join(b for b in blocks if b not in known or len(blocks) == 1)))
+    table = spark.createDataFrame([(i, u, "<body>" + "".join(f"<p>{x}</p>" for x in b)) for i, u, b in pages], "page_id long, url string, html string")
+    got = html_extraction.html_extraction(table, min_pages=5).select("page_id", "text")
+    assert rows(got) == sorted(want, key=repr)
+
+
 def test_html_keeps_all_main_regions():
     long = "a long text that is most of what the page has to say"
     text = lambda page: html_extraction.walk(page)[0]
