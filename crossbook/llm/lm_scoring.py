@@ -6,20 +6,19 @@ tokens of target loss minus background loss (in nats): the lower, the more the
 document is like the target.
 
 Counts cover every token of every document, every word and every bigram; nothing
-is pruned on either side. A word is named by a 64-bit hash, a bigram by a 63-bit
-one: at 10^9 bigrams two of them share a name with a chance of a few in a hundred.
+is pruned on either side. Words and bigrams are named by 62-bit hashes: at 10^9
+bigrams about 0.1 pairs of them share a name.
 
-1. Words are counted; so are, as candidates, the bigrams that occur ``OFTEN`` times
-   in some stretch of ``BUFFERED`` tokens.
-2. The most frequent candidates, up to ``sent_rows``, are counted exactly, task by
-   task, and sent to the tasks with the words, up to ``sent_words``; other words that
-   occur twice or more are looked up by a join, one array a document.
-3. Each document is scored with the counts sent, every other bigram taken to occur
-   in this document only. These others are dealt by bigram, once; where one turns
-   out to be in more documents, its documents get the difference.
+1. Texts become chunks of about ``CHUNK`` tokens: numbers of the chunk's own words,
+   and these words' hashes. A long text goes on in the next chunk.
+2. A chunk asks for the counts of its words and bigrams: its sorted hashes with its
+   own counts are cut by ranges of hashes, so a row holds many of them.
+3. For each range, the chunks' counts are added up; every chunk gets the sums
+   in the order in which it asked.
+4. Each chunk is scored with these sums, and a text's pieces are added up.
 
-So a bigram that is frequent everywhere never is dealt by its key, and one that
-occurs once moves once. All sizes of input go this one way.
+A bigram that is frequent everywhere is one number a chunk, one that occurs once
+moves once; no table of counts is sent to the tasks, at any size.
 
 Defined results: a null or empty text has no tokens, losses and score 0; target
 ids that are null or unknown are ignored; repeated rows count and are scored one
@@ -29,127 +28,162 @@ background's unigrams; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
-import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossbook.llm._common import small, stored, text_of
 
-PRIOR, SENT_WORDS, SENT_ROWS = 2.0, 2_000_000, 500_000
-OFTEN = 8
-_START = 1
-HELD, BUFFERED = 200_000, 1_000_000
+PRIOR = 2.0
+#: Tokens of a chunk; hashes of a range, on average.
+CHUNK, RANGE = 1_000_000, 2_000_000
+#: Hashes have so many bits; the words' ranges are by this many bits wider than the bigrams'.
+BITS, WIDER = 62, 3
+#: Bytes of a text that are cut into words at a time.
+PART = 1 << 20
+_START = np.uint64(1)
+_BLANK = re.compile(rb"[\x09-\x0d\x20]")
+_ENCODED = "chunk long, doc_ids array<long>, rows binary, sizes binary, targets binary, before binary, words binary, ids binary, n long, t long, texts long, target_texts long"
 
 
-class _Hashes(dict):
-    """64-bit hash of a word; the first ``HELD`` words are kept."""
+def planes(values: np.ndarray, kind: str) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: high ones are mostly 0 and take no room once compressed."""
+    return np.ascontiguousarray(values.astype(kind).view("u1").reshape(len(values), -1).T).tobytes()
+
+
+def from_planes(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(width, -1).T).view(kind).ravel()
+
+
+class _Words(dict):
+    """Numbers for a chunk's words, in the order in which they come."""
 
     def __missing__(self, word: bytes) -> int:
-        value = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little", signed=True)
-        if len(self) < HELD:
-            self[word] = value
-        return value
-
-
-def _words(text: str, hashes: _Hashes) -> np.ndarray:
-    words = text.encode().lower().split()
-    return np.fromiter(map(hashes.__getitem__, words), "i8", len(words))
-
-
-def _keys(w: np.ndarray) -> np.ndarray:
-    """A number, not negative, for each bigram of the text, the start of the text included."""
-    if not len(w):
-        return w
-    before, word = np.concatenate([[_START], w[:-1]]).view("u8"), w.view("u8")
-    x = (before ^ before >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + word
-    x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((x ^ x >> np.uint64(32)) >> np.uint64(1)).view("i8")
-
-
-def _counted(batches):
-    """(pair, key, n, t): the words of each stretch of tokens, and the bigrams that are in it OFTEN times."""
-    hashes, parts, size = _Hashes(), ([], [], []), 0
-
-    def out():
-        words, pairs, target = map(np.concatenate, parts)
-        cols = []
-        for pair, keys, least in ((0, words, 1), (1, pairs, OFTEN)):
-            keys, place, n = np.unique(keys, return_inverse=True, return_counts=True)
-            kept, t = n >= least, np.bincount(place, target, len(keys)).astype("i8")
-            cols.append((np.full(kept.sum(), pair, "i4"), keys[kept], n[kept], t[kept]))
-        for p in parts:
-            p.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=["pair", "key", "n", "t"])
-
-    for batch in batches:
-        texts = batch.column("text")
-        for i, target in enumerate(batch.column("target").to_pylist()):
-            w = _words(texts[i].as_py(), hashes)
-            keys = _keys(w)
-            for at in range(0, len(w), BUFFERED):
-                parts[0].append(w[at : at + BUFFERED])
-                parts[1].append(keys[at : at + BUFFERED])
-                parts[2].append(np.full(len(parts[0][-1]), target, "i1"))
-                size += len(parts[0][-1])
-                if size >= BUFFERED:
-                    yield out()
-                    size = 0
-    if size:
-        yield out()
-
-
-def _counted_exactly(sent):
-    """(key, n, t) of the (sorted) keys sent, over all of a task's texts."""
+        self[word] = number = len(self)
+        return number
+
 
+def _cut(text: str):
+    """The text's words, part by part."""
+    data = text.encode().lower()
+    at = 0
+    while at < len(data):
+        end = _BLANK.search(data, at + PART)
+        end = end.start() if end else len(data)
+        yield data[at:end].split()
+        at = end
+
+
+def _encoded(chunk_tokens: int):
     def run(batches):
-        keys, hashes = sent.value, _Hashes()
-        n, t = np.zeros(len(keys), "i8"), np.zeros(len(keys), "i8")
+        import xxhash
+
+        base = TaskContext.get().partitionId() << 33
+        row, chunk = base, base
+        words, pieces, parts, size = _Words(), [], [], 0
+
+        def out():
+            nonlocal words, chunk, size
+            doc_ids, rows, sizes, targets, before, begun = zip(*pieces, strict=True)
+            sizes, targets, begun = np.array(sizes, "i8"), np.array(targets, "i1"), np.array(begun, "i8")
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
+            blobs = [np.array(rows, "i8").tobytes(), sizes.tobytes(), targets.tobytes(), np.array(before, "i8").tobytes(), hashes.tobytes(), planes(np.concatenate(parts) if parts else np.zeros(0, "u4"), "u4")]
+            sums = [int(sizes.sum()), int((sizes * targets).sum()), int(begun.sum()), int((begun * targets).sum())]
+            cols = [pa.array([chunk], pa.int64()), pa.array([list(doc_ids)], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in blobs), *(pa.array([s], pa.int64()) for s in sums)]
+            words, chunk, size = _Words(), chunk + 1, 0
+            pieces.clear(), parts.clear()
+            return pa.RecordBatch.from_arrays(cols, names=["chunk", "doc_ids", "rows", "sizes", "targets", "before", "words", "ids", "n", "t", "texts", "target_texts"])
+
         for batch in batches:
             texts = batch.column("text")
-            for i, target in enumerate(batch.column("target").to_pylist()):
-                mine = _keys(_words(texts[i].as_py(), hashes))
-                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                at = at[keys[at] == mine]
-                np.add.at(n, at, 1)
-                if target:
-                    np.add.at(t, at, 1)
-        kept = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(c[kept]) for c in (keys, n, t)], names=["key", "n", "t"])
+            for i, (doc, target) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("target").to_pylist(), strict=True)):
+                first, last = True, None
+                for found in _cut(texts[i].as_py()):
+                    for at in range(0, len(found), chunk_tokens):
+                        some = found[at : at + chunk_tokens]
+                        # The word before a piece is one of the chunk's words, though it isn't counted in it.
+                        pieces.append((doc, row, len(some), target, -1 if last is None else words[last], first))
+                        parts.append(np.fromiter(map(words.__getitem__, some), "u4", len(some)))
+                        first, last, size = False, some[-1], size + len(some)
+                        if size >= chunk_tokens:
+                            yield out()
+                if first:
+                    pieces.append((doc, row, 0, target, -1, True))
+                row += 1
+        if pieces:
+            yield out()
 
     return run
 
 
-def _found(table: tuple, keys: np.ndarray, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of the keys, 1 for those that the (sorted) table doesn't have, and whether it has them."""
-    if not len(table[0]):
-        return np.ones(len(keys), "i8"), np.full(len(keys), target, "i8"), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table[0], keys), len(table[0]) - 1)
-    there = table[0][at] == keys
-    return np.where(there, table[1][at], 1), np.where(there, table[2][at], target), there
+class Chunk:
+    """A chunk's words and bigrams: sorted hashes, and the places of its tokens among them."""
+
+    def __init__(self, sizes: bytes, targets: bytes, before: bytes, words: bytes, ids: bytes):
+        self.sizes, self.targets, self.before = np.frombuffer(sizes, "i8"), np.frombuffer(targets, "i1"), np.frombuffer(before, "i8")
+        hashes, self.ids = np.frombuffer(words, "u8"), from_planes(ids, "u4").astype("i8")
+        self.target = np.repeat(self.targets, self.sizes)
+        # The number of the word before each token, -1 at the start of a text.
+        self.previous = np.concatenate([[-1], self.ids[:-1]])[: len(self.ids)]
+        some = self.sizes > 0
+        self.previous[(np.cumsum(self.sizes) - self.sizes)[some]] = self.before[some]
+        x = np.where(self.previous < 0, _START, hashes[self.previous] if len(hashes) else _START)
+        x = (x ^ x >> np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15) + hashes[self.ids]
+        x = (x ^ x >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ x >> np.uint64(32)) >> np.uint64(64 - BITS)
+        self.pairs, self.first, self.place, n = np.unique(x.view("i8"), return_index=True, return_inverse=True, return_counts=True)
+        keys = (hashes >> np.uint64(64 - BITS)).view("i8")
+        self.order = np.argsort(keys, kind="stable")
+        self.words = keys[self.order]
+        own = lambda at, k, size: np.bincount(at, None if k is None else k, size).astype("i8")
+        self.n = np.concatenate([own(self.ids, None, len(keys))[self.order], n])
+        self.t = np.concatenate([own(self.ids, self.target, len(keys))[self.order], own(self.place, self.target, len(n))])
 
 
-def _sorted(table: pa.Table) -> tuple:
-    order = np.argsort(table.column("key").to_numpy())
-    return tuple(table.column(c).to_numpy()[order] for c in ("key", "n", "t"))
+_PARTS = ["sizes", "targets", "before", "words", "ids"]
 
 
-def _unsent(sent):
-    """(row, key) of each text's words that weren't sent."""
+def _asked(bits: int):
+    """(range, chunk, keys, n, t): sorted hashes as differences, and the chunk's own counts."""
+    wide = max(0, bits - WIDER)
 
     def run(batches):
-        table, hashes = sent.value, _Hashes()
         for batch in batches:
-            rows, keys = [], []
-            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                w = np.unique(_words(text, hashes))
-                keys.append(w[~_found(table, w, 0)[2]])
-                rows.append(np.full(len(keys[-1]), row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "i8"), *c]), pa.int64()) for c in (rows, keys)], names=["row", "key"])
+            for i in range(batch.num_rows):
+                chunk, rows = Chunk(*(batch.column(c)[i].as_py() for c in _PARTS)), []
+                for keys, at, of_kind, first in ((chunk.words, 0, wide, 0), (chunk.pairs, len(chunk.words), bits, 1 << wide)):
+                    ranges = keys >> (BITS - of_kind)
+                    begins = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]])) if len(keys) else []
+                    for a, b in zip(begins, [*begins[1:], len(keys)], strict=True):
+                        n, t = chunk.n[at + a : at + b], chunk.t[at + a : at + b]
+                        rows.append((first + int(ranges[a]), batch.column("chunk")[i].as_py(), planes(np.diff(keys[a:b], prepend=0), "i8"), planes(n, "u4"), planes(t, "u4") if t.any() else b""))
+                if rows:
+                    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "chunk", "keys", "n", "t"])
+
+    return run
+
+
+def _answered(bits: int):
+    """(range, chunk, n, t, words): the sums over all chunks, in the order in which each asked; words of the range in one row."""
+    words_end = 1 << max(0, bits - WIDER)
+
+    def run(table: pa.Table) -> pa.Table:
+        keys = [np.cumsum(from_planes(k, "i8")) for k in table.column("keys").to_pylist()]
+        n = [from_planes(k, "u4") for k in table.column("n").to_pylist()]
+        t = [from_planes(k, "u4") if k else np.zeros(len(m), "u4") for k, m in zip(table.column("t").to_pylist(), n, strict=True)]
+        ends = np.cumsum([len(k) for k in keys])[:-1]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        n, t = (np.bincount(place, np.concatenate(c), len(distinct)).astype("i8")[place] for c in (n, t))
+        blobs = [(planes(a, "i8"), planes(b, "i8") if b.any() else b"") for a, b in zip(np.split(n, ends), np.split(t, ends), strict=True)]
+        word = table.column("range")[0].as_py() < words_end
+        words = [len(distinct) * word] + [0] * (len(blobs) - 1)
+        return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "n": pa.array([b[0] for b in blobs], pa.binary()), "t": pa.array([b[1] for b in blobs], pa.binary()), "words": pa.array(words, pa.int64())})
 
     return run
 
@@ -158,7 +192,8 @@ class Models:
     """Both models: what a bigram adds to a loss, from its counts and those of its words."""
 
     def __init__(self, size: int, n: int, t: int, texts: int, targets: int):
-        self.size, self.n, self.t, self.texts, self.targets = size, n + texts, t + targets, texts, targets
+        # One more word and the start of a text are in the vocabulary.
+        self.size, self.n, self.t, self.texts, self.targets = size + 2, n + texts, t + targets, texts, targets
 
     def tops(self, n, t, wn, wt) -> tuple[np.ndarray, np.ndarray]:
         """Logarithms of the numerators: (target, background)."""
@@ -167,146 +202,51 @@ class Models:
         return np.log(t + PRIOR * pt), np.log(n + PRIOR * pn)
 
 
-def _scored(sent, models: Models):
-    """(key, row, times, own, wn, wt): a head of each row, and its bigrams that others may have too.
-
-    A head has a key that no bigram has, the number of tokens, the doc_id, and the bits of
-    both losses so far. A bigram has its times in the row, those that are the target's, and
-    its word's counts.
-    """
-
-    def run(batches):
-        (words, bigrams), hashes, at, parts, size = sent.value, _Hashes(), TaskContext.get().partitionId() << 33, [], 0
-
-        def out():
-            heads, docs, more = zip(*parts, strict=True)
-            head = np.array(heads)
-            cols = [np.concatenate([head[:, i], *(m[i] for m in more)]) for i in range(5)]
-            own = pa.chunked_array([pa.array(docs, pa.int64()), pa.array(np.concatenate([m[5] for m in more]), pa.int64())]).combine_chunks()
-            parts.clear()
-            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), own], names=["key", "row", "times", "wn", "wt", "own"])
-
-        for batch in batches:
-            rare, texts = batch.column("rare"), batch.column("text")
-            for i, (doc, target) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "target")), strict=True)):
-                w = _words(texts[i].as_py(), hashes)
-                wn, wt, _ = _found(words, w, target)
-                if rare[i].is_valid:
-                    table = rare[i].values
-                    rn, rt, there = _found(_sorted(pa.Table.from_arrays(table.flatten(), names=["key", "n", "t"])), w, target)
-                    wn, wt = np.where(there, rn, wn), np.where(there, rt, wt)
-                keys, bn, bt = _keys(w), np.concatenate([[models.texts], wn[:-1]])[: len(w)], np.concatenate([[models.targets], wt[:-1]])[: len(w)]
-                n, t, there = _found(bigrams, keys, target)
-                # A bigram with a word that occurs once occurs once.
-                left = ~there & (wn > 1) & (bn > 1)
-                mine, first, place, times = np.unique(keys[left], return_index=True, return_inverse=True, return_counts=True)
-                n[left], t[left] = times[place], times[place] * target
-                sums = np.array([np.log(b + PRIOR).sum() - top.sum() for b, top in zip((bt, bn), models.tops(n, t, wn, wt), strict=True)])
-                parts.append(((-1 - at, at, len(w), *sums.view("i8")), doc, (mine, np.full(len(mine), at), times, wn[left][first], wt[left][first], times * target)))
-                at, size = at + 1, size + len(mine) + 1
-                if size > HELD:
-                    yield out()
-                    size = 0
-        if parts:
-            yield out()
+def _scored(models: Models):
+    """(row, doc_id, times, target, background): losses of each piece of a text."""
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        chunk = Chunk(*(chunks.column(c)[0].as_py() for c in _PARTS))
+        answers = answers.sort_by("range")
+        n = [from_planes(x, "i8") for x in answers.column("n").to_pylist()]
+        t = [from_planes(x, "i8") if x else np.zeros(len(k), "i8") for x, k in zip(answers.column("t").to_pylist(), n, strict=True)]
+        n, t = (np.concatenate([*c, np.zeros(0, "i8")]).astype("i8") for c in (n, t))
+        words = len(chunk.words)
+        wn, wt = np.zeros(words, "i8"), np.zeros(words, "i8")
+        wn[chunk.order], wt[chunk.order] = n[:words], t[:words]
+        of_pair = chunk.ids[chunk.first]
+        tops = models.tops(n[words:], t[words:], wn[of_pair], wt[of_pair])
+        piece = np.repeat(np.arange(len(chunk.sizes)), chunk.sizes)
+        sums = []
+        for counts, start, top in ((wt, models.targets, tops[0]), (wn, models.texts, tops[1])):
+            below = np.log(np.concatenate([counts, [start]]) + PRIOR)  # the last is the start of a text
+            sums.append(np.bincount(piece, below[chunk.previous] - top[chunk.place], len(chunk.sizes)))
+        rows = np.frombuffer(chunks.column("rows")[0].as_py(), "i8")
+        doc_ids = pa.array(chunks.column("doc_ids")[0].as_py(), pa.int64())
+        return pa.table({"row": pa.array(rows), "doc_id": doc_ids, "times": pa.array(chunk.sizes), "target": pa.array(sums[0]), "background": pa.array(sums[1])})
 
     return run
 
 
-def _corrected(models: Models):
-    """(row, doc_id, times, target, background): each head, and what a row's losses change by bigrams that others have too.
-
-    Rows come in the order of their keys; the last key of a batch waits for the next one.
-    """
-    names = ["key", "row", "times", "own", "wn", "wt"]
-
-    def changes(held: list[np.ndarray]):
-        key, row, times, own, wn, wt = held
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.concatenate([first, [len(key)]]))
-        n, t = (np.repeat(np.add.reduceat(c, first), sizes) for c in (times, own))
-        more = n > times
-        n, t, row, times, own, wn, wt = (c[more] for c in (n, t, row, times, own, wn, wt))
-        after, before = models.tops(n, t, wn, wt), models.tops(times, own, wn, wt)
-        sums = [times * (b - a) for a, b in zip(after, before, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(row), pa.nulls(len(row), pa.int64()), pa.array(np.zeros(len(row), "i8")), *map(pa.array, sums)], names=["row", "doc_id", "times", "target", "background"])
-
-    def run(batches):
-        waiting: list[list[np.ndarray]] = []
-        for batch in batches:
-            head = batch.filter(pc.less(batch.column("key"), 0))
-            if head.num_rows:
-                sums = [pa.array(head.column(c).to_numpy().view("f8")) for c in ("wn", "wt")]
-                yield pa.RecordBatch.from_arrays([head.column("row"), head.column("own"), head.column("times"), *sums], names=["row", "doc_id", "times", "target", "background"])
-            rest = batch.slice(head.num_rows)
-            if not rest.num_rows:
-                continue
-            cols = [rest.column(c).to_numpy(zero_copy_only=False) for c in names]
-            last = int(np.searchsorted(cols[0], cols[0][-1]))
-            if waiting and (last or waiting[0][0][0] != cols[0][0]):
-                yield changes([np.concatenate(c) for c in zip(*waiting, [c[:last] for c in cols], strict=True)])
-                waiting = []
-            elif last:
-                yield changes([c[:last] for c in cols])
-            waiting.append([c[last:] for c in cols])
-        if waiting:
-            yield changes([np.concatenate(c) for c in zip(*waiting, strict=True)])
-
-    return run
-
-
-def _most(table: DataFrame, rows: int) -> DataFrame:
-    """The rows with the highest n, as many as fit in ``rows`` if rows of about the same n stay together."""
-    steps = table.groupBy(F.floor(F.log2("n") * 16).alias("step")).count().orderBy(F.desc("step")).collect()  # 16 for each doubling of n
-    taken, least = 0, None
-    for r in steps:
-        taken += r["count"]
-        if taken > rows:
-            break
-        least = r["step"]
-    return table.filter(F.lit(False) if least is None else F.floor(F.log2("n") * 16) >= least)
-
-
-def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, sent_words: int = SENT_WORDS, sent_rows: int = SENT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, chunk_tokens: int = CHUNK, range_size: int = RANGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_tokens, target_loss, background_loss, score (losses per token).
 
-    target_ids: a table with a column doc_id.
+    target_ids: a table with a column doc_id. The result is the same for any size of chunks and ranges.
     """
-    sc = docs.sparkSession.sparkContext
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     wanted = stored(target_ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id is not null").distinct().withColumn("target", F.lit(1)), "targets")
-    few = small(wanted)
-    marked = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
-    marked = marked if few else stored(marked, "marked")
-
-    each = marked.select("text", "target").mapInArrow(_counted, "pair int, key long, n long, t long")
-    counts = stored(each.groupBy("pair", "key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")), "counts")
-    words, frequent = counts.filter("pair = 0").drop("pair"), counts.filter("pair = 1").drop("pair")
-    whole = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("t"), F.lit(0)), F.count_if(F.col("n") > 1)).first()
-    ends = marked.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0))).first()
-    # One more word and the start of a text are in the vocabulary.
-    models = Models(whole[0] + 2, *whole[1:3], *ends)
-
-    again = words.filter("n > 1")
-    all_words = whole[3] <= sent_words
-    known = _sorted((again if all_words else _most(again, sent_words)).toArrow())
-    keys = np.sort(_most(frequent, sent_rows).select("key").toArrow().column("key").to_numpy())
-    pairs = (keys, keys, keys)
-    if len(keys):
-        exact = marked.select("text", "target").mapInArrow(_counted_exactly(sc.broadcast(keys)), "key long, n long, t long")
-        pairs = _sorted(exact.groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).toArrow())
-
-    counted = "array<struct<key:bigint,n:bigint,t:bigint>>"
-    if all_words:
-        marked = marked.withColumn("rare", F.lit(None).cast(counted))
-    else:
-        marked = stored(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
-        rare = marked.select("row", "text").mapInArrow(_unsent(sc.broadcast(known)), "row long, key long").join(again, "key")
-        rare = rare.groupBy("row").agg(F.collect_list(F.struct("key", "n", "t")).cast(counted).alias("rare"))
-        marked = marked.join(rare, "row", "left").select("doc_id", "text", "target", "rare")
-    parts = marked.mapInArrow(_scored(sc.broadcast((known, pairs)), models), "key long, row long, times long, wn long, wt long, own long")
-    dealt = parts.repartition("key").sortWithinPartitions("key")
-    each = dealt.mapInArrow(_corrected(models), "row long, doc_id long, times long, target double, background double")
+    marked = rows.join(F.broadcast(wanted) if small(wanted) else wanted, "doc_id", "left").select("doc_id", "text", F.coalesce("target", F.lit(0)).alias("target"))
+    chunks = stored(marked.mapInArrow(_encoded(chunk_tokens), _ENCODED), "chunks")
+    total = [x or 0 for x in chunks.agg(*map(F.sum, ("n", "t", "texts", "target_texts"))).first()]
+
+    bits = max(0, total[0] // range_size).bit_length()
+    asked = chunks.select("chunk", *_PARTS).mapInArrow(_asked(bits), "range long, chunk long, keys binary, n binary, t binary")
+    answers = asked.groupBy("range").applyInArrow(_answered(bits), "range long, chunk long, n binary, t binary, words long")
+    answers = stored(answers, "answers")
+    models = Models(answers.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0], *total)
+
+    both = chunks.select("chunk", "doc_ids", "rows", *_PARTS).groupBy("chunk").cogroup(answers.select("chunk", "range", "n", "t").groupBy("chunk"))
+    each = both.applyInArrow(_scored(models), "row long, doc_id long, times long, target double, background double")
     sums = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("times").alias("n_tokens"), F.sum("target").alias("target_loss"), F.sum("background").alias("background_loss"))
     n = F.greatest("n_tokens", F.lit(1))
     return sums.select("doc_id", "n_tokens", (F.col("target_loss") / n).alias("target_loss"), (F.col("background_loss") / n).alias("background_loss"), ((F.col("target_loss") - F.col("background_loss")) / n).alias("score"))
