@@ -32,6 +32,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ from crossbook.llm._common import small, stored, text_of
 
 PRIOR = 2.0
 #: Tokens of a chunk; hashes of a range, on average.
-CHUNK, RANGE = 1_000_000, 2_000_000
+CHUNK, RANGE = 400_000, 1_000_000
 #: Hashes have so many bits; the words' ranges are by this many bits wider than the bigrams'.
 BITS, WIDER = 62, 3
 #: Bytes of a text that are cut into words at a time.
@@ -51,13 +52,14 @@ _ENCODED = "chunk long, doc_ids array<long>, rows binary, sizes binary, targets
 
 
 def planes(values: np.ndarray, kind: str) -> bytes:
-    """The numbers' first bytes, then their second ones and so on: high ones are mostly 0 and take no room once compressed."""
-    return np.ascontiguousarray(values.astype(kind).view("u1").reshape(len(values), -1).T).tobytes()
+    """The numbers' first bytes, then their second ones and so on, compressed: high ones are mostly 0."""
+    parts = np.ascontiguousarray(values.astype(kind).view("u1").reshape(len(values), -1).T)
+    return zstandard.ZstdCompressor(level=1).compress(parts.tobytes())
 
 
 def from_planes(data: bytes, kind: str) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, "u1").reshape(width, -1).T).view(kind).ravel()
+    parts = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1")
+    return np.ascontiguousarray(parts.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class _Words(dict):
