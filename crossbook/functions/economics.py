@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fee coefficients in hundredths (taker A, taker B), slippage buffer in ticks, size cap,
-# staleness in seconds, session gap in seconds.
+# Fee coefficients in hundredths (taker A, taker B), the maker's rebate at B in ten-thousandths,
+# slippage buffer in ticks, size cap, staleness in seconds, session gap in seconds.
 FEE_A, FEE_B = 7, 5
+REBATE_B = 125
 BUFFER, CAP, STALE_SECONDS, GAP_SECONDS = 100, 1000, 2.0, 120
 
 
@@ -25,6 +26,20 @@ def fee_ticks(coefficient: Column, price: Column) -> Column:
     return F.when(price.between(0, 10000), fee).otherwise(F.raise_error(F.lit("price out of range")).cast("long"))
 
 
+def taker_fee_ticks(platform: Column, price: Column, fees: dict[str, int] | None = None) -> Column:
+    """The taker fee at the platform (a and b unless ``fees`` names others); an unknown or missing one is an error."""
+    found = F.raise_error(F.concat(F.lit("no fee for platform "), F.coalesce(platform, F.lit("null")))).cast("long")
+    for name, coefficient in (fees or {"a": FEE_A, "b": FEE_B}).items():
+        found = F.when(platform == name, fee_ticks(F.lit(coefficient), price)).otherwise(found)
+    return found
+
+
+def maker_rebate_ticks(price: Column) -> Column:
+    """What a maker at B pays for one contract: less than nothing. Prices outside [0, 1] are an error."""
+    paid = -divided(REBATE_B * price.cast("long") * (10000 - price), F.lit(100_000_000).cast("long"))
+    return F.when(price.between(0, 10000), paid).otherwise(F.raise_error(F.lit("price out of range")).cast("long"))
+
+
 def delta_days(a: Column, b: Column) -> Column:
     """Absolute value of the whole days from b to a, rounded down before the sign goes."""
     us = lambda t: F.unix_micros(t.cast("timestamp"))

@@ -3,6 +3,11 @@
 A ladder is rows (key, side, price, size). Prices are ticks. No loop over units:
 running sums make level intervals, the two legs' intervals overlap in segments of
 constant marginal cost, and in a segment the largest viable size is one division.
+All of it is one deal of the ladder by key and one pass over each key's levels.
+
+Nulls and ties: rows with a null key are a book like any other; a level without
+price, side or size isn't there; levels of one price are one, repeated rows add up;
+an empty ladder gives an empty result. A key's whole book is one task's work.
 """
 
 from __future__ import annotations
@@ -13,6 +18,9 @@ from pyspark.sql.window import Window as W
 
 from crossbook.functions.economics import BUFFER, CAP, FEE_A, FEE_B, fee_ticks
 
+#: What a hedge of n contracts costs: prices and fees of both legs.
+TOTALS = ("py", "pn", "fy", "fn")
+
 
 def asks_from_bids(ladder: DataFrame) -> DataFrame:
     """Bids of one side become asks of the other at 1 - price."""
@@ -20,70 +28,95 @@ def asks_from_bids(ladder: DataFrame) -> DataFrame:
     return ladder.select("key", other.alias("side"), (10000 - F.col("price")).alias("price"), "size")
 
 
-def intervals(ladder: DataFrame, keys: list[str]) -> DataFrame:
-    """Levels with whole units as [lo, hi), cheapest first; levels of one price are one."""
-    levels = ladder.groupBy(*keys, "price").agg(F.sum(F.floor("size")).cast("long").alias("units")).filter("units > 0")
-    hi = F.sum("units").over(W.partitionBy(*keys).orderBy("price").rowsBetween(W.unboundedPreceding, 0))
-    return levels.withColumn("hi", hi).withColumn("lo", F.col("hi") - F.col("units"))
+def average_fill(ladder: DataFrame, keys: list[str], shares: int) -> DataFrame:
+    """The average price in ticks of a number of shares, cheapest levels first, fractions of a share included.
 
+    Null for no shares and without enough depth.
+    """
+    levels = ladder.repartition(*keys).groupBy(*keys, "price").agg(F.sum("size").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy("price").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    taken = levels.withColumn("take", F.least("size", F.greatest(F.lit(float(shares)) - before, F.lit(0.0))))
+    sums = taken.groupBy(*keys).agg(F.sum(F.col("take") * F.col("price")).alias("cost"), F.sum("size").alias("depth"))
+    enough = (F.col("depth") >= shares) & F.lit(shares > 0)
+    return sums.select(*keys, F.when(enough, F.col("cost") / max(shares, 1)).alias("average"))
 
-def fill_cost(ladder: DataFrame, keys: list[str], shares: int) -> DataFrame:
-    """Total ticks for a number of shares; null without enough depth."""
-    walked = intervals(ladder, keys).withColumn("take", F.least("units", F.greatest(F.lit(shares) - F.col("lo"), F.lit(0))))
-    sums = walked.groupBy(*keys).agg(F.sum(F.col("take") * F.col("price")).alias("cost"), F.max("hi").alias("depth"))
-    return sums.select(*keys, F.when(F.col("depth") >= shares, F.col("cost")).alias("cost"))
 
+def hedges(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column, buffer: int = BUFFER, cap: int = CAP, deal: list[str] | None = None) -> DataFrame:
+    """Of each key: y and n, the best prices of either side; size, the largest number of whole contracts whose average
+    costs and fees clear the buffer, null without one; total_py, total_pn, total_fy, total_fn, its prices and fees.
 
-def segments(yes: DataFrame, no: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column, cap: int = CAP) -> DataFrame:
-    """Runs (n0, n1] of units with one price on each leg; c0: the cost of the units before."""
-    y = intervals(yes, keys).select(*keys, F.col("price").alias("py"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi"))
-    n = intervals(no, keys).select(*keys, F.col("price").alias("pn"), F.col("lo").alias("nlo"), F.col("hi").alias("nhi"))
-    met = y.join(n, keys).filter("ylo < nhi and nlo < yhi").withColumn("n0", F.greatest("ylo", "nlo")).withColumn("n1", F.least("yhi", "nhi", F.lit(cap).cast("long"))).filter("n0 < n1")
-    priced = met.withColumn("fy", fee_ticks(yes_fee, F.col("py"))).withColumn("fn", fee_ticks(no_fee, F.col("pn"))).withColumn("m", F.col("py") + F.col("pn") + F.col("fy") + F.col("fn"))
-    before = W.partitionBy(*keys).orderBy("n0").rowsBetween(W.unboundedPreceding, -1)
-    return priced.withColumn("c0", F.coalesce(F.sum(F.col("m") * (F.col("n1") - F.col("n0"))).over(before), F.lit(0)))
+    Sizes count up to ``cap``; fractions of each level are left out. ``deal``: the keys to deal by, if not all.
+    """
+    priced = ladder.filter("price is not null and side is not null and size is not null")
+    levels = priced.repartition(*(deal or keys)).groupBy(*keys, "side", "price").agg(F.sum(F.floor("size")).cast("long").alias("units"))
+    side_order = W.partitionBy(*keys, "side").orderBy("price").rowsBetween(W.unboundedPreceding, 0)
+    ends = levels.withColumn("hi", F.sum("units").over(side_order)).withColumn("whole", F.when(F.col("units") > 0, F.col("price")))
+    # Every end of a level ends a segment; the level that covers it is the first of its side from there on.
+    up, down = W.partitionBy(*keys).orderBy("hi", "side", "price"), W.partitionBy(*keys).orderBy(F.desc("hi"), F.desc("side"), F.desc("price"))
+    covering = lambda side: F.last(F.when(F.col("side") == side, F.col("whole")), True).over(down.rowsBetween(W.unboundedPreceding, 0))
+    cut = ends.withColumns({"py": covering("YES"), "pn": covering("NO"), "n0": F.lag("hi", 1, 0).over(up), "n1": F.least("hi", F.lit(cap).cast("long"))})
+    there = F.col("py").isNotNull() & F.col("pn").isNotNull()
+    fees = {"fy": F.when(there, fee_ticks(yes_fee, F.col("py"))), "fn": F.when(there, fee_ticks(no_fee, F.col("pn")))}
+    cut = cut.withColumns(fees).withColumn("part", F.when(there & (F.col("n1") > F.col("n0")), F.col("n1") - F.col("n0")))
+    so_far = up.rowsBetween(W.unboundedPreceding, -1)
+    cut = cut.withColumns({f"before_{c}": F.coalesce(F.sum(F.col(c) * F.col("part")).over(so_far), F.lit(0)) for c in TOTALS})
+    m, c0 = sum((F.col(c) for c in TOTALS[1:]), F.col("py")), sum((F.col(f"before_{c}") for c in TOTALS[1:]), F.col("before_py"))
+    # At n contracts of the segment, slope * n - least is what is left over the buffer.
+    slope, least = 10000 - buffer - m, c0 - m * F.col("n0")
+    falling = F.least("n1", F.floor((-least - 1) / F.greatest(-slope, F.lit(1))).cast("long"))
+    size = F.when(slope < 0, F.when(least < 0, falling)).when(slope * F.col("n1") > least, F.col("n1"))
+    sized = cut.withColumn("n", F.when(F.col("part").isNotNull() & (size > F.col("n0")), size))
+    totals = F.struct(*[(F.col(f"before_{c}") + F.col(c) * (F.col("n") - F.col("n0"))).alias(f"total_{c}") for c in TOTALS])
+    best = lambda side: F.min(F.when(F.col("side") == side, F.col("price")))
+    found = sized.groupBy(*keys).agg(best("YES").alias("y"), best("NO").alias("n"), F.max("n").alias("size"), F.max_by(totals, "n").alias("at"))
+    return found.select(*keys, "y", "n", "size", "at.*")
 
 
-def largest_viable(found: DataFrame, keys: list[str], buffer: int = BUFFER) -> DataFrame:
+def largest_viable(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column, buffer: int = BUFFER, cap: int = CAP) -> DataFrame:
     """keys, size and the legs' total prices and fees at the largest size that clears the buffer; no row without one."""
-    slope, least = F.col("slope"), F.col("least")
-    cut = found.withColumn("slope", 10000 - buffer - F.col("m")).withColumn("least", F.col("c0") - F.col("m") * F.col("n0"))
-    falling = F.least("n1", F.floor((-least - 1) / F.greatest(-slope, F.lit(1))).cast("long"))
-    size = F.when(slope < 0, F.when(least < 0, falling)).when(slope * F.col("n1") > least, F.col("n1"))
-    sized = cut.withColumn("n", size).filter("n > n0").groupBy(*keys).agg(F.max("n").alias("size"))
-    part = F.least("n1", "size") - F.col("n0")
-    total = lambda c: F.sum(F.col(c) * part).alias(f"total_{c}")
-    return found.join(sized, keys).filter("n0 < size").groupBy(*keys, "size").agg(*map(total, ("py", "pn", "fy", "fn")))
+    return hedges(ladder, keys, yes_fee, no_fee, buffer, cap).filter("size is not null").drop("y", "n")
+
+
+def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int) -> DataFrame:
+    """Hedges of both directions of each pair: direction 0 buys YES at a and NO at b, 1 the other way."""
+    turned = ladder.withColumn("direction", F.when((F.col("leg") == "a") == (F.col("side") == "YES"), 0).otherwise(1))
+    straight = F.col("direction") == 0
+    yes_fee, no_fee = F.when(straight, FEE_A).otherwise(FEE_B), F.when(straight, FEE_B).otherwise(FEE_A)
+    found = hedges(turned, [*keys, "direction"], yes_fee, no_fee, buffer, cap, deal=keys).filter("y is not null and n is not null")
+    # Without a viable size, one contract on top of the book.
+    tops = {"py": F.col("y"), "pn": F.col("n"), "fy": fee_ticks(yes_fee, F.col("y")), "fn": fee_ticks(no_fee, F.col("n"))}
+    each = {name: F.coalesce(F.col(f"total_{c}") / F.col("size"), tops[c]) / 10000 for name, c in zip(("yes_fill", "no_fill", "yes_fee", "no_fee"), TOTALS, strict=True)}
+    out = found.select(*keys, "direction", F.coalesce("size", F.lit(0)).alias("size"), (F.col("y") / 10000).alias("yes_top"), (F.col("n") / 10000).alias("no_top"), *[v.alias(k) for k, v in each.items()], ((10000 - F.col("y") - F.col("n")) / 10000).alias("raw_top"))
+    return out.withColumn("raw_depth", 1 - F.col("yes_fill") - F.col("no_fill")).withColumn("net", F.col("raw_depth") - F.col("yes_fee") - F.col("no_fee"))
+
 
+def detect(ladder: DataFrame, keys: list[str] | None = None, buffer: int = BUFFER, cap: int = CAP) -> DataFrame:
+    """The viable directions of each pair, none to two: keys, direction, size, tops, fills, fees and spreads."""
+    return _both_ways(ladder, keys or ["key"], buffer, cap).filter("size > 0")
 
-def evaluate(ladder: DataFrame, buffer: int = BUFFER, cap: int = CAP, require_edge: bool = True) -> DataFrame:
+
+def evaluate(ladder: DataFrame, buffer: int = BUFFER, cap: int = CAP, require_edge: bool = True, keys: list[str] | None = None) -> DataFrame:
     """The better direction of each pair: key, direction, size, tops, fills, fees and spreads.
 
-    ``ladder``: key, leg (a or b), side, price, size; legs too old are left out before. Direction 0
-    buys YES at a and NO at b, 1 the other way. A direction that no size clears is taken at one
-    contract on top of the book, with size 0. Amounts are shares of 1, as doubles; equal
-    directions: 0. With ``require_edge``, pairs whose better direction has no edge on top are left out.
+    ``ladder``: key, leg (a or b), side, price, size; pairs with a leg too old are left out before (``fresh``).
+    A direction that no size clears is taken at one contract on top of the book, with size 0. Amounts are shares of
+    1, as doubles; of equal directions it is 0. With ``require_edge``, pairs whose better direction has no edge on top
+    are left out.
     """
-    best = lambda leg, side: F.min(F.when((F.col("leg") == leg) & (F.col("side") == side), F.col("price")))
-    tops = ladder.groupBy("key").agg(best("a", "YES").alias("ya"), best("a", "NO").alias("na"), best("b", "YES").alias("yb"), best("b", "NO").alias("nb"))
-    both = F.array(F.struct(F.lit(0).alias("direction"), F.col("ya").alias("y"), F.col("nb").alias("n")), F.struct(F.lit(1).alias("direction"), F.col("yb").alias("y"), F.col("na").alias("n")))
-    at_top = tops.select("key", F.explode(both).alias("x")).select("key", "x.*").filter("y is not null and n is not null")
-    first = F.col("leg") == "a"
-    of_yes = ladder.filter("side = 'YES'").withColumn("direction", F.when(first, 0).otherwise(1)).select("key", "direction", "price", "size")
-    of_no = ladder.filter("side = 'NO'").withColumn("direction", F.when(first, 1).otherwise(0)).select("key", "direction", "price", "size")
-    straight = F.col("direction") == 0
-    yes_fee, no_fee = F.when(straight, FEE_A).otherwise(FEE_B), F.when(straight, FEE_B).otherwise(FEE_A)
-    keys = ["key", "direction"]
-    sized = largest_viable(segments(of_yes, of_no, keys, yes_fee, no_fee, cap), keys, buffer)
-    found = at_top.join(sized, keys, "left")
-    each = lambda total, top: F.coalesce(F.col(total) / F.col("size"), top) / 10000
-    out = found.select(
-        "key", "direction", F.coalesce("size", F.lit(0)).alias("size"), (F.col("y") / 10000).alias("yes_top"), (F.col("n") / 10000).alias("no_top"),
-        each("total_py", F.col("y")).alias("yes_fill"), each("total_pn", F.col("n")).alias("no_fill"), each("total_fy", fee_ticks(yes_fee, F.col("y"))).alias("yes_fee"), each("total_fn", fee_ticks(no_fee, F.col("n"))).alias("no_fee"),
-        ((10000 - F.col("y") - F.col("n")) / 10000).alias("raw_top"),
-    )
-    out = out.withColumn("raw_depth", 1 - F.col("yes_fill") - F.col("no_fill")).withColumn("net", F.col("raw_depth") - F.col("yes_fee") - F.col("no_fee"))
+    keys = keys or ["key"]
+    out = _both_ways(ladder, keys, buffer, cap)
     # The order is by whole hundredths of ticks, so that sums of doubles don't decide between equals.
     rank = F.struct(F.round(F.col("net") * 1e8).cast("long").alias("net"), (-F.col("direction")).alias("direction"))
-    kept = out.groupBy("key").agg(F.max_by(F.struct(*[c for c in out.columns if c != "key"]), rank).alias("x")).select("key", "x.*")
+    kept = out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), rank).alias("x")).select(*keys, "x.*")
     return kept.filter("raw_top > 0") if require_edge else kept
+
+
+def fresh(now_us: Column, a_us: Column, b_us: Column, max_seconds: float) -> Column:
+    """Whether neither leg is older than the limit; exactly as old is fresh, and so is one from the future."""
+    limit = int(max_seconds * 1_000_000)
+    return F.coalesce((now_us - a_us <= limit) & (now_us - b_us <= limit), F.lit(False))
+
+
+def top_edge(ya: Column, na: Column, yb: Column, nb: Column) -> Column:
+    """The better of both directions' edges on top of the books, in ticks; null if neither has both sides."""
+    return F.greatest(10000 - ya - nb, 10000 - yb - na)

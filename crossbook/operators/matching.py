@@ -17,13 +17,34 @@ def token_candidates(a: DataFrame, b: DataFrame, max_df: int = 2000) -> DataFram
     return ta.join(tb.join(rare, "token"), "token").select("a_id", "b_id").distinct()
 
 
-def jaccard_join(a: DataFrame, b: DataFrame, percent: int, max_df: int = 2000) -> DataFrame:
-    """a_id, b_id, shared, total of the candidates whose token sets reach the similarity."""
-    left = a.select(F.col("id").alias("a_id"), tokenize(F.col("text")).alias("ta"))
-    right = b.select(F.col("id").alias("b_id"), tokenize(F.col("text")).alias("tb"))
-    pairs = token_candidates(a, b, max_df).join(left, "a_id").join(right, "b_id")
-    both, total = jaccard_parts(F.col("ta"), F.col("tb"))
-    return pairs.select("a_id", "b_id", both.cast("long").alias("shared"), total.cast("long").alias("total")).filter(F.col("shared") * 100 >= F.col("total") * percent)
+def jaccard_join(a: DataFrame, b: DataFrame, percent: int, max_df: int | None = 2000) -> DataFrame:
+    """a_id, b_id, shared, total of the pairs whose token sets reach the similarity and share a token of at most ``max_df`` rows of b.
+
+    Tokens are ordered from the rarest of b. Sets that reach the similarity share one of their first
+    size - ceil(percent * size / 100) + 1 tokens, so only those meet, if the sizes allow it. The limit on
+    frequent tokens is a rule of the matcher, not of the join: with ``max_df`` None nothing is left out.
+    Rows without tokens or with a null id meet nothing; repeated rows give their pairs once.
+    """
+    sets = lambda rows, s: rows.select(F.col("id").alias(f"{s}_id"), tokenize(F.col("text")).alias("tokens")).filter(f"{s}_id is not null and size(tokens) > 0")
+    left, right = sets(a, "a"), sets(b, "b")
+    df = right.select("b_id", F.explode("tokens").alias("token")).distinct().groupBy("token").agg(F.count("*").alias("df"))
+
+    def ordered(rows: DataFrame, s: str) -> DataFrame:
+        each = rows.select(f"{s}_id", F.explode("tokens").alias("token")).join(df, "token", "left")
+        ranked = each.groupBy(f"{s}_id").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ranked"))
+        n = F.size("ranked")
+        return ranked.select(f"{s}_id", F.col("ranked.token").alias(f"{s}_tokens"), F.explode(F.slice("ranked", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("x")).select(f"{s}_id", f"{s}_tokens", "x.*")
+
+    met = ordered(left, "a").join(ordered(right, "b").drop("df"), "token")
+    x, y = F.size("a_tokens"), F.size("b_tokens")
+    met = met.filter(F.least(x, y) * 100 >= F.greatest(x, y) * percent)
+    both, total = jaccard_parts(F.col("a_tokens"), F.col("b_tokens"))
+    close = met.filter(both * 100 >= total * percent).select("a_id", "b_id", both.cast("long").alias("shared"), total.cast("long").alias("total"), "a_tokens", "b_tokens").dropDuplicates(["a_id", "b_id"])
+    if max_df is None:
+        return close.drop("a_tokens", "b_tokens")
+    rare = df.filter(F.col("df") <= max_df).select("token")
+    shared = close.select("a_id", "b_id", "shared", "total", F.explode(F.array_intersect("a_tokens", "b_tokens")).alias("token"))
+    return shared.join(rare, "token").select("a_id", "b_id", "shared", "total").distinct()
 
 
 def best_or_refuse(scored: DataFrame, key: str, score: Column, tie: Column, ident: str, near: float) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossbook.functions.economics import FEE_A, FEE_B, delta_days, fee_ticks
-from crossbook.functions.text import is_entity, tokenize
-from crossbook.operators import depth, matching, replay
+from crossbook.functions.text import STOPWORDS, is_entity, tokenize
+from crossbook.operators import depth, detector, matching, replay
 
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -38,10 +38,6 @@ V1 = """ladders AS (
 FEE = "(({c} * {p} * (10000 - {p})) // 1000000 + CASE WHEN 2 * (({c} * {p} * (10000 - {p})) % 1000000) > 1000000 OR (2 * (({c} * {p} * (10000 - {p})) % 1000000) = 1000000 AND (({c} * {p} * (10000 - {p})) // 1000000) % 2 = 1) THEN 1 ELSE 0 END)"
 
 
-def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.filter(F.col("side") == side)
-
-
 def fee_curve(spark, sf_dir):
     p = F.col("price")
     return ladders(spark, sf_dir).select("price").distinct().select("price", fee_ticks(F.lit(FEE_A), p).alias("fee_a"), fee_ticks(F.lit(FEE_B), p).alias("fee_b"))
@@ -52,23 +48,18 @@ def bids_to_asks(spark, sf_dir):
 
 
 def fill_price(spark, sf_dir):
-    return depth.fill_cost(ladders(spark, sf_dir), ["key", "side"], 30)
-
-
-def _plans(spark, sf_dir):
-    book = ladders(spark, sf_dir)
-    return depth.segments(_side(book, "YES"), _side(book, "NO"), ["key"], F.lit(FEE_A), F.lit(FEE_B))
+    """Average price of 10 shares, in hundredths of ticks, of books with quarters of shares."""
+    book = ladders(spark, sf_dir).withColumn("size", F.col("size") / 4)
+    return depth.average_fill(book, ["key", "side"], 10).select("key", "side", F.floor(F.col("average") * 100 + 0.5).cast("long").alias("average"))
 
 
 def max_fillable(spark, sf_dir):
-    return depth.largest_viable(_plans(spark, sf_dir), ["key"])
+    return depth.largest_viable(ladders(spark, sf_dir), ["key"], F.lit(FEE_A), F.lit(FEE_B))
 
 
 def edge_histogram(spark, sf_dir):
     top = ladders(spark, sf_dir).groupBy("key").agg(F.min(F.when(F.col("side") == "YES", F.col("price"))).alias("y"), F.min(F.when(F.col("side") == "NO", F.col("price"))).alias("n")).filter("y is not null and n is not null")
-    edge = 10000 - F.col("y") - F.col("n")
-    bucket = F.when(edge < 0, "<0").when(edge < 200, "0-2").when(edge < 500, "2-5").when(edge < 1000, "5-10").otherwise(">=10")
-    return top.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return detector.histogram(top.select((10000 - F.col("y") - F.col("n")).alias("edge")))
 
 
 def tokenize_df(spark, sf_dir):
@@ -143,14 +134,16 @@ def review_funnel(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (fee_curve, bids_to_asks, fill_price, max_fillable, edge_histogram, tokenize_df, jaccard_join, entities, resolution_days, rank_or_refuse, tier_dedupe, asof_pairs, sessions, latest_per_pair, funnel_abc, seq_gap, size_quartiles, review_funnel)}
 
 _LEVELS = """levels AS (SELECT key, side, price, CAST(sum(floor(size)) AS BIGINT) AS units FROM ladders GROUP BY ALL HAVING sum(floor(size)) > 0)"""
-_STOP = "['will','the','a','an','be','to','of','in','on','by','at','is','are','was','were','for','and','or','not','this','that','it','as','with','than','then','who','what','when','which','over','under','above','below','before','after','win','wins','beat']"
+_STOP = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
 _TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)))"
 
 ORACLE_SQL = {
     "fee_curve": f"WITH {V1} SELECT DISTINCT price, CAST({FEE.format(c=7, p='price')} AS BIGINT) AS fee_a, CAST({FEE.format(c=5, p='price')} AS BIGINT) AS fee_b FROM ladders",
     "bids_to_asks": f"WITH {V1} SELECT key, CASE WHEN side = 'YES' THEN 'NO' ELSE 'YES' END AS side, 10000 - price AS price, CAST(size AS BIGINT) AS size FROM ladders",
-    "fill_price": f"""WITH {V1}, {_LEVELS}, w AS (SELECT *, sum(units) OVER (PARTITION BY key, side ORDER BY price) AS hi FROM levels)
-SELECT key, side, CAST(CASE WHEN max(hi) >= 30 THEN sum(price * least(units, greatest(30 - (hi - units), 0))) END AS BIGINT) AS cost FROM w GROUP BY key, side""",
+    # every quarter of a share is walked here, one row each; 40 of them are 10 shares
+    "fill_price": f"""WITH {V1},
+u AS (SELECT key, side, price, row_number() OVER (PARTITION BY key, side ORDER BY price) AS n FROM (SELECT key, side, price, unnest(range(CAST(size AS BIGINT))) FROM ladders))
+SELECT key, side, CASE WHEN count(*) = 40 THEN CAST(floor(sum(price) / 40 * 100 + 0.5) AS BIGINT) END AS average FROM u WHERE n <= 40 GROUP BY key, side""",
     # every unit is walked here, one row each
     "max_fillable": f"""WITH {V1}, {_LEVELS},
 u AS (SELECT key, side, price, row_number() OVER (PARTITION BY key, side ORDER BY price) AS n FROM (SELECT key, side, price, unnest(range(units)) FROM levels)),
