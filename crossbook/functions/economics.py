@@ -13,10 +13,10 @@ BUFFER, CAP, STALE_SECONDS, GAP_SECONDS = 100, 1000, 2.0, 120
 
 
 def divided(n: Column, d: Column) -> Column:
-    """n / d for n >= 0 < d, rounded half to even in integers."""
+    """n / d for d > 0, rounded half to even in integers."""
     r = F.pmod(n, d)
-    q = ((n - r) / d).cast("long")
-    up = (2 * r > d) | ((2 * r == d) & (q % 2 == 1))
+    q = F.try_divide(n - r, d).cast("long")
+    up = (2 * r > d) | ((2 * r == d) & (F.pmod(q, F.lit(2)) == 1))
     return q + up.cast("long")
 
 

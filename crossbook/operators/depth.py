@@ -42,7 +42,7 @@ def average_fill(ladder: DataFrame, keys: list[str], shares: int) -> DataFrame:
 
 
 def hedges(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column, buffer: int = BUFFER, cap: int = CAP, deal: list[str] | None = None) -> DataFrame:
-    """Of each key: y and n, the best prices of either side; size, the largest number of whole contracts whose average
+    """Of each key: yes_best and no_best, the best prices of either side; size, the largest number of whole contracts whose average
     costs and fees clear the buffer, null without one; total_py, total_pn, total_fy, total_fn, its prices and fees.
 
     Sizes count up to ``cap``; fractions of each level are left out. ``deal``: the keys to deal by, if not all.
@@ -65,16 +65,16 @@ def hedges(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column,
     slope, least = 10000 - buffer - m, c0 - m * F.col("n0")
     falling = F.least("n1", F.floor((-least - 1) / F.greatest(-slope, F.lit(1))).cast("long"))
     size = F.when(slope < 0, F.when(least < 0, falling)).when(slope * F.col("n1") > least, F.col("n1"))
-    sized = cut.withColumn("n", F.when(F.col("part").isNotNull() & (size > F.col("n0")), size))
-    totals = F.struct(*[(F.col(f"before_{c}") + F.col(c) * (F.col("n") - F.col("n0"))).alias(f"total_{c}") for c in TOTALS])
+    sized = cut.withColumn("n1_viable", F.when(F.col("part").isNotNull() & (size > F.col("n0")), size))
+    totals = F.struct(*[(F.col(f"before_{c}") + F.col(c) * (F.col("n1_viable") - F.col("n0"))).alias(f"total_{c}") for c in TOTALS])
     best = lambda side: F.min(F.when(F.col("side") == side, F.col("price")))
-    found = sized.groupBy(*keys).agg(best("YES").alias("y"), best("NO").alias("n"), F.max("n").alias("size"), F.max_by(totals, "n").alias("at"))
-    return found.select(*keys, "y", "n", "size", "at.*")
+    found = sized.groupBy(*keys).agg(best("YES").alias("yes_best"), best("NO").alias("no_best"), F.max("n1_viable").alias("size"), F.max_by(totals, "n1_viable").alias("at"))
+    return found.select(*keys, "yes_best", "no_best", "size", "at.*")
 
 
 def largest_viable(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column, buffer: int = BUFFER, cap: int = CAP) -> DataFrame:
     """keys, size and the legs' total prices and fees at the largest size that clears the buffer; no row without one."""
-    return hedges(ladder, keys, yes_fee, no_fee, buffer, cap).filter("size is not null").drop("y", "n")
+    return hedges(ladder, keys, yes_fee, no_fee, buffer, cap).filter("size is not null").drop("yes_best", "no_best")
 
 
 def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int) -> DataFrame:
@@ -82,11 +82,14 @@ def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int) -> Dat
     turned = ladder.withColumn("direction", F.when((F.col("leg") == "a") == (F.col("side") == "YES"), 0).otherwise(1))
     straight = F.col("direction") == 0
     yes_fee, no_fee = F.when(straight, FEE_A).otherwise(FEE_B), F.when(straight, FEE_B).otherwise(FEE_A)
-    found = hedges(turned, [*keys, "direction"], yes_fee, no_fee, buffer, cap, deal=keys).filter("y is not null and n is not null")
+    found = hedges(turned, [*keys, "direction"], yes_fee, no_fee, buffer, cap, deal=keys).filter("yes_best is not null and no_best is not null")
     # Without a viable size, one contract on top of the book.
-    tops = {"py": F.col("y"), "pn": F.col("n"), "fy": fee_ticks(yes_fee, F.col("y")), "fn": fee_ticks(no_fee, F.col("n"))}
-    each = {name: F.coalesce(F.col(f"total_{c}") / F.col("size"), tops[c]) / 10000 for name, c in zip(("yes_fill", "no_fill", "yes_fee", "no_fee"), TOTALS, strict=True)}
-    out = found.select(*keys, "direction", F.coalesce("size", F.lit(0)).alias("size"), (F.col("y") / 10000).alias("yes_top"), (F.col("n") / 10000).alias("no_top"), *[v.alias(k) for k, v in each.items()], ((10000 - F.col("y") - F.col("n")) / 10000).alias("raw_top"))
+    tops = {"py": F.col("yes_best"), "pn": F.col("no_best"), "fy": fee_ticks(yes_fee, F.col("yes_best")), "fn": fee_ticks(no_fee, F.col("no_best"))}
+    totals = {f"total_{c}": F.coalesce(F.col(f"total_{c}"), tops[c]) for c in TOTALS}
+    found = found.withColumns({**totals, "contracts": F.coalesce("size", F.lit(1)), "size": F.coalesce("size", F.lit(0))})
+    each = [(F.col(f"total_{c}") / F.col("contracts") / 10000).alias(name) for name, c in zip(("yes_fill", "no_fill", "yes_fee", "no_fee"), TOTALS, strict=True)]
+    exact = ["contracts", *totals]
+    out = found.select(*keys, "direction", "size", (F.col("yes_best") / 10000).alias("yes_top"), (F.col("no_best") / 10000).alias("no_top"), *each, ((10000 - F.col("yes_best") - F.col("no_best")) / 10000).alias("raw_top"), *exact)
     return out.withColumn("raw_depth", 1 - F.col("yes_fill") - F.col("no_fill")).withColumn("net", F.col("raw_depth") - F.col("yes_fee") - F.col("no_fee"))
 
 
@@ -100,7 +103,7 @@ def evaluate(ladder: DataFrame, buffer: int = BUFFER, cap: int = CAP, require_ed
 
     ``ladder``: key, leg (a or b), side, price, size; pairs with a leg too old are left out before (``fresh``).
     A direction that no size clears is taken at one contract on top of the book, with size 0. Amounts are shares of
-    1, as doubles; of equal directions it is 0. With ``require_edge``, pairs whose better direction has no edge on top
+    1, as doubles, beside them ticks of all ``contracts`` (total_py, ...); of equal directions it is 0. With ``require_edge``, pairs whose better direction has no edge on top
     are left out.
     """
     keys = keys or ["key"]

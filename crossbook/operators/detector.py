@@ -85,10 +85,20 @@ def paired(candidates: DataFrame, a_books: DataFrame, b_books: DataFrame) -> Dat
     return candidates.join(sides[0], "a_id").join(sides[1], "b_id")
 
 
+def levels(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each level of both books: keys, leg, side, price (ticks), size."""
+
+    def side(leg: str, name: str) -> Column:
+        depth = F.coalesce(F.col(f"{leg}_book.{name.lower()}_depth"), F.array().cast("array<struct<price:double,size:double>>"))
+        return F.transform(depth, lambda x: F.struct(F.lit(leg).alias("leg"), F.lit(name).alias("side"), F.round(x["price"] * 10000).cast("long").alias("price"), x["size"].cast("double").alias("size")))
+
+    each = [side(leg, name) for leg in "ab" for name in ("YES", "NO")]
+    return pairs.select(*keys, F.explode(F.concat(*each)).alias("x")).select(*keys, "x.*")
+
+
 def ladders(pairs: DataFrame) -> DataFrame:
-    """A row for each level of both books: a_id, b_id, leg, side, price (ticks), size."""
-    levels = [F.transform(F.col(f"{leg}_book.{side.lower()}_depth"), lambda x, leg=leg, side=side: F.struct(F.lit(leg).alias("leg"), F.lit(side).alias("side"), F.round(x["price"] * 10000).cast("long").alias("price"), x["size"].cast("double").alias("size"))) for leg in "ab" for side in ("YES", "NO")]
-    return pairs.dropDuplicates(PAIR).select(*PAIR, F.explode(F.concat(*levels)).alias("x")).select(*PAIR, "x.*")
+    """Levels of the distinct pairs."""
+    return levels(pairs.dropDuplicates(PAIR), PAIR)
 
 
 def edges(pairs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """The report over a log of evaluations: funnel, spreads, sizes, windows of viability.
 
-A log row: a_id, b_id, us, raw_top, raw_depth, net, yes_fee, no_fee (ticks), size, question, resolution_match.
+Matches have ``ord``, their order in the file. Null ids are a pair like any other, but join no
+label; repeated log rows count; ties in time are in one window; an empty log gives a row of
+zeros and nulls. A log row: a_id, b_id, us, raw_top, raw_depth, net, yes_fee, no_fee (ticks), size, question, resolution_match.
 """
 
 from __future__ import annotations
@@ -28,18 +30,22 @@ def _mean(value: Column, only: Column) -> Column:
     return F.when(n > 0, divided(F.sum(F.when(only, value)), F.greatest(n, F.lit(1))))
 
 
+def current_labels(matches: DataFrame) -> DataFrame:
+    """a_id, b_id and ``label`` of each pair: of several, that with the largest ``ord`` (their order in the file), even if it is null."""
+    return matches.groupBy(*PAIR).agg(F.max_by(F.struct("resolution_match"), "ord").alias("x")).select(*PAIR, F.col("x.resolution_match").alias("label"))
+
+
 def labelled(log: DataFrame, matches: DataFrame) -> DataFrame:
     """The log with the matches' labels, even null ones, where a pair is among them; ``label`` is the matches' own."""
-    labels = matches.groupBy(*PAIR).agg(F.bool_or("resolution_match").alias("label")).withColumn("known", F.lit(True))
-    joined = log.join(labels, PAIR, "left")
+    joined = log.join(current_labels(matches).withColumn("known", F.lit(True)), PAIR, "left")
     return joined.withColumn("resolution_match", F.when(F.col("known"), F.col("label")).otherwise(F.col("resolution_match"))).drop("known")
 
 
 def in_scope(log: DataFrame, matches: DataFrame) -> DataFrame:
-    """Rows of pairs labelled true, or all rows if no match is labelled."""
-    reviewed = not matches.filter("resolution_match is not null").isEmpty()
-    rows = labelled(log, matches)
-    return rows.filter("label") if reviewed else rows
+    """Rows of pairs labelled true, or all rows if no pair is labelled."""
+    reviewed = current_labels(matches).agg((F.count("label") > 0).alias("reviewed"))
+    rows = labelled(log, matches).crossJoin(F.broadcast(reviewed))  # one row
+    return rows.filter("label or not reviewed").drop("reviewed")
 
 
 def windows(scope: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:

@@ -52,7 +52,7 @@ def book_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 def throttle_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     rows = e.select(F.col("user_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0).cast("long").alias("size"), (F.col("event_id") % 4).alias("edge"), F.when(F.col("event_id") % 5 < 3, "structured").otherwise("lexical").alias("method"))
-    return throttle.logged(rows)
+    return throttle.logged(rows).drop("n")
 
 
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e, labels = table(spark, sf_dir, "events"), table(spark, sf_dir, "labels")
     x = F.floor(F.col("value") * 100).cast("long") % 1000
     log = e.select(F.col("user_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (x - 300).alias("raw_top"), (x - 500).alias("raw_depth"), (x - 800).alias("net"), (F.col("event_id") % 90).alias("yes_fee"), (F.col("event_id") % 70).alias("no_fee"), (F.col("event_id") % 1001).alias("size"), F.lit("q").alias("question"), F.lit(None).cast("boolean").alias("resolution_match"))
-    return log, labels.select(F.col("doc_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), (F.col("quality") == 1).alias("resolution_match"))
+    return log, labels.select(F.col("doc_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), (F.col("quality") == 1).alias("resolution_match"), F.col("doc_id").alias("ord"))
 
 
 def backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:

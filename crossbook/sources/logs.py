@@ -1,11 +1,19 @@
-"""Files of candidates and opportunity logs, read and written by Spark."""
+"""Files of candidates and opportunity logs, read and written by Spark.
+
+Missing columns of a file are null; a line that isn't JSON is a row of nulls; repeated records stay,
+but for the latest of a pair. Null ids are a pair like any other.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from crossbook.functions.economics import divided
 
 CANDIDATE = "a_id string, b_id string, a_question string, b_question string, score double, delta_days int, resolution_match boolean, resolution_notes string, verified_by string, method string"
 RECORD = """timestamp string, a_id string, b_id string, question string, method string, strategy string, yes_platform string, no_platform string, size long,
@@ -14,9 +22,19 @@ _ROUNDED = ("yes_top", "no_top", "yes_fill", "no_fill", "raw_top", "raw_depth",
 TRUSTED = ("structured", "futures")
 
 
+def _read(spark: SparkSession, path: str, schema: str, **options: object) -> DataFrame:
+    """JSON rows; none if nothing is there."""
+    try:
+        return spark.read.schema(schema).options(**options).json(path)
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_candidates(spark: SparkSession, path: str, trusted: bool = False) -> DataFrame:
-    """A JSON array of candidates; with ``trusted`` only games and outrights."""
-    rows = spark.read.schema(CANDIDATE).option("multiLine", True).json(path)
+    """A JSON array of candidates, none without the file; with ``trusted`` only games and outrights."""
+    rows = _read(spark, path, CANDIDATE, multiLine=True)
     return rows.filter(F.col("method").isin(*TRUSTED)) if trusted else rows
 
 
@@ -28,12 +46,25 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def read_tracked(spark: SparkSession, path: str) -> DataFrame:
+    """a_id and b_id of the pairs in a file of latest records; none without the file."""
+    return _read(spark, path, RECORD).select("a_id", "b_id").distinct()
+
+
 def records(evaluated: DataFrame, names: tuple[str, str] = ("a", "b")) -> DataFrame:
-    """Log records of evaluations (with ts, a_id, b_id, question, method, resolution_match): four places, names of the legs."""
+    """Log records of evaluations (with ts, a_id, b_id, question, method, resolution_match): four places, names of the legs.
+
+    Amounts are rounded half to even from whole ticks. The time is UTC; without microseconds it has no fraction.
+    """
     legs = [F.lit(n) for n in names]
     yes, no = F.when(F.col("direction") == 0, legs[0]).otherwise(legs[1]), F.when(F.col("direction") == 0, legs[1]).otherwise(legs[0])
-    at = F.date_format(F.to_utc_timestamp("ts", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
-    named = evaluated.withColumns({"timestamp": at, "yes_platform": yes, "no_platform": no, "strategy": F.upper(F.concat(F.lit("YES_"), yes, F.lit("_NO_"), no)), **{c: F.round(c, 4) for c in _ROUNDED}})
+    utc = F.to_utc_timestamp("ts", F.current_timezone())
+    fraction = F.when(F.unix_micros("ts") % 1_000_000 != 0, F.date_format(utc, ".SSSSSS")).otherwise("")
+    at = F.concat(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("+00:00"))
+    n, py, pn, fy, fn = (F.col(c) for c in ("contracts", "total_py", "total_pn", "total_fy", "total_fn"))
+    ticks = {"yes_fill": py, "no_fill": pn, "yes_fee": fy, "no_fee": fn, "raw_depth": 10000 * n - py - pn, "net": 10000 * n - py - pn - fy - fn}
+    rounded = {c: divided(v, n) / 10000 for c, v in ticks.items()} | {c: F.round(c, 4) for c in ("yes_top", "no_top", "raw_top")}
+    named = evaluated.withColumns({"timestamp": at, "yes_platform": yes, "no_platform": no, "strategy": F.upper(F.concat(F.lit("YES_"), yes, F.lit("_NO_"), no)), **rounded})
     return named.select("timestamp", "a_id", "b_id", "question", "method", "strategy", "yes_platform", "no_platform", "size", *_ROUNDED, "resolution_match")
 
 
@@ -41,22 +72,74 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def latest_records(rows: DataFrame) -> DataFrame:
+    """The last record of each pair: by time, of equal times the largest record."""
+    moment = F.struct(F.try_to_timestamp("timestamp"), "timestamp")
+    return rows.groupBy("a_id", "b_id").agg(F.max_by(F.struct(*rows.columns), F.struct(moment, F.to_json(F.struct(*rows.columns)))).alias("x")).select("x.*")
+
+
 def write_latest(rows: DataFrame, path: str) -> None:
     """The last record of each pair."""
-    rows.groupBy("a_id", "b_id").agg(F.max_by(F.struct(*rows.columns), "timestamp").alias("x")).select("x.*").write.mode("overwrite").json(path)
+    latest_records(rows).write.mode("overwrite").json(path)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batches whose folders are complete, in order."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName().split("=")[1]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def read_latest(spark: SparkSession, path: str, before: int | None = None, schema: str = RECORD) -> DataFrame:
+    """The table that the newest batch left (of those before ``before``); none without one."""
+    found = [n for n in _versions(spark, path) if before is None or n < before]
+    return spark.read.schema(schema).json(f"{path}/batch={found[-1]}") if found else spark.createDataFrame([], schema)
 
 
 def stream_sinks(log: str, latest: str) -> Callable[[DataFrame, int], None]:
     """For foreachBatch: every record goes to the log in a folder of its batch, so a batch that runs again
-    replaces what it wrote; the latest ones of each batch lie beside it in the same way."""
+    replaces what it wrote. The latest record of each pair is merged from the batch before it and this one into
+    a table of its own number (``read_latest`` reads the newest)."""
 
     def write(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
         batch.write.mode("overwrite").json(f"{log}/batch={number}")
-        write_latest(batch, f"{latest}/batch={number}")
+        schema = ", ".join(f"`{n}` {t}" for n, t in batch.dtypes)
+        merged = latest_records(read_latest(batch.sparkSession, latest, number, schema).unionByName(batch))
+        merged.write.mode("overwrite").json(f"{latest}/batch={number}")
+        batch.unpersist()
 
     return write
 
 
+def write_candidates(candidates: DataFrame, path: str) -> None:
+    """One JSON array in the order of scores, a candidate a line; a single file, so a single task writes it."""
+    order = W.orderBy(F.desc("score"), "a_id", "b_id")
+    numbered = candidates.withColumn("_n", F.row_number().over(order))
+    last = candidates.count()
+    lines = numbered.select("_n", F.concat(F.to_json(F.struct(*candidates.columns)), F.when(F.col("_n") < last, ",").otherwise("")).alias("value"))
+    ends = candidates.sparkSession.createDataFrame([(0, "["), (last + 1, "]")], "_n int, value string")
+    lines.unionByName(ends).repartition(1).sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
+
+
+def write_report(report: DataFrame, windows: DataFrame, path: str) -> None:
+    """The report's row as JSON, and beside it all windows by best spread."""
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/report")
+    by_spread(windows).write.mode("overwrite").json(f"{path}/windows")
+
+
+def by_spread(windows: DataFrame) -> DataFrame:
+    """Windows from the best spread down; ties by pair and window."""
+    return windows.orderBy(F.desc("best_net"), "a_id", "b_id", "window")
+
+
+def top_windows(windows: DataFrame, n: int = 10) -> DataFrame:
+    return by_spread(windows).limit(n)
+
+
 def review(candidates: DataFrame, a_rules: DataFrame, b_rules: DataFrame) -> DataFrame:
     """Candidates with the rules of both sides (id, rules), for people to judge; without rules, null."""
     left, right = (r.select(F.col("id").alias(f"{s}_id"), F.col("rules").alias(f"{s}_rules")) for r, s in ((a_rules, "a"), (b_rules, "b")))

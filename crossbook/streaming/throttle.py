@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 HEARTBEAT_US = 30_000_000
@@ -36,17 +37,26 @@ def _over_sorted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         parts = []
         for key, rows in batch.groupby(PAIR, sort=False):
-            keep, last = _taken(rows, last if key == pair else _NONE)
+            if key != pair:
+                first = rows.iloc[0]
+                last = _NONE if pd.isna(first["last_us"]) else (int(first["last_us"]), int(first["last_edge"]))
+            keep, last = _taken(rows, last)
             pair = key
             parts.append(rows[keep])
         if parts:
-            yield pd.concat(parts)
+            yield pd.concat(parts)[[*_COLUMNS, "n"]]
 
 
-def logged(evaluations: DataFrame) -> DataFrame:
-    """The rows of a finished log; a row without pair, time, size or edge isn't logged."""
-    rows = evaluations.select(*_COLUMNS).na.drop(subset=_COLUMNS[:5])
-    return rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "us", "edge", "size").mapInPandas(_over_sorted, SCHEMA)
+def logged(evaluations: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """The rows of a finished log, and their ``n`` (order among equals, 0 without one); a row without pair, time,
+    size or edge isn't logged. ``before``: a_id, b_id, last_us, last_edge of pairs that were logged earlier."""
+    ordered = evaluations if "n" in evaluations.columns else evaluations.withColumn("n", F.lit(0).cast("long"))
+    rows = ordered.select(*_COLUMNS, "n").na.drop(subset=_COLUMNS[:5])
+    if before is None:
+        rows = rows.withColumns({"last_us": F.lit(None).cast("long"), "last_edge": F.lit(None).cast("long")})
+    else:
+        rows = rows.join(before, PAIR, "left")
+    return rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "us", "n", "edge", "size").mapInPandas(_over_sorted, f"{SCHEMA}, n long")
 
 
 def _over_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

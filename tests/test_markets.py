@@ -2,15 +2,19 @@
 
 import json
 import random
+from collections import Counter
 from datetime import UTC, datetime
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from crossbook.operators import books, depth, report, resolution
-from crossbook.sources import logs, venues
-from crossbook.streaming import throttle
+from crossbook.functions import economics
+from crossbook.operators import books, depth, detector, matching, report, resolution
+from crossbook.sources import logs, pages, venues
+from crossbook.streaming import books as stream_books
+from crossbook.streaming import live, throttle
 
 
 @pytest.fixture(scope="module")
@@ -37,7 +41,7 @@ def game_b(slug, start, first, second, league="MLB", long=0):
 
 
 def test_game_start(spark):
-    cases = {"26JUL081845HOUWSH": datetime(2026, 7, 8, 22, 45), "26SEP14DALSEA": datetime(2026, 9, 14, 4), "26FEB30AB": None, "26JUL082545AB": None, "26JUL08": None, "x": None, None: None, "26MAR080230AB": datetime(2026, 3, 8, 7, 30), "26NOV010130AB": datetime(2026, 11, 1, 5, 30)}
+    cases = {"26JUL081845HARWIL": datetime(2026, 7, 8, 22, 45), "26SEP14ELKOAK": datetime(2026, 9, 14, 4), "26FEB30AB": None, "26JUL082545AB": None, "26JUL08": None, "x": None, None: None, "26MAR080230AB": datetime(2026, 3, 8, 7, 30), "26NOV010130AB": datetime(2026, 11, 1, 5, 30)}
     got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", venues.game_start(F.col("s")).alias("t")).collect()
     assert {r.s: r.t and r.t.astimezone(UTC).replace(tzinfo=None) for r in got} == cases
 
@@ -45,20 +49,20 @@ def test_game_start(spark):
 def test_listing_a(spark):
     rows = listing_a(
         spark,
-        ("Finals: Houston vs. Washington 2: Moneyline", ("KXMLBGAME-26JUL081845HOUWSH-HOU", "Houston"), ("KXMVE-1", "x"), ("KXMLBGAME-1-A", "Houston", {"yes_ask_dollars": None})),
-        ("Open Winner", ("KXPGA-OPEN-LUDA", "Ludvig Åberg"), ("KXPGA-OPEN-N", "Novak"), ("KXPGA-OPEN-D", "Ann", {"expiration_time": "", "close_time": None})),
+        ("Finals: Harbor vs. Willow 2: Moneyline", ("KXMLBGAME-26JUL081845HARWIL-HAR", "Harbor"), ("KXMVE-1", "x"), ("KXMLBGAME-1-A", "Harbor", {"yes_ask_dollars": None})),
+        ("Open Winner", ("KXPGA-OPEN-TOMO", "Tomas Orná"), ("KXPGA-OPEN-N", "Nora"), ("KXPGA-OPEN-D", "Ann", {"expiration_time": "", "close_time": None})),
     ).collect()
-    assert [r.id for r in rows] == ["a:KXMLBGAME-26JUL081845HOUWSH-HOU", "a:KXPGA-OPEN-LUDA", "a:KXPGA-OPEN-N"]
-    assert rows[0].event.competitors == ["Houston", "Washington"] and rows[0].event.yes_abbrev == "hou" and rows[0].futures is None
-    assert rows[1].event is None and rows[1].futures.entity == "Ludvig Åberg" and rows[1].futures.competition == "Open Winner"
+    assert [r.id for r in rows] == ["a:KXMLBGAME-26JUL081845HARWIL-HAR", "a:KXPGA-OPEN-TOMO", "a:KXPGA-OPEN-N"]
+    assert rows[0].event.competitors == ["Harbor", "Willow"] and rows[0].event.yes_abbrev == "har" and rows[0].futures is None
+    assert rows[1].event is None and rows[1].futures.entity == "Tomas Orná" and rows[1].futures.competition == "Open Winner"
     assert rows[2].futures is None and rows[2].yes_bid == 0.40
 
 
 def test_listing_b(spark):
     cut = 'This market resolves to "Yes" if Spain wins the cup, scheduled for July. More.'
-    rows = listing_b(spark, game_b("g", "2026-07-08T22:45:00Z", ("Houston Astros", "HOU"), ("Washington Nationals", "WSH"), "T20x"), {"slug": "f-spa", "marketType": "futures", "title": "Spain", "question": "Cup Winner", "description": cut}, {"slug": "bad", "outcomes": "no json"}, {"slug": "shut", "closed": True}, {"slug": "q", "question": "Rain?"}).collect()
+    rows = listing_b(spark, game_b("g", "2026-07-08T22:45:00Z", ("Harbor Larks", "HAR"), ("Willow Rams", "WIL"), "T20x"), {"slug": "f-spa", "marketType": "futures", "title": "Spain", "question": "Cup Winner", "description": cut}, {"slug": "bad", "outcomes": "no json"}, {"slug": "shut", "closed": True}, {"slug": "q", "question": "Rain?"}).collect()
     assert [r.id for r in rows] == ["b:g", "b:f-spa", "b:q"]
-    assert rows[0].question == "Will Houston Astros win Houston Astros vs. Washington Nationals?" and rows[0].event.league == "cricket" and rows[0].aliases == ["Houston Astros vs. Washington Nationals"]
+    assert rows[0].question == "Will Harbor Larks win Harbor Larks vs. Willow Rams?" and rows[0].event.league == "cricket" and rows[0].aliases == ["Harbor Larks vs. Willow Rams"]
     assert rows[1].question == "Spain wins the cup" and rows[1].aliases == ["Cup Winner"] and rows[1].futures.entity_abbrev == "spa"
     assert rows[2].question == "Rain?" and rows[2].aliases == []
 
@@ -74,36 +78,36 @@ def test_books(spark):
 def test_match_games(spark):
     a = listing_a(
         spark,
-        ("Houston vs Washington", ("KXMLBGAME-26JUL081845HOUWSH-HOU", "Houston"), ("KXMLBGAME-26JUL081845HOUWSH-WSH", "Washington")),
-        ("Pegula vs Gauff", ("KXWTAMATCH-26JUL08PEGGAU-PEG", "Jessica Pegula")),
-        ("York vs York", ("KXNBAGAME-26JUL08YORYOR-YOR", "York")),
+        ("Harbor vs Willow", ("KXMLBGAME-26JUL081845HARWIL-HAR", "Harbor"), ("KXMLBGAME-26JUL081845HARWIL-WIL", "Willow")),
+        ("Stone vs Finch", ("KXWTAMATCH-26JUL08STOFIN-STO", "Ada Stone")),
+        ("Yarn vs Yarn", ("KXNBAGAME-26JUL08YARYAR-YAR", "Yarn")),
     )
     b = listing_b(
         spark,
-        game_b("swapped", "2026-07-08T22:45:00Z", ("Washington Nationals", "WSH"), ("Houston Astros", "HOU"), long=1),
-        game_b("late", "2026-07-12T22:45:00Z", ("Washington Nationals", "WSH"), ("Houston Astros", "HOU")),
-        game_b("unlisted", "2026-07-08T15:00:00Z", ("Coco Gauff", "GAU"), ("Jessica Pegula", "PEG"), "WTA"),
-        game_b("peg", "2026-07-08T15:00:00Z", ("Coco Gauff", "GAU"), ("Jessica Pegula", "PEG"), "WTA", 1),
-        game_b("derby", "2026-07-08T15:00:00Z", ("York", "Y1"), ("York City", "Y2"), "NBA"),
-        game_b("other", "2026-07-08T22:45:00Z", ("New York Mets", "NYM"), ("Houston Astros", "HOU")),
+        game_b("swapped", "2026-07-08T22:45:00Z", ("Willow Rams", "WIL"), ("Harbor Larks", "HAR"), long=1),
+        game_b("late", "2026-07-12T22:45:00Z", ("Willow Rams", "WIL"), ("Harbor Larks", "HAR")),
+        game_b("unlisted", "2026-07-08T15:00:00Z", ("Bea Finch", "FIN"), ("Ada Stone", "STO"), "WTA"),
+        game_b("peg", "2026-07-08T15:00:00Z", ("Bea Finch", "FIN"), ("Ada Stone", "STO"), "WTA", 1),
+        game_b("derby", "2026-07-08T15:00:00Z", ("Yarn", "Y1"), ("Yarn City", "Y2"), "NBA"),
+        game_b("other", "2026-07-08T22:45:00Z", ("Old Town Jays", "OTJ"), ("Harbor Larks", "HAR")),
     )
     got = {(r.a_id, r.b_id): (r.score, r.delta_days) for r in resolution.match_games(a, b).collect()}
-    assert got == {("a:KXMLBGAME-26JUL081845HOUWSH-HOU", "b:swapped"): (0.85, 11), ("a:KXWTAMATCH-26JUL08PEGGAU-PEG", "b:peg"): (0.85, 11)}
+    assert got == {("a:KXMLBGAME-26JUL081845HARWIL-HAR", "b:swapped"): (0.85, 11), ("a:KXWTAMATCH-26JUL08STOFIN-STO", "b:peg"): (0.85, 11)}
 
 
 def test_match_outrights_and_tiers(spark):
-    a = listing_a(spark, ("2026 Scottish Open Winner", ("KXPGA-1-LUD", "Ludvig Åberg"), ("KXPGA-1-RM", "Rory McIlroy")), ("Tour Stage 9 Winner", ("KXT-9-TP", "Tadej Pogacar")))
+    a = listing_a(spark, ("2026 Lake Open Winner", ("KXPGA-1-TOM", "Tomas Orná"), ("KXPGA-1-KV", "Kim Vale")), ("Tour Stage 9 Winner", ("KXT-9-OR", "Ono Reef")))
     future = lambda slug, who, where, **k: {"slug": slug, "title": who, "question": where, "marketType": "futures"} | k
-    b = listing_b(spark, future("x-lud", "Ludvig Aberg", "Scottish Open Winner"), future("y-rm", "Rory McIlroy", "Scottish Open Winner"), future("z-rm", "Rory McIlroy", "Scottish Open Winner"), future("t", "Tadej Pogacar", "Tour Winner"), future("far", "Ludvig Aberg", "Scottish Open Winner", endDate="2027-07-22T00:00:00Z"))
-    assert {(r.a_id, r.b_id, r.score) for r in resolution.match_outrights(a, b).collect()} == {("a:KXPGA-1-LUD", "b:x-lud", 1.0)}
-    assert [(r.a_id, r.tier, r.method) for r in resolution.match_all(a, b).collect()] == [("a:KXPGA-1-LUD", 1, "futures")]
+    b = listing_b(spark, future("x-tom", "Tomas Orna", "Lake Open Winner"), future("y-kv", "Kim Vale", "Lake Open Winner"), future("z-kv", "Kim Vale", "Lake Open Winner"), future("t", "Ono Reef", "Tour Winner"), future("far", "Tomas Orna", "Lake Open Winner", endDate="2027-07-22T00:00:00Z"))
+    assert {(r.a_id, r.b_id, r.score) for r in resolution.match_outrights(a, b).collect()} == {("a:KXPGA-1-TOM", "b:x-tom", 1.0)}
+    assert [(r.a_id, r.tier, r.method) for r in resolution.match_all(a, b).collect()] == [("a:KXPGA-1-TOM", 1, "futures")]
 
 
 def test_match_questions(spark):
-    a = listing_a(spark, (None, ("R-1", "x", {"title": "Will rainfall in Paris exceed 40 mm in July?"}), ("R-2", "x", {"title": "Will snow fall?"})))
-    b = listing_b(spark, {"slug": "p", "question": "Will rainfall in Paris exceed 40 mm in July"}, {"slug": "q", "question": "Paris rainfall"}, {"slug": "r", "question": "Rain in Paris?", "description": "Will rainfall in Paris exceed 40 mm in July? Yes."}, {"slug": "s", "question": "Will rainfall in Paris exceed 40 mm in July", "endDate": "2027-01-01"})
+    a = listing_a(spark, (None, ("R-1", "x", {"title": "Will hail in Marl exceed 40 mm in July?"}), ("R-2", "x", {"title": "Will snow fall?"})))
+    b = listing_b(spark, {"slug": "p", "question": "Will hail in Marl exceed 40 mm in July"}, {"slug": "q", "question": "Marl hail"}, {"slug": "r", "question": "Hail in Marl?", "description": "Will hail in Marl exceed 40 mm in July? Yes."}, {"slug": "s", "question": "Will hail in Marl exceed 40 mm in July", "endDate": "2027-01-01"})
     got = {r.b_id: r for r in resolution.match_questions(a, b, days=11).collect()}
-    assert set(got) == {"b:p", "b:r"} and got["b:r"].score == 1.0 and got["b:r"].delta_days == 11 and got["b:p"].score == round(0.5 + 0.5 * 86 / 87, 4)
+    assert set(got) == {"b:p", "b:r"} and got["b:r"].score == 1.0 and got["b:r"].delta_days == 11 and got["b:p"].score == round(0.5 + 0.5 * 76 / 77, 4)
 
 
 def test_level_states(spark):
@@ -166,9 +170,201 @@ def evaluations(n):
     return [(rng.choice("uvw"), "b", 1_000_000 * i, rng.choice([0, 0, 5]), rng.choice([10, 20]), rng.choice(["structured", "lexical"])) for i in range(n)]
 
 
+def test_average_fill(spark):
+    rows = [(1, 4000, 50.0), (1, 4500, 100.0), (2, 4000, 0.5), (2, 4500, 0.5), (3, 4000, 50.0), (None, 100, 90.0), (3, 4000, 30.5)]
+    df = spark.createDataFrame(rows, "key int, price long, size double")
+    at = lambda n: {r.key: r.average for r in depth.average_fill(df, ["key"], n).collect()}
+    assert at(80) == {1: 4187.5, 2: None, 3: 4000.0, None: 100.0}
+    assert at(1)[2] == 4250.0 and set(at(0).values()) == {None}
+    assert depth.average_fill(df.limit(0), ["key"], 1).count() == 0
+
+
+def units(levels):
+    return [p for p, n in sorted(levels) for _ in range(int(n))]
+
+
+def ticks_fee(c, p):
+    n = c * p * (10000 - p)
+    q, r = divmod(n, 1_000_000)
+    return q + (2 * r > 1_000_000 or (2 * r == 1_000_000 and q % 2 == 1))
+
+
+def test_hedges_by_walking_units(spark):
+    rng, rows = random.Random(3), []
+    for key in range(150):
+        for side in ("YES", "NO"):
+            rows += [(key, side, rng.choice([rng.randrange(3000, 5600), 4000, 5000]), rng.choice([0.0, 0.4, 1.0, 2.5, 7.0, 40.0])) for _ in range(rng.randrange(6))]
+    rows += [(200, "YES", 3000, 2000.0), (200, "NO", 3000, 2000.0), (201, "YES", None, 5.0), (201, "NO", 100, 5.0)]
+    want = {}
+    for key in {r[0] for r in rows}:
+        legs = [[(p, n) for k, s, p, n in rows if k == key and s == side and p is not None] for side in ("YES", "NO")]
+        sums = [0, 0, 0, 0]
+        for n, (y, x) in enumerate(zip(*map(units, legs), strict=False), 1):
+            if n > 1000:
+                break
+            sums = [a + b for a, b in zip(sums, (y, x, ticks_fee(7, y), ticks_fee(5, x)), strict=True)]
+            if 10000 * n - sum(sums) > 100 * n:
+                want[key] = (n, *sums)
+    df = spark.createDataFrame(rows, "key int, side string, price long, size double")
+    got = {r.key: tuple(r)[1:] for r in depth.largest_viable(df, ["key"], F.lit(7), F.lit(5)).collect()}
+    assert got == want and got[200][0] == 1000 and len(want) > 30
+
+
+def test_fees_by_platform(spark):
+    fees = spark.createDataFrame([("a", 5000), ("b", 5000), ("b", 4200)], "platform string, p long").select(economics.taker_fee_ticks(F.col("platform"), F.col("p")).alias("f"), economics.maker_rebate_ticks(F.col("p")).alias("m"))
+    assert [tuple(r) for r in fees.collect()] == [(175, -31), (125, -31), (122, -30)]
+    for bad in ("c", None):
+        with pytest.raises(Exception, match="no fee for platform"):
+            spark.createDataFrame([(bad, 1)], "platform string, p long").select(economics.taker_fee_ticks(F.col("platform"), F.col("p"))).collect()
+    n = [(a, b) for a in (-7, -5, -3, -1, 0, 1, 3, 5, 15, 25) for b in (2, 3, 10)]
+    got = spark.createDataFrame(n, "n long, d long").select("n", "d", economics.divided(F.col("n"), F.col("d")).alias("q")).collect()
+    assert all(r.q == round(Fraction(r.n, r.d)) for r in got)
+
+
+def test_pages(spark, tmp_path):
+    market = {"ticker": "T"}
+    page = lambda run, n, cursor, k: {"run": run, "page": n, "cursor": cursor, "events": [{"title": f"{n}.{i}", "markets": [market]} for i in range(k)]}
+    found = [page("r", 0, "c1", 2), page("r", 1, "c2", 1), page("r", 2, "", 1), page("r", 3, "c4", 1), page("stuck", 0, "c", 1), page("stuck", 1, "c", 1), page("stuck", 2, "d", 1), page("bare", 0, "x", 0), page("bare", 1, "y", 1), page("end", 0, None, 1), page("end", 1, "y", 1)]
+    (tmp_path / "a.json").write_text("\n".join(map(json.dumps, found)) + "\nno json\n")
+    rows = pages.listing_a(pages.read_pages(spark, str(tmp_path / "a.json"), pages.PAGE_A)).orderBy("run", "ord").collect()
+    assert [(r.run, r.title) for r in rows] == [("end", "0.0"), ("r", "0.0"), ("r", "0.1"), ("r", "1.0"), ("r", "2.0"), ("stuck", "0.0"), ("stuck", "1.0")]
+    assert rows[2].ord == 1 and rows[3].ord == 1 << 32 and rows[0].markets[0].ticker == "T"
+    found = [{"run": "r", "page": n, "markets": [{"slug": f"{n}.{i}"} for i in range(k)]} for n, k in enumerate((3, 3, 2, 3))]
+    (tmp_path / "b.json").write_text("\n".join(map(json.dumps, found)))
+    rows = pages.listing_b(pages.read_pages(spark, str(tmp_path / "b.json"), pages.PAGE_B), page_size=3)
+    assert sorted(r.slug for r in rows.collect()) == ["0.0", "0.1", "0.2", "1.0", "1.1", "1.2", "2.0", "2.1"]
+    assert venues.markets_b(rows).count() == 0
+    lines = spark.createDataFrame([("t", '{"orderbook_fp": {"yes_dollars": [["0.4", "5"]]}}'), ("u", "<html>"), ("v", None), ("w", "{}")], "id string, value string")
+    assert {r.id: r.book and r.book.orderbook_fp.yes_dollars for r in pages.replies(lines).collect()} == {"t": [["0.4", "5"]], "u": None, "v": None, "w": None}
+    messages = spark.createDataFrame([("x", 1), ("y", 2)], "marketSlug string, us long")
+    assert [r.marketSlug for r in pages.known_only(messages, spark.createDataFrame([("y",), ("y",)], "slug string")).collect()] == ["y"]
+    assert pages.book_of(lines, "u").count() == 1 and pages.book_of(lines, "none").count() == 0
+
+
+def test_detector(spark):
+    c = spark.createDataFrame([("a:1", "b:x:1", "q", "p", 0.9, "lexical"), ("a:2", "b:y", "q", "p", 0.8, "futures"), ("a:3", "b:y", "q", "p", 0.8, "lexical"), ("a:4", "b:none", "q", "p", 0.7, None)], "a_id string, b_id string, a_question string, b_question string, score double, method string")
+    level = "array<struct<price:double,size:double>>"
+    book = lambda i, y, n, us=0: (i, [(y, 10.0)], [(n, 10.0)], us)
+    a = spark.createDataFrame([book("a:1", 0.4, 0.9), book("a:2", 0.5, 0.6), book("a:3", 0.2, 0.2, -5_000_000), book("a:4", 0.1, 0.1)], f"id string, yes_depth {level}, no_depth {level}, updated_us long")
+    b = spark.createDataFrame([book("b:x:1", 0.9, 0.5), book("b:y", 0.3, 0.4)], a.schema)
+    pairs = detector.paired(c, a, b)
+    assert {(r.a_id, r.edge) for r in detector.edges(pairs).collect()} == {("a:1", 1000), ("a:2", 1000), ("a:3", 5000)}
+    assert [r.edge for r in detector.extreme_edges(detector.edges(pairs), 2).collect()] == [5000]
+    found = detector.opportunities(pairs)
+    assert sorted((r.a_id, r.direction, r.size) for r in found.collect()) == [("a:1", 0, 10), ("a:2", 0, 10), ("a:2", 1, 10), ("a:3", 0, 10), ("a:3", 1, 10)]
+    assert {r.a_id for r in detector.opportunities(pairs, now_us=0, max_seconds=2.0).collect()} <= {"a:1", "a:2"}
+    assert [r.a_id for r in detector.best_opportunities(found, 2).collect()][0] == "a:3"
+    assert tuple(detector.distinct_keys(c).first()) == (4, 4, 3)
+    assert {r.method: r.n for r in detector.by_method(c).collect()} == {"lexical": 2, "futures": 1, None: 1}
+    assert [r.a_id for r in detector.top_candidates(c, 3).collect()] == ["a:1", "a:2", "a:3"]
+    assert sorted((r.id, r.leg, r.a_id) for r in detector.index(c).filter("id = 'b:y'").collect()) == [("b:y", "b", "a:2"), ("b:y", "b", "a:3")]
+    assert detector.needed(b, c).count() == 2 and detector.both_venues(a, b).count() == 6
+    assert [r.us for r in detector.first_books(spark.createDataFrame([("s", 5, 0), ("s", 3, 1), ("s", 3, 0)], "id string, us long, ord long")).collect()] == [3]
+    assert detector.opportunities(pairs.limit(0)).count() == 0
+    keys = spark.createDataFrame([("a:x:y",), ("none",), (None,)], "i string").select(detector.key_of(F.col("i")).alias("k"), detector.venue_of(F.col("i")).alias("v")).collect()
+    assert [r.k for r in keys] == ["x:y", None, None] and keys[0].v == "a"
+
+
+def test_book_stream(spark, tmp_path):
+    rng, rows = random.Random(5), []
+    for conn in "pq":
+        on = 0
+        for i in range(120):
+            on += 1 + (rng.random() < 0.03)
+            kind = rng.choice(["snapshot", *["delta"] * 9])
+            levels = [["0.30", str(rng.randint(1, 9))], ["0.4", "2.5"]] if kind == "snapshot" else None
+            rows.append((conn, i, on, kind, rng.choice("xy"), levels, None, rng.choice(["yes", "no", "odd"]), rng.choice(["0.3", "0.30", None]), str(rng.randint(-6, 6))))
+    kinds = "conn string, ord long, seq long, type string, ticker string, yes array<array<string>>, no array<array<string>>, side string, price string, delta string"
+    for k in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 40 == k], kinds).coalesce(1).write.json(str(tmp_path / "in" / f"k={k}"))
+    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in" / "*"))
+    query = stream_books.book_stream(stream).writeStream.format("memory").queryName("books_out").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {(r.conn, r.ord): (r.ticker, {x.price: x.size for x in r.yes}, {x.price: x.size for x in r.no}) for r in spark.table("books_out").collect()}
+    want, books, last = {}, {}, {}
+    for conn, ord_, seq, kind, ticker, yes, _, side, price, delta in rows:
+        gap = conn in last and seq != last[conn] + 1
+        last[conn] = seq
+        if gap:
+            books[conn] = {}
+            continue
+        book = books.setdefault(conn, {}).setdefault(ticker, {"yes": {}, "no": {}})
+        if kind == "snapshot":
+            book["yes"], book["no"] = {p: float(s) for p, s in yes}, {}
+        elif side != "odd" and price:
+            book[side][price] = book[side].get(price, 0.0) + float(delta)
+            if book[side][price] <= 1e-9:
+                del book[side][price]
+        else:
+            continue
+        want[conn, ord_] = (ticker, dict(book["yes"]), dict(book["no"]))
+    assert got == want
+
+
+def test_live_path(spark, tmp_path):
+    rng, rows = random.Random(7), []
+    for i in range(240):
+        leg = rng.choice("ab")
+        key = rng.choice(["a:1", "a:2", "a:3"]) if leg == "a" else rng.choice(["b:1", "b:2", "b:9"])
+        rows.append((key, 700_000 * i, [(rng.choice([0.40, 0.45, 0.50]), 5.0)], [(rng.choice([0.45, 0.50, 0.60]), 3.0)]))
+    level = "array<struct<price:double,size:double>>"
+    schema = f"id string, us long, yes_depth {level}, no_depth {level}"
+    for k in range(3):
+        spark.createDataFrame(rows[80 * k : 80 * k + 80], schema).coalesce(1).write.json(str(tmp_path / "in" / f"k={k}"))
+    pairs = [("a:1", "b:1", "structured"), ("a:2", "b:2", "futures"), ("a:3", "b:2", "structured")]
+    candidates = spark.createDataFrame([(a, b, "q", "p", 1.0, m, None) for a, b, m in pairs], "a_id string, b_id string, a_question string, b_question string, score double, method string, resolution_match boolean")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
+    counts = []
+    sinks = live.live_sinks(*(str(tmp_path / x) for x in ("log", "latest", "last")), counted=counts.append)
+    query = live.met(stream, candidates).writeStream.foreachBatch(sinks).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert query.exception() is None
+    books, last, want, newest = {}, {}, [], {}
+    for key, us, yes, no in rows:
+        books[key] = (us, yes[0][0], no[0][0])
+        for a, b, method in pairs:
+            if key not in (a, b) or a not in books or b not in books or abs(books[a][0] - books[b][0]) > 2_000_000:
+                continue
+            best = None
+            for d, (y, n, cy, cn) in enumerate(((books[a][1], books[b][2], 7, 5), (books[b][1], books[a][2], 5, 7))):
+                y, n = round(y * 10000), round(n * 10000)
+                net = 10000 - y - n - ticks_fee(cy, y) - ticks_fee(cn, n)
+                if best is None or net > best[0]:
+                    best = (net, d, 3 if net > 100 else 0, 10000 - y - n)
+            newest[a, b] = (us, best[2], best[1])
+            t, e = last.get((a, b), (None, None))
+            if (best[2] > 0 or (method == "structured" and best[3] != e)) and (t is None or us - t >= throttle.HEARTBEAT_US):
+                want.append((a, b, us, best[2]))
+                last[a, b] = us, best[3]
+    when = lambda r: round(datetime.fromisoformat(r.timestamp).timestamp() * 1e6)
+    got = [(r.a_id, r.b_id, when(r), r.size) for r in spark.read.schema(logs.RECORD).json(str(tmp_path / "log")).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 4
+    latest = {(r.a_id, r.b_id): (when(r), r.size, int(r.strategy == "YES_B_NO_A")) for r in logs.read_latest(spark, str(tmp_path / "latest")).collect()}
+    assert latest == newest and counts[-1]["tracked"] == len(newest)
+
+
+def test_jaccard_join_by_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.sample(words[: rng.choice((6, 12, 30))], rng.randrange(0, 7)))) for i in range(200)] + [(None, "w1 w2"), (500, None), (501, "w1 w2"), (501, "w1 w2")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    a, b = df.filter("id % 2 = 0 or id is null"), df.filter("id % 2 = 1 or id is null")
+    sets = {i: set((t or "").split()) for i, t in rows}
+    count = Counter(w for i in sets if i is not None and i % 2 for w in sets[i])
+    for limit in (None, 25):
+        want = set()
+        for x in (i for i in sets if i is not None and i % 2 == 0):
+            for y in (i for i in sets if i is not None and i % 2):
+                both = sets[x] & sets[y]
+                if both and len(both) * 100 >= 75 * len(sets[x] | sets[y]) and (limit is None or any(count[w] <= limit for w in both)):
+                    want.add((x, y, len(both), len(sets[x] | sets[y])))
+        assert {tuple(r) for r in matching.jaccard_join(a, b, 75, limit).collect()} == want and want
+    assert matching.jaccard_join(a, b.limit(0), 75).count() == 0
+
+
 def test_throttle(spark):
     rows = evaluations(600)
-    assert sorted(map(tuple, throttle.logged(spark.createDataFrame(rows, throttle.SCHEMA)).collect())) == heartbeat(rows)
+    assert sorted(map(tuple, throttle.logged(spark.createDataFrame(rows, throttle.SCHEMA)).drop("n").collect())) == heartbeat(rows)
     assert throttle.logged(spark.createDataFrame([(None, "b", 1, 1, 1, "x")], throttle.SCHEMA)).count() == 0
 
 
@@ -192,29 +388,46 @@ def test_files(spark, tmp_path):
     (tmp_path / "l" / "x.json").write_text("\n")
     with pytest.raises(ValueError):
         logs.read_log(spark, str(tmp_path / "l"))
-    found = spark.sql("SELECT timestamp'2026-07-08 22:45:00' ts, 'a:1' a_id, 'b:1' b_id, 'q' question, 'structured' method, 0 direction, 3L size, 0.40001D yes_top, 0.5D no_top, 0.4D yes_fill, 0.5D no_fill, 0.1D raw_top, 0.1D raw_depth, 0.01D yes_fee, 0.02D no_fee, 0.07D net, true resolution_match")
+    found = spark.sql("SELECT timestamp'2026-07-08 22:45:00.5' ts, 2L contracts, 8000L total_py, 10000L total_pn, 201L total_fy, 401L total_fn, 'a:1' a_id, 'b:1' b_id, 'q' question, 'structured' method, 0 direction, 3L size, 0.40001D yes_top, 0.5D no_top, 0.4D yes_fill, 0.5D no_fill, 0.1D raw_top, 0.1D raw_depth, 0.01D yes_fee, 0.02D no_fee, 0.07D net, true resolution_match")
     rows = logs.records(found, ("x", "y"))
     assert rows.columns == spark.createDataFrame([], logs.RECORD).columns
     logs.append_log(rows, str(tmp_path / "log"))
     got = logs.read_log(spark, str(tmp_path / "log")).first()
-    assert (got.strategy, got.yes_top, got.timestamp) == ("YES_X_NO_Y", 0.4, "2026-07-08T22:45:00.000000+00:00")
+    assert (got.strategy, got.yes_top, got.timestamp) == ("YES_X_NO_Y", 0.4, "2026-07-08T22:45:00.500000+00:00")
+    # 100.5 and 200.5 ticks go to the even ones, 1,398 / 2 is whole.
+    assert (got.yes_fill, got.yes_fee, got.no_fee, got.raw_depth, got.net) == (0.4, 0.01, 0.02, 0.1, 0.0699)
+    whole = logs.records(found.withColumn("ts", F.expr("timestamp'2026-01-01 00:00:00'"))).first()
+    assert whole.timestamp == "2026-01-01T00:00:00+00:00"
+    assert logs.read_candidates(spark, str(tmp_path / "none")).count() == logs.read_tracked(spark, str(tmp_path / "none")).count() == 0
+    found = [{"a_id": f"a:{i}", "b_id": "b", "score": i / 4, "method": "lexical"} for i in (1, 3, 2)]
+    logs.write_candidates(spark.createDataFrame(found, logs.CANDIDATE), str(tmp_path / "array"))
+    [part] = (tmp_path / "array").glob("part-*")
+    assert [x["a_id"] for x in json.loads(part.read_text())] == ["a:3", "a:2", "a:1"]
     logs.write_latest(rows.union(rows), str(tmp_path / "latest"))
     assert spark.read.json(str(tmp_path / "latest")).count() == 1
 
 
-def test_report(spark):
+def test_report(spark, tmp_path):
     s = 1_000_000
     log = [("a", "x", t * s, 100, 90, net, 5, 6, size, "q", None) for t, net, size in ((0, 10, 4), (120, 20, 8), (241, 30, 6), (400, -5, 0), (7200, 7, 10))]
     log += [("a", "y", 0, 50, -10, -20, 5, 7, 0, "r", True), ("a", "z", 9, -50, -60, -70, 5, 7, 0, "s", None)]
     rows = spark.createDataFrame(log, "a_id string, b_id string, us long, raw_top long, raw_depth long, net long, yes_fee long, no_fee long, size long, question string, resolution_match boolean")
-    kind = "a_id string, b_id string, resolution_match boolean"
-    none = spark.createDataFrame([("a", "x", None), ("a", "w", None)], kind)
+    kind = "a_id string, b_id string, resolution_match boolean, ord long"
+    none = spark.createDataFrame([("a", "x", None, 0), ("a", "w", None, 1)], kind)
     r = report.report(rows, none, none).first()
     assert (r.samples, r.span_hours, r.pairs, r.a_pct, r.b_pct, r.c_pct, r.tracked, r.ever_viable_pct) == (7, 2.0, 3, 66.7, 33.3, 33.3, 4, 25.0)
     assert (r.windows, r.single_sample, r.median_seconds, r.windows_per_hour) == (3, 2, 0.0, 1.5)
     assert (r.size_median, r.size_p25, r.size_p75) == (7.0, 4.5, 9.5)
     assert (r.avg_raw_top, r.avg_net, r.break_even, r.unreviewed_pct) == (92, 17, 111, 100.0)
-    judged = spark.createDataFrame([("a", "x", False), ("a", "y", True), ("a", "v", None)], kind)
+    judged = spark.createDataFrame([("a", "x", False, 2), ("a", "y", True, 1), ("a", "v", None, 0)], kind)
     r = report.report(rows, judged, none).first()
     assert (r.pairs, r.a_pct, r.b_pct, r.windows, r.size_median, r.true_pct, r.diverged_pct) == (1, 100.0, 0.0, 0, None, 33.3, 33.3)
+    # Of several labels the last one counts, even a null one.
+    again = spark.createDataFrame([("a", "x", True, 0), ("a", "x", False, 1), ("a", "y", False, 2), ("a", "y", True, 3), ("a", "z", True, 4), ("a", "z", None, 5)], kind)
+    assert {(x.b_id, x.label) for x in report.current_labels(again).collect()} == {("x", False), ("y", True), ("z", None)}
+    assert {(x.b_id, x.resolution_match) for x in report.in_scope(rows, again).collect()} == {("y", True)}
+    assert report.report(rows.limit(0), none.limit(0), none.limit(0)).first().samples == 0
+    logs.write_report(report.report(rows, judged, none), report.windows(rows), str(tmp_path))
+    assert spark.read.json(f"{tmp_path}/report").count() == 1
+    assert [x.best_net for x in logs.top_windows(report.windows(rows), 2).collect()] == [30, 20]
     assert [(w.samples, w.seconds) for w in sorted(report.windows(rows).collect(), key=lambda w: w.window)] == [(2, 120.0), (1, 0.0), (1, 0.0)]
