@@ -24,6 +24,16 @@ def workers_find_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+#: Rows that go to a Python worker at a time, unless the session says otherwise: texts can be long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -31,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     cluster that is an error, since executors wouldn't see each other's files.
     """
     sc = spark.sparkContext
+    small_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
         if not sc.master.startswith("local["):
@@ -65,6 +76,7 @@ def text_of(docs: DataFrame, text: str = "text") -> Column:
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     workers_find_package(spark)
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -142,7 +142,7 @@ def _sets(batches):
     for batch in batches:
         sets = [shingler.set(t) for t in batch.column("text").to_pylist()]
         digests = [_digest(s) if len(s) else (None, None) for s in sets]
-        cols = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
+        cols = [pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), pa.array([s.view("i8") for s in sets], pa.list_(pa.int64()))]
         yield pa.RecordBatch.from_arrays(cols, names=["lo", "hi", "set"])
 
 
@@ -178,21 +178,6 @@ def _pruner(threshold: float):
     return run
 
 
-def _verifier(percent: int):
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)):
-                x, y = np.frombuffer(x, "u8"), np.frombuffer(y, "u8")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
-            take = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
-
-    return run
-
-
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): the smallest node that each one can reach.
 
@@ -234,8 +219,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: in
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = stored(classes.select("cid", "lo", "hi", "rep").join(ids, "cid", "left_semi"), "wanted")
     texts = narrowed(rows, stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted-ids")).select("text")
-    sets = stored(texts.mapInArrow(_sets, "lo long, hi long, set binary").join(wanted, ["lo", "hi"]).dropDuplicates(["cid"]).select("cid", "set"), "sets")
-    return _both(pairs, sets, "set").select("a", "b", "set_a", "set_b").mapInArrow(_verifier(percent), "a long, b long")
+    sets = stored(texts.mapInArrow(_sets, "lo long, hi long, set array<long>").join(wanted, ["lo", "hi"]).dropDuplicates(["cid"]).select("cid", "set"), "sets")
+    met = _both(pairs, sets, "set").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
+    return met.filter(F.col("both") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("both")) * percent).select("a", "b")
 
 
 def _sorted(pairs: DataFrame) -> DataFrame:

@@ -88,6 +88,15 @@ def _places(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return distinct, places
 
 
+def _sums(places: np.ndarray, values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[index] by places under n, a part at a time."""
+    out = np.zeros(n)
+    for at in range(0, len(places), 1 << 20):
+        part = slice(at, at + (1 << 20))
+        out += np.bincount(places[part], values[index[part]], n)
+    return out
+
+
 def trained_grams(vocabulary: list[str], in_docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets and words of the n-grams in at least LEAST_DOCS documents, and how many n-grams each word has.
 
@@ -142,7 +151,7 @@ class Model:
         gram = at[gram]
         for _ in range(steps):
             embed = self.embed[touched]
-            words = np.stack([np.bincount(owner, embed[gram, k], n_words) for k in range(DIM)], 1) / per_word[:, None]
+            words = np.stack([_sums(owner, embed[:, k], gram, n_words) for k in range(DIM)], 1) / per_word[:, None]
             bags = np.stack([np.bincount(bag, words[word, k], n_bags) for k in range(DIM)], 1) / np.maximum(per_bag, 1)[:, None]
             logits = bags @ self.out.T + self.bias
             p = np.exp(logits - logits.max(1, keepdims=True))
@@ -153,7 +162,7 @@ class Model:
             at_gram = np.zeros_like(self.embed)
             for k in range(DIM):
                 at_word = np.bincount(word, at_bag[bag, k], n_words) / per_word
-                at_gram[touched, k] = np.bincount(gram, at_word[owner], len(touched))
+                at_gram[touched, k] = _sums(gram, at_word, owner, len(touched))
             at_gram += DECAY * self.embed  # an n-gram moves as far as its evidence goes
             self._step("embed", self.embed, at_gram, rate)
             self._step("out", self.out, p.T @ bags, rate)
@@ -211,10 +220,12 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
         return None
     in_docs = np.bincount(np.concatenate(bags), minlength=len(vocabulary))
     grams = trained_grams(vocabulary, in_docs)
+    n_words = len(vocabulary)
+    del index, vocabulary, in_docs  # numbers are enough from here on
     sizes = grams[2]
     model.fit(np.repeat(np.arange(len(bags), dtype="i4"), [len(b) for b in bags]), np.concatenate(bags), y[fitted], grams, 20)
     for _ in range(4):
-        scores = np.bincount(grams[1], model.margin()[grams[0]], len(vocabulary)) / sizes
+        scores = _sums(grams[1], model.margin(), grams[0], n_words) / sizes
         entries, bag_of, kinds = [], [], []
         for i in fitted:
             found = windows(scores[docs[i]])
@@ -224,7 +235,7 @@ def train(texts: list[str], labels: list[int], share: float | None = None, seed:
                 bag_of.append(len(kinds))
                 kinds.append(int(y[i]))
         model.fit(np.repeat(bag_of, [len(e) for e in entries]), np.concatenate(entries), np.array(kinds), grams, 20)
-    scores = np.bincount(grams[1], model.margin()[grams[0]], len(vocabulary)) / sizes
+    scores = _sums(grams[1], model.margin(), grams[0], n_words) / sizes
     z = np.array([windows(scores[d]).max() for d in docs]) + model.logit_bias()
     slope, shift = calibrated(z[aside], y[aside], float(y.mean()) if share is None else share) if len(set(y[aside])) == 2 else (1.0, 0.0)
     return (slope * model.margin()).astype("f4"), slope * model.logit_bias() + shift
