@@ -15,14 +15,24 @@ SIZE = "decimal(20,6)"
 _LEVEL = ["conn", "epoch", "ticker", "snapshot", "side", "price"]
 
 
-def epochs(messages: DataFrame) -> DataFrame:
-    """Messages of books with ``epoch``: a gap in a connection's numbers starts the next one, and its message is dropped."""
-    books = messages.filter(F.col("type").isin("snapshot", "delta"))
-    order = W.partitionBy("conn").orderBy("ord")
-    before = F.last("seq", True).over(order.rowsBetween(W.unboundedPreceding, -1))
-    gap = F.coalesce(F.col("seq") != before + 1, F.lit(False))
-    marked = books.withColumn("gap", gap.cast("long"))
-    return marked.withColumn("epoch", F.sum("gap").over(order.rowsBetween(W.unboundedPreceding, 0))).filter("gap = 0").drop("gap")
+def epochs(messages: DataFrame, width: int = 65_536) -> DataFrame:
+    """Messages of books with ``epoch``: a gap in a connection's numbers starts the next one, and its message is dropped.
+
+    A task orders ``width`` places of a connection; only the buckets' last numbers and counts of gaps are ordered by
+    connection. Messages without conn or ord are left out.
+    """
+    books = messages.filter(F.col("type").isin("snapshot", "delta") & F.col("conn").isNotNull() & F.col("ord").isNotNull())
+    books = books.withColumn("bucket", F.floor(F.col("ord") / width))
+    key, inside = ["conn", "bucket"], W.partitionBy("conn", "bucket").orderBy("ord")
+    earlier = W.partitionBy("conn").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    ends = books.groupBy(*key).agg(F.max_by("seq", F.when(F.col("seq").isNotNull(), F.col("ord"))).alias("end"))
+    borders = ends.select(*key, F.last("end", True).over(earlier).alias("border"))
+    before = F.coalesce(F.last("seq", True).over(inside.rowsBetween(W.unboundedPreceding, -1)), F.col("border"))
+    marked = books.join(borders, key).withColumn("gap", F.coalesce(F.col("seq") != before + 1, F.lit(False)).cast("long"))
+    counts = marked.groupBy(*key).agg(F.sum("gap").alias("gaps"))
+    so_far = counts.select(*key, F.coalesce(F.sum("gaps").over(earlier), F.lit(0)).alias("passed"))
+    epoch = F.col("passed") + F.sum("gap").over(inside.rowsBetween(W.unboundedPreceding, 0))
+    return marked.join(so_far, key).withColumn("epoch", epoch).filter("gap = 0").drop("gap", "bucket", "border", "passed")
 
 
 def level_states(messages: DataFrame) -> DataFrame:

@@ -81,6 +81,13 @@ _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'),
 _YES_FEE, _NO_FEE = (f"CASE WHEN direction = 0 THEN {_FEE.format(c=x, p=p)} ELSE {_FEE.format(c=y, p=p)} END" for x, y, p in ((7, 5, "py"), (5, 7, "pn")))
 
 ORACLE_SQL = {
+    # row by row: the next row of a pair is logged or not by what was logged last
+    "throttle_heartbeat": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS size, event_id % 4 AS edge, CASE WHEN event_id % 5 < 3 THEN 'structured' ELSE 'lexical' END AS method FROM events),
+n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY us, edge, size) AS i FROM e),
+w AS (SELECT *, size > 0 OR method = 'structured' AS taken, CASE WHEN size > 0 OR method = 'structured' THEN us END AS last_us, CASE WHEN size > 0 OR method = 'structured' THEN edge END AS last_edge FROM n WHERE i = 1
+  UNION ALL SELECT user_id, us, size, edge, method, i, go, CASE WHEN go THEN us ELSE was_us END, CASE WHEN go THEN edge ELSE was_edge END
+  FROM (SELECT n.*, w.last_us AS was_us, w.last_edge AS was_edge, (n.size > 0 OR (n.method = 'structured' AND (w.last_edge IS NULL OR n.edge <> w.last_edge))) AND (w.last_us IS NULL OR n.us - w.last_us >= 30000000) AS go FROM w JOIN n ON n.user_id = w.user_id AND n.i = w.i + 1))
+SELECT CAST(user_id AS VARCHAR) AS a_id, 'b' AS b_id, us, CAST(size AS BIGINT) AS size, CAST(edge AS BIGINT) AS edge, method FROM w WHERE taken""",
     # in 2026, summer time runs from March 8 to November 1
     "game_start": """WITH s AS (SELECT o_orderkey, try_strptime('2026' || strftime(o_orderdate, '%m%d') || CAST(10 + o_orderkey % 13 AS VARCHAR) || lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0'), '%Y%m%d%H%M') AS t FROM orders)
 SELECT o_orderkey, epoch_us(t) + CASE WHEN t >= TIMESTAMP '2026-03-08 02:00:00' AND t < TIMESTAMP '2026-11-01 02:00:00' THEN 4 ELSE 5 END * 3600000000 AS us FROM s""",

@@ -140,6 +140,8 @@ def test_level_states(spark):
     messages = spark.createDataFrame(rows, kinds)
     states = {r.ord: r.size for r in books.level_states(messages).collect() if rows[r.ord][3] == "delta"}
     assert states == want
+    narrow = sorted(map(tuple, books.epochs(messages, 7).select("ord", "epoch").collect()))
+    assert narrow == sorted(map(tuple, books.epochs(messages).select("ord", "epoch").collect())) and narrow[-1][1] > 0
     assert {(r.ticker, r.side, r.price): r.size for r in books.last_books(messages).collect()} == book
 
 
