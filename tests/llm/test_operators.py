@@ -135,6 +135,34 @@ def test_near_dedup(spark, docs, no_docs):
     assert rows(minhash_dedup.near_dedup(spark.createDataFrame(table, "doc_id long, text string")).drop("key")) == near(table)
 
 
+def test_near_dedup_of_unsettled_groups(spark, monkeypatch):
+    # Many copies of one text with edits of any size: similarities on both sides of the threshold.
+    rng, table = random.Random(11), []
+    base = [f"w{i}" for i in range(70)]
+    for i in range(130):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(400)}"
+        table.append((1000 - i, " ".join(words[rng.randrange(4) :])))
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    asked = []
+    real = minhash_dedup._may_link
+    monkeypatch.setattr(minhash_dedup, "_may_link", lambda *a: asked.append(a[0].count()) or real(*a))
+    got = minhash_dedup.near_dedup(spark.createDataFrame(table, "doc_id long, text string")).drop("key")
+    assert rows(got) == near(table) and asked[0] > 0
+
+
+def test_masks_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 62, n).astype("u8"))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 62, n // 3 + 1).astype("u8")]))
+        differ = sum(((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(minhash_dedup.mask(a), minhash_dedup.mask(b), strict=True))
+        assert differ <= len(np.setxor1d(a, b))
+
+
 def line_runs(table, min_lines=3, min_words=50):
     """Brute force: (doc_id, lines, deleted lines, maximal runs) in the table's order."""
     order = sorted(range(len(table)), key=lambda k: (table[k][0] is None, table[k][0] or 0, k))
@@ -461,3 +489,72 @@ def test_pipeline_keeps_clean_documents(spark, docs, tmp_path):
     # 2, 4, 6 and 11 stay of exact copies; 7 stays for 8 and 9 but holds a benchmark passage, as 13 does.
     assert sorted(x for x in kept if x is not None) == [2, 4, 5, 6, 6, 11, 12, 14, 15, 16]
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_of_empty_tables(spark, docs, no_docs, tmp_path):
+    import corpus_pipeline
+
+    no_docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_decontamination_with_repeated_items_and_clashing_columns(spark):
+    text = " ".join(WORDS[:20])
+    items = spark.createDataFrame([(5, text, 1, 2, "k"), (5, text, 1, 2, "k"), (6, text, 3, 4, "k"), (None, None, None, None, None)], "item_id long, text string, doc_id long, item long, key string")
+    table = spark.createDataFrame([(1, "a b " + text, 7, "x", 9), (1, "a b " + text, 7, "x", 9), (2, "", 7, "x", 9), (None, text, 7, "x", 9)], "doc_id long, text string, n long, item_id string, start long")
+    got = decontamination.decontamination(table, items).select("doc_id", "contaminated", "n_items", "item_ids", "similarity")
+    assert rows(got) == sorted([(1, True, 2, "5,6", 1.0)] * 2 + [(2, False, 0, "", 0.0), (None, True, 2, "5,6", 1.0)], key=repr)
+
+
+def test_toxicity_forward_pass_by_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    margin = rng.normal(size=1 << toxicity.BUCKETS_BITS)
+    words = ["bad", "a", "wort", "misspelt", "worse", "word", "ab", "été"]
+
+    def logit(word):
+        places, _ = toxicity.ngrams([word])
+        return sum(margin[p] for p in places) / len(places)
+
+    assert toxicity.word_logits(words, margin) == pytest.approx([logit(w) for w in words])
+    texts = [words, words[:3], ["bad"], []]
+    best = [max((sum(map(logit, t[i : i + 5])) / len(t[i : i + 5]) for i in range(max(1, len(t) - 4))), default=0) if t else 0 for t in texts]
+    assert toxicity.Scorer((margin, 0.25)).scores(texts) == pytest.approx([1 / (1 + np.exp(-(b + 0.25))) for b in best])
+    labels = spark.createDataFrame([(1, 1, "t", 5)], "doc_id long, toxic int, text string, y int")
+    table = spark.createDataFrame([(1, "x y", 2, 0.5)], "doc_id long, text string, y int, score double")
+    assert [tuple(r) for r in toxicity.toxicity(table, labels).collect()] == [(1, False, 0.0, 0)]
+
+
+def test_toxicity_gradient_by_differences():
+    import numpy as np
+
+    # One step from known weights moves each against the sign of its numeric gradient.
+    words = ["kind", "vile", "calm", "vilest"]
+    docs, y = [[0, 2], [1], [3, 0], [2]], np.array([0, 1, 1, 0])
+    gram, owner = toxicity.ngrams(words)
+    sizes = np.bincount(owner, minlength=len(words))
+    bag, word = np.repeat(np.arange(4), [len(d) for d in docs]), np.concatenate(docs)
+
+    def loss(model):
+        each = np.array([model.embed[gram[owner == w]].mean(0) for w in range(len(words))])
+        logits = np.array([each[d].mean(0) for d in docs]) @ model.out.T + model.bias
+        p = np.exp(logits) / np.exp(logits).sum(1, keepdims=True)
+        weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
+        return -(weight * np.log(p[np.arange(4), y])).sum() + toxicity.DECAY / 2 * (model.embed**2).sum()
+
+    start = toxicity.Model()
+    start.embed[gram] = np.random.default_rng(1).normal(size=(len(gram), toxicity.DIM))
+    moved = toxicity.Model()
+    moved.embed, moved.out, moved.bias = start.embed.copy(), start.out.copy(), start.bias.copy()
+    moved.fit(bag, word, y, (gram, owner, sizes), 1, 1e-4)
+    for name, at in [("embed", (gram[k], d)) for k in (0, 5, 9) for d in range(2)] + [("out", (1, 0)), ("bias", (1,))]:
+        value, eps = getattr(start, name), 1e-5
+        value[at] += eps
+        up = loss(start)
+        value[at] -= 2 * eps
+        slope = (up - loss(start)) / (2 * eps)
+        value[at] += eps
+        assert np.sign(getattr(moved, name)[at] - value[at]) == -np.sign(slope)
