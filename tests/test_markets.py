@@ -110,6 +110,37 @@ def test_match_questions(spark):
     assert set(got) == {"b:p", "b:r"} and got["b:r"].score == 1.0 and got["b:r"].delta_days == 11 and got["b:p"].score == round(0.5 + 0.5 * 76 / 77, 4)
 
 
+def test_match_questions_by_brute_force(spark):
+    import difflib
+    import re
+
+    rng = random.Random(15)
+    words = "rain snow frost hail wind storm marl dover june july exceed reach".split()
+    ask = lambda: "Will " + " ".join(rng.sample(words, rng.randrange(2, 6))) + rng.choice(["?", ".", ""])
+    row = lambda i, n: (f"k{i}", ask() if i % 17 else "", [ask() for _ in range(n)], datetime(2026, 1, 1 + i % 25), None, None, i)
+    left, right = [row(i, 0) for i in range(60)], [row(i, rng.randrange(3)) for i in range(60)]
+    right[5] = (*right[5][:3], None, *right[5][4:])
+    tokens = lambda t: {w for w in re.findall("[a-z0-9]+", t.lower()) if len(w) > 1 and w != "will"}
+    count = Counter(w for r in right for w in set().union(*(tokens(t) for t in [r[1], *r[2]])))
+    want = {}
+    for a in left:
+        for b in right:
+            texts = [t for t in [b[1], *b[2]] if t]
+            if b[3] is None or abs((a[3] - b[3]).days) > 10 or not any(count[w] <= 30 for t in texts for w in tokens(a[1]) & tokens(t)):
+                continue
+            found = []
+            for at, t in enumerate(texts):
+                x, y = tokens(a[1]), tokens(t)
+                jaccard = len(x & y) / len(x | y) if x | y else 0.0
+                if jaccard >= 0.3:
+                    found.append((-(0.5 * jaccard + 0.5 * difflib.SequenceMatcher(None, a[1].lower(), t.lower()).ratio()), at, t))
+            if found and -min(found)[0] >= 0.65:
+                want[a[0], b[0]] = (round(-min(found)[0], 4), min(found)[2], abs((a[3] - b[3]).days))
+    kinds = "id string, question string, aliases array<string>, resolution timestamp, event string, futures string, ord long"
+    got = resolution.match_questions(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds), threshold=0.65, max_df=30)
+    assert {(r.a_id, r.b_id): (r.score, r.b_question, r.delta_days) for r in got.collect()} == want and len(want) > 10
+
+
 def test_level_states(spark):
     rng = random.Random(1)
     rows, want, book, last, on = [], {}, {}, None, 0
