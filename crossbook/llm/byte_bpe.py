@@ -275,7 +275,10 @@ def _run(sent, pattern: str, make):
 def _digests(codec, batch, packed):
     hexes = [hashlib.sha256(x).hexdigest() for x in packed]
     back = [hashlib.sha256(codec.decode(x)).hexdigest() for x in packed]
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(hexes, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return pa.RecordBatch.from_arrays(
+        [batch.column("doc_id"), pa.array([len(x) // 4 for x in packed], pa.int64()), pa.array(hexes, pa.string()), pa.array(back, pa.string())],
+        names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    )
 
 
 def _ids(codec, batch, packed):

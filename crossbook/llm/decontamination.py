@@ -83,7 +83,10 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(sized.withColumn("hashes", hashes).withColumn("fingerprint", simhash(F.col("hashes"))).withColumn("item", F.monotonically_increasing_id()).drop("words"), "items")
 
 
-def passages(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def passages(
+    docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """(doc_id, key, item_id, start, n_words, shared, total): each fingerprinted window that repeats an item; start counts words.
 
     key is xxhash64 of the document's text; shared / total is the similarity.
@@ -127,7 +130,10 @@ def passages(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius
     return pairs.filter(F.col("shared") * 100 >= F.col("total") * percent).select("doc_id", "key", "item_id", "start", F.col("n").alias("n_words"), "shared", "total")
 
 
-def decontamination(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontamination(
+    docs: DataFrame, benchmark: DataFrame, *, percent: int = 75, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text",
+    item_id_col: str = "item_id", item_text_col: str = "text",
+) -> DataFrame:
     """One row for each document: doc_id, key, contaminated, n_items, item_ids (sorted, comma-joined), similarity (largest, 4 places)."""
     found = passages(docs, benchmark, percent=percent, radius=radius, id_col=id_col, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col)
     named = found.withColumn("item_id", F.coalesce("item_id", F.lit("null")))
@@ -135,4 +141,7 @@ def decontamination(docs: DataFrame, benchmark: DataFrame, *, percent: int = 75,
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text_of(docs, text_col)).alias("key"))
     a, b = rows.alias("a"), stored(per_doc, "contaminated").alias("b")
     out = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key")), "left")
-    return out.select("a.doc_id", "a.key", F.col("b.key").isNotNull().alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join("ids", ","), F.lit("")).alias("item_ids"), F.round(F.coalesce("best", F.lit(0.0)), 4).alias("similarity"))
+    return out.select(
+        "a.doc_id", "a.key", F.col("b.key").isNotNull().alias("contaminated"), F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
+        F.coalesce(F.array_join("ids", ","), F.lit("")).alias("item_ids"), F.round(F.coalesce("best", F.lit(0.0)), 4).alias("similarity"),
+    )

@@ -39,7 +39,10 @@ _ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _DROPPED = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "object", "canvas", "audio", "video"}
-_INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "big"}
+_INLINE = {
+    "a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike",
+    "strong", "sub", "sup", "time", "tt", "u", "var", "label", "big",
+}
 _CLASSES = {
     "ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "sidebar", "aside", "cookie", "cookies", "consent", "notice", "banner", "alert", "popup", "modal",
     "newsletter", "subscribe", "signup", "comment", "comments", "disqus", "share", "sharing", "social", "related", "recommended", "pagination", "pager", "toolbar", "widget", "masthead",
@@ -229,13 +232,19 @@ def _extract(batches):
             known = set(known or ())
             gone = {i for t, a, b in trees if t in known and b - a < len(blocks) for i in range(a, b)} if known else ()
             texts.append("\n".join(b for i, b in enumerate(blocks) if i not in gone))
-        yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+            names=["page_id", "url", "text", "n_chars"],
+        )
 
 
 def html_extraction(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row for each page: page_id, url, text, n_chars."""
     host = F.lower(F.regexp_extract(F.coalesce(pages[url_col], F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
-    rows = pages.select(pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"), F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"), host.alias("host"))
+    rows = pages.select(
+        pages[id_col].cast("long").alias("page_id"), pages[url_col].cast("string").alias("url"),
+        F.coalesce(pages[html_col].cast("string"), F.lit("")).alias("html"), host.alias("host"),
+    )
     counted = rows.select("host", "html").mapInArrow(_subtrees, "host string, tree long, page long").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     counted = stored(counted, "subtrees")
     hosts = counted.filter("tree is null").select("host", F.col("n").alias("pages"))

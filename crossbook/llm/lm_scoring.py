@@ -94,7 +94,10 @@ def _encoded(chunk_tokens: int):
             doc_ids, rows, sizes, targets, before, begun = zip(*pieces, strict=True)
             sizes, targets, begun = np.array(sizes, "i8"), np.array(targets, "i1"), np.array(begun, "i8")
             hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), "u8", len(words))
-            blobs = [np.array(rows, "i8").tobytes(), sizes.tobytes(), targets.tobytes(), np.array(before, "i8").tobytes(), hashes.tobytes(), planes(np.concatenate(parts) if parts else np.zeros(0, "u4"), "u4")]
+            blobs = [
+                np.array(rows, "i8").tobytes(), sizes.tobytes(), targets.tobytes(), np.array(before, "i8").tobytes(), hashes.tobytes(),
+                planes(np.concatenate(parts) if parts else np.zeros(0, "u4"), "u4"),
+            ]
             sums = [int(sizes.sum()), int((sizes * targets).sum()), int(begun.sum()), int((begun * targets).sum())]
             cols = [pa.array([chunk], pa.int64()), pa.array([list(doc_ids)], pa.list_(pa.int64())), *(pa.array([b], pa.binary()) for b in blobs), *(pa.array([s], pa.int64()) for s in sums)]
             words, chunk, size = _Words(), chunk + 1, 0
@@ -185,7 +188,10 @@ def _answered(bits: int):
         blobs = [(planes(a, "i8"), planes(b, "i8") if b.any() else b"") for a, b in zip(np.split(n, ends), np.split(t, ends), strict=True)]
         word = table.column("range")[0].as_py() < words_end
         words = [len(distinct) * word] + [0] * (len(blobs) - 1)
-        return pa.table({"range": table.column("range"), "chunk": table.column("chunk"), "n": pa.array([b[0] for b in blobs], pa.binary()), "t": pa.array([b[1] for b in blobs], pa.binary()), "words": pa.array(words, pa.int64())})
+        return pa.table({
+            "range": table.column("range"), "chunk": table.column("chunk"), "n": pa.array([b[0] for b in blobs], pa.binary()),
+            "t": pa.array([b[1] for b in blobs], pa.binary()), "words": pa.array(words, pa.int64()),
+        })
 
     return run
 
@@ -251,4 +257,7 @@ def lm_scoring(docs: DataFrame, target_ids: DataFrame, *, chunk_tokens: int = CH
     each = both.applyInArrow(_scored(models), "row long, doc_id long, times long, target double, background double")
     sums = each.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("times").alias("n_tokens"), F.sum("target").alias("target_loss"), F.sum("background").alias("background_loss"))
     n = F.greatest("n_tokens", F.lit(1))
-    return sums.select("doc_id", "n_tokens", (F.col("target_loss") / n).alias("target_loss"), (F.col("background_loss") / n).alias("background_loss"), ((F.col("target_loss") - F.col("background_loss")) / n).alias("score"))
+    return sums.select(
+        "doc_id", "n_tokens", (F.col("target_loss") / n).alias("target_loss"), (F.col("background_loss") / n).alias("background_loss"),
+        ((F.col("target_loss") - F.col("background_loss")) / n).alias("score"),
+    )

@@ -133,7 +133,10 @@ def _signed(batches):
             sigs.append(None if sig is None else sig.astype("u2").tobytes())
             bands.append(None if sig is None else band_keys(sig))
             masks.append(None if sig is None else mask(s))
-        cols = [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(masks, pa.list_(pa.int64()))]
+        cols = [
+            batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()),
+            pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(masks, pa.list_(pa.int64())),
+        ]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n", "lo", "hi", "sig", "bands", "mask"])
 
 
@@ -261,7 +264,10 @@ def near_dedup(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", te
     """One row for each document: doc_id, n_shingles, component_id, kept, key (xxhash64 of the text; with doc_id it names the row)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     signed = stored(rows.withColumn("key", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, key long, n long, lo long, hi long, sig binary, bands array<long>, mask array<long>"), "signed")
-    classes = signed.filter("n > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"), F.any_value("mask").alias("mask"))
+    classes = signed.filter("n > 0").groupBy("lo", "hi").agg(
+        F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"),
+        F.any_value("mask").alias("mask"),
+    )
     classes = stored(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     members = classes.select("cid", F.explode("bands").alias("key"))
     buckets = stored(members.groupBy("key").agg(F.min("cid").alias("first"), F.count("*").alias("size")).filter("size > 1"), "buckets")

@@ -44,17 +44,27 @@ def _spans(text: Column, pattern: str, kind: int, fits, group: int = 0) -> Colum
 
     Matches and the text between them alternate, so lengths give positions.
     """
-    parts = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"))
+    parts = F.struct(
+        F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("values"),
+    )
 
     def placed(p: Column) -> Column:
         sizes = F.zip_with(p["gaps"], p["hits"], lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
         zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-        starts = F.aggregate(F.slice(sizes, 1, F.size(p["hits"])), zero, lambda acc, s: F.struct((acc["at"] + s["gap"] + s["hit"]).alias("at"), F.array_append(acc["starts"], acc["at"] + s["gap"]).alias("starts")), lambda acc: acc["starts"])
+        starts = F.aggregate(
+            F.slice(sizes, 1, F.size(p["hits"])), zero, lambda acc,
+            s: F.struct((acc["at"] + s["gap"] + s["hit"]).alias("at"), F.array_append(acc["starts"], acc["at"] + s["gap"]).alias("starts")),
+            lambda acc: acc["starts"],
+        )
         rows = F.arrays_zip(starts.alias("start"), p["hits"].alias("hit"), p["values"].alias("value"))
         kept = F.filter(rows, lambda r: fits(r["hit"], r["value"]))
         end = lambda r: r["start"] + F.length(r["hit"])
         # A value ends where its match does.
-        return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), F.lit(kind).alias("kind"), end(r).alias("end"), F.md5(r["value"]).alias("hash"), (end(r) - F.length(r["value"])).alias("value")))
+        return F.transform(
+            kept,
+            lambda r: F.struct(r["start"].alias("start"), F.lit(kind).alias("kind"), end(r).alias("end"), F.md5(r["value"]).alias("hash"), (end(r) - F.length(r["value"])).alias("value")),
+        )
 
     found = F.transform(F.array(parts), placed)[0]  # parts are worked out once
     return F.when(text.rlike(pattern), found).otherwise(F.array()).cast(_SPANS)
@@ -78,7 +88,9 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None,
     always = lambda hit, value: F.lit(True)
     mixed = lambda hit, value: hit.rlike("[0-9].*[0-9]") & hit.rlike("[A-Za-z]") & (_entropy(hit) >= ENTROPY)
     # A further candidate is its value, whatever names it.
-    bare = lambda spans: F.transform(spans, lambda m: F.struct(m["value"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["hash"].alias("hash"), m["value"].alias("value")))
+    bare = lambda spans: F.transform(
+        spans, lambda m: F.struct(m["value"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), m["hash"].alias("hash"), m["value"].alias("value")),
+    )
     base = F.concat(_spans(t, ASSIGN, 0, lambda hit, value: F.length(value) >= 6, 1), _spans(t, ACCESS, 1, always), _spans(t, HEX, 2, always))
     more = F.array_distinct(F.concat(bare(_spans(t, KEYED, 3, always, 1)), _spans(t, TOKEN, 3, mixed)))
     found = rows.select("doc_id", "repo", "owner", base.alias("base"), more.alias("more"))
@@ -86,7 +98,10 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, repo_col: str | None,
     return found.select("doc_id", "repo", "owner", "base", apart.alias("more"))
 
 
-def secret_scan(docs: DataFrame, *, max_owners: int = 1, max_repos: int = MAX_REPOS, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None, owner_col: str = "source") -> DataFrame:
+def secret_scan(
+    docs: DataFrame, *, max_owners: int = 1, max_repos: int = MAX_REPOS, id_col: str = "doc_id", text_col: str = "text", repo_col: str | None = None,
+    owner_col: str = "source",
+) -> DataFrame:
     """One row for each document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied.
 
     n_live and n_copied: candidates, base ones included, whose value at most
@@ -98,7 +113,17 @@ def secret_scan(docs: DataFrame, *, max_owners: int = 1, max_repos: int = MAX_RE
     owned = each.select(F.col("s.hash").alias("hash"), "repo", "owner").distinct().groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("repo").alias("repos"))
     owned = stored(owned.withColumn("n", F.col("repos")), "owned")
     told = looked_up(each.withColumn("hash", F.col("s.hash")), owned, ["hash"]).withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos))
-    per_doc = told.groupBy("at").agg(F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"), F.collect_set(F.when(F.col("live"), F.struct(F.col("s.value").alias("start"), F.lit(3).alias("kind"), F.col("s.end").alias("end"), F.lit("").alias("hash"), F.col("s.value").alias("value")))).alias("added"))
+    per_doc = told.groupBy("at").agg(
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied"),
+        F.collect_set(F.when(
+            F.col("live"),
+            F.struct(F.col("s.value").alias("start"), F.lit(3).alias("kind"), F.col("s.end").alias("end"), F.lit("").alias("hash"), F.col("s.value").alias("value")),
+        )).alias("added"),
+    )
     out = scanned.join(per_doc, "at", "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"), F.coalesce("n_copied", F.lit(0)).alias("n_copied"))
+    return out.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.concat("base", F.coalesce("added", F.array().cast(_SPANS)))).alias("spans"), F.coalesce("n_live", F.lit(0)).alias("n_live"),
+        F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+    )

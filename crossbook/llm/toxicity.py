@@ -303,7 +303,10 @@ def scored(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, ma
     return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_score(sent), "doc_id long, key long, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def toxicity(
+    docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """One row for each document: doc_id, held_out, score, predicted."""
     out = scored(docs, labels, max_toxic=max_toxic, max_clean=max_clean, max_chars=max_chars, id_col=id_col, text_col=text_col)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
