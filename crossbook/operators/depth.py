@@ -89,7 +89,10 @@ def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int) -> Dat
     found = found.withColumns({**totals, "contracts": F.coalesce("size", F.lit(1)), "size": F.coalesce("size", F.lit(0))})
     each = [(F.col(f"total_{c}") / F.col("contracts") / 10000).alias(name) for name, c in zip(("yes_fill", "no_fill", "yes_fee", "no_fee"), TOTALS, strict=True)]
     exact = ["contracts", *totals]
-    out = found.select(*keys, "direction", "size", (F.col("yes_best") / 10000).alias("yes_top"), (F.col("no_best") / 10000).alias("no_top"), *each, ((10000 - F.col("yes_best") - F.col("no_best")) / 10000).alias("raw_top"), *exact)
+    out = found.select(
+        *keys, "direction", "size", (F.col("yes_best") / 10000).alias("yes_top"), (F.col("no_best") / 10000).alias("no_top"), *each,
+        ((10000 - F.col("yes_best") - F.col("no_best")) / 10000).alias("raw_top"), *exact,
+    )
     return out.withColumn("raw_depth", 1 - F.col("yes_fill") - F.col("no_fill")).withColumn("net", F.col("raw_depth") - F.col("yes_fee") - F.col("no_fee"))
 
 

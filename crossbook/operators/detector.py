@@ -90,7 +90,10 @@ def levels(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
     def side(leg: str, name: str) -> Column:
         depth = F.coalesce(F.col(f"{leg}_book.{name.lower()}_depth"), F.array().cast("array<struct<price:double,size:double>>"))
-        return F.transform(depth, lambda x: F.struct(F.lit(leg).alias("leg"), F.lit(name).alias("side"), F.round(x["price"] * 10000).cast("long").alias("price"), x["size"].cast("double").alias("size")))
+        return F.transform(
+            depth,
+            lambda x: F.struct(F.lit(leg).alias("leg"), F.lit(name).alias("side"), F.round(x["price"] * 10000).cast("long").alias("price"), x["size"].cast("double").alias("size")),
+        )
 
     each = [side(leg, name) for leg in "ab" for name in ("YES", "NO")]
     return pairs.select(*keys, F.explode(F.concat(*each)).alias("x")).select(*keys, "x.*")

@@ -33,13 +33,17 @@ def jaccard_join(a: DataFrame, b: DataFrame, percent: int, max_df: int | None =
         each = rows.select(f"{s}_id", F.explode("tokens").alias("token")).join(df, "token", "left")
         ranked = each.groupBy(f"{s}_id").agg(F.array_sort(F.collect_set(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("ranked"))
         n = F.size("ranked")
-        return ranked.select(f"{s}_id", F.col("ranked.token").alias(f"{s}_tokens"), F.explode(F.slice("ranked", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("x")).select(f"{s}_id", f"{s}_tokens", "x.*")
+        return ranked.select(
+            f"{s}_id", F.col("ranked.token").alias(f"{s}_tokens"), F.explode(F.slice("ranked", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("x"),
+        ).select(f"{s}_id", f"{s}_tokens", "x.*")
 
     met = ordered(left, "a").join(ordered(right, "b").drop("df"), "token")
     x, y = F.size("a_tokens"), F.size("b_tokens")
     met = met.filter(F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     both, total = jaccard_parts(F.col("a_tokens"), F.col("b_tokens"))
-    close = met.filter(both * 100 >= total * percent).select("a_id", "b_id", both.cast("long").alias("shared"), total.cast("long").alias("total"), "a_tokens", "b_tokens").dropDuplicates(["a_id", "b_id"])
+    close = met.filter(both * 100 >= total * percent).select(
+        "a_id", "b_id", both.cast("long").alias("shared"), total.cast("long").alias("total"), "a_tokens", "b_tokens",
+    ).dropDuplicates(["a_id", "b_id"])
     if max_df is None:
         return close.drop("a_tokens", "b_tokens")
     rare = df.filter(F.col("df") <= max_df).select("token")

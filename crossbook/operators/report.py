@@ -54,7 +54,10 @@ def windows(scope: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     rows = scope.filter(viable()).withColumn("fresh", F.coalesce((F.col("us") - F.lag("us").over(order) > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
     rows = rows.withColumn("window", F.sum("fresh").over(order.rangeBetween(W.unboundedPreceding, 0)))
     seconds = F.round((F.max("us") - F.min("us")) / 1e6, 1)
-    return rows.groupBy(*PAIR, "window").agg(F.count("*").alias("samples"), seconds.alias("seconds"), F.max("net").alias("best_net"), F.max("size").alias("best_size"), F.min_by("question", "us").alias("question"), F.min_by("resolution_match", "us").alias("resolution_match"))
+    return rows.groupBy(*PAIR, "window").agg(
+        F.count("*").alias("samples"), seconds.alias("seconds"), F.max("net").alias("best_net"), F.max("size").alias("best_size"),
+        F.min_by("question", "us").alias("question"), F.min_by("resolution_match", "us").alias("resolution_match"),
+    )
 
 
 def size_quarters(scope: DataFrame) -> DataFrame:
@@ -77,7 +80,10 @@ def report(log: DataFrame, matches: DataFrame, tracked: DataFrame, buffer: int =
     """The report's one row. ``tracked``: pairs that were watched, logged or not. Spreads are in ticks."""
     scope = in_scope(log, matches)
     one = F.lit(1)
-    seen = log.agg(F.count("*").alias("samples"), F.coalesce(F.round((F.max("us") - F.min("us")) / 3.6e9, 2), F.lit(0.0)).alias("span_hours"), F.coalesce(F.max("us") - F.min("us"), F.lit(0)).alias("span_us"))
+    seen = log.agg(
+        F.count("*").alias("samples"), F.coalesce(F.round((F.max("us") - F.min("us")) / 3.6e9, 2), F.lit(0.0)).alias("span_hours"),
+        F.coalesce(F.max("us") - F.min("us"), F.lit(0)).alias("span_us"),
+    )
     judged = matches.agg(F.count("*").alias("candidates"), F.count_if("resolution_match").alias("t"), F.count_if(~F.col("resolution_match")).alias("f"))
     n = F.col("candidates")
     judged = judged.select("candidates", percent(F.col("t"), n).alias("true_pct"), percent(F.col("f"), n).alias("diverged_pct"), percent(n - F.col("t") - F.col("f"), n).alias("unreviewed_pct"))
@@ -86,7 +92,10 @@ def report(log: DataFrame, matches: DataFrame, tracked: DataFrame, buffer: int =
     met = met.select("pairs", *[percent(F.col(k), F.col("pairs")).alias(f"{k}_pct") for k in "abc"], F.col("c").alias("viable_pairs"))
     watched = tracked.select(*PAIR).unionByName(scope.select(*PAIR)).distinct().agg(F.count("*").alias("tracked"))
     fees = F.col("yes_fee") + F.col("no_fee")
-    means = scope.agg(_mean(F.col("raw_top"), F.col("raw_top") > 0).alias("avg_raw_top"), _mean(F.col("raw_depth"), F.col("raw_depth") > 0).alias("avg_raw_depth"), _mean(F.col("net"), viable()).alias("avg_net"), (F.coalesce(_mean(fees, fees.isNotNull()), F.lit(0)) + buffer).alias("break_even"))
+    means = scope.agg(
+        _mean(F.col("raw_top"), F.col("raw_top") > 0).alias("avg_raw_top"), _mean(F.col("raw_depth"), F.col("raw_depth") > 0).alias("avg_raw_depth"),
+        _mean(F.col("net"), viable()).alias("avg_net"), (F.coalesce(_mean(fees, fees.isNotNull()), F.lit(0)) + buffer).alias("break_even"),
+    )
     runs = windows(scope).agg(F.count("*").alias("windows"), F.median("seconds").alias("median_seconds"), F.count_if(F.col("samples") == 1).alias("single_sample"))
     parts = [x.withColumn("_", one) for x in (seen, judged, met, watched, means, size_quarters(scope), runs)]
     row = parts[0]

@@ -108,21 +108,31 @@ def match_games(a: DataFrame, b: DataFrame, hours: int = START_HOURS) -> DataFra
     near = near.withColumn("score", F.greatest("straight", "swapped")).filter((F.col("score") >= PAIR_MIN) & (weakest >= SIDE_MIN) & (F.abs(F.col("straight") - F.col("swapped")) > TIE))
     near = near.withColumn("apart", F.abs(F.col("us") - F.col("b_us")) / 3.6e9).withColumn("m", F.when(direct == (F.col("p1") == F.col("yes")), F.col("m1")).otherwise(F.col("m2")))
     best = best_or_refuse(near, "b_key", F.col("score"), F.col("apart"), "game", 1.0).filter("m is not null")
-    return _pairs(best.select(F.col("m.id").alias("a_id"), "b_id", F.col("m.question").alias("a_question"), "b_question", "score", delta_days(F.col("m.resolution"), F.col("b_resolution")).alias("delta_days")), "structured")
+    return _pairs(
+        best.select(F.col("m.id").alias("a_id"), "b_id", F.col("m.question").alias("a_question"), "b_question", "score", delta_days(F.col("m.resolution"), F.col("b_resolution")).alias("delta_days")),
+        "structured",
+    )
 
 
 def match_outrights(a: DataFrame, b: DataFrame, entity_min: float = ENTITY_MIN, competition_min: float = COMPETITION_MIN, days: int = OUTRIGHT_DAYS) -> DataFrame:
     """The best outright of b for each of a: the same entity in the same competition; none if two are equally good."""
 
     def outright(df: DataFrame, s: str) -> DataFrame:
-        rows = df.filter("futures is not null").select(F.col("id").alias(f"{s}_id"), F.struct("id", "ord").alias(f"{s}_key"), F.col("question").alias(f"{s}_question"), F.col("resolution").alias(f"{s}_resolution"), F.col("futures.entity").alias("entity"), F.col("futures.competition").alias("competition"))
-        return rows.withColumn(f"{s}_block", words(F.col("entity"))).withColumn(f"{s}_name", words(unaccented("entity"))).withColumn(f"{s}_where", competition_tokens(F.col("competition"))).drop("entity", "competition")
+        rows = df.filter("futures is not null").select(
+            F.col("id").alias(f"{s}_id"), F.struct("id", "ord").alias(f"{s}_key"), F.col("question").alias(f"{s}_question"),
+            F.col("resolution").alias(f"{s}_resolution"), F.col("futures.entity").alias("entity"), F.col("futures.competition").alias("competition"),
+        )
+        return rows.withColumn(f"{s}_block", words(F.col("entity"))).withColumn(f"{s}_name", words(unaccented("entity"))).withColumn(
+            f"{s}_where", competition_tokens(F.col("competition")),
+        ).drop("entity", "competition")
 
     left, right = outright(a, "a"), outright(b, "b")
     # Of the tokens that two share, only the first in order makes the pair, so no pair comes twice.
     met = left.withColumn("token", F.explode("a_block")).join(right.withColumn("token", F.explode("b_block")), "token").filter(F.col("token") == F.array_min(F.array_intersect("a_block", "b_block")))
     met = met.withColumn("delta_days", delta_days(F.col("a_resolution"), F.col("b_resolution"))).filter(F.col("delta_days") <= days)
-    met = met.withColumn("e", name_score(F.col("a_name"), F.col("b_name"))).filter(F.col("e") >= entity_min).withColumn("c", competition_score(F.col("a_where"), F.col("b_where"))).filter(F.col("c") >= competition_min)
+    met = met.withColumn("e", name_score(F.col("a_name"), F.col("b_name"))).filter(F.col("e") >= entity_min).withColumn(
+        "c", competition_score(F.col("a_where"), F.col("b_where")),
+    ).filter(F.col("c") >= competition_min)
     best = best_or_refuse(met.withColumn("score", F.col("e") * F.col("c")), "a_key", F.col("score"), F.lit(0.0), "b_id", 0.0)
     return _pairs(best, "futures")
 
@@ -135,7 +145,10 @@ def match_questions(a: DataFrame, b: DataFrame, threshold: float = 0.75, days: i
     """
     if only_plain:
         a, b = a.filter("event is null and futures is null"), b.filter("event is null and futures is null")
-    left = a.select(F.struct("id", "ord").alias("a_key"), F.col("id").alias("a_id"), F.col("question").alias("a_question"), F.col("resolution").alias("a_resolution"), tokenize(F.col("question")).alias("ta"))
+    left = a.select(
+        F.struct("id", "ord").alias("a_key"), F.col("id").alias("a_id"), F.col("question").alias("a_question"), F.col("resolution").alias("a_resolution"),
+        tokenize(F.col("question")).alias("ta"),
+    )
     texts = F.filter(F.concat(F.array("question"), "aliases"), lambda t: t != "")
     right = b.select(F.struct("id", "ord").alias("b_key"), F.col("id").alias("b_id"), F.col("resolution").alias("b_resolution"), texts.alias("texts"))
     right = right.withColumn("tb", F.array_distinct(F.flatten(F.transform("texts", tokenize))))

@@ -35,7 +35,10 @@ def competition_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def best_direction(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes = F.col("l_linenumber") % 2 == 1
     price = F.when(yes, 4600 + F.round(F.col("l_discount") * 10000)).otherwise(4500 + F.round(F.col("l_tax") * 10000))
-    book = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_partkey") % 2 == 0, "a").otherwise("b").alias("leg"), F.when(yes, "YES").otherwise("NO").alias("side"), price.cast("long").alias("price"), F.col("l_quantity").alias("size"))
+    book = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.when(F.col("l_partkey") % 2 == 0, "a").otherwise("b").alias("leg"), F.when(yes, "YES").otherwise("NO").alias("side"),
+        price.cast("long").alias("price"), F.col("l_quantity").alias("size"),
+    )
     return depth.evaluate(book).select("key", F.col("direction").cast("long").alias("direction"), "size", F.round(F.col("raw_top") * 10000).cast("long").alias("edge"))
 
 
@@ -51,20 +54,33 @@ def book_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def throttle_heartbeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    rows = e.select(F.col("user_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.when(F.col("event_id") % 3 == 0, 1).otherwise(0).cast("long").alias("size"), (F.col("event_id") % 4).alias("edge"), F.when(F.col("event_id") % 5 < 3, "structured").otherwise("lexical").alias("method"))
+    rows = e.select(
+        F.col("user_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        F.when(F.col("event_id") % 3 == 0, 1).otherwise(0).cast("long").alias("size"), (F.col("event_id") % 4).alias("edge"),
+        F.when(F.col("event_id") % 5 < 3, "structured").otherwise("lexical").alias("method"),
+    )
     return throttle.logged(rows).drop("n")
 
 
 def lexical_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    rows = part.select(F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("question"), F.array("p_name").alias("aliases"), F.lit("2026-01-01").cast("timestamp").alias("resolution"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("futures"), F.col("p_partkey").alias("ord"))
+    rows = part.select(
+        F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("question"), F.array("p_name").alias("aliases"),
+        F.lit("2026-01-01").cast("timestamp").alias("resolution"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("futures"),
+        F.col("p_partkey").alias("ord"),
+    )
     return resolution.match_questions(rows.filter("ord % 2 = 0"), rows.filter("ord % 2 = 1"))
 
 
 def _log(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e, labels = table(spark, sf_dir, "events"), table(spark, sf_dir, "labels")
     x = F.floor(F.col("value") * 100).cast("long") % 1000
-    log = e.select(F.col("user_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (x - 300).alias("raw_top"), (x - 500).alias("raw_depth"), (x - 800).alias("net"), (F.col("event_id") % 90).alias("yes_fee"), (F.col("event_id") % 70).alias("no_fee"), (F.col("event_id") % 1001).alias("size"), F.lit("q").alias("question"), F.lit(None).cast("boolean").alias("resolution_match"))
+    log = e.select(
+        F.col("user_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        (x - 300).alias("raw_top"), (x - 500).alias("raw_depth"), (x - 800).alias("net"), (F.col("event_id") % 90).alias("yes_fee"),
+        (F.col("event_id") % 70).alias("no_fee"), (F.col("event_id") % 1001).alias("size"), F.lit("q").alias("question"),
+        F.lit(None).cast("boolean").alias("resolution_match"),
+    )
     return log, labels.select(F.col("doc_id").cast("string").alias("a_id"), F.lit("b").alias("b_id"), (F.col("quality") == 1).alias("resolution_match"), F.col("doc_id").alias("ord"))
 
 

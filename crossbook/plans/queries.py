@@ -28,7 +28,9 @@ def ladders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ask ladders from line items: odd line numbers are YES, even ones NO."""
     yes = F.col("l_linenumber") % 2 == 1
     price = F.when(yes, 4600 + F.round(F.col("l_discount") * 10000)).otherwise(4500 + F.round(F.col("l_tax") * 10000))
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(yes, "YES").otherwise("NO").alias("side"), price.cast("long").alias("price"), F.col("l_quantity").alias("size"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.when(yes, "YES").otherwise("NO").alias("side"), price.cast("long").alias("price"), F.col("l_quantity").alias("size"),
+    )
 
 
 V1 = """ladders AS (
@@ -58,7 +60,9 @@ def max_fillable(spark, sf_dir):
 
 
 def edge_histogram(spark, sf_dir):
-    top = ladders(spark, sf_dir).groupBy("key").agg(F.min(F.when(F.col("side") == "YES", F.col("price"))).alias("y"), F.min(F.when(F.col("side") == "NO", F.col("price"))).alias("n")).filter("y is not null and n is not null")
+    top = ladders(spark, sf_dir).groupBy("key").agg(
+        F.min(F.when(F.col("side") == "YES", F.col("price"))).alias("y"), F.min(F.when(F.col("side") == "NO", F.col("price"))).alias("n"),
+    ).filter("y is not null and n is not null")
     return detector.histogram(top.select((10000 - F.col("y") - F.col("n")).alias("edge")))
 
 
@@ -83,7 +87,10 @@ def resolution_days(spark, sf_dir):
 
 
 def rank_or_refuse(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.year("o_orderdate").cast("double").alias("score"), F.month("o_orderdate").cast("double").alias("hours"))
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("id"), F.year("o_orderdate").cast("double").alias("score"),
+        F.month("o_orderdate").cast("double").alias("hours"),
+    )
     return matching.best_or_refuse(o, "key", F.col("score"), F.col("hours"), "id", 1.0).select("key", "id")
 
 
@@ -95,7 +102,10 @@ def tier_dedupe(spark, sf_dir):
 
 def _quotes(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.select("user_id", "event_id", (F.col("event_id") % 2).alias("venue"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (3000 + F.floor(F.col("value") * 100).cast("long") % 4000).alias("ask"))
+    return e.select(
+        "user_id", "event_id", (F.col("event_id") % 2).alias("venue"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"),
+        (3000 + F.floor(F.col("value") * 100).cast("long") % 4000).alias("ask"),
+    )
 
 
 SIX_HOURS = 6 * 3600 * 1_000_000
@@ -131,7 +141,10 @@ def review_funnel(spark, sf_dir):
     return d.join(r, "doc_id", "left").agg(F.count_if(F.col("quality") == 1).alias("matched"), F.count_if(F.col("quality") == 0).alias("rejected"), F.count_if(F.col("quality").isNull()).alias("open"))
 
 
-QUERIES = {f.__name__: f for f in (fee_curve, bids_to_asks, fill_price, max_fillable, edge_histogram, tokenize_df, jaccard_join, entities, resolution_days, rank_or_refuse, tier_dedupe, asof_pairs, sessions, latest_per_pair, funnel_abc, seq_gap, size_quartiles, review_funnel)}
+QUERIES = {f.__name__: f for f in (
+    fee_curve, bids_to_asks, fill_price, max_fillable, edge_histogram, tokenize_df, jaccard_join, entities, resolution_days, rank_or_refuse, tier_dedupe,
+    asof_pairs, sessions, latest_per_pair, funnel_abc, seq_gap, size_quartiles, review_funnel,
+)}
 
 _LEVELS = """levels AS (SELECT key, side, price, CAST(sum(floor(size)) AS BIGINT) AS units FROM ladders GROUP BY ALL HAVING sum(floor(size)) > 0)"""
 _STOP = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"

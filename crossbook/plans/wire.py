@@ -21,10 +21,16 @@ def _word(i: int):
 def _events_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, text = F.col("p_partkey"), F.col("p_partkey").cast("string")
     kind = k % 3
-    ticker = F.when(kind == 0, F.concat(F.lit("KXNBAGAME-26JUL081845XY"), text, F.lit("-"), F.upper(_word(0)))).when(kind == 1, F.concat(F.lit("KXOPEN-"), text, F.lit("-"), F.upper(_word(0)))).otherwise(F.concat(F.lit("KXMVE-"), text))
+    ticker = F.when(
+        kind == 0, F.concat(F.lit("KXNBAGAME-26JUL081845XY"), text, F.lit("-"), F.upper(_word(0))),
+    ).when(kind == 1, F.concat(F.lit("KXOPEN-"), text, F.lit("-"), F.upper(_word(0)))).otherwise(F.concat(F.lit("KXMVE-"), text))
     market = F.struct(
-        ticker.alias("ticker"), F.col("p_brand").alias("title"), F.when(k % 11 == 0, "Above 5").otherwise(_word(0)).alias("yes_sub_title"), F.col("p_type").alias("category"), F.when(k % 5 == 0, "2026-07-12T00:00:00Z").alias("close_time"),
-        F.when(k % 5 == 0, "").when(k % 5 < 4, "2026-07-11T00:00:00Z").alias("expiration_time"), F.lit("0.40").alias("yes_bid_dollars"), F.when(k % 7 > 0, "0.45").alias("yes_ask_dollars"), F.lit("0.5").alias("no_bid_dollars"), F.lit("").alias("rules_primary"), F.lit("").alias("rules_secondary"),
+        ticker.alias("ticker"), F.col("p_brand").alias("title"), F.when(k % 11 == 0, "Above 5").otherwise(_word(0)).alias("yes_sub_title"), F.col("p_type").alias("category"), F.when(
+            k % 5 == 0, "2026-07-12T00:00:00Z",
+        ).alias("close_time"),
+        F.when(k % 5 == 0, "").when(
+            k % 5 < 4, "2026-07-11T00:00:00Z",
+        ).alias("expiration_time"), F.lit("0.40").alias("yes_bid_dollars"), F.when(k % 7 > 0, "0.45").alias("yes_ask_dollars"), F.lit("0.5").alias("no_bid_dollars"), F.lit("").alias("rules_primary"), F.lit("").alias("rules_secondary"),
     )
     title = F.when(kind == 0, F.concat(F.lit("Cup: "), _word(0), F.lit(" vs. "), _word(1), F.lit(" 2: Winner"))).otherwise(F.col("p_type"))
     return table(spark, sf_dir, "part").select(k.alias("ord"), title.alias("title"), F.array(market).alias("markets"))
@@ -32,7 +38,11 @@ def _events_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = venues.markets_a(_events_a(spark, sf_dir))
-    return rows.select("id", F.unix_micros("resolution").alias("until_us"), F.col("event.league").alias("league"), F.unix_micros("event.start_time").alias("start_us"), F.array_join("event.competitors", "/").alias("sides"), F.col("event.yes_abbrev").alias("abbrev"), F.col("futures.entity").alias("entity"), F.col("futures.competition").alias("competition"))
+    return rows.select(
+        "id", F.unix_micros("resolution").alias("until_us"), F.col("event.league").alias("league"), F.unix_micros("event.start_time").alias("start_us"),
+        F.array_join("event.competitors", "/").alias("sides"), F.col("event.yes_abbrev").alias("abbrev"), F.col("futures.entity").alias("entity"),
+        F.col("futures.competition").alias("competition"),
+    )
 
 
 def listing_b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +51,17 @@ def listing_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = F.array(*[F.struct(((k % 2) == i).alias("long"), F.lit("").alias("description"), team(i).alias("team")) for i in (0, 1)])
     rows = table(spark, sf_dir, "part").select(
         k.alias("ord"), F.when(k % 9 > 0, F.concat(F.lit("s"), text)).otherwise("").alias("slug"), _word(0).alias("title"), F.col("p_type").alias("question"),
-        F.concat(F.lit('This market resolves to "Yes" if '), "p_name", F.lit(" wins, scheduled for July. More.")).alias("description"), F.when(k % 3 == 0, "moneyline").when(k % 3 == 1, "futures").alias("marketType"),
+        F.concat(
+            F.lit('This market resolves to "Yes" if '), "p_name", F.lit(" wins, scheduled for July. More."),
+        ).alias("description"), F.when(k % 3 == 0, "moneyline").when(k % 3 == 1, "futures").alias("marketType"),
         F.lit("2026-07-08T22:45:00Z").alias("gameStartTime"), F.lit("2026-07-22T00:00:00Z").alias("endDate"), F.lit("x").alias("category"), (k % 8 == 0).alias("closed"),
         F.when(k % 10 == 0, "no json").otherwise('["Yes","No"]').alias("outcomes"), F.lit("").alias("resolutionSource"), sides.alias("marketSides"),
     )
     out = venues.markets_b(rows)
-    return out.select("id", "question", F.array_join("aliases", "/").alias("aliases"), F.col("event.league").alias("league"), F.col("event.yes_competitor").alias("yes"), F.col("event.yes_abbrev").alias("abbrev"), F.col("futures.entity").alias("entity"), F.col("futures.competition").alias("competition"))
+    return out.select(
+        "id", "question", F.array_join("aliases", "/").alias("aliases"), F.col("event.league").alias("league"), F.col("event.yes_competitor").alias("yes"),
+        F.col("event.yes_abbrev").alias("abbrev"), F.col("futures.entity").alias("entity"), F.col("futures.competition").alias("competition"),
+    )
 
 
 def _two_places(x):
@@ -56,18 +71,26 @@ def _two_places(x):
 def _levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as levels: prices in whole hundredths as text, odd line numbers YES bids."""
     yes = F.col("l_linenumber") % 2 == 1
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), yes.alias("yes"), _two_places(F.when(yes, 40 + F.round(F.col("l_discount") * 100)).otherwise(45 + F.round(F.col("l_tax") * 100))).alias("price"), F.col("l_quantity").alias("size"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), yes.alias("yes"),
+        _two_places(F.when(yes, 40 + F.round(F.col("l_discount") * 100)).otherwise(45 + F.round(F.col("l_tax") * 100))).alias("price"),
+        F.col("l_quantity").alias("size"),
+    )
 
 
 def book_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pair = F.array("price", F.col("size").cast("string"))
-    wire = _levels(spark, sf_dir).groupBy(F.col("key").cast("string").alias("ticker")).agg(F.collect_list(F.when(F.col("yes"), pair)).alias("yes_dollars"), F.collect_list(F.when(~F.col("yes"), pair)).alias("no_dollars"))
+    wire = _levels(spark, sf_dir).groupBy(F.col("key").cast("string").alias("ticker")).agg(
+        F.collect_list(F.when(F.col("yes"), pair)).alias("yes_dollars"), F.collect_list(F.when(~F.col("yes"), pair)).alias("no_dollars"),
+    )
     return _told(venues.books_a(wire))
 
 
 def book_rows_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.struct(F.struct(F.col("price").alias("value"), F.lit("$").alias("currency")).alias("px"), F.col("size").cast("string").alias("qty"))
-    wire = _levels(spark, sf_dir).groupBy(F.col("key").cast("string").alias("marketSlug")).agg(F.collect_list(F.when(F.col("yes"), level)).alias("bids"), F.collect_list(F.when(~F.col("yes"), level)).alias("offers"))
+    wire = _levels(spark, sf_dir).groupBy(F.col("key").cast("string").alias("marketSlug")).agg(
+        F.collect_list(F.when(F.col("yes"), level)).alias("bids"), F.collect_list(F.when(~F.col("yes"), level)).alias("offers"),
+    )
     return _told(venues.books_b(wire))
 
 
@@ -75,7 +98,10 @@ def _told(rows: DataFrame) -> DataFrame:
     ticks = lambda c: F.round(c * 10000).cast("long")
     shown = lambda c: F.array_join(F.transform(c, lambda x: ticks(x["price"]).cast("string")), ",")
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x["size"]).cast("long")
-    return rows.select("id", shown(F.col("yes_depth")).alias("yes"), shown(F.col("no_depth")).alias("no"), total(F.col("yes_depth")).alias("yes_size"), total(F.col("no_depth")).alias("no_size"), ticks(F.col("yes_bid")).alias("yes_bid"), ticks(F.col("no_bid")).alias("no_bid"))
+    return rows.select(
+        "id", shown(F.col("yes_depth")).alias("yes"), shown(F.col("no_depth")).alias("no"), total(F.col("yes_depth")).alias("yes_size"),
+        total(F.col("no_depth")).alias("no_size"), ticks(F.col("yes_bid")).alias("yes_bid"), ticks(F.col("no_bid")).alias("no_bid"),
+    )
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +111,9 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     event = F.struct(k.cast("string").alias("title"), F.array().cast(f"array<{market}>").alias("markets"))
     rows = table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("run"), F.expr("row_number() over (partition by o_custkey order by o_orderkey) - 1").cast("long").alias("page"),
-        F.when(k % 6 == 0, "").otherwise((k % 3).cast("string")).alias("cursor"), F.when(k % 5 == 0, F.array().cast(f"array<struct<title:string,markets:array<{market}>>>")).otherwise(F.array(event)).alias("events"),
+        F.when(k % 6 == 0, "").otherwise((k % 3).cast("string")).alias("cursor"), F.when(
+            k % 5 == 0, F.array().cast(f"array<struct<title:string,markets:array<{market}>>>"),
+        ).otherwise(F.array(event)).alias("events"),
     )
     return pages.listing_a(rows, max_pages=7).select("run", "title")
 
@@ -96,37 +124,57 @@ def match_games(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.col("o_orderdate").cast("timestamp")
     league = F.when(k % 2 == 0, "nba").otherwise("nfl")
     name = lambda s: F.concat(F.lit(s), k.cast("string"))
-    game = lambda names, yes, at: F.struct(league.alias("league"), at.alias("start_time"), F.array(*names).alias("competitors"), yes.alias("yes_competitor"), F.lit("").alias("yes_abbrev"))
+    game = lambda names, yes, at: F.struct(
+        league.alias("league"), at.alias("start_time"), F.array(*names).alias("competitors"), yes.alias("yes_competitor"), F.lit("").alias("yes_abbrev"),
+    )
     one, two = name("north"), name("south")
     a = orders.select(k, F.posexplode(F.array(one, two)).alias("at", "yes"), start.alias("start"), F.array(one, two).alias("names"), league.alias("league"))
     a = a.filter(~((k % 13 == 0) & (F.col("at") == 1))).select(
         F.concat(F.lit("a:G-"), k.cast("string"), F.lit("-"), F.col("at").cast("string")).alias("id"), F.col("yes").alias("question"), F.col("start").alias("resolution"),
-        F.struct("league", F.col("start").alias("start_time"), F.col("names").alias("competitors"), F.col("yes").alias("yes_competitor"), F.lit("").alias("yes_abbrev")).alias("event"), F.struct(k.alias("ord"), F.col("at").cast("long").alias("at")).alias("ord"),
+        F.struct(
+            "league", F.col("start").alias("start_time"), F.col("names").alias("competitors"), F.col("yes").alias("yes_competitor"),
+            F.lit("").alias("yes_abbrev"),
+        ).alias("event"), F.struct(k.alias("ord"), F.col("at").cast("long").alias("at")).alias("ord"),
     )
     later = F.timestamp_micros(F.unix_micros(start) + (k % 40) * 3_600_000_000)
     long_one, long_two = F.concat(one, F.lit(" stars")), F.concat(two, F.lit(" lights"))
-    b = orders.select(F.concat(F.lit("b:"), k.cast("string")).alias("id"), F.lit("q").alias("question"), later.alias("resolution"), game((long_two, long_one), F.when(k % 3 == 0, long_one).otherwise(long_two), later).alias("event"), F.struct(k.alias("ord"), F.lit(0).cast("long").alias("at")).alias("ord"))
+    b = orders.select(
+        F.concat(F.lit("b:"), k.cast("string")).alias("id"), F.lit("q").alias("question"), later.alias("resolution"),
+        game((long_two, long_one), F.when(k % 3 == 0, long_one).otherwise(long_two), later).alias("event"),
+        F.struct(k.alias("ord"), F.lit(0).cast("long").alias("at")).alias("ord"),
+    )
     found = resolution.match_games(a, b)
     return found.select("a_id", "b_id", F.round(F.col("score") * 10000).cast("long").alias("score"), F.col("delta_days").cast("long").alias("delta_days"))
 
 
 def match_outrights(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    side = lambda s, rest: part.filter(k % 2 == rest).select(F.concat(F.lit(f"{s}:"), k.cast("string")).alias("id"), F.lit("q").alias("question"), F.date_add(F.lit("2026-01-01"), F.col("p_size")).cast("timestamp").alias("resolution"), F.struct(F.col("p_name").alias("entity"), F.concat_ws(" ", "p_type", F.col("p_brand"), F.lit("2026")).alias("competition"), F.lit("").alias("entity_abbrev")).alias("futures"), k.alias("ord"))
+    side = lambda s, rest: part.filter(k % 2 == rest).select(
+        F.concat(F.lit(f"{s}:"), k.cast("string")).alias("id"), F.lit("q").alias("question"),
+        F.date_add(F.lit("2026-01-01"), F.col("p_size")).cast("timestamp").alias("resolution"),
+        F.struct(F.col("p_name").alias("entity"), F.concat_ws(" ", "p_type", F.col("p_brand"), F.lit("2026")).alias("competition"), F.lit("").alias("entity_abbrev")).alias("futures"),
+        k.alias("ord"),
+    )
     found = resolution.match_outrights(side("a", 0), side("b", 1))
     return found.select("a_id", "b_id", F.round(F.col("score") * 10000).cast("long").alias("score"), F.col("delta_days").cast("long").alias("delta_days"))
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").select(F.concat(F.lit("a:"), k.cast("string")).alias("a_id"), F.concat(F.lit("b:x:"), (k % 97).cast("string")).alias("b_id"), F.lit("q").alias("a_question"), F.lit("p").alias("b_question"), ((k * 37 % 1000) / 1000).alias("score"), F.when(k % 3 == 0, "structured").when(k % 3 == 1, "futures").otherwise("lexical").alias("method"))
+    return table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("a:"), k.cast("string")).alias("a_id"), F.concat(F.lit("b:x:"), (k % 97).cast("string")).alias("b_id"), F.lit("q").alias("a_question"),
+        F.lit("p").alias("b_question"), ((k * 37 % 1000) / 1000).alias("score"),
+        F.when(k % 3 == 0, "structured").when(k % 3 == 1, "futures").otherwise("lexical").alias("method"),
+    )
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     yes = F.col("l_linenumber") % 2 == 1
     price = F.when(yes, 4600 + F.round(F.col("l_discount") * 10000)).otherwise(4500 + F.round(F.col("l_tax") * 10000)) / 10000
     level = F.struct(price.alias("price"), F.col("l_quantity").alias("size"))
-    sides = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.when(yes, level))).alias("yes_depth"), F.array_sort(F.collect_list(F.when(~yes, level))).alias("no_depth"))
+    sides = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.when(yes, level))).alias("yes_depth"), F.array_sort(F.collect_list(F.when(~yes, level))).alias("no_depth"),
+    )
     book = lambda rows, s: rows.select(F.concat(F.lit(s), F.col("l_orderkey").cast("string")).alias("id"), "yes_depth", "no_depth", F.lit(0).cast("long").alias("updated_us"))
     return detector.paired(_candidates(spark, sf_dir), book(sides, "a:"), book(sides.filter("l_orderkey < 97"), "b:x:"))
 
@@ -169,15 +217,24 @@ def log_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of the evaluations of each order's book against itself, in ticks."""
     yes = F.col("l_linenumber") % 2 == 1
     price = F.when(yes, 4600 + F.round(F.col("l_discount") * 10000)).otherwise(4500 + F.round(F.col("l_tax") * 10000))
-    book = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("key"), F.when(F.col("l_partkey") % 2 == 0, "a").otherwise("b").alias("leg"), F.when(yes, "YES").otherwise("NO").alias("side"), price.cast("long").alias("price"), F.col("l_quantity").alias("size"))
-    found = depth.evaluate(book).withColumns({"ts": F.timestamp_micros(F.col("key") * 500_000), "a_id": F.col("key").cast("string"), "b_id": F.lit("b"), "question": F.lit("q"), "method": F.lit("m"), "resolution_match": F.lit(None).cast("boolean")})
+    book = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"), F.when(F.col("l_partkey") % 2 == 0, "a").otherwise("b").alias("leg"), F.when(yes, "YES").otherwise("NO").alias("side"),
+        price.cast("long").alias("price"), F.col("l_quantity").alias("size"),
+    )
+    found = depth.evaluate(book).withColumns({
+        "ts": F.timestamp_micros(F.col("key") * 500_000), "a_id": F.col("key").cast("string"), "b_id": F.lit("b"), "question": F.lit("q"), "method": F.lit("m"),
+        "resolution_match": F.lit(None).cast("boolean"),
+    })
     ticks = [F.round(F.col(c) * 10000).cast("long").alias(c) for c in ("yes_fill", "no_fill", "yes_fee", "no_fee", "raw_depth", "net")]
     return logs.records(found).select("a_id", "timestamp", "strategy", "size", *ticks)
 
 
 def current_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    matches = d.select((F.col("doc_id") % 300).cast("string").alias("a_id"), F.lit("b").alias("b_id"), F.when(F.col("doc_id") % 7 > 1, F.col("doc_id") % 2 == 0).alias("resolution_match"), F.col("doc_id").alias("ord"))
+    matches = d.select(
+        (F.col("doc_id") % 300).cast("string").alias("a_id"), F.lit("b").alias("b_id"),
+        F.when(F.col("doc_id") % 7 > 1, F.col("doc_id") % 2 == 0).alias("resolution_match"), F.col("doc_id").alias("ord"),
+    )
     return report.current_labels(matches)
 
 
@@ -194,14 +251,19 @@ def book_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = lambda p, n: F.array(F.lit(p), n.cast("string"))
     snapshot = k % 23 == 0
     messages = e.select(
-        (F.col("user_id") % 20).cast("string").alias("conn"), k.alias("ord"), (at + F.floor(at / 29)).cast("long").alias("seq"), F.when(snapshot, "snapshot").otherwise("delta").alias("type"), (k % 2).cast("string").alias("ticker"),
+        (F.col("user_id") % 20).cast("string").alias("conn"), k.alias("ord"), (at + F.floor(at / 29)).cast("long").alias("seq"), F.when(
+            snapshot, "snapshot",
+        ).otherwise("delta").alias("type"), (k % 2).cast("string").alias("ticker"),
         F.when(snapshot, F.array(level("0", k % 4 + 1), level("1", k % 6 + 1))).alias("yes"), F.lit(None).cast("array<array<string>>").alias("no"),
         F.when(k % 3 == 0, "no").otherwise("yes").alias("side"), (k % 3).cast("string").alias("price"), (k % 7 - 3).cast("string").alias("delta"),
     )
     return books.level_states(messages).select("conn", "epoch", "ticker", "side", "price", "ord", F.col("size").cast("long").alias("size"))
 
 
-QUERIES = {f.__name__: f for f in (listing_a, listing_b, book_rows, book_rows_b, listing_pages, match_games, match_outrights, detect_pairs, best_opportunities, extreme_edges, top_candidates, candidates_by_method, distinct_keys, needed_markets, market_index, log_records, current_labels, top_windows, book_sessions)}
+QUERIES = {f.__name__: f for f in (
+    listing_a, listing_b, book_rows, book_rows_b, listing_pages, match_games, match_outrights, detect_pairs, best_opportunities, extreme_edges, top_candidates,
+    candidates_by_method, distinct_keys, needed_markets, market_index, log_records, current_labels, top_windows, book_sessions,
+)}
 
 _CANDIDATES = """c AS (SELECT 'a:' || o_orderkey AS a_id, 'b:x:' || (o_orderkey % 97) AS b_id, o_orderkey AS a, o_orderkey % 97 AS b, (o_orderkey * 37 % 1000) AS score,
   CASE o_orderkey % 3 WHEN 0 THEN 'structured' WHEN 1 THEN 'futures' ELSE 'lexical' END AS method FROM orders)"""

@@ -66,7 +66,9 @@ def evaluated(rows: DataFrame, max_seconds: float = STALE_SECONDS) -> DataFrame:
     return out.join(rows.drop("a", "b"), keys)
 
 
-def live_sinks(log: str, latest: str, last: str, names: tuple[str, str] = ("a", "b"), max_seconds: float = STALE_SECONDS, counted: Callable[[dict], None] | None = None) -> Callable[[DataFrame, int], None]:
+def live_sinks(
+    log: str, latest: str, last: str, names: tuple[str, str] = ("a", "b"), max_seconds: float = STALE_SECONDS, counted: Callable[[dict], None] | None = None,
+) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over ``met``: log, latest records, and in ``last`` when and at which edge each pair was logged.
 
     ``counted`` gets the batch's counters: updates, samples, windows (viable samples) and tracked pairs.

@@ -41,7 +41,10 @@ def game_b(slug, start, first, second, league="MLB", long=0):
 
 
 def test_game_start(spark):
-    cases = {"26JUL081845HARWIL": datetime(2026, 7, 8, 22, 45), "26SEP14ELKOAK": datetime(2026, 9, 14, 4), "26FEB30AB": None, "26JUL082545AB": None, "26JUL08": None, "x": None, None: None, "26MAR080230AB": datetime(2026, 3, 8, 7, 30), "26NOV010130AB": datetime(2026, 11, 1, 5, 30)}
+    cases = {
+        "26JUL081845HARWIL": datetime(2026, 7, 8, 22, 45), "26SEP14ELKOAK": datetime(2026, 9, 14, 4), "26FEB30AB": None, "26JUL082545AB": None, "26JUL08": None,
+        "x": None, None: None, "26MAR080230AB": datetime(2026, 3, 8, 7, 30), "26NOV010130AB": datetime(2026, 11, 1, 5, 30),
+    }
     got = spark.createDataFrame([(k,) for k in cases], "s string").select("s", venues.game_start(F.col("s")).alias("t")).collect()
     assert {r.s: r.t and r.t.astimezone(UTC).replace(tzinfo=None) for r in got} == cases
 
@@ -60,7 +63,11 @@ def test_listing_a(spark):
 
 def test_listing_b(spark):
     cut = 'This market resolves to "Yes" if Spain wins the cup, scheduled for July. More.'
-    rows = listing_b(spark, game_b("g", "2026-07-08T22:45:00Z", ("Harbor Larks", "HAR"), ("Willow Rams", "WIL"), "T20x"), {"slug": "f-spa", "marketType": "futures", "title": "Spain", "question": "Cup Winner", "description": cut}, {"slug": "bad", "outcomes": "no json"}, {"slug": "shut", "closed": True}, {"slug": "q", "question": "Rain?"}).collect()
+    rows = listing_b(
+        spark, game_b("g", "2026-07-08T22:45:00Z", ("Harbor Larks", "HAR"), ("Willow Rams", "WIL"), "T20x"),
+        {"slug": "f-spa", "marketType": "futures", "title": "Spain", "question": "Cup Winner", "description": cut}, {"slug": "bad", "outcomes": "no json"},
+        {"slug": "shut", "closed": True}, {"slug": "q", "question": "Rain?"},
+    ).collect()
     assert [r.id for r in rows] == ["b:g", "b:f-spa", "b:q"]
     assert rows[0].question == "Will Harbor Larks win Harbor Larks vs. Willow Rams?" and rows[0].event.league == "cricket" and rows[0].aliases == ["Harbor Larks vs. Willow Rams"]
     assert rows[1].question == "Spain wins the cup" and rows[1].aliases == ["Cup Winner"] and rows[1].futures.entity_abbrev == "spa"
@@ -68,7 +75,10 @@ def test_listing_b(spark):
 
 
 def test_books(spark):
-    a = venues.books_a(spark.createDataFrame([("t", [["0.40", "5"]], [["0.50", "200"], ["0.55", "80"]]), ("e", None, None)], "ticker string, yes_dollars array<array<string>>, no_dollars array<array<string>>")).collect()
+    a = venues.books_a(spark.createDataFrame(
+        [("t", [["0.40", "5"]], [["0.50", "200"], ["0.55", "80"]]), ("e", None, None)],
+        "ticker string, yes_dollars array<array<string>>, no_dollars array<array<string>>",
+    )).collect()
     assert [tuple(x) for x in a[0].yes_depth] == [(0.45, 80.0), (0.5, 200.0)] and a[0].yes_bid == 0.4 and a[0].no_bid == 0.55 and a[1].yes_depth == [] and a[1].yes_bid is None
     level = "array<struct<px:struct<value:string,currency:string>,qty:string>>"
     b = venues.books_b(spark.createDataFrame([("s", [(("0.409", "$"), "62"), (("0.400", "$"), "320")], [(("0.42", "$"), "7")])], f"marketSlug string, bids {level}, offers {level}")).first()
@@ -98,14 +108,21 @@ def test_match_games(spark):
 def test_match_outrights_and_tiers(spark):
     a = listing_a(spark, ("2026 Lake Open Winner", ("KXPGA-1-TOM", "Tomas Orná"), ("KXPGA-1-KV", "Kim Vale")), ("Tour Stage 9 Winner", ("KXT-9-OR", "Ono Reef")))
     future = lambda slug, who, where, **k: {"slug": slug, "title": who, "question": where, "marketType": "futures"} | k
-    b = listing_b(spark, future("x-tom", "Tomas Orna", "Lake Open Winner"), future("y-kv", "Kim Vale", "Lake Open Winner"), future("z-kv", "Kim Vale", "Lake Open Winner"), future("t", "Ono Reef", "Tour Winner"), future("far", "Tomas Orna", "Lake Open Winner", endDate="2027-07-22T00:00:00Z"))
+    b = listing_b(
+        spark, future("x-tom", "Tomas Orna", "Lake Open Winner"), future("y-kv", "Kim Vale", "Lake Open Winner"), future("z-kv", "Kim Vale", "Lake Open Winner"),
+        future("t", "Ono Reef", "Tour Winner"), future("far", "Tomas Orna", "Lake Open Winner", endDate="2027-07-22T00:00:00Z"),
+    )
     assert {(r.a_id, r.b_id, r.score) for r in resolution.match_outrights(a, b).collect()} == {("a:KXPGA-1-TOM", "b:x-tom", 1.0)}
     assert [(r.a_id, r.tier, r.method) for r in resolution.match_all(a, b).collect()] == [("a:KXPGA-1-TOM", 1, "futures")]
 
 
 def test_match_questions(spark):
     a = listing_a(spark, (None, ("R-1", "x", {"title": "Will hail in Marl exceed 40 mm in July?"}), ("R-2", "x", {"title": "Will snow fall?"})))
-    b = listing_b(spark, {"slug": "p", "question": "Will hail in Marl exceed 40 mm in July"}, {"slug": "q", "question": "Marl hail"}, {"slug": "r", "question": "Hail in Marl?", "description": "Will hail in Marl exceed 40 mm in July? Yes."}, {"slug": "s", "question": "Will hail in Marl exceed 40 mm in July", "endDate": "2027-01-01"})
+    b = listing_b(
+        spark, {"slug": "p", "question": "Will hail in Marl exceed 40 mm in July"}, {"slug": "q", "question": "Marl hail"},
+        {"slug": "r", "question": "Hail in Marl?", "description": "Will hail in Marl exceed 40 mm in July? Yes."},
+        {"slug": "s", "question": "Will hail in Marl exceed 40 mm in July", "endDate": "2027-01-01"},
+    )
     got = {r.b_id: r for r in resolution.match_questions(a, b, days=11).collect()}
     assert set(got) == {"b:p", "b:r"} and got["b:r"].score == 1.0 and got["b:r"].delta_days == 11 and got["b:p"].score == round(0.5 + 0.5 * 76 / 77, 4)
 
@@ -244,7 +261,9 @@ def test_hedges_by_walking_units(spark):
 
 
 def test_fees_by_platform(spark):
-    fees = spark.createDataFrame([("a", 5000), ("b", 5000), ("b", 4200)], "platform string, p long").select(economics.taker_fee_ticks(F.col("platform"), F.col("p")).alias("f"), economics.maker_rebate_ticks(F.col("p")).alias("m"))
+    fees = spark.createDataFrame([("a", 5000), ("b", 5000), ("b", 4200)], "platform string, p long").select(
+        economics.taker_fee_ticks(F.col("platform"), F.col("p")).alias("f"), economics.maker_rebate_ticks(F.col("p")).alias("m"),
+    )
     assert [tuple(r) for r in fees.collect()] == [(175, -31), (125, -31), (122, -30)]
     for bad in ("c", None):
         with pytest.raises(Exception, match="no fee for platform"):
@@ -257,7 +276,10 @@ def test_fees_by_platform(spark):
 def test_pages(spark, tmp_path):
     market = {"ticker": "T"}
     page = lambda run, n, cursor, k: {"run": run, "page": n, "cursor": cursor, "events": [{"title": f"{n}.{i}", "markets": [market]} for i in range(k)]}
-    found = [page("r", 0, "c1", 2), page("r", 1, "c2", 1), page("r", 2, "", 1), page("r", 3, "c4", 1), page("stuck", 0, "c", 1), page("stuck", 1, "c", 1), page("stuck", 2, "d", 1), page("bare", 0, "x", 0), page("bare", 1, "y", 1), page("end", 0, None, 1), page("end", 1, "y", 1)]
+    found = [
+        page("r", 0, "c1", 2), page("r", 1, "c2", 1), page("r", 2, "", 1), page("r", 3, "c4", 1), page("stuck", 0, "c", 1), page("stuck", 1, "c", 1),
+        page("stuck", 2, "d", 1), page("bare", 0, "x", 0), page("bare", 1, "y", 1), page("end", 0, None, 1), page("end", 1, "y", 1),
+    ]
     (tmp_path / "a.json").write_text("\n".join(map(json.dumps, found)) + "\nno json\n")
     rows = pages.listing_a(pages.read_pages(spark, str(tmp_path / "a.json"), pages.PAGE_A)).orderBy("run", "ord").collect()
     assert [(r.run, r.title) for r in rows] == [("end", "0.0"), ("r", "0.0"), ("r", "0.1"), ("r", "1.0"), ("r", "2.0"), ("stuck", "0.0"), ("stuck", "1.0")]
@@ -275,10 +297,16 @@ def test_pages(spark, tmp_path):
 
 
 def test_detector(spark):
-    c = spark.createDataFrame([("a:1", "b:x:1", "q", "p", 0.9, "lexical"), ("a:2", "b:y", "q", "p", 0.8, "futures"), ("a:3", "b:y", "q", "p", 0.8, "lexical"), ("a:4", "b:none", "q", "p", 0.7, None)], "a_id string, b_id string, a_question string, b_question string, score double, method string")
+    c = spark.createDataFrame(
+        [("a:1", "b:x:1", "q", "p", 0.9, "lexical"), ("a:2", "b:y", "q", "p", 0.8, "futures"), ("a:3", "b:y", "q", "p", 0.8, "lexical"), ("a:4", "b:none", "q", "p", 0.7, None)],
+        "a_id string, b_id string, a_question string, b_question string, score double, method string",
+    )
     level = "array<struct<price:double,size:double>>"
     book = lambda i, y, n, us=0: (i, [(y, 10.0)], [(n, 10.0)], us)
-    a = spark.createDataFrame([book("a:1", 0.4, 0.9), book("a:2", 0.5, 0.6), book("a:3", 0.2, 0.2, -5_000_000), book("a:4", 0.1, 0.1)], f"id string, yes_depth {level}, no_depth {level}, updated_us long")
+    a = spark.createDataFrame(
+        [book("a:1", 0.4, 0.9), book("a:2", 0.5, 0.6), book("a:3", 0.2, 0.2, -5_000_000), book("a:4", 0.1, 0.1)],
+        f"id string, yes_depth {level}, no_depth {level}, updated_us long",
+    )
     b = spark.createDataFrame([book("b:x:1", 0.9, 0.5), book("b:y", 0.3, 0.4)], a.schema)
     pairs = detector.paired(c, a, b)
     assert {(r.a_id, r.edge) for r in detector.edges(pairs).collect()} == {("a:1", 1000), ("a:2", 1000), ("a:3", 5000)}
@@ -345,7 +373,10 @@ def test_live_path(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(rows[80 * k : 80 * k + 80], schema).coalesce(1).write.json(str(tmp_path / "in" / f"k={k}"))
     pairs = [("a:1", "b:1", "structured"), ("a:2", "b:2", "futures"), ("a:3", "b:2", "structured")]
-    candidates = spark.createDataFrame([(a, b, "q", "p", 1.0, m, None) for a, b, m in pairs], "a_id string, b_id string, a_question string, b_question string, score double, method string, resolution_match boolean")
+    candidates = spark.createDataFrame(
+        [(a, b, "q", "p", 1.0, m, None) for a, b, m in pairs],
+        "a_id string, b_id string, a_question string, b_question string, score double, method string, resolution_match boolean",
+    )
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
     counts = []
     sinks = live.live_sinks(*(str(tmp_path / x) for x in ("log", "latest", "last")), counted=counts.append)
