@@ -1,4 +1,9 @@
-"""Entity resolution between venues: blocking, ranking with refusal, tiers."""
+"""Entity resolution between venues: blocking, ranking with refusal, tiers.
+
+Null texts have no tokens and meet nothing; a null key is ranked as one key; of rows that
+tie in everything the first by id stands, or none where a tie is refused; empty tables give
+empty results.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,10 @@
-"""Replay of quote and opportunity logs: as-of pairs, sessions, latest rows, funnel."""
+"""Replay of quote and opportunity logs: as-of pairs, sessions, latest rows, funnel.
+
+Rows with a null key are a key like any other; rows with a null time or number come first in
+their key and begin nothing that they could be compared with; rows equal in all that orders
+them are repeated rows, each counted; empty tables give empty results (the funnel a row of zeros).
+A key's history is one task's work, but for ``sequence_gaps``.
+"""
 
 from __future__ import annotations
 

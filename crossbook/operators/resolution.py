@@ -2,6 +2,9 @@
 
 Each matcher returns pairs: a_id, b_id, a_question, b_question, score, delta_days, method.
 A wrong pair inverts a hedge, so each refuses where the best two can't be told apart.
+
+Markets without event, start, names or resolution match nothing where these are asked for; a
+market listed twice is matched twice, its rows told apart by ``ord``; empty tables give empty results.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from crossbook.functions import economics
-from crossbook.operators import books, depth, detector, matching, report, resolution
+from crossbook.operators import books, depth, detector, matching, replay, report, resolution
 from crossbook.sources import logs, pages, venues
 from crossbook.streaming import books as stream_books
 from crossbook.streaming import live, throttle
@@ -326,6 +326,22 @@ def test_detector(spark):
     assert [r.k for r in keys] == ["x:y", None, None] and keys[0].v == "a"
 
 
+def test_replay_of_null_keys_ties_and_empty_tables(spark):
+    rows = [(None, 0, 5, 1, 10), (None, 1, 5, 2, 20), (1, 0, None, 3, 30), (1, 0, 7, 4, 40), (1, 1, 8, 5, 50), (1, 1, 8, 5, 50)]
+    df = spark.createDataFrame(rows, "k long, venue int, us long, id long, v long")
+    pairs = {(r.k, r.id): (r.a, r.b) for r in replay.as_of(df, "k", "venue", "us", "id", "v", 10).collect()}
+    assert pairs == {(None, 2): (10, 20), (1, 5): (40, 50)}
+    assert sorted((r.k or 0, r.samples) for r in replay.sessions(df.filter("us is not null"), "k", "us", 10, "v", "id").collect()) == [(0, 2), (1, 3)]
+    assert {r.k: r.v for r in replay.latest(df, "k", ["us", "id"], ["v"]).collect()} == {None: 20, 1: 50}
+    assert tuple(replay.funnel(df, "k", {"a": F.col("v") > 20}).first()) == (2, 1)
+    assert {r.k: (r.n, r.q1_x4) for r in replay.exclusive_quartiles(df, "k", "v").collect()} == {None: (2, None), 1: (4, 130)}
+    none = df.limit(0)
+    assert replay.as_of(none, "k", "venue", "us", "id", "v", 10).count() == replay.sequence_gaps(none, "k", "us").count() == replay.exclusive_quartiles(none, "k", "v").count() == 0
+    assert tuple(replay.funnel(none, "k", {"a": F.col("v") > 20}).first()) == (0, 0)
+    best = lambda t: matching.best_or_refuse(t, "k", F.col("v"), F.lit(0.0), "id", 0.0)
+    assert [(r.k, r.id) for r in best(df.dropDuplicates()).collect()] in ([(None, 2), (1, 5)], [(1, 5), (None, 2)]) and best(none).count() == 0
+
+
 def test_book_stream(spark, tmp_path):
     rng, rows = random.Random(5), []
     for conn in "pq":
