@@ -55,12 +55,20 @@ def competition_tokens(text: Column) -> Column:
     return F.filter(words(no_year, 1), lambda t: ((F.length(t) > 1) | t.rlike("^[0-9]$")) & ~t.isin(*COMPETITION_FILLER))
 
 
+def _selects(token: Column) -> Column:
+    return token.rlike("^[0-9]+$") | token.isin(*SELECTORS)
+
+
+def selectors(tokens: Column) -> Column:
+    """Numbers and selecting words of a competition, as one text."""
+    return F.array_join(F.array_sort(F.filter(tokens, _selects)), " ")
+
+
 def competition_score(a: Column, b: Column) -> Column:
     """Jaccard of the names' tokens, 0 unless numbers and selecting words are the same set."""
-    selects = lambda t: t.rlike("^[0-9]+$") | t.isin(*SELECTORS)
-    sa, sb, na, nb = F.filter(a, selects), F.filter(b, selects), F.filter(a, lambda t: ~selects(t)), F.filter(b, lambda t: ~selects(t))
+    na, nb = F.filter(a, lambda t: ~_selects(t)), F.filter(b, lambda t: ~_selects(t))
     both, total = jaccard_parts(na, nb)
-    fits = (F.array_sort(sa) == F.array_sort(sb)) & (F.size(na) > 0) & (F.size(nb) > 0)
+    fits = (selectors(a) == selectors(b)) & (F.size(na) > 0) & (F.size(nb) > 0)
     return F.when(fits, both / total).otherwise(0.0)
 
 
@@ -95,7 +103,11 @@ def match_games(a: DataFrame, b: DataFrame, hours: int = START_HOURS) -> DataFra
         F.unix_micros("event.start_time").alias("b_us"), F.col("event.competitors")[0].alias("p1"), F.col("event.competitors")[1].alias("p2"), F.col("event.yes_competitor").alias("yes"), F.col("event.yes_abbrev").alias("b_abbrev"),
     )
     right = right.withColumn("u1", words(unaccented("p1"))).withColumn("u2", words(unaccented("p2"))).withColumn("slot", F.floor(F.col("b_us") / span))
-    near = left.join(right, ["league", "slot"]).filter(F.abs(F.col("us") - F.col("b_us")) <= span)
+    # Aligned competitors share a token. Of those that the first one shares with the other game's, only the first in order makes the pair.
+    left = left.withColumn("token", F.explode("t1"))
+    right = right.withColumn("names", F.array_union("u1", "u2")).withColumn("token", F.explode("names"))
+    near = left.join(right, ["league", "slot", "token"]).filter(F.abs(F.col("us") - F.col("b_us")) <= span)
+    near = near.filter(F.col("token") == F.array_min(F.array_intersect("t1", "names")))
 
     def pair(k: int, p: int) -> Column:
         score = name_score(F.col(f"t{k}"), F.col(f"u{p}"))
@@ -130,8 +142,14 @@ def match_outrights(a: DataFrame, b: DataFrame, entity_min: float = ENTITY_MIN,
         ).drop("entity", "competition")
 
     left, right = outright(a, "a"), outright(b, "b")
+    # Competitions with other selectors score 0, so the same ones are asked for where a score above 0 is.
+    keys = ["token"]
+    if competition_min > 0:
+        left, right = (x.withColumn("selectors", selectors(F.col(f"{s}_where"))) for x, s in ((left, "a"), (right, "b")))
+        keys.append("selectors")
     # Of the tokens that two share, only the first in order makes the pair, so no pair comes twice.
-    met = left.withColumn("token", F.explode("a_block")).join(right.withColumn("token", F.explode("b_block")), "token").filter(F.col("token") == F.array_min(F.array_intersect("a_block", "b_block")))
+    met = left.withColumn("token", F.explode("a_block")).join(right.withColumn("token", F.explode("b_block")), keys)
+    met = met.filter(F.col("token") == F.array_min(F.array_intersect("a_block", "b_block")))
     met = met.withColumn("delta_days", delta_days(F.col("a_resolution"), F.col("b_resolution"))).filter(F.col("delta_days") <= days)
     met = met.withColumn("e", name_score(F.col("a_name"), F.col("b_name"))).filter(F.col("e") >= entity_min).withColumn(
         "c", competition_score(F.col("a_where"), F.col("b_where")),
