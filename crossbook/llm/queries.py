@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crossbook.llm import byte_bpe, decontamination, exact_dedup, html_extraction, line_dedup, lm_scoring, minhash_dedup, secret_scan, token_counts, toxicity
+from crossbook.llm import (
+    byte_bpe, decontamination, exact_dedup, fill_in_middle, html_extraction, line_dedup, lm_scoring, minhash_dedup, prefix_trie, secret_scan,
+    sentence_pieces, token_counts, toxicity,
+)
 from crossbook.llm._common import documents
 
 
@@ -49,6 +52,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(documents(spark, sf_dir, "conversations"))
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_line_dedup": op2_line_dedup,
@@ -60,9 +75,14 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 ORACLE_SQL = {
+    "op11_fill_in_middle": fill_in_middle.ORACLE_SQL,
+    "op12_prefix_trie": prefix_trie.ORACLE_SQL,
     "op3_exact_dedup": """
 WITH n AS (
   SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
