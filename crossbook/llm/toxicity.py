@@ -34,8 +34,10 @@ from pyspark.sql.window import Window as W
 
 from crossbook.llm._common import stored, text_of
 
-#: Labelled documents that are trained on, at most.
+#: Labelled documents that are trained on, at most, and characters of each class.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 16_000_000
+#: A document longer than this part of a class's characters isn't trained on, so no single one can use them up.
+DOC_PART = 50
 THRESHOLD = 0.3
 BUCKETS_BITS, DIM, NGRAMS, WINDOW = 18, 4, (3, 4, 5), 5
 #: Pull of the embeddings towards zero, in the unit of the mean gradient. Chosen of 1e-6 to 1e-3
@@ -282,14 +284,19 @@ def _score(sent):
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_toxic: int, max_clean: int, max_chars: int) -> tuple[list[str], list[int], float]:
-    """Texts and labels to train on, a bounded number and size and none that is held out, and the share of toxic labels."""
+    """Texts and labels to train on, a bounded number and size and none that is held out, and the share of toxic labels.
+
+    Of each class, by a hash of the id: at most so many documents, none longer than max_chars / DOC_PART, and the first
+    of these that have at most max_chars together: DOC_PART of them fit, however long they are.
+    """
     named = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("y"))
     named = named.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
     share = named.agg(F.avg("y")).first()[0]
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = named.filter("y = 1").orderBy(*order).limit(max_toxic).unionByName(named.filter("y = 0").orderBy(*order).limit(max_clean))
     # max_toxic + max_clean rows at most from here on.
-    found = stored(docs.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "y", "text"), "toxicity-sample")
+    fits = F.length("text") <= max_chars // DOC_PART
+    found = stored(docs.join(F.broadcast(picked), "doc_id").filter(fits).dropDuplicates(["doc_id"]).select("doc_id", "y", "text"), "toxicity-sample")
     so_far = F.sum(F.length("text")).over(W.partitionBy("y").orderBy(*order))
     kept = found.select("doc_id", so_far.alias("chars")).filter(F.col("chars") <= max_chars).select("doc_id")
     rows = found.join(F.broadcast(kept), "doc_id", "left_semi").orderBy(*order).select("text", "y").toArrow()
