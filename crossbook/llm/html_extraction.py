@@ -27,10 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm._common import small, stored
+from pyspark.sql.window import Window as W
+
+from crossbook.llm._common import stored
 
 #: A template is on so many pages of the host, and on this share of them.
 MIN_PAGES, MIN_SHARE = 10, 0.5
+#: Hosts whose templates are sent to every task, at most, and hashes of templates (8 bytes each) of all of them.
+SENT_HOSTS, SENT_TREES = 20_000, 4_000_000
 
 # Neither gives back what it has matched, so a failure costs one look at the rest.
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
@@ -106,7 +110,7 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
 
     def flush():
         if text:
-            words = entities.unescape("".join(text)).split()
+            words = "".join(text).split()
             text.clear()
             if words:
                 blocks.append((stack[-1].region, " ".join(words)))
@@ -127,8 +131,8 @@ def walk(page: str) -> tuple[list[str], list[tuple[int, int, int]]]:
 
     while True:
         begin = page.find("<", at)
-        if not stack[-1].gone:
-            text.append(page[at : begin if begin >= 0 else len(page)])
+        if not stack[-1].gone:  # a reference ends at a tag, so each run is decoded by itself
+            text.append(entities.unescape(page[at : begin if begin >= 0 else len(page)]))
         if begin < 0:
             break
         if page.startswith("<!--", begin):
@@ -248,10 +252,24 @@ def html_extraction(pages: DataFrame, *, min_pages: int = MIN_PAGES, min_share:
     counted = rows.select("host", "html").mapInArrow(_subtrees, "host string, tree long, page long").distinct().groupBy("host", "tree").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
     counted = stored(counted, "subtrees")
     hosts = counted.filter("tree is null").select("host", F.col("n").alias("pages"))
-    templates = counted.filter("tree is not null").join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("tree").alias("trees"))
-    templates = stored(templates, "templates")
-    if templates.isEmpty():
-        rows = rows.withColumn("trees", F.lit(None).cast("array<long>"))
-    else:
-        rows = rows.join(F.broadcast(templates) if small(templates, 200_000) else templates, "host", "left")
-    return rows.select("page_id", "url", "html", "trees").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    templates = counted.filter("tree is not null").join(hosts, "host").filter(F.col("n") >= min_share * F.col("pages"))
+    templates = stored(templates.groupBy("host").agg(F.collect_list("tree").alias("trees"), F.max("pages").alias("pages")), "templates")
+    return _with_templates(rows, templates).select("page_id", "url", "html", "trees").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+
+
+def _with_templates(rows: DataFrame, templates: DataFrame) -> DataFrame:
+    """The pages with ``trees``, the templates of their host.
+
+    Those of the hosts with most pages are sent to the pages; only pages of other hosts are dealt by
+    host, so no task gets more of a host than has less than 1 / SENT_HOSTS of all pages.
+    """
+    none = F.lit(None).cast("array<long>")
+    first = stored(templates.orderBy(F.desc("pages"), "host").limit(SENT_HOSTS), "large-hosts")
+    so_far = F.sum(F.size("trees")).over(W.orderBy(F.desc("pages"), "host"))  # SENT_HOSTS rows at most
+    sent = stored(first.withColumn("so_far", so_far).filter(F.col("so_far") <= SENT_TREES).select("host", "trees"), "sent-templates")
+    hot = F.broadcast(sent)
+    if sent.count() == templates.count():
+        return rows.join(hot, "host", "left") if not sent.isEmpty() else rows.withColumn("trees", none)
+    names = F.broadcast(sent.select("host"))
+    others = templates.select("host", "trees").join(names, "host", "left_anti")
+    return rows.join(hot, "host").unionByName(rows.join(names, "host", "left_anti").join(others, "host", "left"))
