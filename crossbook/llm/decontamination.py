@@ -3,11 +3,12 @@
 Benchmark items are cut into shingles of five words (shorter items are one
 shingle). A window of a document is as many words as an item has, fewer at the
 document's end. Every window and item has a 64-bit SimHash over its shingles,
-weighted by how often each occurs. The fingerprint is cut into ``RADIUS + 1``
-blocks; fingerprints within the radius agree in at least one block, so joining
-windows and items of a size on (block, bits) finds all of them, whatever item a
-window comes from. Candidates within the radius are verified by the exact weighted
-similarity: sum of the smaller counts over sum of the larger.
+weighted by how often each occurs. The fingerprint is cut into ``BLOCKS`` blocks
+that share the radius out among them: fingerprints within the radius differ in at
+least one block by no more bits than its share. An item is filed under all values
+so near to each of its blocks, a window looks up its own, so all pairs of a size within
+the radius meet, whatever item a window's words come from. They are verified by the
+exact weighted similarity: sum of the smaller counts over sum of the larger.
 
 Windows that can't be similar to any item of their size aren't fingerprinted: those
 with too few shingles of such items in them to reach the threshold. Of the others,
@@ -16,12 +17,13 @@ is moved on to the next one without losing anything that it shares with an item.
 
 The radius is wide, since at a similarity of 0.75 the expected distance is 11
 bits and its deviation 3: at 22, a window at the threshold is lost with a chance
-of about 1e-4, an exact copy never. Blocks are then 2 or 3 bits, so they select
-little of a size's items; what is given out of the join are pairs within the radius.
+of about 1e-4, an exact copy never. A third of all bits is far for any index: five
+blocks of 13 bits with shares of 4 meet half of the pairs of a size, where 23 blocks
+without a share meet each pair several times, and longer fingerprints gain little.
 
 Only DataFrame functions. Hot passages: shingles meet the benchmark table where
-the documents are read, and equal fingerprints are looked up once, so nothing is
-dealt by passage.
+the documents are read, equal fingerprints are looked up once, and what many windows
+look up is sent to them (``looked_up``), so nothing is dealt by passage.
 
 Defined results: null and empty texts have no windows; an item that is null or
 blank matches nothing; items with null id are named "null"; repeated items and
@@ -32,12 +34,16 @@ A-Z too) and split at x20 and x09-x0D.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm._common import BROADCAST_ROWS, narrowed, small, stored, text_of
+from crossbook.llm._common import BROADCAST_ROWS, looked_up, narrowed, stored, text_of
 
-WIDTH, RADIUS, BITS = 5, 22, 64
+WIDTH, RADIUS, BITS, BLOCKS = 5, 22, 64, 5
+#: Rows with a list of items (of one size) that are sent to every task, at most.
+SENT = 500_000
 
 
 def words_of(text: Column) -> Column:
@@ -63,16 +69,45 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(F.zip_with(votes, powers, lambda v, p: F.when(v > 0, p).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
-def blocks(fingerprint: Column, radius: int) -> Column:
-    """``radius + 1`` structs (block, bits) that cover the fingerprint."""
-    edges = [BITS * k // (radius + 1) for k in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))])
+def shares(radius: int, n_blocks: int = BLOCKS) -> list[int]:
+    """How far each block may differ: at distance ``radius`` not all blocks can differ by more."""
+    left = radius + 1
+    each = -(-left // n_blocks)
+    out = []
+    for _ in range(n_blocks):
+        out.append(min(each, left) - 1)
+        left -= out[-1] + 1
+    return out  # -1: a block that isn't needed
+
+
+def _cut(n_blocks: int) -> list[tuple[int, int]]:
+    edges = [BITS * k // n_blocks for k in range(n_blocks + 1)]
+    return list(zip(edges, edges[1:], strict=False))
+
+
+def blocks(fingerprint: Column, radius: int, n_blocks: int = BLOCKS) -> Column:
+    """Structs (block, bits) of the blocks that have a share of the radius."""
+    return F.array(*[
+        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fingerprint, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"))
+        for k, ((a, b), share) in enumerate(zip(_cut(n_blocks), shares(radius, n_blocks), strict=True)) if share >= 0
+    ])
+
+
+def near_blocks(fingerprint: Column, radius: int, n_blocks: int = BLOCKS) -> Column:
+    """Structs (block, bits) of all values that differ from a block by its share or less."""
+    own = blocks(fingerprint, radius, n_blocks)
+
+    def near(k: int, width: int, share: int) -> Column:
+        masks = [sum(1 << i for i in flips) for t in range(min(share, width) + 1) for flips in combinations(range(width), t)]
+        return F.transform(F.lit(masks).cast("array<long>"), lambda m: F.struct(F.lit(k).alias("block"), own[k]["bits"].bitwiseXOR(m).alias("bits")))
+
+    parts = zip(_cut(n_blocks), shares(radius, n_blocks), strict=True)
+    return F.concat(*[near(k, b - a, share) for k, ((a, b), share) in enumerate(parts) if share >= 0])
 
 
-def shared_weight(x: Column, y: Column) -> Column:
-    """Sum of the smaller counts of each hash in two arrays."""
-    count = lambda a, h: F.size(F.filter(a, lambda v: v == h))
-    return F.aggregate(F.array_distinct(x), F.lit(0), lambda s, h: s + F.least(count(x, h), count(y, h)))
+def marked(hashes: Column) -> Column:
+    """A set with an element for each occurrence: the hash with how many of the same are before it."""
+    return bound(F.array_sort(hashes), lambda s: F.transform(s, lambda h, i: F.xxhash64(h, i - F.array_position(s, h))))
 
 
 def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,7 +115,7 @@ def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     words = benchmark.select(benchmark[id_col].cast("string").alias("item_id"), words_of(text_of(benchmark, text_col)).alias("words")).filter("size(words) > 0")
     sized = words.withColumn("n", F.size("words")).withColumn("width", F.least("n", F.lit(WIDTH)))
     hashes = F.when(F.col("n") < WIDTH, F.array(F.xxhash64("words"))).otherwise(shingles(F.col("words"), WIDTH))
-    return stored(sized.withColumn("hashes", hashes).withColumn("fingerprint", simhash(F.col("hashes"))).withColumn("item", F.monotonically_increasing_id()).drop("words"), "items")
+    return stored(sized.withColumn("hashes", hashes).withColumn("fingerprint", simhash(F.col("hashes"))).withColumns({"item": F.monotonically_increasing_id(), "marks": marked(F.col("hashes"))}).drop("words"), "items")
 
 
 def passages(
@@ -115,19 +150,24 @@ def passages(
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.key") == F.col("b.key"))).select("a.doc_id", "a.key", "a.words", F.explode("b.seeds").alias("s"))
     cut = both.select("doc_id", "key", "s.start", "s.n", F.slice("words", F.col("s.start") + 1, F.col("s.n")).alias("window"))
     hashes = F.when(F.size("window") < WIDTH, F.array(F.xxhash64("window"))).otherwise(shingles(F.col("window"), WIDTH))
-    windows = stored(cut.withColumn("hashes", hashes).drop("window").withColumn("fingerprint", simhash(F.col("hashes"))), "windows")
-
-    prints = windows.select("n", "fingerprint").distinct()
-    of_window = prints.select("n", "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("n", "fingerprint", "b.*").alias("w")
-    of_item = items.select("item", "n", F.col("fingerprint").alias("of"), F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("item", "n", "of", "b.*").alias("i")
-    met = [F.col(f"w.{c}") == F.col(f"i.{c}") for c in ("n", "block", "bits")]
-    near = of_window.join(of_item, [*met, F.bit_count(F.col("w.fingerprint").bitwiseXOR(F.col("i.of"))) <= radius])
-    near = stored(near.select("w.n", "w.fingerprint", "i.item").distinct(), "near")
-    pairs = windows.join(F.broadcast(near) if small(near) else near, ["n", "fingerprint"])
-    pairs = pairs.join(items.select("item", "item_id", F.col("hashes").alias("of_item")), "item")
-    pairs = pairs.withColumn("shared", shared_weight(F.col("of_item"), F.col("hashes")))
-    pairs = pairs.withColumn("total", F.size("of_item") + F.size("hashes") - F.col("shared"))
-    return pairs.filter(F.col("shared") * 100 >= F.col("total") * percent).select("doc_id", "key", "item_id", "start", F.col("n").alias("n_words"), "shared", "total")
+    cut = cut.withColumn("hashes", hashes).drop("window")
+    windows = stored(cut.select("doc_id", "key", "start", "n", simhash(F.col("hashes")).alias("fingerprint"), marked(F.col("hashes")).alias("marks")), "windows")
+
+    prints = stored(windows.groupBy("n", "fingerprint").agg(F.count("*").alias("windows")), "fingerprints")
+    filed = items.select("item", "n", F.col("fingerprint").alias("of"), F.explode(near_blocks(F.col("fingerprint"), radius)).alias("b"))
+    filed = filed.groupBy(F.col("n").alias("size"), "b.block", "b.bits").agg(F.collect_list(F.struct("item", "of")).alias("items"), F.count("*").alias("n"))
+    asked = prints.select(F.col("n").alias("size"), "fingerprint", F.explode(blocks(F.col("fingerprint"), radius)).alias("b")).select("size", "fingerprint", "b.*")
+    met = looked_up(asked, stored(filed, "filed"), ["size", "block", "bits"], SENT)
+    near = met.select("size", "fingerprint", F.explode(F.filter("items", lambda i: F.bit_count(i["of"].bitwiseXOR(F.col("fingerprint"))) <= radius)["item"]).alias("item"))
+    near = near.distinct().groupBy(F.col("size").alias("n"), "fingerprint").agg(F.collect_list("item").alias("items"))
+    near = stored(near.join(prints, ["n", "fingerprint"]).select(F.col("n").alias("size"), "fingerprint", "items", F.col("windows").alias("n")), "near")
+    pairs = looked_up(windows.withColumnRenamed("n", "size"), near, ["size", "fingerprint"], SENT).withColumn("item", F.explode("items")).drop("items")
+    wanted = near.select(F.explode("items").alias("item"), F.col("n").alias("windows")).groupBy("item").agg(F.sum("windows").alias("n"))
+    named = stored(items.select("item", "item_id", F.col("marks").alias("of_item")).join(wanted, "item"), "items-met")
+    pairs = looked_up(pairs, named, ["item"], 20_000)
+    pairs = pairs.withColumn("shared", F.size(F.array_intersect("of_item", "marks")))
+    pairs = pairs.withColumn("total", F.size("of_item") + F.size("marks") - F.col("shared"))
+    return pairs.filter(F.col("shared") * 100 >= F.col("total") * percent).select("doc_id", "key", "item_id", "start", F.col("size").alias("n_words"), "shared", "total")
 
 
 def decontamination(
