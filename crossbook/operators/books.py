@@ -57,9 +57,13 @@ def level_states(messages: DataFrame) -> DataFrame:
 
 
 def last_books(messages: DataFrame) -> DataFrame:
-    """Levels of each ticker's newest book: conn, ticker, side, price, size; of the last epoch only."""
-    states = level_states(messages)
-    now = epochs(messages).groupBy("conn").agg(F.max("epoch").alias("epoch"))
-    newest = states.join(now, ["conn", "epoch"]).groupBy("conn", "ticker", "side", "price").agg(F.max(F.struct("snapshot", "ord", "size")).alias("last"))
-    book = states.join(now, ["conn", "epoch"]).groupBy("conn", "ticker").agg(F.max("snapshot").alias("snapshot"))
-    return newest.join(book, ["conn", "ticker"]).filter("last.snapshot = snapshot and last.size > 0").select("conn", "ticker", "side", "price", F.col("last.size").alias("size"))
+    """Levels of each ticker's newest book: conn, ticker, side, price, size; of the last epoch only.
+
+    A level of size 0 is there if the newest snapshot gave it; one that a delta took to 0 isn't.
+    """
+    rows = epochs(messages).filter("ticker is not null")
+    now = rows.groupBy("conn").agg(F.max("epoch").alias("epoch"))
+    cleared = rows.filter("type = 'snapshot'").groupBy("conn", "epoch", "ticker").agg(F.max("ord").alias("cleared"))
+    states = level_states(messages).filter("ticker is not null").join(now, ["conn", "epoch"]).join(cleared, ["conn", "epoch", "ticker"], "left")
+    newest = states.filter("cleared is null or ord >= cleared").groupBy("conn", "ticker", "cleared", "side", "price").agg(F.max(F.struct("ord", "size")).alias("last"))
+    return newest.filter("last.size > 0 or last.ord = cleared").select("conn", "ticker", "side", "price", F.col("last.size").alias("size"))

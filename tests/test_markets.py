@@ -342,40 +342,104 @@ def test_replay_of_null_keys_ties_and_empty_tables(spark):
     assert [(r.k, r.id) for r in best(df.dropDuplicates()).collect()] in ([(None, 2), (1, 5)], [(1, 5), (None, 2)]) and best(none).count() == 0
 
 
-def test_book_stream(spark, tmp_path):
-    rng, rows = random.Random(5), []
-    for conn in "pq":
-        on = 0
-        for i in range(120):
-            on += 1 + (rng.random() < 0.03)
+KINDS = "conn string, ord long, us long, seq long, type string, ticker string, yes array<array<string>>, no array<array<string>>, side string, price string, delta string"
+
+
+def random_messages(n, seed=5, conns="pq"):
+    """Messages of several connections in order of time: gaps, snapshots, unusable deltas, tickers that are null."""
+    rng, rows, on = random.Random(seed), [], dict.fromkeys(conns, 0)
+    for i in range(n):
+        for conn in conns:
+            on[conn] += 1 + (rng.random() < 0.03)
             kind = rng.choice(["snapshot", *["delta"] * 9])
-            levels = [["0.30", str(rng.randint(1, 9))], ["0.4", "2.5"]] if kind == "snapshot" else None
-            rows.append((conn, i, on, kind, rng.choice("xy"), levels, None, rng.choice(["yes", "no", "odd"]), rng.choice(["0.3", "0.30", None]), str(rng.randint(-6, 6))))
-    kinds = "conn string, ord long, seq long, type string, ticker string, yes array<array<string>>, no array<array<string>>, side string, price string, delta string"
-    for k in range(3):
-        spark.createDataFrame([r for r in rows if r[1] // 40 == k], kinds).coalesce(1).write.json(str(tmp_path / "in" / f"k={k}"))
-    stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(str(tmp_path / "in" / "*"))
-    query = stream_books.book_stream(stream).writeStream.format("memory").queryName("books_out").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    got = {(r.conn, r.ord): (r.ticker, {x.price: x.size for x in r.yes}, {x.price: x.size for x in r.no}) for r in spark.table("books_out").collect()}
+            levels = [["0.30", str(rng.randint(0, 9))], ["0.4", "2.5"]][: rng.randint(0, 2)] if kind == "snapshot" else None
+            rows.append((conn, i, 1_000_000 * (i + 1), on[conn], kind, rng.choice(["x", "y", "y", None]), levels, None, rng.choice(["yes", "no", "odd"]), rng.choice(["0.3", "0.30", None]), str(rng.randint(-6, 6))))
+    return rows
+
+
+def kept_books(rows):
+    """(conn, ord) to ticker and sides after each message that gives a book, and the last books of each connection."""
     want, books, last = {}, {}, {}
-    for conn, ord_, seq, kind, ticker, yes, _, side, price, delta in rows:
+    for conn, ord_, _, seq, kind, ticker, yes, _, side, price, delta in rows:
         gap = conn in last and seq != last[conn] + 1
         last[conn] = seq
         if gap:
             books[conn] = {}
-            continue
-        book = books.setdefault(conn, {}).setdefault(ticker, {"yes": {}, "no": {}})
-        if kind == "snapshot":
-            book["yes"], book["no"] = {p: float(s) for p, s in yes}, {}
-        elif side != "odd" and price:
-            book[side][price] = book[side].get(price, 0.0) + float(delta)
-            if book[side][price] <= 1e-9:
-                del book[side][price]
-        else:
-            continue
-        want[conn, ord_] = (ticker, dict(book["yes"]), dict(book["no"]))
-    assert got == want
+        elif ticker and (kind == "snapshot" or (side != "odd" and price)):
+            book = books.setdefault(conn, {}).setdefault(ticker, {})
+            if kind == "snapshot":
+                book.clear()
+                book |= {("yes", p): float(z) for p, z in yes}
+            else:
+                size = book.pop((side, price), 0.0) + float(delta)
+                book |= {(side, price): size} if size > 1e-9 else {}
+            want[conn, ord_] = (ticker, *({p: z for (s, p), z in book.items() if s == side} for side in ("yes", "no")))
+    return want, {(c, t, s, p): z for c, of in books.items() for t, book in of.items() for (s, p), z in book.items()}
+
+
+def in_files(spark, rows, schema, folder, parts):
+    for k, part in enumerate(parts):
+        spark.createDataFrame([rows[i] for i in part], schema).coalesce(1).write.mode("overwrite").json(f"{folder}/k={k}")
+
+
+def run_books(spark, tmp_path, name, **options):
+    stream = spark.readStream.schema(KINDS).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*")
+    books_ = stream_books.book_stream(stream, **options)
+    query = books_.writeStream.format("json").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(200)
+    assert query.exception() is None
+    read = spark.read.schema("conn string, ticker string, ord long, us long, at timestamp, yes array<array<string>>, no array<array<string>>").json(f"{tmp_path}/out")
+    return query, {(r.conn, r.ord): (r.ticker, {p: float(z) for p, z in r.yes}, {p: float(z) for p, z in r.no}) for r in read.collect()}
+
+
+def test_book_stream(spark, tmp_path):
+    """Equal to a replay, over micro-batches and a restart; messages that come again do nothing."""
+    stream_books.state_store(spark)
+    rows = random_messages(120)
+    want, newest = kept_books(rows)
+    cuts = [range(0, 80), range(60, 160)]
+    in_files(spark, rows, KINDS, tmp_path / "in", cuts)
+    run_books(spark, tmp_path, "first")
+    spark.createDataFrame(rows[160:], KINDS).coalesce(1).write.json(f"{tmp_path}/in/k=2")
+    query, got = run_books(spark, tmp_path, "again")
+    assert got == want and len(want) > 80
+    messages = spark.createDataFrame(rows, KINDS)
+    assert {(r.conn, r.ticker, r.side, r.price): r.size for r in books.last_books(messages).collect()} == newest
+    # The state holds a row for each level and one head a book, and one row a connection.
+    progress = [p.numRowsTotal for p in query.lastProgress.stateOperators]
+    levels = spark.read.format("statestore").option("stateVarName", "levels").option("operatorId", 0).load(f"{tmp_path}/state")
+    assert levels.count() <= len(newest) + 4 and len(progress) == 2
+
+
+def test_book_stream_writes_changed_levels_only(spark, tmp_path):
+    stream_books.state_store(spark)
+    wide = [[f"0.{i:03}", "5"] for i in range(1, 400)]
+    rows = [("c", 0, 1, 1, "snapshot", "x", wide, None, None, None, None)] + [("c", i, i + 1, i + 1, "delta", "x", None, None, "yes", "0.007", "1") for i in range(1, 6)]
+    in_files(spark, rows, KINDS, tmp_path / "in", [range(0, 1), range(1, 6)])
+    query, got = run_books(spark, tmp_path, "levels")
+    assert got["c", 5][1]["0.007"] == 10 and len(got["c", 5][1]) == 399
+    updated = [p.stateOperators[0].numRowsUpdated for p in query.recentProgress if p.numInputRows]
+    assert updated[0] > 390 and updated[1] < 10
+
+
+def test_book_stream_of_closed_and_late_markets(spark, tmp_path):
+    """A book without messages leaves the state; a message behind the watermark is a gap of its connection."""
+    stream_books.state_store(spark)
+    second = 1_000_000
+    rows = [("c", 0, 1, 1, "snapshot", "x", [["0.3", "5"]], None, None, None, None), ("d", 0, 1, 1, "snapshot", "y", [["0.4", "6"]], None, None, None, None)]
+    rows += [("c", 10 + i, (100 * i + 1) * second, 2 + i, "delta", "z", None, None, "yes", "0.5", "1") for i in range(12)]
+    # Too late: it is left out, and the next number of d shows the gap.
+    rows += [("d", 1, second, 2, "delta", "y", None, None, "yes", "0.4", "1"), ("d", 2, 1200 * second, 3, "delta", "y", None, None, "yes", "0.4", "1")]
+    rows += [("d", 3, 1201 * second, 4, "delta", "y", None, None, "yes", "0.4", "2"), ("c", 90, 1201 * second, 14, "delta", "x", None, None, "no", "0.1", "3")]
+    in_files(spark, rows, KINDS, tmp_path / "in", [range(0, 2), range(2, 8), range(8, 14), range(14, 16), range(16, 18)])
+    query, got = run_books(spark, tmp_path, "closed", delay="10 seconds", idle_seconds=300)
+    # x went after 300 s without messages, so its last delta starts from nothing; d's state went as well, so number 3 is its first.
+    assert got["c", 90] == ("x", {}, {"0.1": 3.0}) and got["c", 21][1] == {"0.5": 12.0}
+    assert ("d", 1) not in got and got["d", 3] == ("y", {"0.4": 3.0}, {})
+    only = stream_books.book_stream(spark.readStream.schema(KINDS).json(f"{tmp_path}/in/*"), spark.createDataFrame([("z",)], "ticker string"))
+    query = only.writeStream.format("memory").queryName("only_z").option("checkpointLocation", f"{tmp_path}/only").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert {r.ticker for r in spark.table("only_z").collect()} == {"z"}
 
 
 def test_live_path(spark, tmp_path):
