@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from crossbook.functions.economics import divided
+from crossbook.sources.upsert import UpsertTable
 
 CANDIDATE = "a_id string, b_id string, a_question string, b_question string, score double, delta_days int, resolution_match boolean, resolution_notes string, verified_by string, method string"
 RECORD = """timestamp string, a_id string, b_id string, question string, method string, strategy string, yes_platform string, no_platform string, size long,
@@ -83,33 +84,15 @@ def write_latest(rows: DataFrame, path: str) -> None:
     latest_records(rows).write.mode("overwrite").json(path)
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the batches whose folders are complete, in order."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(folder):
-        return []
-    found = [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("batch=")]
-    return sorted(int(p.getName().split("=")[1]) for p in found if files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-
-def read_latest(spark: SparkSession, path: str, before: int | None = None, schema: str = RECORD) -> DataFrame:
-    """The table that the newest batch left (of those before ``before``); none without one."""
-    found = [n for n in _versions(spark, path) if before is None or n < before]
-    return spark.read.schema(schema).json(f"{path}/batch={found[-1]}") if found else spark.createDataFrame([], schema)
-
-
 def stream_sinks(log: str, latest: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: every record goes to the log in a folder of its batch, so a batch that runs again
-    replaces what it wrote. The latest record of each pair is merged from the batch before it and this one into
-    a table of its own number (``read_latest`` reads the newest)."""
+    """For foreachBatch: every record goes to the log in a folder of its batch, so a batch that runs again replaces
+    what it wrote, and the latest record of each pair into a table (``UpsertTable``) by ``a_id`` and ``b_id``."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
         batch.write.mode("overwrite").json(f"{log}/batch={number}")
         schema = ", ".join(f"`{n}` {t}" for n, t in batch.dtypes)
-        merged = latest_records(read_latest(batch.sparkSession, latest, number, schema).unionByName(batch))
-        merged.write.mode("overwrite").json(f"{latest}/batch={number}")
+        UpsertTable(batch.sparkSession, latest, schema, ["a_id", "b_id"]).merge(batch, number, latest_records)
         batch.unpersist()
 
     return write

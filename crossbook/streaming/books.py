@@ -62,7 +62,7 @@ class Expiring(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         due = self.due()
-        if due is not None and due > expiredTimerInfo.getExpiryTimeInMs():
+        if due is not None and due > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(due)
         elif due is not None:
             self.forget()

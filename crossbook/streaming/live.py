@@ -1,59 +1,106 @@
 """The live path: at every update of a book, the pair's newest two books are evaluated and logged.
 
-An update row: id, us, yes_depth, no_depth (arrays of (price, size), asks, cheapest first). Updates meet
-the candidates that have their market; a pair's state is the newest book of each leg. Every update of a pair
-whose two books are there and no older than the limit is evaluated, by the same DataFrame code as in
-a batch; the log takes those that the throttle lets through, the table of latest records all of them.
-
-An update without id, time or known candidate is left out. Within a micro-batch updates of a pair are taken by
-time, then leg. A batch that runs again writes the same folders again.
+An update row: id, us, at (``us`` as a timestamp, with a watermark), yes_depth, no_depth (arrays of (price, size), asks,
+cheapest first). ``venue_updates`` makes them of both venues' messages, so one query goes from messages to
+log: numbers by connection, levels by ticker, newest legs by pair, then each micro-batch's evaluations, by the same
+DataFrame code as in a batch. The log takes those that the throttle lets through, the table of latest records all.
+
+A pair's state is the newest book of each leg. An update that is older than its leg's book is left out, one of the
+same time replaces it; within a micro-batch updates of a pair are taken by time, then leg. Every update of a pair
+whose two books are there and no older than the limit is evaluated. An update without id, time or known
+candidate is left out; a pair without updates for ``idle`` of event time leaves the state. A batch that runs again
+writes the same log folder and the same tables again.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessorHandle, StreamingQueryListener
 
 from crossbook.functions.economics import STALE_SECONDS
 from crossbook.operators import depth, detector
-from crossbook.sources import logs
+from crossbook.sources import logs, venues
+from crossbook.sources.upsert import UpsertTable
+from crossbook.streaming import books as order_books
 from crossbook.streaming import throttle
+from crossbook.streaming.books import DELAY, IDLE_SECONDS, Expiring
 
 PAIR = detector.PAIR
 _BOOK = "struct<yes_depth:array<struct<price:double,size:double>>,no_depth:array<struct<price:double,size:double>>,updated_us:bigint>"
 _MET = "a_id string, b_id string, n long, us long, question string, method string, resolution_match boolean, a string, b string"
-_STATE = "n long, a string, b string"
 _LAST = "a_id string, b_id string, last_us long, last_edge long"
+#: Candidates that go to every executor, at most; more of them are dealt with the updates.
+SENT_CANDIDATES = 1_000_000
+
+
+class _Legs(Expiring):
+    """A pair's newest two books."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.books = {leg: handle.getValueState(f"{leg}_book", "us long, book string") for leg in "ab"}
+        self.met = handle.getValueState("met", "n long, us long")
+
+    def due(self) -> int | None:
+        met = self.met.get()
+        return met and met[1] // 1000 + self.idle_ms
+
+    def forget(self) -> None:
+        for state in (*self.books.values(), self.met):
+            state.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows)).sort_values(["us", "leg"], kind="stable")
+        met, now, out = self.met.get(), {leg: state.get() for leg, state in self.books.items()}, []
+        n, changed = met[0] if met else 0, set()
+        for leg, us, book, *candidate in zip(*(frame[c] for c in ("leg", "us", "book", "question", "method", "resolution_match")), strict=True):
+            if now[leg] and us < now[leg][0]:
+                continue
+            now[leg] = (int(us), book)
+            changed.add(leg)
+            n += 1
+            if now["a"] and now["b"]:
+                out.append((*key, n, int(us), *candidate, now["a"][1], now["b"][1]))
+        for leg in changed:
+            self.books[leg].update(now[leg])
+        if not met:
+            self.handle.registerTimer(int(frame["us"].iloc[0]) // 1000 + self.idle_ms)
+        self.met.update((n, max(int(frame["us"].max()), met[1] if met else 0)))
+        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _MET.split(", ")])
+
+
+def venue_updates(
+    a_messages: DataFrame, b_messages: DataFrame, tickers: DataFrame | None = None, slugs: DataFrame | None = None, *,
+    delay: str = DELAY, idle_seconds: int = IDLE_SECONDS,
+) -> DataFrame:
+    """Updates of both venues' message streams: snapshots and deltas of A, whole books (us, marketSlug, bids, offers) of B.
+
+    ``tickers`` and ``slugs``: tables of the markets that are known; others are left out.
+    """
+    kept = order_books.book_stream(a_messages, tickers, delay=delay, idle_seconds=idle_seconds)
+    a = venues.books_a(kept.withColumnsRenamed({"yes": "yes_dollars", "no": "no_dollars"}), keep=("us", "at"))
+    b = order_books.timed(b_messages.filter("marketSlug is not null"), delay)
+    if slugs is not None:
+        b = b.join(F.broadcast(slugs.select(F.col("slug").alias("marketSlug")).distinct()), "marketSlug", "left_semi")
+    columns = ("id", "us", "at", "yes_depth", "no_depth")
+    return a.select(*columns).unionByName(venues.books_b(b, keep=("us", "at")).select(*columns))
 
 
-def _legs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n, *books = state.get if state.exists else (0, None, None)
-    out = []
-    for r in pd.concat(list(batches)).sort_values(["us", "leg"]).itertuples(index=False):
-        books["ab".index(r.leg)] = r.book
-        n += 1
-        if None not in books:
-            out.append((*key, n, r.us, r.question, r.method, r.resolution_match, *books))
-    state.update((n, *books))
-    yield pd.DataFrame(out, columns=["a_id", "b_id", "n", "us", "question", "method", "resolution_match", "a", "b"])
-
+def met(updates: DataFrame, candidates: DataFrame, *, idle_seconds: int = IDLE_SECONDS) -> DataFrame:
+    """A row for each update of a pair with both legs seen: the pair, us, and both newest books as JSON; for a stream.
 
-def met(updates: DataFrame, candidates: DataFrame) -> DataFrame:
-    """A row for each update of a pair with both legs seen: the pair, us, and both newest books as JSON; for a stream."""
+    ``candidates`` is a static table. It counts the updates that meet one (``observe``: live.updates).
+    """
     index = detector.index(candidates.select(*PAIR, F.col("a_question").alias("question"), "method", "resolution_match").dropDuplicates(PAIR))
     book = F.to_json(F.struct("yes_depth", "no_depth", F.col("us").alias("updated_us")))
-    rows = updates.filter("id is not null and us is not null").select("id", "us", book.alias("book")).join(F.broadcast(index) if detector_small(index) else index, "id")
-    return rows.groupBy(*PAIR).applyInPandasWithState(_legs, _MET, _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def detector_small(index: DataFrame, rows: int = 1_000_000) -> bool:
-    """Whether the candidates are few enough to go to every executor."""
-    return index.limit(rows + 1).count() <= rows
+    rows = updates.filter("id is not null and us is not null").select("id", "us", "at", book.alias("book"))
+    few = candidates.limit(SENT_CANDIDATES + 1).count() <= SENT_CANDIDATES  # once, before the stream begins
+    rows = rows.join(F.broadcast(index) if few else index, "id").observe("live", F.count(F.lit(1)).alias("updates"))
+    return rows.groupBy(*PAIR).transformWithStateInPandas(_Legs(idle_seconds), _MET, "Append", "EventTime")
 
 
 def evaluated(rows: DataFrame, max_seconds: float = STALE_SECONDS) -> DataFrame:
@@ -66,27 +113,60 @@ def evaluated(rows: DataFrame, max_seconds: float = STALE_SECONDS) -> DataFrame:
     return out.join(rows.drop("a", "b"), keys)
 
 
-def live_sinks(
-    log: str, latest: str, last: str, names: tuple[str, str] = ("a", "b"), max_seconds: float = STALE_SECONDS, counted: Callable[[dict], None] | None = None,
-) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch over ``met``: log, latest records, and in ``last`` when and at which edge each pair was logged.
+def latest_table(spark: SparkSession, path: str) -> UpsertTable:
+    """The table of each pair's latest record."""
+    return UpsertTable(spark, path, logs.RECORD, PAIR)
+
+
+class Counters(StreamingQueryListener):
+    """Counts of all micro-batches so far: updates, samples (logged), windows (logged viable samples).
 
-    ``counted`` gets the batch's counters: updates, samples, windows (viable samples) and tracked pairs.
+    They are metrics of the jobs that run anyway; none is run for them. Add it with ``spark.streams.addListener``
+    for ``updates``; ``live_sinks`` adds the other two. ``tracked`` pairs are the rows of the latest table.
     """
 
+    def __init__(self) -> None:
+        self.counts = {"updates": 0, "samples": 0, "windows": 0}
+
+    def add(self, counts: dict[str, int]) -> None:
+        for name, n in counts.items():
+            self.counts[name] += n or 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        found = event.progress.observedMetrics.get("live")
+        if found:
+            self.add({"updates": found["updates"]})
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
+def live_sinks(
+    log: str, latest: str, last: str, names: tuple[str, str] = ("a", "b"), max_seconds: float = STALE_SECONDS, counters: Counters | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch over ``met``: the log (a folder a batch), the table of latest records, and in ``last`` the
+    table of when and at which edge each pair was logged. Both tables rewrite the buckets of the batch's pairs only."""
+
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = evaluated(batch, max_seconds).withColumn("ts", F.timestamp_micros("us")).withColumn("edge", F.round(F.col("raw_top") * 10000).cast("long")).persist()
-        before = logs.read_latest(spark, last, number, _LAST)
-        taken = throttle.logged(rows, before)
-        kept = rows.join(taken.select(*PAIR, "us", "n"), [*PAIR, "us", "n"], "left_semi").persist()
+        logged = UpsertTable(spark, last, _LAST, PAIR)
+        taken = throttle.logged(rows, logged.touched(rows, number))
+        seen = Observation()
+        kept = rows.join(taken.select(*PAIR, "us", "n"), [*PAIR, "us", "n"], "left_semi")
+        kept = kept.observe(seen, F.count(F.lit(1)).alias("samples"), F.count_if(F.col("size") > 0).alias("windows")).persist()
         logs.records(kept, names).write.mode("overwrite").json(f"{log}/batch={number}")
-        newest = logs.latest_records(logs.read_latest(spark, latest, number).unionByName(logs.records(rows, names)))
-        newest.write.mode("overwrite").json(f"{latest}/batch={number}")
+        latest_table(spark, latest).merge(logs.records(rows, names), number, logs.latest_records)
         now = kept.groupBy(*PAIR).agg(F.max_by(F.struct(F.col("us").alias("last_us"), F.col("edge").alias("last_edge")), F.struct("us", "n")).alias("x")).select(*PAIR, "x.*")
-        now.unionByName(before.join(now, PAIR, "left_anti")).write.mode("overwrite").json(f"{last}/batch={number}")
-        if counted:
-            counted({"updates": batch.count(), "samples": kept.count(), "windows": kept.filter("size > 0").count(), "tracked": logs.read_latest(spark, latest).count()})
+        logged.merge(now, number, lambda both: both.groupBy(*PAIR).agg(F.max_by(F.struct("last_us", "last_edge"), "last_us").alias("x")).select(*PAIR, "x.*"))
+        if counters:
+            counters.add(seen.get)
         rows.unpersist(), kept.unpersist()
 
     return write

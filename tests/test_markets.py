@@ -447,7 +447,7 @@ def test_live_path(spark, tmp_path):
     for i in range(240):
         leg = rng.choice("ab")
         key = rng.choice(["a:1", "a:2", "a:3"]) if leg == "a" else rng.choice(["b:1", "b:2", "b:9"])
-        rows.append((key, 700_000 * i, [(rng.choice([0.40, 0.45, 0.50]), 5.0)], [(rng.choice([0.45, 0.50, 0.60]), 3.0)]))
+        rows.append((key, 700_000 * (i + 1), [(rng.choice([0.40, 0.45, 0.50]), 5.0)], [(rng.choice([0.45, 0.50, 0.60]), 3.0)]))
     level = "array<struct<price:double,size:double>>"
     schema = f"id string, us long, yes_depth {level}, no_depth {level}"
     for k in range(3):
@@ -458,9 +458,11 @@ def test_live_path(spark, tmp_path):
         "a_id string, b_id string, a_question string, b_question string, score double, method string, resolution_match boolean",
     )
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in" / "*"))
-    counts = []
-    sinks = live.live_sinks(*(str(tmp_path / x) for x in ("log", "latest", "last")), counted=counts.append)
-    query = live.met(stream, candidates).writeStream.foreachBatch(sinks).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    stream_books.state_store(spark)
+    counters = live.Counters()
+    spark.streams.addListener(counters)
+    sinks = live.live_sinks(*(str(tmp_path / x) for x in ("log", "latest", "last")), counters=counters)
+    query = live.met(stream_books.timed(stream), candidates).writeStream.foreachBatch(sinks).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     query.awaitTermination(200)
     assert query.exception() is None
     books, last, want, newest = {}, {}, [], {}
@@ -483,8 +485,11 @@ def test_live_path(spark, tmp_path):
     when = lambda r: round(datetime.fromisoformat(r.timestamp).timestamp() * 1e6)
     got = [(r.a_id, r.b_id, when(r), r.size) for r in spark.read.schema(logs.RECORD).json(str(tmp_path / "log")).collect()]
     assert sorted(got) == sorted(want) and len(want) > 4
-    latest = {(r.a_id, r.b_id): (when(r), r.size, int(r.strategy == "YES_B_NO_A")) for r in logs.read_latest(spark, str(tmp_path / "latest")).collect()}
-    assert latest == newest and counts[-1]["tracked"] == len(newest)
+    latest = {(r.a_id, r.b_id): (when(r), r.size, int(r.strategy == "YES_B_NO_A")) for r in live.latest_table(spark, str(tmp_path / "latest")).read().collect()}
+    assert latest == newest
+    spark.streams.removeListener(counters)
+    met_ = sum(key in pair for key, *_ in rows for pair in pairs)
+    assert counters.counts == {"updates": met_, "samples": len(want), "windows": sum(w[3] > 0 for w in want)}
 
 
 def test_jaccard_join_by_brute_force(spark):
