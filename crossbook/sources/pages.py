@@ -29,6 +29,12 @@ def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path).filter("run is not null and page is not null")
 
 
+def parsed(rows: DataFrame, schema: str) -> DataFrame:
+    """Pages (PAGE_A or PAGE_B) of the data source ``landed_pages``: run, page, value. What isn't JSON is a page without items."""
+    body = F.from_json("value", schema.split(", ", 2)[2])
+    return rows.filter("run is not null and page is not null").select("run", "page", body.alias("body")).select("run", "page", "body.*")
+
+
 def _until(pages: DataFrame, last: Column, max_pages: int) -> DataFrame:
     """The run's pages up to the first one that ends it, that one included."""
     before = W.partitionBy("run").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
