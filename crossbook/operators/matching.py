@@ -14,14 +14,6 @@ from pyspark.sql.window import Window as W
 from crossbook.functions.text import jaccard_parts, tokenize
 
 
-def token_candidates(a: DataFrame, b: DataFrame, max_df: int = 2000) -> DataFrame:
-    """Pairs (a_id, b_id) that share a token which at most ``max_df`` rows of b have; inputs have id and text."""
-    ta = a.select(F.col("id").alias("a_id"), F.explode(tokenize(F.col("text"))).alias("token"))
-    tb = b.select(F.col("id").alias("b_id"), F.explode(tokenize(F.col("text"))).alias("token")).distinct()
-    rare = tb.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df).select("token")
-    return ta.join(tb.join(rare, "token"), "token").select("a_id", "b_id").distinct()
-
-
 def jaccard_join(a: DataFrame, b: DataFrame, percent: int, max_df: int | None = 2000) -> DataFrame:
     """a_id, b_id, shared, total of the pairs whose token sets reach the similarity and share a token of at most ``max_df`` rows of b.
 
@@ -42,26 +34,25 @@ def jaccard_join(a: DataFrame, b: DataFrame, percent: int, max_df: int | None =
             f"{s}_id", F.col("ranked.token").alias(f"{s}_tokens"), F.explode(F.slice("ranked", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))).alias("x"),
         ).select(f"{s}_id", f"{s}_tokens", "x.*")
 
-    met = ordered(left, "a").join(ordered(right, "b").drop("df"), "token")
+    first = [ordered(left, "a"), ordered(right, "b")]
+    if max_df is not None:
+        # The rarest token that a pair shares is among the first ones of both, so the pair has one below the limit if this one is.
+        first = [x.filter(F.col("df") <= max_df) for x in first]
+    met = first[0].join(first[1].drop("df"), "token")
     x, y = F.size("a_tokens"), F.size("b_tokens")
     met = met.filter(F.least(x, y) * 100 >= F.greatest(x, y) * percent)
     both, total = jaccard_parts(F.col("a_tokens"), F.col("b_tokens"))
-    close = met.filter(both * 100 >= total * percent).select(
-        "a_id", "b_id", both.cast("long").alias("shared"), total.cast("long").alias("total"), "a_tokens", "b_tokens",
-    ).dropDuplicates(["a_id", "b_id"])
-    if max_df is None:
-        return close.drop("a_tokens", "b_tokens")
-    rare = df.filter(F.col("df") <= max_df).select("token")
-    shared = close.select("a_id", "b_id", "shared", "total", F.explode(F.array_intersect("a_tokens", "b_tokens")).alias("token"))
-    return shared.join(rare, "token").select("a_id", "b_id", "shared", "total").distinct()
+    close = met.filter(both * 100 >= total * percent)
+    return close.select("a_id", "b_id", both.cast("long").alias("shared"), total.cast("long").alias("total")).dropDuplicates(["a_id", "b_id"])
 
 
 def best_or_refuse(scored: DataFrame, key: str, score: Column, tie: Column, ident: str, near: float) -> DataFrame:
     """The best row of each key, none if the second best has the same score and a tie value within ``near``."""
     ranked = W.partitionBy(key).orderBy(score.desc(), tie.asc(), F.col(ident).asc())
-    marked = scored.withColumn("_rank", F.row_number().over(ranked)).withColumn("_score", F.lead(score).over(ranked)).withColumn("_tie", F.lead(tie).over(ranked))
-    unclear = F.coalesce((F.abs(F.col("_score") - score) <= 1e-9) & (F.abs(F.col("_tie") - tie) <= near), F.lit(False))
-    return marked.filter((F.col("_rank") == 1) & ~unclear).drop("_rank", "_score", "_tie")
+    gap = lambda x: F.abs(F.lead(x).over(ranked) - x)
+    unclear = F.coalesce((gap(score) <= 1e-9) & (gap(tie) <= near), F.lit(False))
+    stands = (F.row_number().over(ranked) == 1) & ~unclear
+    return scored.select(F.struct("*").alias("_row"), stands.alias("_stands")).filter("_stands").select("_row.*")
 
 
 def tier_dedupe(tiers: list[DataFrame], pair: list[str]) -> DataFrame:
@@ -69,4 +60,5 @@ def tier_dedupe(tiers: list[DataFrame], pair: list[str]) -> DataFrame:
     both = tiers[0].withColumn("tier", F.lit(0))
     for k, t in enumerate(tiers[1:], 1):
         both = both.unionByName(t.withColumn("tier", F.lit(k)))
-    return both.withColumn("_n", F.row_number().over(W.partitionBy(*pair).orderBy("tier"))).filter("_n = 1").drop("_n")
+    first = F.row_number().over(W.partitionBy(*pair).orderBy("tier")) == 1
+    return both.select(F.struct("*").alias("_row"), first.alias("_first")).filter("_first").select("_row.*")

@@ -2,7 +2,7 @@
 
 Matches have ``ord``, their order in the file. Null ids are a pair like any other, but join no
 label; repeated log rows count; ties in time are in one window; an empty log gives a row of
-zeros and nulls. A log row: a_id, b_id, us, raw_top, raw_depth, net, yes_fee, no_fee (ticks), size, question, resolution_match.
+zeros and nulls; columns of the log with names used here (label, session, window) are replaced. A log row: a_id, b_id, us, raw_top, raw_depth, net, yes_fee, no_fee (ticks), size, question, resolution_match.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from crossbook.functions.economics import BUFFER, GAP_SECONDS, divided
+from crossbook.operators.replay import numbered_runs
 
 PAIR = ["a_id", "b_id"]
 
@@ -36,28 +37,43 @@ def current_labels(matches: DataFrame) -> DataFrame:
 
 
 def labelled(log: DataFrame, matches: DataFrame) -> DataFrame:
-    """The log with the matches' labels, even null ones, where a pair is among them; ``label`` is the matches' own."""
-    joined = log.join(current_labels(matches).withColumn("known", F.lit(True)), PAIR, "left")
-    return joined.withColumn("resolution_match", F.when(F.col("known"), F.col("label")).otherwise(F.col("resolution_match"))).drop("known")
+    """The log with the matches' labels, even null ones, where a pair is among them; ``label`` is the matches' own,
+    in place of a column of the log that has this name."""
+    of_match = current_labels(matches).select(*PAIR, F.struct("label").alias("_of_match"))
+    joined = log.drop("label", "_of_match").join(of_match, PAIR, "left")
+    told = F.when(F.col("_of_match").isNotNull(), F.col("_of_match.label")).otherwise(F.col("resolution_match"))
+    return joined.withColumns({"resolution_match": told, "label": F.col("_of_match.label")}).drop("_of_match")
 
 
 def in_scope(log: DataFrame, matches: DataFrame) -> DataFrame:
     """Rows of pairs labelled true, or all rows if no pair is labelled."""
-    reviewed = current_labels(matches).agg((F.count("label") > 0).alias("reviewed"))
-    rows = labelled(log, matches).crossJoin(F.broadcast(reviewed))  # one row
-    return rows.filter("label or not reviewed").drop("reviewed")
+    reviewed = current_labels(matches).agg((F.count("label") > 0).alias("_reviewed"))
+    rows = labelled(log, matches).drop("_reviewed").crossJoin(F.broadcast(reviewed))  # one row
+    return rows.filter("label or not _reviewed").drop("_reviewed")
 
 
 def windows(scope: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
     """Runs of a pair's viable rows without a gap above the limit."""
-    order = W.partitionBy(*PAIR).orderBy("us")
-    rows = scope.filter(viable()).withColumn("fresh", F.coalesce((F.col("us") - F.lag("us").over(order) > gap_seconds * 1_000_000).cast("int"), F.lit(1)))
-    rows = rows.withColumn("window", F.sum("fresh").over(order.rangeBetween(W.unboundedPreceding, 0)))
+    rows = numbered_runs(scope.filter(viable()), PAIR, "us", gap_seconds * 1_000_000).withColumn("window", F.col("session"))
+    return rows.groupBy(*PAIR, "window").agg(*_of_window())
+
+
+def _of_window() -> list[Column]:
     seconds = F.round((F.max("us") - F.min("us")) / 1e6, 1)
-    return rows.groupBy(*PAIR, "window").agg(
+    return [
         F.count("*").alias("samples"), seconds.alias("seconds"), F.max("net").alias("best_net"), F.max("size").alias("best_size"),
         F.min_by("question", "us").alias("question"), F.min_by("resolution_match", "us").alias("resolution_match"),
-    )
+    ]
+
+
+def window_stream(log: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
+    """The same over a stream of log rows with ``at`` (``us`` as a timestamp, with a watermark), each when it is complete.
+
+    A window is complete when the watermark has passed its last sample by the gap; a sample that is later than the
+    watermark's delay is left out. The duration is from first to last sample, not to the window's end.
+    """
+    at = F.session_window("at", f"{gap_seconds} seconds")
+    return log.filter(viable()).groupBy(*PAIR, at.alias("_window")).agg(*_of_window()).drop("_window")
 
 
 def size_quarters(scope: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from crossbook.functions.economics import divided
 from crossbook.sources.upsert import UpsertTable
@@ -23,19 +22,34 @@ _ROUNDED = ("yes_top", "no_top", "yes_fill", "no_fill", "raw_top", "raw_depth",
 TRUSTED = ("structured", "futures")
 
 
-def _read(spark: SparkSession, path: str, schema: str, **options: object) -> DataFrame:
-    """JSON rows; none if nothing is there."""
+def _there(read: Callable[[], DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    """What is read; no rows if nothing is there."""
     try:
-        return spark.read.schema(schema).options(**options).json(path)
+        return read()
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], schema)
 
 
-def read_candidates(spark: SparkSession, path: str, trusted: bool = False) -> DataFrame:
-    """A JSON array of candidates, none without the file; with ``trusted`` only games and outrights."""
-    rows = _read(spark, path, CANDIDATE, multiLine=True)
+def _read(spark: SparkSession, path: str, schema: str, **options: object) -> DataFrame:
+    return _there(lambda: spark.read.schema(schema).options(**options).json(path), spark, schema)
+
+
+def _read_text(spark: SparkSession, path: str) -> DataFrame:
+    return _there(lambda: spark.read.text(path), spark, "value string")
+
+
+def read_candidates(spark: SparkSession, path: str, trusted: bool = False, by_line: bool = False) -> DataFrame:
+    """A JSON array of candidates, none without the file; with ``trusted`` only games and outrights.
+
+    ``by_line``: the array has a candidate a line, as ``write_candidates`` writes it, so that many tasks read it.
+    """
+    if by_line:
+        lines = _read_text(spark, path).select(F.regexp_replace("value", ",$", "").alias("value")).filter("value not in ('[', ']', '[]', '')")
+        rows = lines.select(F.from_json("value", CANDIDATE).alias("x")).select("x.*")
+    else:
+        rows = _read(spark, path, CANDIDATE, multiLine=True)
     return rows.filter(F.col("method").isin(*TRUSTED)) if trusted else rows
 
 
@@ -99,13 +113,23 @@ def stream_sinks(log: str, latest: str) -> Callable[[DataFrame, int], None]:
 
 
 def write_candidates(candidates: DataFrame, path: str) -> None:
-    """One JSON array in the order of scores, a candidate a line; a single file, so a single task writes it."""
-    order = W.orderBy(F.desc("score"), "a_id", "b_id")
-    numbered = candidates.withColumn("_n", F.row_number().over(order))
-    last = candidates.count()
-    lines = numbered.select("_n", F.concat(F.to_json(F.struct(*candidates.columns)), F.when(F.col("_n") < last, ",").otherwise("")).alias("value"))
-    ends = candidates.sparkSession.createDataFrame([(0, "["), (last + 1, "]")], "_n int, value string")
-    lines.unionByName(ends).repartition(1).sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
+    """One JSON array in the order of scores, a candidate a line, in as many part files as there are ranges of scores.
+
+    The parts one after the other, in the order of their names, are the array. Each task knows from the counts of
+    rows by part whether it has the first or the last one.
+    """
+    kept = candidates.select(F.struct("*").alias("_row")).orderBy(F.desc("_row.score"), "_row.a_id", "_row.b_id").persist()
+    ordered = kept.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = dict(ordered.groupBy("_part").count().collect())  # a row for each part
+    if not sizes:
+        kept.unpersist()
+        candidates.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    first, last = min(sizes), max(sizes)
+    begins = F.when((F.col("_part") == first) & (F.col("_at") == 0), "[\n").otherwise("")
+    ends = F.when((F.col("_part") == last) & (F.col("_at") == sizes[last] - 1), "\n]").otherwise(",")
+    ordered.select(F.concat(begins, F.to_json("_row"), ends).alias("value")).write.mode("overwrite").text(path)
+    kept.unpersist()
 
 
 def write_report(report: DataFrame, windows: DataFrame, path: str) -> None:

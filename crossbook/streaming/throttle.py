@@ -2,6 +2,11 @@
 
 An evaluation row: a_id, b_id, us (event time), size, edge (ticks), method. The batch form reads a
 sorted partition batch by batch and holds one pair's state; the stream form holds that state in Spark.
+
+``logged_by_doubling`` gives the same for pairs whose history is too long for one task, with DataFrame functions
+only. What is logged after a row depends on that row alone: the first one 30 seconds later or more that is viable, or a game's
+with another edge. So each row has one successor, and the log is the path from the first row. It is found by doubling:
+rows that are on the path after k rounds lead to those that are on it 2^k steps on.
 """
 
 from __future__ import annotations
@@ -9,9 +14,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window as W
+
+from crossbook.operators.scratch import cut
 
 HEARTBEAT_US = 30_000_000
 SCHEMA = "a_id string, b_id string, us long, size long, edge long, method string"
@@ -56,12 +64,77 @@ def logged(evaluations: DataFrame, before: DataFrame | None = None) -> DataFrame
         rows = rows.withColumns({"last_us": F.lit(None).cast("long"), "last_edge": F.lit(None).cast("long")})
     else:
         rows = rows.join(before, PAIR, "left")
-    return rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "us", "n", "edge", "size").mapInPandas(_over_sorted, f"{SCHEMA}, n long")
+    return rows.repartition(*PAIR).sortWithinPartitions(*PAIR, "us", "n", "edge", "size", "method").mapInPandas(_over_sorted, f"{SCHEMA}, n long")
+
+
+HOUR_US = 3_600_000_000
+_ORDER = ["us", "n", "edge", "size", "copy"]
+
+
+def _place(*parts: Column) -> Column:
+    """A place in a pair's order; a missing part is before all others."""
+    return F.struct(*[(parts[i] if i < len(parts) else F.lit(None)).cast("long").alias(c) for i, c in enumerate(_ORDER)])
+
+
+def _hour(place: str) -> Column:
+    return F.struct("_k", F.floor(F.col(place)["us"] / HOUR_US).alias("hour"))
+
+
+def _next(rows: DataFrame, probes: DataFrame, name: str) -> DataFrame:
+    """The probes (_k, p, ...) with ``name``: the place and edge of the first of the rows (_k, x, edge) of their key after p.
+
+    A task looks through an hour of a key; the first row of the hours after it is handed on by hour.
+    """
+    found = rows.select("_k", F.col("x").alias("p"), F.struct("x", "edge").alias("_row"))
+    both = probes.withColumn("_row", F.lit(None).cast(found.schema["_row"].dataType)).unionByName(found, allowMissingColumns=True).withColumn("_at", _hour("p"))
+    across = W.partitionBy("_k").orderBy(F.desc("_at.hour")).rowsBetween(W.unboundedPreceding, -1)
+    handed = both.groupBy("_k", "_at").agg(F.min("_row").alias("_first")).select("_at", F.last("_first", True).over(across).alias("_later"))
+    # From the last place to the first; a probe stands before a row of its own place, which isn't after it.
+    back = W.partitionBy("_at").orderBy(F.desc("p"), F.col("_row").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
+    met = both.join(handed, "_at").withColumn(name, F.coalesce(F.last("_row", True).over(back), F.col("_later")))
+    return met.filter("_row is null").select(*probes.columns, name)
+
+
+def _changes(games: DataFrame) -> DataFrame:
+    """Of a pair's rows those whose edge isn't that of the row before."""
+    ends = games.withColumn("_at", _hour("x")).groupBy("_k", "_at").agg(F.max_by("edge", "x").alias("_end"))
+    across = W.partitionBy("_k").orderBy("_at.hour")
+    borders = ends.select("_at", F.lag("_end").over(across).alias("_border"))
+    before = F.coalesce(F.lag("edge").over(W.partitionBy("_at").orderBy("x")), F.col("_border"))
+    marked = games.withColumn("_at", _hour("x")).join(borders, "_at")
+    return marked.withColumn("_new", F.coalesce(before != F.col("edge"), F.lit(True))).filter("_new").select("_k", "x", "edge")
+
+
+def logged_by_doubling(evaluations: DataFrame) -> DataFrame:
+    """As ``logged`` of a finished log, for pairs of any length."""
+    ordered = evaluations if "n" in evaluations.columns else evaluations.withColumn("n", F.lit(0).cast("long"))
+    rows = ordered.select(*_COLUMNS, "n").na.drop(subset=_COLUMNS[:5]).withColumn("game", F.coalesce(F.col("method") == "structured", F.lit(False)))
+    rows = rows.filter("size > 0 or game").withColumn("_k", F.struct(*PAIR))
+    copy = F.row_number().over(W.partitionBy("_k", "us", "n", "edge", "size").orderBy("method"))  # tells equal rows apart
+    rows = cut(rows.withColumn("copy", copy).withColumn("x", _place(*(F.col(c) for c in _ORDER))))
+    viable, games = rows.filter("size > 0").select("_k", "x", "edge"), rows.filter("game").select("_k", "x", "edge")
+    steps = rows.select("_k", "x", "edge", _place(F.col("us") + HEARTBEAT_US).alias("p"))
+    steps = _next(games, _next(viable, steps, "next_viable"), "next_game")
+    # A game's next row counts if its edge is another one; if not, the first row after it that has another edge does.
+    after = steps.withColumn("p", F.coalesce("next_game.x", "p"))
+    steps = _next(_changes(games), after, "next_change")
+    other = F.when(F.col("next_game.edge") != F.col("edge"), F.col("next_game.x")).otherwise(F.col("next_change.x"))
+    jumps = cut(steps.select("_k", "x", F.least("next_viable.x", other).alias("to")))
+    path = rows.groupBy("_k").agg(F.min("x").alias("x"))
+    while True:
+        jumps = jumps.filter("to is not null")
+        on = path.join(jumps, ["_k", "x"]).select("_k", F.col("to").alias("x"))
+        longer = cut(path.unionByName(on).distinct())
+        if longer.count() == path.count():
+            break
+        path = longer
+        jumps = cut(jumps.join(jumps.select("_k", F.col("x").alias("to"), F.col("to").alias("next")), ["_k", "to"]).select("_k", "x", F.col("next").alias("to")))
+    return rows.join(path, ["_k", "x"], "left_semi").select(*_COLUMNS, "n")
 
 
 def _over_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last = tuple(state.get) if state.exists else _NONE
-    rows = pd.concat(list(batches)).sort_values(["us", "edge", "size"])
+    rows = pd.concat(list(batches)).sort_values(["us", "edge", "size", "method"], na_position="first")
     keep, last = _taken(rows, last)
     if last != _NONE:
         state.update(last)

@@ -517,6 +517,106 @@ def test_throttle(spark):
     assert throttle.logged(spark.createDataFrame([(None, "b", 1, 1, 1, "x")], throttle.SCHEMA)).count() == 0
 
 
+def plain_runs(rows, gap):
+    """Samples and span of each run of a key, in order."""
+    out, last = {}, {}
+    for k, us in sorted(rows, key=lambda r: (r[0], r[1])):
+        if k not in last or us - last[k] > gap:
+            out.setdefault(k, []).append([0, us])
+        out[k][-1] = [out[k][-1][0] + 1, out[k][-1][1], us]
+        last[k] = us
+    return sorted((k, i + 1, n, b - a) for k, runs in out.items() for i, (n, a, b) in enumerate(runs))
+
+
+@pytest.mark.parametrize("width", [1, 50, 10**9])
+def test_long_keys_in_buckets(spark, width):
+    """As-of pairs, runs and order statistics are the same whatever buckets a key is cut into."""
+    rng, rows = random.Random(width), []
+    for i in range(400):
+        rows.append((rng.choice(["hot", "hot", "hot", "b"]), rng.randint(0, 1), rng.randint(0, 3000), i, rng.choice([None, *range(40)]), "x"))
+    df = spark.createDataFrame(rows, "k string, venue int, us long, id long, v long, _bucket string")
+    got = replay.as_of(df, "k", "venue", "us", "id", "v", 40, width_us=width)
+    want = []
+    for k, _, us, i, _, _ in rows:
+        seen = {}
+        for k2, side, us2, i2, v, _ in rows:
+            if k2 == k and v is not None and (us2, i2) <= (us, i):
+                seen[side] = max(seen.get(side, (-1, -1, 0)), (us2, i2, v))
+        if len(seen) == 2 and all(us - x[0] <= 40 for x in seen.values()):
+            want.append((k, i, seen[0][2], seen[1][2]))
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 30
+    runs = replay.sessions(df, "k", "us", 20, "v", "id", width_us=width).select("k", "session", "samples", "span_us")
+    assert sorted(map(tuple, runs.collect())) == plain_runs([(r[0], r[2]) for r in rows], 20)
+    stats = {r.k: (r.n, r.q1_x4, r.q3_x4) for r in replay.exclusive_quartiles(df, "k", "v", width=min(width, 50)).collect()}
+    for k in ("hot", "b"):
+        v = sorted(r[4] for r in rows if r[0] == k and r[4] is not None)
+        n, at = len(v), lambda i: min(max((len(v) + 1) * i // 4, 1), len(v) - 1)  # noqa: B023
+        quarter = lambda i: v[at(i) - 1] * (4 - (i * (n + 1) - 4 * at(i))) + v[at(i)] * (i * (n + 1) - 4 * at(i))  # noqa: B023, E731
+        assert stats[k] == (n, quarter(1), quarter(3))
+
+
+def test_a_long_key_is_many_tasks_work(spark):
+    """No task orders more than a bucket of one key's rows."""
+    df = spark.range(40_000).select(F.lit("one").alias("k"), (F.col("id") % 2).cast("int").alias("venue"), (F.col("id") * 1_000_000).alias("us"), "id", "id")
+    df = df.toDF("k", "venue", "us", "id", "v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little data would be put together again
+    try:
+        runs = replay.numbered_runs(df, ["k"], "us", 2_000_000).groupBy(F.spark_partition_id().alias("part")).count()
+        counts = [r["count"] for r in runs.collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(counts) > 1 and max(counts) < 0.7 * sum(counts)
+
+
+def test_windows_as_a_stream(spark, tmp_path):
+    s, kind = 1_000_000, "a_id string, b_id string, us long, net long, size long, question string, resolution_match boolean"
+    rows = [("a", "x", t * s, 5 + t % 3, 4, f"q{t}", None) for t in (1, 121, 242, 362, 1000, 1001)]
+    rows += [("a", "y", 700 * s, 5, 0, "not viable", None), ("a", "y", 701 * s, -5, 4, "nor this", None), ("b", "x", 100 * s, 5, 4, "q", True), ("z", "z", 9000 * s, 1, 1, "closes all", None)]
+    in_files(spark, sorted(rows, key=lambda r: r[2]), kind, tmp_path / "in", [range(0, 5), range(5, 9), range(9, 10)])
+    log = stream_books.timed(spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in/*"), "10 minutes")
+    query = report.window_stream(log).writeStream.format("memory").queryName("windows_out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = [tuple(r) for r in spark.table("windows_out").collect()]
+    want = report.windows(spark.createDataFrame(rows[:-1], kind)).drop("window")
+    # Samples exactly 120 s apart are of one window; the last window is open until the watermark has passed it.
+    assert Counter(got) == Counter(map(tuple, want.collect())) and sorted(r[2] for r in got) == [1, 2, 2, 2]
+
+
+def test_clashing_columns(spark):
+    """Rows may have columns whose names are used inside the operators."""
+    kind = "a_id string, b_id string, us long, raw_top long, raw_depth long, net long, yes_fee long, no_fee long, size long, question string, resolution_match boolean"
+    log = spark.createDataFrame([("a", "x", 1, 1, 1, 1, 1, 1, 1, "q", None), ("a", "y", 2, 1, 1, 1, 1, 1, 1, "q", True)], kind)
+    log = log.withColumns({c: F.lit("mine") for c in ("label", "known", "reviewed", "_reviewed", "_of_match", "fresh", "window", "session", "_bucket", "_at", "_k")})
+    matches = spark.createDataFrame([("a", "x", True, 0, "l")], "a_id string, b_id string, resolution_match boolean, ord long, label string")
+    [scoped] = report.in_scope(log, matches).collect()
+    assert (scoped.b_id, scoped.label, scoped.resolution_match, scoped.known) == ("x", True, True, "mine")
+    assert report.windows(log).count() == 2 and report.report(log, matches, matches).first().pairs == 1
+    scored = spark.createDataFrame([(1, 2.0, 0.1, "mine", "r")], "k int, _score double, _tie double, _rank string, _row string")
+    assert tuple(matching.best_or_refuse(scored, "k", F.col("_score"), F.col("_tie"), "k", 1.0).first()) == (1, 2.0, 0.1, "mine", "r")
+    tier = spark.createDataFrame([("a", "b", 7, "x")], "a_id string, b_id string, _n int, _first string")
+    assert tuple(matching.tier_dedupe([tier, tier], ["a_id", "b_id"]).first()) == ("a", "b", 7, "x", 0)
+    gaps = spark.createDataFrame([("s", 1, "mine"), ("s", 3, "mine")], "k string, seq long, before string")
+    assert [r.before for r in replay.sequence_gaps(gaps, "k", "seq").collect()] == [1]
+    books_ = spark.createDataFrame([("a", "YES", 4000, 9.0, "mine"), ("a", "NO", 5000, 9.0, "mine")], "key string, side string, price long, size double, units string")
+    assert depth.largest_viable(books_, ["key"], F.lit(7), F.lit(5)).count() == 1
+    candidates = spark.createDataFrame([("a:1", "b:1", "x", "mine")], "a_id string, b_id string, id string, leg string")
+    assert {(r[0], r[1]) for r in detector.index(candidates.drop("id", "leg")).collect()} == {("a:1", "a"), ("b:1", "b")}
+
+
+def test_throttle_by_doubling(spark):
+    """The path from the first row, for a pair over many hours, ties and equal rows."""
+    rng, rows = random.Random(21), evaluations(400)
+    us = 1
+    for _ in range(500):
+        us += rng.choice([0, 0, 1_000_000, 7_000_000, 29_000_000, 30_000_000, 31_000_000, 5_000_000_000])
+        rows.append(("a:long", "b:long", us, rng.choice([0, 0, 0, 5]), rng.randint(1, 3), rng.choice(["structured", "structured", "lexical", None])))
+    rows += [("a:one", "b", 5, 0, 1, "lexical"), ("a:two", "b", 5, 1, 1, "lexical"), (None, "b", 1, 1, 1, "x")]
+    table = spark.createDataFrame(rows, throttle.SCHEMA)
+    want = Counter(map(tuple, throttle.logged(table).collect()))
+    assert Counter(map(tuple, throttle.logged_by_doubling(table).collect())) == want and want.total() > 60
+    assert throttle.logged_by_doubling(table.limit(0)).count() == 0
+
+
 def test_throttle_stream_and_sinks(spark, tmp_path):
     rows = evaluations(300)
     for i in range(3):
@@ -550,8 +650,16 @@ def test_files(spark, tmp_path):
     assert logs.read_candidates(spark, str(tmp_path / "none")).count() == logs.read_tracked(spark, str(tmp_path / "none")).count() == 0
     found = [{"a_id": f"a:{i}", "b_id": "b", "score": i / 4, "method": "lexical"} for i in (1, 3, 2)]
     logs.write_candidates(spark.createDataFrame(found, logs.CANDIDATE), str(tmp_path / "array"))
-    [part] = (tmp_path / "array").glob("part-*")
-    assert [x["a_id"] for x in json.loads(part.read_text())] == ["a:3", "a:2", "a:1"]
+    whole = lambda name: json.loads("".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*"))))
+    assert [x["a_id"] for x in whole("array")] == ["a:3", "a:2", "a:1"]
+    many = [{"a_id": f"a:{i % 90}", "b_id": "b,", "score": i % 40 / 40, "method": "structured" if i % 2 else "x"} for i in range(500)]
+    logs.write_candidates(spark.createDataFrame(many, logs.CANDIDATE).repartition(7), str(tmp_path / "many"))
+    assert len(list((tmp_path / "many").glob("part-*"))) > 1
+    assert [(x["a_id"], x["score"]) for x in whole("many")] == [(x["a_id"], x["score"]) for x in sorted(many, key=lambda x: (-x["score"], x["a_id"]))]
+    back = logs.read_candidates(spark, str(tmp_path / "many"), trusted=True, by_line=True)
+    assert Counter((r.a_id, r.score) for r in back.collect()) == Counter((x["a_id"], x["score"]) for x in many if x["method"] == "structured")
+    logs.write_candidates(spark.createDataFrame([], logs.CANDIDATE), str(tmp_path / "no"))
+    assert whole("no") == [] and logs.read_candidates(spark, str(tmp_path / "no"), by_line=True).count() == logs.read_candidates(spark, str(tmp_path / "nowhere"), by_line=True).count() == 0
     logs.write_latest(rows.union(rows), str(tmp_path / "latest"))
     assert spark.read.json(str(tmp_path / "latest")).count() == 1
 
