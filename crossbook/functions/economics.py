@@ -1,4 +1,7 @@
-"""Exact money arithmetic: prices and fees are integer ticks of 1e-4."""
+"""Exact money arithmetic: prices and fees are integer ticks of 1e-4.
+
+A null price has a null fee, nulls in ``divided`` give null, a null date has no days to another one.
+"""
 
 from __future__ import annotations
 
@@ -23,21 +26,26 @@ def divided(n: Column, d: Column) -> Column:
 def fee_ticks(coefficient: Column, price: Column) -> Column:
     """The taker fee of one contract: coefficient (hundredths) * p * (1 - p). Prices outside [0, 1] are an error."""
     fee = divided(coefficient.cast("long") * price * (10000 - price), F.lit(1_000_000).cast("long"))
-    return F.when(price.between(0, 10000), fee).otherwise(F.raise_error(F.lit("price out of range")).cast("long"))
+    return F.when(price.isNull() | price.between(0, 10000), fee).otherwise(F.raise_error(F.lit("price out of range")).cast("long"))
 
 
-def taker_fee_ticks(platform: Column, price: Column, fees: dict[str, int] | None = None) -> Column:
-    """The taker fee at the platform (a and b unless ``fees`` names others); an unknown or missing one is an error."""
+def fee_coefficient(platform: Column, fees: dict[str, int] | None = None) -> Column:
+    """The taker fee's coefficient at the platform (a and b unless ``fees`` names others); an unknown or missing one is an error."""
     found = F.raise_error(F.concat(F.lit("no fee for platform "), F.coalesce(platform, F.lit("null")))).cast("long")
     for name, coefficient in (fees or {"a": FEE_A, "b": FEE_B}).items():
-        found = F.when(platform == name, fee_ticks(F.lit(coefficient), price)).otherwise(found)
+        found = F.when(platform == name, F.lit(coefficient).cast("long")).otherwise(found)
     return found
 
 
+def taker_fee_ticks(platform: Column, price: Column, fees: dict[str, int] | None = None) -> Column:
+    """The taker fee of one contract at the platform; an unknown or missing one is an error."""
+    return fee_ticks(fee_coefficient(platform, fees), price)
+
+
 def maker_rebate_ticks(price: Column) -> Column:
     """What a maker at B pays for one contract: less than nothing. Prices outside [0, 1] are an error."""
     paid = -divided(REBATE_B * price.cast("long") * (10000 - price), F.lit(100_000_000).cast("long"))
-    return F.when(price.between(0, 10000), paid).otherwise(F.raise_error(F.lit("price out of range")).cast("long"))
+    return F.when(price.isNull() | price.between(0, 10000), paid).otherwise(F.raise_error(F.lit("price out of range")).cast("long"))
 
 
 def delta_days(a: Column, b: Column) -> Column:

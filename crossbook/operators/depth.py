@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from crossbook.functions.economics import BUFFER, CAP, FEE_A, FEE_B, fee_ticks
+from crossbook.functions.economics import BUFFER, CAP, fee_coefficient, fee_ticks
 
 #: What a hedge of n contracts costs: prices and fees of both legs.
 TOTALS = ("py", "pn", "fy", "fn")
@@ -77,12 +77,17 @@ def largest_viable(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee:
     return hedges(ladder, keys, yes_fee, no_fee, buffer, cap).filter("size is not null").drop("yes_best", "no_best")
 
 
-def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int) -> DataFrame:
-    """Hedges of both directions of each pair: direction 0 buys YES at a and NO at b, 1 the other way."""
+def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int, fees: dict[str, int] | None = None) -> DataFrame:
+    """Hedges of both directions of each pair: direction 0 buys YES at a and NO at b, 1 the other way.
+
+    A ladder with a_platform and b_platform, one value each for a key, has their fees; without them they are a and b.
+    """
     turned = ladder.withColumn("direction", F.when((F.col("leg") == "a") == (F.col("side") == "YES"), 0).otherwise(1))
     straight = F.col("direction") == 0
-    yes_fee, no_fee = F.when(straight, FEE_A).otherwise(FEE_B), F.when(straight, FEE_B).otherwise(FEE_A)
-    found = hedges(turned, [*keys, "direction"], yes_fee, no_fee, buffer, cap, deal=keys).filter("yes_best is not null and no_best is not null")
+    named = [c for c in ("a_platform", "b_platform") if c in ladder.columns]
+    at_a, at_b = (fee_coefficient(F.col(c) if c in named else F.lit(c[0]), fees) for c in ("a_platform", "b_platform"))
+    yes_fee, no_fee = F.when(straight, at_a).otherwise(at_b), F.when(straight, at_b).otherwise(at_a)
+    found = hedges(turned, [*keys, *named, "direction"], yes_fee, no_fee, buffer, cap, deal=keys).filter("yes_best is not null and no_best is not null")
     # Without a viable size, one contract on top of the book.
     tops = {"py": F.col("yes_best"), "pn": F.col("no_best"), "fy": fee_ticks(yes_fee, F.col("yes_best")), "fn": fee_ticks(no_fee, F.col("no_best"))}
     totals = {f"total_{c}": F.coalesce(F.col(f"total_{c}"), tops[c]) for c in TOTALS}
@@ -90,27 +95,32 @@ def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int) -> Dat
     each = [(F.col(f"total_{c}") / F.col("contracts") / 10000).alias(name) for name, c in zip(("yes_fill", "no_fill", "yes_fee", "no_fee"), TOTALS, strict=True)]
     exact = ["contracts", *totals]
     out = found.select(
-        *keys, "direction", "size", (F.col("yes_best") / 10000).alias("yes_top"), (F.col("no_best") / 10000).alias("no_top"), *each,
+        *keys, *named, "direction", "size", (F.col("yes_best") / 10000).alias("yes_top"), (F.col("no_best") / 10000).alias("no_top"), *each,
         ((10000 - F.col("yes_best") - F.col("no_best")) / 10000).alias("raw_top"), *exact,
     )
     return out.withColumn("raw_depth", 1 - F.col("yes_fill") - F.col("no_fill")).withColumn("net", F.col("raw_depth") - F.col("yes_fee") - F.col("no_fee"))
 
 
-def detect(ladder: DataFrame, keys: list[str] | None = None, buffer: int = BUFFER, cap: int = CAP) -> DataFrame:
-    """The viable directions of each pair, none to two: keys, direction, size, tops, fills, fees and spreads."""
-    return _both_ways(ladder, keys or ["key"], buffer, cap).filter("size > 0")
+def detect(ladder: DataFrame, keys: list[str] | None = None, buffer: int = BUFFER, cap: int = CAP, fees: dict[str, int] | None = None) -> DataFrame:
+    """The viable directions of each pair, none to two: keys, direction, size, tops, fills, fees and spreads.
+
+    ``fees``: coefficients by platform, of those that the ladder's a_platform and b_platform name; another one is an error.
+    """
+    return _both_ways(ladder, keys or ["key"], buffer, cap, fees).filter("size > 0")
 
 
-def evaluate(ladder: DataFrame, buffer: int = BUFFER, cap: int = CAP, require_edge: bool = True, keys: list[str] | None = None) -> DataFrame:
+def evaluate(
+    ladder: DataFrame, buffer: int = BUFFER, cap: int = CAP, require_edge: bool = True, keys: list[str] | None = None, fees: dict[str, int] | None = None,
+) -> DataFrame:
     """The better direction of each pair: key, direction, size, tops, fills, fees and spreads.
 
     ``ladder``: key, leg (a or b), side, price, size; pairs with a leg too old are left out before (``fresh``).
     A direction that no size clears is taken at one contract on top of the book, with size 0. Amounts are shares of
     1, as doubles, beside them ticks of all ``contracts`` (total_py, ...); of equal directions it is 0. With ``require_edge``, pairs whose better direction has no edge on top
-    are left out.
+    are left out. ``fees`` as in ``detect``.
     """
     keys = keys or ["key"]
-    out = _both_ways(ladder, keys, buffer, cap)
+    out = _both_ways(ladder, keys, buffer, cap, fees)
     # The order is by whole hundredths of ticks, so that sums of doubles don't decide between equals.
     rank = F.struct(F.round(F.col("net") * 1e8).cast("long").alias("net"), (-F.col("direction")).alias("direction"))
     kept = out.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in out.columns if c not in keys]), rank).alias("x")).select(*keys, "x.*")

@@ -10,12 +10,14 @@ market listed twice is matched twice, its rows told apart by ``ord``; empty tabl
 from __future__ import annotations
 
 import difflib
+import functools
+import json
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window as W
 
 from crossbook.functions.economics import delta_days
@@ -28,9 +30,27 @@ START_HOURS, ENTITY_MIN, COMPETITION_MIN, OUTRIGHT_DAYS, QUESTION_DAYS, MAX_DF =
 COMPETITION_FILLER = ("the", "a", "an", "of", "to", "be", "who", "will", "in")
 
 
-@F.pandas_udf(StringType())
-def unaccented(text: pd.Series) -> pd.Series:
-    return text.fillna("").map(lambda s: s if s.isascii() else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+@functools.cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """What compatibility decomposition leaves of each other letter in ASCII: those with one sign, as two texts, and those with more."""
+    one, more = {}, {}
+    for code in range(0x80, 0x110000):
+        kept = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode() if not 0xD800 <= code < 0xE000 else ""
+        if kept:
+            (one if len(kept) == 1 else more)[chr(code)] = kept
+    return "".join(one), "".join(one.values()), more
+
+
+def unaccented(text: Column) -> Column:
+    """The text in ASCII: letters without their accents, others by what they are made of; what has no such form goes. Null is empty."""
+    ours, theirs, more = _folds()
+    text = F.coalesce(text, F.lit(""))
+    single = F.translate(text, ours, theirs)
+    table = F.from_json(F.lit(json.dumps(more)), "map<string,string>")
+    longer = F.array_join(F.transform(F.regexp_extract_all(single, F.lit("(?s)."), 0), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    has_longer = single.rlike("[" + "".join(f"\\x{{{ord(c):x}}}" for c in more) + "]")
+    plain = F.regexp_replace(F.when(has_longer, longer).otherwise(single), r"[^\x00-\x7F]", "")
+    return F.when(text.rlike(r"[^\x00-\x7F]"), plain).otherwise(text)
 
 
 @F.pandas_udf(DoubleType())
@@ -85,7 +105,7 @@ def games(markets: DataFrame) -> DataFrame:
     members = markets.filter("event is not null").withColumn("game", F.regexp_replace("id", "-[^-]*$", ""))
     events = members.groupBy("game").agg(F.min_by("event", "ord").alias("ev"))
     named = events.select("game", F.col("ev.league").alias("league"), F.col("ev.start_time").alias("start"), F.col("ev.competitors")[0].alias("c1"), F.col("ev.competitors")[1].alias("c2"))
-    named = named.withColumn("t1", words(unaccented("c1"))).withColumn("t2", words(unaccented("c2")))
+    named = named.withColumn("t1", words(unaccented(F.col("c1")))).withColumn("t2", words(unaccented(F.col("c2"))))
     each = members.select("game", "ord", words(unaccented(F.col("event.yes_competitor"))).alias("ty"), F.struct("id", "question", "resolution", F.col("event.yes_abbrev").alias("abbrev")).alias("m"))
     told = each.join(named.select("game", "t1", "t2"), "game").withColumn("s1", name_score(F.col("t1"), F.col("ty"))).withColumn("s2", name_score(F.col("t2"), F.col("ty")))
     side = F.when(F.greatest("s1", "s2") < SIDE_MIN, 0).when(F.col("s1") >= F.col("s2"), 1).otherwise(2)
@@ -102,7 +122,7 @@ def match_games(a: DataFrame, b: DataFrame, hours: int = START_HOURS) -> DataFra
         F.struct("id", "ord").alias("b_key"), F.col("id").alias("b_id"), F.col("question").alias("b_question"), F.col("resolution").alias("b_resolution"), F.col("event.league").alias("league"),
         F.unix_micros("event.start_time").alias("b_us"), F.col("event.competitors")[0].alias("p1"), F.col("event.competitors")[1].alias("p2"), F.col("event.yes_competitor").alias("yes"), F.col("event.yes_abbrev").alias("b_abbrev"),
     )
-    right = right.withColumn("u1", words(unaccented("p1"))).withColumn("u2", words(unaccented("p2"))).withColumn("slot", F.floor(F.col("b_us") / span))
+    right = right.withColumn("u1", words(unaccented(F.col("p1")))).withColumn("u2", words(unaccented(F.col("p2")))).withColumn("slot", F.floor(F.col("b_us") / span))
     # Aligned competitors share a token. Of those that the first one shares with the other game's, only the first in order makes the pair.
     left = left.withColumn("token", F.explode("t1"))
     right = right.withColumn("names", F.array_union("u1", "u2")).withColumn("token", F.explode("names"))
@@ -137,7 +157,7 @@ def match_outrights(a: DataFrame, b: DataFrame, entity_min: float = ENTITY_MIN,
             F.col("id").alias(f"{s}_id"), F.struct("id", "ord").alias(f"{s}_key"), F.col("question").alias(f"{s}_question"),
             F.col("resolution").alias(f"{s}_resolution"), F.col("futures.entity").alias("entity"), F.col("futures.competition").alias("competition"),
         )
-        return rows.withColumn(f"{s}_block", words(F.col("entity"))).withColumn(f"{s}_name", words(unaccented("entity"))).withColumn(
+        return rows.withColumn(f"{s}_block", words(F.col("entity"))).withColumn(f"{s}_name", words(unaccented(F.col("entity")))).withColumn(
             f"{s}_where", competition_tokens(F.col("competition")),
         ).drop("entity", "competition")
 
@@ -158,28 +178,61 @@ def match_outrights(a: DataFrame, b: DataFrame, entity_min: float = ENTITY_MIN,
     return _pairs(best, "futures")
 
 
-def match_questions(a: DataFrame, b: DataFrame, threshold: float = 0.75, days: int = QUESTION_DAYS, max_df: int = MAX_DF, only_plain: bool = True) -> DataFrame:
-    """Pairs whose questions (of b, or aliases) reach ``threshold``: half the Jaccard of tokens, half the ratio of texts.
+def occurrences(text: Column) -> Column:
+    """An element for each letter of the text: the letter with how many of it are before it, as a hash."""
+    letters = F.array_sort(F.regexp_extract_all(text, F.lit("(?s)."), 0))
+    return F.transform(F.array(letters), lambda s: F.transform(s, lambda c, i: F.xxhash64(c, i - F.array_position(s, c))))[0]
 
-    Pairs share a token that at most ``max_df`` markets of b have. The ratio is at most 1,
-    so a Jaccard below 2 * threshold - 1 can't get there, and the ratio isn't worked out.
+
+def question_pairs(a: DataFrame, b: DataFrame, threshold: float = 0.75, days: int = QUESTION_DAYS, max_df: int = MAX_DF, only_plain: bool = True) -> DataFrame:
+    """a, with each text of b that the ratio of texts could still bring to ``threshold``: a_key, b_key, at, b_question, jaccard, ...
+
+    Pairs share a token that at most ``max_df`` markets of b have. The ratio is at most 1, so a Jaccard below
+    2 * threshold - 1 can't get there; nor can sets of tokens of very different sizes, and the ratio is at most
+    twice the shorter text, or twice the letters that both have, over the letters of both.
     """
     if only_plain:
         a, b = a.filter("event is null and futures is null"), b.filter("event is null and futures is null")
+    least = max(0.0, 2 * threshold - 1)
     left = a.select(
         F.struct("id", "ord").alias("a_key"), F.col("id").alias("a_id"), F.col("question").alias("a_question"), F.col("resolution").alias("a_resolution"),
-        tokenize(F.col("question")).alias("ta"),
+        tokenize(F.col("question")).alias("ta"), occurrences(F.lower("question")).alias("a_letters"),
     )
     texts = F.filter(F.concat(F.array("question"), "aliases"), lambda t: t != "")
     right = b.select(F.struct("id", "ord").alias("b_key"), F.col("id").alias("b_id"), F.col("resolution").alias("b_resolution"), texts.alias("texts"))
-    right = right.withColumn("tb", F.array_distinct(F.flatten(F.transform("texts", tokenize))))
+    sizes = F.transform("texts", lambda t: F.size(tokenize(t)))
+    right = right.withColumns({"tb": F.array_distinct(F.flatten(F.transform("texts", tokenize))), "fewest": F.array_min(sizes), "most": F.array_max(sizes)})
     tokens = right.select("b_key", F.explode("tb").alias("token"))
-    rare = tokens.join(tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df), "token").select("token", "b_key")
-    met = left.select("a_key", F.explode("ta").alias("token")).join(rare, "token").select("a_key", "b_key").distinct()
-    near = met.join(left, "a_key").join(right, "b_key").withColumn("delta_days", delta_days(F.col("a_resolution"), F.col("b_resolution"))).filter(F.col("delta_days") <= days)
-    each = near.select("*", F.posexplode("texts").alias("at", "b_question"))
+    rare = tokens.groupBy("token").agg(F.count("*").alias("df")).filter(F.col("df") <= max_df).select("token")
+
+    def by_token(rows: DataFrame, key: str, of: str, s: str) -> DataFrame:
+        """A row for each rare token, with all of them."""
+        mine = rows.select(key, F.explode(of).alias("token")).join(rare, "token").groupBy(key).agg(F.array_sort(F.collect_set("token")).alias(f"{s}_rare"))
+        return rows.join(mine, key).withColumn("token", F.explode(f"{s}_rare"))
+
+    met = by_token(left, "a_key", "ta", "a").join(by_token(right, "b_key", "tb", "b"), "token")
+    n = F.size("ta")
+    met = met.filter((F.col("most") >= n * least) & (F.col("fewest") * least <= n)).withColumn("delta_days", delta_days(F.col("a_resolution"), F.col("b_resolution")))
+    # Of the rare tokens that two share, only the first in order makes the pair.
+    met = met.filter(F.col("delta_days") <= days).filter(F.col("token") == F.array_min(F.array_intersect("a_rare", "b_rare")))
+    each = met.drop("a_rare", "b_rare", "token", "tb").select("*", F.posexplode("texts").alias("at", "b_question"))
     both, total = jaccard_parts(F.col("ta"), tokenize(F.col("b_question")))
-    each = each.withColumn("jaccard", F.when(total > 0, both / total).otherwise(0.0)).filter(F.col("jaccard") >= max(0.0, 2 * threshold - 1))
+    each = each.withColumn("jaccard", F.when(total > 0, both / total).otherwise(0.0)).filter(F.col("jaccard") >= least)
+    x, y = (F.char_length(F.lower(c)) for c in ("a_question", "b_question"))
+
+    def may(equal: Column) -> Column:
+        return 0.5 * F.col("jaccard") + F.when(x + y > 0, equal / (x + y)).otherwise(1.0) >= threshold - 1e-9
+
+    each = each.filter(may(F.least(x, y)))
+    return each.filter(may(F.size(F.array_intersect("a_letters", occurrences(F.lower("b_question")))))).drop("a_letters", "ta", "texts", "fewest", "most")
+
+
+def match_questions(a: DataFrame, b: DataFrame, threshold: float = 0.75, days: int = QUESTION_DAYS, max_df: int = MAX_DF, only_plain: bool = True) -> DataFrame:
+    """Pairs whose questions (of b, or aliases) reach ``threshold``: half the Jaccard of tokens, half the ratio of texts.
+
+    Only pairs that the bounds of ``question_pairs`` leave open go to Python for the ratio.
+    """
+    each = question_pairs(a, b, threshold, days, max_df, only_plain)
     each = each.withColumn("score", 0.5 * F.col("jaccard") + 0.5 * sequence_ratio(F.lower("a_question"), F.lower("b_question"))).filter(F.col("score") >= threshold)
     first = F.row_number().over(W.partitionBy("a_key", "b_key").orderBy(F.desc("score"), "at"))
     return _pairs(each.withColumn("n", first).filter("n = 1"), "lexical")

@@ -162,7 +162,7 @@ def match_outrights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select(
-        F.concat(F.lit("a:"), k.cast("string")).alias("a_id"), F.concat(F.lit("b:x:"), (k % 97).cast("string")).alias("b_id"), F.lit("q").alias("a_question"),
+        F.concat(F.lit("a:"), k.cast("string")).alias("a_id"), F.concat(F.lit("b:x:"), (k + 3).cast("string")).alias("b_id"), F.lit("q").alias("a_question"),
         F.lit("p").alias("b_question"), ((k * 37 % 1000) / 1000).alias("score"),
         F.when(k % 3 == 0, "structured").when(k % 3 == 1, "futures").otherwise("lexical").alias("method"),
     )
@@ -176,7 +176,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.collect_list(F.when(yes, level))).alias("yes_depth"), F.array_sort(F.collect_list(F.when(~yes, level))).alias("no_depth"),
     )
     book = lambda rows, s: rows.select(F.concat(F.lit(s), F.col("l_orderkey").cast("string")).alias("id"), "yes_depth", "no_depth", F.lit(0).cast("long").alias("updated_us"))
-    return detector.paired(_candidates(spark, sf_dir), book(sides, "a:"), book(sides.filter("l_orderkey < 97"), "b:x:"))
+    return detector.paired(_candidates(spark, sf_dir), book(sides, "a:"), book(sides, "b:x:"))
 
 
 def detect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,7 @@ QUERIES = {f.__name__: f for f in (
     candidates_by_method, distinct_keys, needed_markets, market_index, log_records, current_labels, top_windows, book_sessions,
 )}
 
-_CANDIDATES = """c AS (SELECT 'a:' || o_orderkey AS a_id, 'b:x:' || (o_orderkey % 97) AS b_id, o_orderkey AS a, o_orderkey % 97 AS b, (o_orderkey * 37 % 1000) AS score,
+_CANDIDATES = """c AS (SELECT 'a:' || o_orderkey AS a_id, 'b:x:' || (o_orderkey + 3) AS b_id, o_orderkey AS a, o_orderkey + 3 AS b, (o_orderkey * 37 % 1000) AS score,
   CASE o_orderkey % 3 WHEN 0 THEN 'structured' WHEN 1 THEN 'futures' ELSE 'lexical' END AS method FROM orders)"""
 _LINES = """l AS (SELECT l_orderkey AS k, l_linenumber % 2 = 1 AS yes, CAST(CASE WHEN l_linenumber % 2 = 1 THEN 4600 + round(l_discount * 10000) ELSE 4500 + round(l_tax * 10000) END AS BIGINT) AS price, CAST(floor(l_quantity) AS BIGINT) AS units FROM lineitem)"""
 # every unit of both books is walked, for both directions
@@ -324,8 +324,8 @@ e AS (SELECT a_id, b_id, greatest(10000 - x.y - z.n, 10000 - z.y - x.n) AS edge
 m AS (SELECT * FROM e WHERE edge IS NOT NULL ORDER BY edge DESC, a_id, b_id LIMIT 8) SELECT a_id, b_id, CAST(edge AS BIGINT) AS edge FROM m WHERE edge > 600""",
     "top_candidates": f"WITH {_CANDIDATES} SELECT a_id, b_id FROM c ORDER BY score DESC, a_id, b_id LIMIT 500",
     "candidates_by_method": f"WITH {_CANDIDATES} SELECT method, count(*) AS n FROM c GROUP BY method",
-    "distinct_keys": "SELECT count(*) AS candidates, count(DISTINCT o_orderkey) AS a_keys, count(DISTINCT o_orderkey % 97) AS b_keys FROM orders",
-    "needed_markets": "SELECT DISTINCT 'b:x:' || p_partkey AS id FROM part WHERE p_partkey IN (SELECT o_orderkey % 97 FROM orders)",
+    "distinct_keys": "SELECT count(*) AS candidates, count(DISTINCT o_orderkey) AS a_keys, count(DISTINCT o_orderkey + 3) AS b_keys FROM orders",
+    "needed_markets": "SELECT DISTINCT 'b:x:' || p_partkey AS id FROM part WHERE p_partkey IN (SELECT o_orderkey + 3 FROM orders)",
     "market_index": f"WITH {_CANDIDATES} SELECT a_id AS id, 'a' AS leg, count(*) AS n FROM c GROUP BY a_id UNION ALL SELECT b_id, 'b', count(*) FROM c GROUP BY b_id",
     "log_records": f"""WITH l AS (SELECT l_orderkey AS key, CASE WHEN l_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS leg, l_linenumber % 2 = 1 AS yes,
   CAST(CASE WHEN l_linenumber % 2 = 1 THEN 4600 + round(l_discount * 10000) ELSE 4500 + round(l_tax * 10000) END AS BIGINT) AS price, CAST(floor(l_quantity) AS BIGINT) AS units FROM lineitem),
