@@ -103,26 +103,30 @@ def games(markets: DataFrame) -> DataFrame:
     name fits its own best (first of ties), for none below 0.6; the last member stays.
     """
     members = markets.filter("event is not null").withColumn("game", F.regexp_replace("id", "-[^-]*$", ""))
-    events = members.groupBy("game").agg(F.min_by("event", "ord").alias("ev"))
-    named = events.select("game", F.col("ev.league").alias("league"), F.col("ev.start_time").alias("start"), F.col("ev.competitors")[0].alias("c1"), F.col("ev.competitors")[1].alias("c2"))
-    named = named.withColumn("t1", words(unaccented(F.col("c1")))).withColumn("t2", words(unaccented(F.col("c2"))))
-    each = members.select("game", "ord", words(unaccented(F.col("event.yes_competitor"))).alias("ty"), F.struct("id", "question", "resolution", F.col("event.yes_abbrev").alias("abbrev")).alias("m"))
-    told = each.join(named.select("game", "t1", "t2"), "game").withColumn("s1", name_score(F.col("t1"), F.col("ty"))).withColumn("s2", name_score(F.col("t2"), F.col("ty")))
+    # Everything about a game is worked out where its members are, in one deal by game.
+    told = members.withColumn("ev", F.first("event").over(W.partitionBy("game").orderBy("ord"))).select(
+        "game", "ord", F.struct("id", "question", "resolution", F.col("event.yes_abbrev").alias("abbrev")).alias("m"), F.col("ev.league").alias("league"), F.col("ev.start_time").alias("start"),
+        F.col("ev.competitors")[0].alias("c1"), F.col("ev.competitors")[1].alias("c2"), words(unaccented(F.col("event.yes_competitor"))).alias("ty"),
+    )
+    told = told.withColumns({f"t{k}": words(unaccented(F.col(f"c{k}"))) for k in (1, 2)})
+    told = told.withColumns({f"s{k}": name_score(F.col(f"t{k}"), F.col("ty")) for k in (1, 2)})
     side = F.when(F.greatest("s1", "s2") < SIDE_MIN, 0).when(F.col("s1") >= F.col("s2"), 1).otherwise(2)
-    paid = told.withColumn("side", side).groupBy("game").agg(*[F.max_by("m", F.when(F.col("side") == k, F.col("ord"))).alias(f"m{k}") for k in (1, 2)])
-    return named.join(paid, "game")
+    paid = [F.max_by("m", F.when(F.col("side") == k, F.col("ord"))).alias(f"m{k}") for k in (1, 2)]
+    return told.withColumn("side", side).groupBy("game").agg(*[F.first(c).alias(c) for c in ("league", "start", "c1", "c2", "t1", "t2")], *paid)
 
 
 def match_games(a: DataFrame, b: DataFrame, hours: int = START_HOURS) -> DataFrame:
     """Games of one league that start within ``hours``, with both competitors aligned; one pair for each game of b."""
     span = hours * 3_600_000_000
-    left = games(a).filter("start is not null").withColumn("us", F.unix_micros("start"))
-    left = left.withColumn("slot", F.explode(F.array(*[F.floor(F.col("us") / span) + d for d in (-1, 0, 1)])))
+    slot = lambda us: F.floor(us / (2 * span))
+    left = games(a).filter("start is not null").withColumn("us", F.unix_micros("start")).withColumn("slot", slot(F.col("us")))
     right = b.filter("event is not null and event.start_time is not null").select(
         F.struct("id", "ord").alias("b_key"), F.col("id").alias("b_id"), F.col("question").alias("b_question"), F.col("resolution").alias("b_resolution"), F.col("event.league").alias("league"),
         F.unix_micros("event.start_time").alias("b_us"), F.col("event.competitors")[0].alias("p1"), F.col("event.competitors")[1].alias("p2"), F.col("event.yes_competitor").alias("yes"), F.col("event.yes_abbrev").alias("b_abbrev"),
     )
-    right = right.withColumn("u1", words(unaccented(F.col("p1")))).withColumn("u2", words(unaccented(F.col("p2")))).withColumn("slot", F.floor(F.col("b_us") / span))
+    right = right.withColumn("u1", words(unaccented(F.col("p1")))).withColumn("u2", words(unaccented(F.col("p2"))))
+    # The hours around a start are of two slots at most, of one in half of the cases.
+    right = right.withColumn("slot", F.explode(F.array_distinct(F.array(slot(F.col("b_us") - span), slot(F.col("b_us") + span)))))
     # Aligned competitors share a token. Of those that the first one shares with the other game's, only the first in order makes the pair.
     left = left.withColumn("token", F.explode("t1"))
     right = right.withColumn("names", F.array_union("u1", "u2")).withColumn("token", F.explode("names"))

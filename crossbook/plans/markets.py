@@ -95,6 +95,7 @@ QUERIES = {f.__name__: f for f in (game_start, competitor_score, competition_sco
 _FEE = "(({c} * {p} * (10000 - {p})) // 1000000 + CASE WHEN 2 * (({c} * {p} * (10000 - {p})) % 1000000) > 1000000 OR (2 * (({c} * {p} * (10000 - {p})) % 1000000) = 1000000 AND (({c} * {p} * (10000 - {p})) // 1000000) % 2 = 1) THEN 1 ELSE 0 END)"
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower({}), '[a-z0-9]+'), lambda t: length(t) > 1))"
 _YES_FEE, _NO_FEE = (f"CASE WHEN direction = 0 THEN {_FEE.format(c=x, p=p)} ELSE {_FEE.format(c=y, p=p)} END" for x, y, p in ((7, 5, "py"), (5, 7, "pn")))
+_FILLER = str(tuple(resolution.COMPETITION_FILLER))
 
 ORACLE_SQL = {
     # row by row: the next row of a pair is logged or not by what was logged last
@@ -109,8 +110,8 @@ SELECT CAST(user_id AS VARCHAR) AS a_id, 'b' AS b_id, us, CAST(size AS BIGINT) A
 SELECT o_orderkey, epoch_us(t) + CASE WHEN t >= TIMESTAMP '2026-03-08 02:00:00' AND t < TIMESTAMP '2026-11-01 02:00:00' THEN 4 ELSE 5 END * 3600000000 AS us FROM s""",
     "competitor_score": f"""WITH s AS (SELECT p_partkey, {_WORDS.format("p_name")} AS a, {_WORDS.format("CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) WHEN 1 THEN upper(p_name) ELSE p_type END")} AS b FROM part)
 SELECT p_partkey, CAST(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 WHEN list_sort(a) = list_sort(b) THEN 100 WHEN list_has_all(a, b) OR list_has_all(b, a) THEN 85 ELSE 0 END AS BIGINT) AS score FROM s""",
-    "competition_score": """WITH w AS (SELECT p_partkey AS k, unnest(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS t, p_size % 3 AS r FROM part),
-t AS (SELECT DISTINCT k, t, r FROM w WHERE (length(t) > 1 OR regexp_full_match(t, '[0-9]')) AND t NOT IN ('the', 'a', 'an', 'of', 'to', 'be', 'who', 'will', 'in')),
+    "competition_score": f"""WITH w AS (SELECT p_partkey AS k, unnest(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS t, p_size % 3 AS r FROM part),
+t AS (SELECT DISTINCT k, t, r FROM w WHERE (length(t) > 1 OR regexp_full_match(t, '[0-9]')) AND t NOT IN {_FILLER}),
 n AS (SELECT k, r, list(t) AS v FROM t GROUP BY k, r)
 SELECT a.k AS k, CAST(CASE WHEN a.r = b.r THEN floor(len(list_intersect(a.v, b.v)) / len(list_distinct(list_concat(a.v, b.v))) * 1000000 + 0.5) ELSE 0 END AS BIGINT) AS score FROM n a JOIN n b ON b.k = a.k + 1""",
     "best_direction": f"""WITH l AS (SELECT l_orderkey AS key, CASE WHEN l_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS leg, l_linenumber % 2 = 1 AS yes,

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossbook.functions.economics import FEE_A, FEE_B, delta_days, fee_ticks
-from crossbook.functions.text import STOPWORDS, is_entity, tokenize
+from crossbook.functions.text import NO_SUBJECT, STOPWORDS, is_entity, tokenize
 from crossbook.operators import depth, detector, matching, replay
 
 
@@ -147,6 +147,7 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 _LEVELS = """levels AS (SELECT key, side, price, CAST(sum(floor(size)) AS BIGINT) AS units FROM ladders GROUP BY ALL HAVING sum(floor(size)) > 0)"""
+_NO_SUBJECT = "|".join(w.replace(" ", r"\s+") for w in NO_SUBJECT)
 _STOP = "[" + ",".join(f"'{w}'" for w in STOPWORDS) + "]"
 _TOKENS = f"list_distinct(list_filter(regexp_extract_all(lower({{}}), '[a-z0-9]+'), lambda t: length(t) > 1 AND NOT list_contains({_STOP}, t)))"
 
@@ -173,7 +174,7 @@ tk AS (SELECT id, unnest(t) AS w FROM p), df AS (SELECT w FROM tk WHERE id % 2 =
 c AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM tk a JOIN tk b USING (w) JOIN df USING (w) WHERE a.id % 2 = 0 AND b.id % 2 = 1),
 s AS (SELECT a_id, b_id, len(list_intersect(x.t, y.t)) AS shared, len(x.t) + len(y.t) - len(list_intersect(x.t, y.t)) AS total FROM c JOIN p x ON x.id = a_id JOIN p y ON y.id = b_id)
 SELECT a_id, b_id, CAST(shared AS BIGINT) AS shared, CAST(total AS BIGINT) AS total FROM s WHERE shared * 100 >= total * 75""",
-    "entities": r"SELECT p_partkey, p_name FROM part WHERE trim(p_name) <> '' AND NOT regexp_matches(trim(p_name), '(?i)^\s*(yes|no|above|below|under|over|at\s+least|at\s+most|more\s+than|less\s+than|fewer\s+than|exactly|between|[<>$]|\d|\+)') AND NOT contains(p_name, '%')",
+    "entities": rf"SELECT p_partkey, p_name FROM part WHERE trim(p_name) <> '' AND NOT regexp_matches(trim(p_name), '(?i)^\s*({_NO_SUBJECT}|[<>$]|\d|\+)') AND NOT contains(p_name, '%')",
     "resolution_days": "SELECT CAST(abs(floor((epoch_us(o_orderdate) - epoch_us(l_shipdate)) / 86400000000.0)) AS BIGINT) AS days, count(*) AS n FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1",
     "rank_or_refuse": """WITH s AS (SELECT o_custkey AS key, o_orderkey AS id, year(o_orderdate) AS y, month(o_orderdate) AS m, row_number() OVER w AS r, lead(year(o_orderdate)) OVER w AS y2, lead(month(o_orderdate)) OVER w AS m2
 FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC, month(o_orderdate), o_orderkey))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossbook.operators import books, depth, detector, report, resolution
-from crossbook.plans.markets import _FEE, _WORDS, _log
+from crossbook.functions.text import SELECTORS
+from crossbook.plans.markets import _FEE, _FILLER, _WORDS, _log
 from crossbook.plans.queries import FEE, table
 from crossbook.sources import logs, pages, venues
 
@@ -306,8 +307,8 @@ SELECT CAST(run AS VARCHAR) AS run, CAST(k AS VARCHAR) AS title FROM walk WHERE
     "match_games": """SELECT 'a:G-' || o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '-0' ELSE '-1' END AS a_id, 'b:' || o_orderkey AS b_id, CAST(7225 AS BIGINT) AS score, CAST(ceil((o_orderkey % 40) / 24) AS BIGINT) AS delta_days
 FROM orders WHERE o_orderkey % 40 <= 30 AND (o_orderkey % 3 = 0 OR o_orderkey % 13 > 0)""",
     "match_outrights": f"""WITH w AS (SELECT p_partkey AS k, unnest(regexp_extract_all(lower(p_type || ' ' || p_brand), '[a-z0-9]+')) AS t FROM part),
-t AS (SELECT k, coalesce(list_sort(list(DISTINCT t) FILTER (regexp_full_match(t, '[0-9]+') OR t IN ('stage', 'round', 'leg', 'heat', 'group', 'top', 'matchday', 'game'))), []) AS sel,
-      coalesce(list(DISTINCT t) FILTER (NOT regexp_full_match(t, '[0-9]+') AND length(t) > 1 AND t NOT IN ('stage', 'round', 'leg', 'heat', 'group', 'top', 'matchday', 'game', 'the', 'a', 'an', 'of', 'to', 'be', 'who', 'will', 'in')), []) AS word FROM w GROUP BY k),
+t AS (SELECT k, coalesce(list_sort(list(DISTINCT t) FILTER (regexp_full_match(t, '[0-9]+') OR t IN {tuple(SELECTORS)})), []) AS sel,
+      coalesce(list(DISTINCT t) FILTER (NOT regexp_full_match(t, '[0-9]+') AND length(t) > 1 AND t NOT IN {tuple(SELECTORS)} AND t NOT IN {_FILLER}), []) AS word FROM w GROUP BY k),
 n AS (SELECT p_partkey AS k, {_WORDS.format("p_name")} AS name, p_size AS day, sel, word FROM part JOIN t ON k = p_partkey),
 m AS (SELECT a.k AS a, b.k AS b, abs(a.day - b.day) AS days, len(list_intersect(a.word, b.word)) AS i, len(list_distinct(list_concat(a.word, b.word))) AS u,
       CASE WHEN list_sort(a.name) = list_sort(b.name) THEN 100 WHEN list_has_all(a.name, b.name) OR list_has_all(b.name, a.name) THEN 85 ELSE 0 END AS e
