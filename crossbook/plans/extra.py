@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,12 +11,12 @@ from crossbook.functions.economics import maker_rebate_ticks
 from crossbook.operators import books, depth, detector, replay, report, resolution
 from crossbook.operators.scratch import folder
 from crossbook.plans.markets import _WORDS, _log
-from crossbook.plans.queries import _TOKENS, QUOTES, _quotes, ladders, table
-from crossbook.plans.wire import _BOOK, _WALKED, _pairs, book_rows
+from crossbook.plans.queries import _TOKENS, FEE, QUOTES, _quotes, ladders, table
+from crossbook.plans.wire import _BOOK, _CANDIDATES, _WALKED, _candidates, _pairs, book_rows
 from crossbook.sources import logs, pages
 from crossbook.sources.upsert import UpsertTable
 from crossbook.streaming import books as book_streams
-from crossbook.streaming import throttle
+from crossbook.streaming import live, throttle
 
 FEES = {"x": 7, "y": 5, "z": 2}
 
@@ -231,9 +230,54 @@ def upserted_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read()
 
 
+def live_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pair's latest record of the live path over the events' table as a stream of updates of forty pairs' legs."""
+    book_streams.state_store(spark)
+    k = F.col("event_id")
+    pair = F.floor(k / 4) % 40
+    side = lambda price: F.array(F.struct((price / 10000).alias("price"), (k % 5 + 1).cast("double").alias("size")))
+    events = spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque*")
+    updates = events.select(
+        F.concat(F.when(k % 2 == 0, "a:").otherwise("b:"), pair.cast("string")).alias("id"), ((k + 1) * 1_000_000).alias("us"),
+        side(3000 + k * 7 % 4001).alias("yes_depth"), side(3000 + k * 11 % 4001).alias("no_depth"),
+    )
+    text = F.col("id").cast("string")
+    candidates = spark.range(40).select(
+        F.concat(F.lit("a:"), text).alias("a_id"), F.concat(F.lit("b:"), text).alias("b_id"), F.lit("q").alias("a_question"), F.lit("structured").alias("method"),
+        F.lit(None).cast("boolean").alias("resolution_match"),
+    )
+    out = _new_folder(spark, "live")
+    sinks = live.live_sinks(f"{out}/log", f"{out}/latest", f"{out}/last")
+    met = live.met(book_streams.timed(updates), candidates, idle_seconds=10**9)
+    met.writeStream.foreachBatch(sinks).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    ticks = lambda c: F.round(F.col(c) * 10000).cast("long").alias(c)
+    rows = live.latest_table(spark, f"{out}/latest").read()
+    return rows.select("a_id", "b_id", F.unix_micros(F.to_timestamp("timestamp")).alias("us"), "strategy", "size", ticks("yes_top"), ticks("no_top"), ticks("net"))
+
+
+def trusted_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates written as one JSON array in parts, and read again: games and outrights only."""
+    out = _new_folder(spark, "candidates")
+    logs.write_candidates(_candidates(spark, sf_dir), out)
+    rows = logs.read_candidates(spark, out, trusted=True, by_line=True)
+    return rows.select("a_id", "b_id", F.round(F.col("score") * 1000).cast("long").alias("score"), "method")
+
+
+def logged_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows appended to a log in two goes, and read again; the pairs that it tracks are counted."""
+    out = _new_folder(spark, "log")
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.lit("a:"), (k % 400).cast("string")).alias("a_id"), F.concat(F.lit("b:"), (k % 300).cast("string")).alias("b_id"), (k % 7).alias("size"), F.lit("t").alias("timestamp"))
+    logs.append_log(rows.filter("size < 3"), out)
+    logs.append_log(rows.filter("size >= 3"), out)
+    counts = logs.read_log(spark, out).groupBy("a_id", "b_id").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    return counts.join(logs.read_tracked(spark, out), ["a_id", "b_id"])
+
+
 QUERIES = {f.__name__: f for f in (
     pages_by_offset, book_lookup, known_messages, book_replies, first_books, fresh_opportunities, identified_books, both_venues, pair_keys, review_rows, fees_by_venue,
     maker_rebates, accented_names, aligned_games, question_jaccard, report_rates, throttle_long, last_books, streamed_books, upserted_latest,
+    live_latest, trusted_candidates, logged_rows,
 )}
 
 _FEE = "(({c}) * {p} * (10000 - {p}) // 1000000 + CASE WHEN 2 * (({c}) * {p} * (10000 - {p}) % 1000000) > 1000000 OR (2 * (({c}) * {p} * (10000 - {p}) % 1000000) = 1000000 AND (({c}) * {p} * (10000 - {p}) // 1000000) % 2 = 1) THEN 1 ELSE 0 END)"
@@ -332,5 +376,16 @@ SELECT conn, CAST(t AS VARCHAR) AS ticker, left(e.key, length(e.key) - 1) AS sid
     "streamed_books": f"""WITH RECURSIVE {_MESSAGES}
 SELECT conn, CAST(t AS VARCHAR) AS ticker, k AS ord, len(list_filter(map_entries(b), lambda e: e.key[1] = 'y')) AS yes_levels, CAST(coalesce(list_sum(list_transform(list_filter(map_entries(b), lambda e: e.key[1] = 'y'), lambda e: e.value)), 0) AS BIGINT) AS yes_size,
   len(list_filter(map_entries(b), lambda e: e.key[1] = 'n')) AS no_levels, CAST(coalesce(list_sum(list_transform(list_filter(map_entries(b), lambda e: e.key[1] = 'n'), lambda e: e.value)), 0) AS BIGINT) AS no_size FROM w""",
+    # of each update, the newest books of both legs, if they are two seconds old or less; both directions of books with one level
+    "live_latest": f"""WITH u AS (SELECT (event_id + 1) * 1000000 AS us, event_id // 4 % 40 AS p, event_id % 2 AS leg, 3000 + event_id * 7 % 4001 AS y, 3000 + event_id * 11 % 4001 AS n, event_id % 5 + 1 AS q FROM events),
+m AS (SELECT p, us, {", ".join(f"last_value(CASE WHEN leg = {leg} THEN {c} END IGNORE NULLS) OVER w AS {s}_{c}" for leg, s in enumerate("ab") for c in ("us", "y", "n", "q"))}
+  FROM u WINDOW w AS (PARTITION BY p ORDER BY us ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT * FROM m WHERE us - a_us <= 2000000 AND us - b_us <= 2000000),
+d AS (SELECT p, us, 0 AS direction, a_y AS py, b_n AS pn, least(a_q, b_q) AS q FROM f UNION ALL SELECT p, us, 1, b_y, a_n, least(a_q, b_q) FROM f),
+c AS (SELECT *, 10000 - py - pn - {FEE.format(c="(CASE direction WHEN 0 THEN 7 ELSE 5 END)", p="py")} - {FEE.format(c="(CASE direction WHEN 0 THEN 5 ELSE 7 END)", p="pn")} AS net FROM d),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p ORDER BY us DESC, net DESC, direction) = 1)
+SELECT 'a:' || p AS a_id, 'b:' || p AS b_id, us, CASE direction WHEN 0 THEN 'YES_A_NO_B' ELSE 'YES_B_NO_A' END AS strategy, CASE WHEN net > 100 THEN q ELSE 0 END AS size, py AS yes_top, pn AS no_top, CAST(net AS BIGINT) AS net FROM b""",
+    "trusted_candidates": f"WITH {_CANDIDATES} SELECT a_id, b_id, CAST(score AS BIGINT) AS score, method FROM c WHERE method <> 'lexical'",
+    "logged_rows": "SELECT 'a:' || o_orderkey % 400 AS a_id, 'b:' || o_orderkey % 300 AS b_id, count(*) AS n, CAST(sum(o_orderkey % 7) AS BIGINT) AS size FROM orders GROUP BY ALL",
     "upserted_latest": f"WITH {QUOTES} SELECT user_id, us, event_id, ask FROM quotes QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY us DESC, event_id DESC) = 1",
 }
