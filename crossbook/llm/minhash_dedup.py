@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossbook.llm._common import narrowed, stored, text_of
+from crossbook.llm._common import narrowed, stored, text_of, tidy
 
 WIDTH, BANDS, ROWS, BATCH, MISS = 5, 32, 4, 32, 1e-6
 #: Classes of a part of a bucket; open pairs for each member up to which they are all verified.
@@ -214,7 +214,7 @@ def _both(pairs: DataFrame, table: DataFrame, col: str) -> DataFrame:
 
 def _pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     sized = _both(_both(pairs, classes, "n").filter(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b"), classes, "sig")
-    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(_pruner(percent / 100), "a long, b long, matches int")
+    return sized.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(_pruner(percent / 100)), "a long, b long, matches int")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -222,7 +222,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: in
     ids = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = stored(classes.select("cid", "lo", "hi", "rep").join(ids, "cid", "left_semi"), "wanted")
     texts = narrowed(rows, stored(wanted.select(F.col("rep").alias("doc_id")).distinct(), "wanted-ids")).select("text")
-    sets = stored(texts.mapInArrow(_sets, "lo long, hi long, set array<long>").join(wanted, ["lo", "hi"]).dropDuplicates(["cid"]).select("cid", "set"), "sets")
+    sets = stored(texts.mapInArrow(tidy(_sets), "lo long, hi long, set array<long>").join(wanted, ["lo", "hi"]).dropDuplicates(["cid"]).select("cid", "set"), "sets")
     met = _both(pairs, sets, "set").withColumn("both", F.size(F.array_intersect("set_a", "set_b")))
     return met.filter(F.col("both") * 100 >= (F.size("set_a") + F.size("set_b") - F.col("both")) * percent).select("a", "b")
 
@@ -263,7 +263,7 @@ def _may_link(rooted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 def near_dedup(docs: DataFrame, *, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, key (xxhash64 of the text; with doc_id it names the row)."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    signed = stored(rows.withColumn("key", F.xxhash64("text")).mapInArrow(_signed, "doc_id long, key long, n long, lo long, hi long, sig binary, bands array<long>, mask array<long>"), "signed")
+    signed = stored(rows.withColumn("key", F.xxhash64("text")).mapInArrow(tidy(_signed), "doc_id long, key long, n long, lo long, hi long, sig binary, bands array<long>, mask array<long>"), "signed")
     classes = signed.filter("n > 0").groupBy("lo", "hi").agg(
         F.min("doc_id").alias("rep"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("bands").alias("bands"),
         F.any_value("mask").alias("mask"),

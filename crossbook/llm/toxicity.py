@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from crossbook.llm._common import stored, text_of
+from crossbook.llm._common import stored, text_of, tidy
 
 #: Labelled documents that are trained on, at most, and characters of each class.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2000, 4000, 16_000_000
@@ -307,7 +307,7 @@ def scored(docs: DataFrame, labels: DataFrame, *, max_toxic: int = MAX_TOXIC, ma
     """One row for each document: doc_id, key, score (0 to 1). key is xxhash64 of the text: with doc_id it names the row."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(train(*sample(rows, labels, max_toxic, max_clean, max_chars)))
-    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(_score(sent), "doc_id long, key long, score double")
+    return rows.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(tidy(_score(sent)), "doc_id long, key long, score double")
 
 
 def toxicity(
