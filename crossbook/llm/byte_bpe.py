@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from crossbook.llm._common import text_of
 
-#: Words and pieces whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 900_000
+#: Pieces, and words, whose ids a worker remembers before it forgets those that haven't come since it last did so:
+#: frequent words stay, and a worker, which goes on to the next stages, holds twice as many at most.
+REMEMBERED = 150_000
 #: White space other than spaces and line feeds.
 _RARE_SPACE = re.compile(r"[^\S \n]").search
 
@@ -210,6 +211,7 @@ class Codec:
         self.pairs, self.split, self.space_leads = BytePairs(ranks), regex.compile(pattern).findall, space_leads
         self._pieces: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        self._older: list[dict[str, bytes]] = [{}, {}]
 
     def piece(self, text: str) -> list[int]:
         data = text.encode()
@@ -220,7 +222,8 @@ class Codec:
         known, out = self._pieces, []
         for p in self.split(text):
             if (ids := known.get(p)) is None:
-                ids = np.asarray(self.piece(p), "<u4").tobytes()
+                if (ids := self._older[0].get(p)) is None:
+                    ids = np.asarray(self.piece(p), "<u4").tobytes()
                 if len(p) <= 64:
                     known[p] = ids
             out.append(ids)
@@ -228,9 +231,10 @@ class Codec:
 
     def packed(self, text: str) -> bytes:
         """All ids of the text as little-endian 32-bit integers."""
-        if len(self._pieces) + len(self._words) > REMEMBERED:
-            self._pieces.clear()
-            self._words.clear()
+        if len(self._pieces) > REMEMBERED:
+            self._older[0], self._pieces = self._pieces, {}
+        if len(self._words) > REMEMBERED:
+            self._older[1], self._words = self._words, {}
         if not self.space_leads or _uneven(text):
             return self._joined(text)
         first, *words = text.split(" ")
@@ -239,7 +243,8 @@ class Codec:
             return self._joined(first) + b"".join(map(known.__getitem__, words))
         except KeyError:
             for w in set(words).difference(known):
-                known[w] = self._joined(" " + w)
+                ids = self._older[1].get(w)
+                known[w] = self._joined(" " + w) if ids is None else ids
             return self._joined(first) + b"".join(map(known.__getitem__, words))
 
     def encode(self, text: str) -> list[int]:
