@@ -154,7 +154,7 @@ def live_sinks(
     table of when and at which edge each pair was logged. Both tables rewrite the buckets of the batch's pairs only."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+        spark, batch = batch.sparkSession, batch.persist()  # so that the stateful steps run once
         rows = evaluated(batch, max_seconds).withColumn("ts", F.timestamp_micros("us")).withColumn("edge", F.round(F.col("raw_top") * 10000).cast("long")).persist()
         logged = UpsertTable(spark, last, _LAST, PAIR)
         taken = throttle.logged(rows, logged.touched(rows, number))
@@ -167,6 +167,6 @@ def live_sinks(
         logged.merge(now, number, lambda both: both.groupBy(*PAIR).agg(F.max_by(F.struct("last_us", "last_edge"), "last_us").alias("x")).select(*PAIR, "x.*"))
         if counters:
             counters.add(seen.get)
-        rows.unpersist(), kept.unpersist()
+        rows.unpersist(), kept.unpersist(), batch.unpersist()
 
     return write
