@@ -3,6 +3,14 @@
 Each stage reads all that the one before kept. A row is named by its id and its
 text's hash, so null ids and repeated rows go through every stage; rows that are
 the same in both share their fate.
+
+Defined results: null and empty texts are no copies of a row with words, no leaks and
+not toxic, and of several one stays; empty tables give an empty result, and without
+labels or items nothing is toxic or leaked; texts of any length go through whole; other
+columns of documents go along to the last stage, whatever their names, and a column
+``key`` of theirs is not the hash. ``spark.checkpoint.dir`` must be a folder that all
+executors share; workers need this package on their path (on a cluster, ship it as for
+any PySpark job, for example with ``--py-files``).
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossbook.llm import byte_bpe, decontamination, exact_dedup, minhash_dedup, toxicity
-from crossbook.llm._common import narrowed, stored, workers_find_package
+from crossbook.llm._common import give_back, narrowed, stored, workers_find_package
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -21,7 +29,9 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxicity.scored(docs, labels).filter(F.col("score") >= toxicity.THRESHOLD))
+    scored = toxicity.scored(docs, labels)
+    give_back()  # what training took in the driver
+    return _without(docs, scored.filter(F.col("score") >= toxicity.THRESHOLD))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +59,7 @@ STAGES = [
     ("byte-level BPE", encode),
 ]
 
-#: SQL has neither the classifier nor the tokenizer; tests/llm holds run() against brute force.
+#: SQL has neither the classifier nor the tokenizer; tests/llm/test_bounds.py holds run() against brute force.
 ORACLE_SQL = None
 
 
