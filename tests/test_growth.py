@@ -85,3 +85,18 @@ def test_games_of_the_same_names_meet_once(spark, ranked):
     got = {(r.a_id, r.b_id) for r in resolution.match_games(a, b).collect()}
     assert got == {(f"a:H{k}-0", f"b:h{k}") for k in range(40)}  # forty equal games can't be told apart
     assert ranked == [80]
+
+
+def test_outrights_that_are_alike_are_ranked_once(spark, ranked):
+    def side(s, rows):
+        table = spark.createDataFrame([(f"{s}:{n}", *r, n) for n, r in enumerate(rows)], "id string, who string, what string, ord long")
+        futures = F.struct(F.col("who").alias("entity"), F.col("what").alias("competition"))
+        return table.select("id", F.lit("q").alias("question"), F.timestamp_micros(F.lit(0)).alias("resolution"), futures.alias("futures"), "ord")
+
+    a = side("a", [("Kim Vale", "Lake Open")] * 30 + [("Tom Orn", "Lake Open")] * 30 + [(f"Club p{k}", "Hill Cup") for k in range(30)])
+    b = side("b", [("Kim Vale", "Lake Open")] * 30 + [("Orn Tom", "Lake Open")] + [(f"Club p{k} Jr", "Hill Cup") for k in range(30)])
+    got = {(r.a_id, r.b_id, r.score) for r in resolution.match_outrights(a, b).collect()}
+    assert got == {(f"a:{30 + k}", "b:30", 1.0) for k in range(30)} | {(f"a:{60 + k}", f"b:{31 + k}", 0.85) for k in range(30)}
+    assert ranked == [32]
+    # Without a limit on names, markets meet by their tokens.
+    assert resolution.match_outrights(a, b, entity_min=0.0).count() == 60
