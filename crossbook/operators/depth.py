@@ -20,6 +20,8 @@ from crossbook.functions.economics import BUFFER, CAP, fee_coefficient, fee_tick
 
 #: What a hedge of n contracts costs: prices and fees of both legs.
 TOTALS = ("py", "pn", "fy", "fn")
+#: Levels that one task takes, about: the sorts of ``hedges`` need some 600 bytes for each.
+TASK_ROWS = 250_000
 
 
 def asks_from_bids(ladder: DataFrame) -> DataFrame:
@@ -28,12 +30,22 @@ def asks_from_bids(ladder: DataFrame) -> DataFrame:
     return ladder.select("key", other.alias("side"), (10000 - F.col("price")).alias("price"), "size")
 
 
+def dealt(ladder: DataFrame, keys: list[str], rows: int | None = None) -> DataFrame:
+    """The ladder dealt by keys to as many tasks as its size asks for, so that one task's share stays the same.
+
+    ``rows``: about how many levels it has; they are counted if it isn't given, which for a table's columns reads no data.
+    """
+    tasks = -(-(ladder.count() if rows is None else rows) // TASK_ROWS)
+    # A number that is given isn't made smaller by adaptive execution, which goes by compressed bytes.
+    return ladder.repartition(max(tasks, ladder.sparkSession.sparkContext.defaultParallelism), *keys) if tasks > 1 else ladder.repartition(*keys)
+
+
 def average_fill(ladder: DataFrame, keys: list[str], shares: int) -> DataFrame:
     """The average price in ticks of a number of shares, cheapest levels first, fractions of a share included.
 
     Null for no shares and without enough depth.
     """
-    levels = ladder.repartition(*keys).groupBy(*keys, "price").agg(F.sum("size").alias("size"))
+    levels = dealt(ladder, keys).groupBy(*keys, "price").agg(F.sum("size").alias("size"))
     before = F.coalesce(F.sum("size").over(W.partitionBy(*keys).orderBy("price").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     taken = levels.withColumn("take", F.least("size", F.greatest(F.lit(float(shares)) - before, F.lit(0.0))))
     sums = taken.groupBy(*keys).agg(F.sum(F.col("take") * F.col("price")).alias("cost"), F.sum("size").alias("depth"))
@@ -41,14 +53,16 @@ def average_fill(ladder: DataFrame, keys: list[str], shares: int) -> DataFrame:
     return sums.select(*keys, F.when(enough, F.col("cost") / max(shares, 1)).alias("average"))
 
 
-def hedges(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column, buffer: int = BUFFER, cap: int = CAP, deal: list[str] | None = None) -> DataFrame:
+def hedges(
+    ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee: Column, buffer: int = BUFFER, cap: int = CAP, deal: list[str] | None = None, rows: int | None = None,
+) -> DataFrame:
     """Of each key: yes_best and no_best, the best prices of either side; size, the largest number of whole contracts whose average
     costs and fees clear the buffer, null without one; total_py, total_pn, total_fy, total_fn, its prices and fees.
 
-    Sizes count up to ``cap``; fractions of each level are left out. ``deal``: the keys to deal by, if not all.
+    Sizes count up to ``cap``; fractions of each level are left out. ``deal``: the keys to deal by, if not all; ``rows`` as in ``dealt``.
     """
-    priced = ladder.filter("price is not null and side is not null and size is not null")
-    levels = priced.repartition(*(deal or keys)).groupBy(*keys, "side", "price").agg(F.sum(F.floor("size")).cast("long").alias("units"))
+    priced = dealt(ladder, deal or keys, rows).filter("price is not null and side is not null and size is not null")
+    levels = priced.groupBy(*keys, "side", "price").agg(F.sum(F.floor("size")).cast("long").alias("units"))
     side_order = W.partitionBy(*keys, "side").orderBy("price").rowsBetween(W.unboundedPreceding, 0)
     ends = levels.withColumn("hi", F.sum("units").over(side_order)).withColumn("whole", F.when(F.col("units") > 0, F.col("price")))
     # Every end of a level ends a segment; the level that covers it is the first of its side from there on.
@@ -77,7 +91,7 @@ def largest_viable(ladder: DataFrame, keys: list[str], yes_fee: Column, no_fee:
     return hedges(ladder, keys, yes_fee, no_fee, buffer, cap).filter("size is not null").drop("yes_best", "no_best")
 
 
-def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int, fees: dict[str, int] | None = None) -> DataFrame:
+def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int, fees: dict[str, int] | None = None, rows: int | None = None) -> DataFrame:
     """Hedges of both directions of each pair: direction 0 buys YES at a and NO at b, 1 the other way.
 
     A ladder with a_platform and b_platform, one value each for a key, has their fees; without them they are a and b.
@@ -87,7 +101,7 @@ def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int, fees:
     named = [c for c in ("a_platform", "b_platform") if c in ladder.columns]
     at_a, at_b = (fee_coefficient(F.col(c) if c in named else F.lit(c[0]), fees) for c in ("a_platform", "b_platform"))
     yes_fee, no_fee = F.when(straight, at_a).otherwise(at_b), F.when(straight, at_b).otherwise(at_a)
-    found = hedges(turned, [*keys, *named, "direction"], yes_fee, no_fee, buffer, cap, deal=keys).filter("yes_best is not null and no_best is not null")
+    found = hedges(turned, [*keys, *named, "direction"], yes_fee, no_fee, buffer, cap, deal=keys, rows=rows).filter("yes_best is not null and no_best is not null")
     # Without a viable size, one contract on top of the book.
     tops = {"py": F.col("yes_best"), "pn": F.col("no_best"), "fy": fee_ticks(yes_fee, F.col("yes_best")), "fn": fee_ticks(no_fee, F.col("no_best"))}
     totals = {f"total_{c}": F.coalesce(F.col(f"total_{c}"), tops[c]) for c in TOTALS}
@@ -101,12 +115,13 @@ def _both_ways(ladder: DataFrame, keys: list[str], buffer: int, cap: int, fees:
     return out.withColumn("raw_depth", 1 - F.col("yes_fill") - F.col("no_fill")).withColumn("net", F.col("raw_depth") - F.col("yes_fee") - F.col("no_fee"))
 
 
-def detect(ladder: DataFrame, keys: list[str] | None = None, buffer: int = BUFFER, cap: int = CAP, fees: dict[str, int] | None = None) -> DataFrame:
+def detect(ladder: DataFrame, keys: list[str] | None = None, buffer: int = BUFFER, cap: int = CAP, fees: dict[str, int] | None = None, rows: int | None = None) -> DataFrame:
     """The viable directions of each pair, none to two: keys, direction, size, tops, fills, fees and spreads.
 
     ``fees``: coefficients by platform, of those that the ladder's a_platform and b_platform name; another one is an error.
+    ``rows`` as in ``dealt``.
     """
-    return _both_ways(ladder, keys or ["key"], buffer, cap, fees).filter("size > 0")
+    return _both_ways(ladder, keys or ["key"], buffer, cap, fees, rows).filter("size > 0")
 
 
 def evaluate(

@@ -125,17 +125,20 @@ def extreme_edges(found: DataFrame, n: int = 8, above: int = 1000) -> DataFrame:
     return found.orderBy(F.desc("edge"), *PAIR).limit(n).filter(F.col("edge") > above)
 
 
-def opportunities(pairs: DataFrame, now_us: int | None = None, max_seconds: float = 0.0, fees: dict[str, int] | None = None) -> DataFrame:
+def opportunities(
+    pairs: DataFrame, now_us: int | None = None, max_seconds: float = 0.0, fees: dict[str, int] | None = None, rows: int | None = None,
+) -> DataFrame:
     """The viable directions of each pair; with ``now_us``, of pairs with two books no older than ``max_seconds``.
 
     With ``fees``, a leg's fee is that of the venue in its id; one that isn't named is an error.
+    ``rows``: about how many levels all books of the pairs have; without it they are counted, which joins the pairs twice.
     """
     if now_us is not None:
         pairs = pairs.filter(depth.fresh(F.lit(now_us), F.col("a_book.updated_us"), F.col("b_book.updated_us"), max_seconds))
     ladder = ladders(pairs)
     if fees is not None:
         ladder = ladder.withColumns({f"{s}_platform": venue_of(F.col(f"{s}_id")) for s in "ab"})
-    return depth.detect(ladder, PAIR, fees=fees)
+    return depth.detect(ladder, PAIR, fees=fees, rows=rows)
 
 
 def best_opportunities(found: DataFrame, n: int = 12) -> DataFrame:

@@ -12,7 +12,7 @@ from crossbook.operators import books, depth, detector, replay, report, resoluti
 from crossbook.operators.scratch import folder
 from crossbook.plans.markets import _WORDS, _log
 from crossbook.plans.queries import _TOKENS, FEE, QUOTES, _quotes, ladders, table
-from crossbook.plans.wire import _BOOK, _CANDIDATES, _WALKED, _candidates, _pairs, book_rows
+from crossbook.plans.wire import _BOOK, _CANDIDATES, _WALKED, _candidates, _pair_levels, _pairs, book_rows
 from crossbook.sources import logs, pages
 from crossbook.sources.upsert import UpsertTable
 from crossbook.streaming import books as book_streams
@@ -70,7 +70,7 @@ def fresh_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda s: F.substring_index(f"{s}_id", ":", -1).cast("long")
     book = lambda s, old: F.col(f"{s}_book").withField("updated_us", F.lit(100_000_000) - old * 1_000_000)
     aged = _pairs(spark, sf_dir).withColumns({"a_book": book("a", key("a") % 10), "b_book": book("b", key("b") % 4)})
-    return detector.opportunities(aged, now_us=100_000_000, max_seconds=2.0).select("a_id", "b_id", F.col("direction").cast("long").alias("direction"), "size")
+    return detector.opportunities(aged, now_us=100_000_000, max_seconds=2.0, rows=_pair_levels(spark, sf_dir)).select("a_id", "b_id", F.col("direction").cast("long").alias("direction"), "size")
 
 
 def identified_books(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from crossbook.operators import resolution
+from crossbook.operators import depth, resolution
 
 
 @pytest.fixture(scope="module")
@@ -100,3 +100,15 @@ def test_outrights_that_are_alike_are_ranked_once(spark, ranked):
     assert ranked == [32]
     # Without a limit on names, markets meet by their tokens.
     assert resolution.match_outrights(a, b, entity_min=0.0).count() == 60
+
+
+def test_a_task_takes_no_more_of_a_larger_ladder(spark, monkeypatch):
+    monkeypatch.setattr(depth, "TASK_ROWS", 500)
+    side = F.when(F.col("id") % 2 == 0, "YES").otherwise("NO")
+    ladder = lambda n: spark.range(n).select((F.col("id") % (n // 10)).alias("key"), side.alias("side"), (4000 + F.col("id") % 7).alias("price"), F.lit(5.0).alias("size"))
+    for n in (5_000, 20_000):
+        for dealt in (depth.average_fill(ladder(n), ["key", "side"], 3), depth.hedges(ladder(n), ["key"], F.lit(7), F.lit(5))):
+            tasks = dealt.groupBy(F.spark_partition_id()).agg(F.countDistinct("key").alias("n"))
+            assert tasks.count() > 0.9 * n / 500 and tasks.agg(F.max("n")).first()[0] <= 250
+    told = depth.hedges(ladder(5_000), ["key"], F.lit(7), F.lit(5), rows=20_000)
+    assert told.select(F.spark_partition_id()).distinct().count() > 30
