@@ -1,6 +1,7 @@
 """What grows with copies and with size: rows that meet, rows of one task."""
 
 import random
+import time
 from itertools import product
 
 import pytest
@@ -112,3 +113,21 @@ def test_a_task_takes_no_more_of_a_larger_ladder(spark, monkeypatch):
             assert tasks.count() > 0.9 * n / 500 and tasks.agg(F.max("n")).first()[0] <= 250
     told = depth.hedges(ladder(5_000), ["key"], F.lit(7), F.lit(5), rows=20_000)
     assert told.select(F.spark_partition_id()).distinct().count() > 30
+
+
+def test_folding_long_texts(spark):
+    """Letters that stay one sign or go cost no look through all those that become several."""
+    text = F.concat(F.repeat(F.lit("é plain text ñ и "), 20_000), F.col("id").cast("string"), F.lit(" ½…ﬁ½"))
+    rows = spark.range(8).repartition(4).select(text.alias("text")).cache()
+    assert {r[0] for r in rows.select(F.right(resolution.unaccented(F.col("text")), F.lit(12))).collect()} == {f"  {i} 12...fi12"[-12:] for i in range(8)} and rows.count() == 8
+
+    def seconds(column):
+        took = []
+        for _ in range(3):
+            began = time.time()
+            rows.select(F.max(F.length(column))).collect()
+            took.append(time.time() - began)
+        return min(took)
+
+    assert seconds(resolution.unaccented(F.col("text"))) < 15 * seconds(F.regexp_replace("text", "[^a-z]", ""))
+    rows.unpersist()
