@@ -131,3 +131,15 @@ def test_folding_long_texts(spark):
 
     assert seconds(resolution.unaccented(F.col("text"))) < 15 * seconds(F.regexp_replace("text", "[^a-z]", ""))
     rows.unpersist()
+
+
+def test_questions_are_not_sent_to_the_driver(spark):
+    text = F.concat(F.lit("rain "), F.col("id").cast("string"))
+    rows = spark.range(20).select(
+        F.col("id").cast("string").alias("id"), text.alias("question"), F.array(text).alias("aliases"), F.timestamp_micros(F.lit(0)).alias("resolution"), F.lit(None).cast("string").alias("event"),
+        F.lit(None).cast("string").alias("futures"), F.col("id").alias("ord"),
+    )
+    found = resolution.question_pairs(rows, rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [a_key" in plan and "SortMergeJoin [b_key" in plan
+    assert found.filter("a_id = b_id").count() == 40  # the question and its alias
