@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from crossbook.operators import depth, resolution
+from crossbook.streaming import throttle
 
 
 @pytest.fixture(scope="module")
@@ -152,3 +153,26 @@ def test_questions_are_not_sent_to_the_driver(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [a_key" in plan and "SortMergeJoin [b_key" in plan
     assert found.filter("a_id = b_id").count() == 40  # the question and its alias
+
+
+@pytest.mark.parametrize("run_rows", [3, 40, 100_000])
+def test_throttle_goes_from_run_to_run(spark, monkeypatch, run_rows):
+    """Not every row of a long pair is doubled: what is kept between rounds is little, and there are few rounds."""
+    rng, us, rows = random.Random(run_rows), 1, []
+    for k in range(1500):
+        us += rng.choice([0, 0, 500_000, 7_000_000, 29_000_000, 30_000_000, 31_000_000, *([400_000_000_000] if k % 300 == 0 else [])])
+        rows.append(("a:long", "b", us, rng.choice([0, 0, 0, 5, 6]), rng.randint(1, 3), rng.choice(["structured", "structured", "lexical", None])))
+    rows += [("a:tied", "b", 9, rng.choice([0, 1]), rng.randint(1, 3), rng.choice(["structured", None])) for _ in range(300)]
+    table = spark.createDataFrame(rows, throttle.SCHEMA)
+    kept, cut = [], throttle.cut
+
+    def counted(df):
+        out = cut(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(throttle, "cut", counted)
+    want = sorted(map(repr, throttle.logged(table).collect()))
+    assert sorted(map(repr, throttle.logged_by_doubling(table, run_rows).collect())) == want and len(want) > 100
+    if run_rows > 1000:
+        assert sum(kept[1:]) < 100 and len(kept) < 8
