@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ _MET = "a_id string, b_id string, n long, us long, question string, method strin
 _LAST = "a_id string, b_id string, last_us long, last_edge long"
 #: Candidates that go to every executor, at most; more of them are dealt with the updates.
 SENT_CANDIDATES = 1_000_000
+_PART_ROWS = 20_000  # of what a pair's state gives in one go
 
 
 class _Legs(Expiring):
@@ -54,23 +56,28 @@ class _Legs(Expiring):
             state.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        frame = pd.concat(list(rows)).sort_values(["us", "leg"], kind="stable")
-        met, now, out = self.met.get(), {leg: state.get() for leg, state in self.books.items()}, []
-        n, changed = met[0] if met else 0, set()
-        for leg, us, book, *candidate in zip(*(frame[c] for c in ("leg", "us", "book", "question", "method", "resolution_match")), strict=True):
-            if now[leg] and us < now[leg][0]:
-                continue
-            now[leg] = (int(us), book)
-            changed.add(leg)
-            n += 1
-            if now["a"] and now["b"]:
-                out.append((*key, n, int(us), *candidate, now["a"][1], now["b"][1]))
-        for leg in changed:
-            self.books[leg].update(now[leg])
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["us", "leg"], kind="stable")
+        met, now = self.met.get(), {leg: state.get() for leg, state in self.books.items()}
+        first, last = int(frame["us"].iloc[0]), int(frame["us"].iloc[-1])
+        for leg, before in now.items():
+            if before:
+                frame = frame[(frame["leg"] != leg) | (frame["us"] >= before[0])]
+        us, book, n = frame["us"].to_numpy(), frame["book"].to_numpy(dtype=object), met[0] if met else 0
+        out = {**dict(zip(PAIR, key, strict=True)), "n": np.arange(n + 1, n + 1 + len(us)), **{c: frame[c].to_numpy() for c in ("us", "question", "method", "resolution_match")}}
+        both = np.full(len(us), True)
+        for leg, before in now.items():
+            # The leg's newest update at each row: its place, or -1 for the book of before.
+            at = np.maximum.accumulate(np.where((frame["leg"] == leg).to_numpy(), np.arange(len(us)), -1))
+            both &= (at >= 0) | bool(before)
+            out[leg] = np.append(book, np.array([before[1] if before else None], dtype=object))[at]
+            if len(at) and at[-1] >= 0:
+                self.books[leg].update((int(us[at[-1]]), book[at[-1]]))
         if not met:
-            self.handle.registerTimer(int(frame["us"].iloc[0]) // 1000 + self.idle_ms)
-        self.met.update((n, max(int(frame["us"].max()), met[1] if met else 0)))
-        yield pd.DataFrame(out, columns=[c.split(" ")[0] for c in _MET.split(", ")])
+            self.handle.registerTimer(first // 1000 + self.idle_ms)
+        self.met.update((n + len(us), max(last, met[1] if met else 0)))
+        table = pd.DataFrame(out, columns=[c.split(" ")[0] for c in _MET.split(", ")])[both]
+        for i in range(0, max(len(table), 1), _PART_ROWS):
+            yield table.iloc[i : i + _PART_ROWS]
 
 
 def venue_updates(
@@ -105,12 +112,15 @@ def met(updates: DataFrame, candidates: DataFrame, *, idle_seconds: int = IDLE_S
 
 def evaluated(rows: DataFrame, max_seconds: float = STALE_SECONDS) -> DataFrame:
     """Evaluations of ``met`` rows that have no leg older than the limit at the time of the update."""
-    keys = [*PAIR, "n"]
-    books = rows.select(*keys, "us", *[F.from_json(s, _BOOK).alias(f"{s}_book") for s in "ab"])
+    # A number comes first, since texts that begin alike take long to compare.
+    keys, rows = ["_key", *PAIR, "n"], rows.withColumn("_key", F.xxhash64(*PAIR, "n"))
+    # As an array's element, the books are read once, not for the filter as well.
+    books = F.array(F.struct(*[F.from_json(s, _BOOK).alias(f"{s}_book") for s in "ab"]))
+    books = rows.select(*keys, "us", F.explode(books).alias("x")).select(*keys, "us", "x.*")
     books = books.filter(depth.fresh(F.col("us"), F.col("a_book.updated_us"), F.col("b_book.updated_us"), max_seconds))
     ladder = detector.levels(books, keys)
     out = depth.evaluate(ladder, require_edge=False, keys=keys)
-    return out.join(rows.drop("a", "b"), keys)
+    return out.join(rows.drop("a", "b"), keys).drop("_key")
 
 
 def latest_table(spark: SparkSession, path: str) -> UpsertTable:
@@ -156,17 +166,21 @@ def live_sinks(
     def write(batch: DataFrame, number: int) -> None:
         spark, batch = batch.sparkSession, batch.persist()  # so that the stateful steps run once
         rows = evaluated(batch, max_seconds).withColumn("ts", F.timestamp_micros("us")).withColumn("edge", F.round(F.col("raw_top") * 10000).cast("long")).persist()
+        ends = rows.groupBy(*PAIR).agg(F.max("us").alias("us")).persist()
         logged = UpsertTable(spark, last, _LAST, PAIR)
-        taken = throttle.logged(rows, logged.touched(rows, number))
+        taken = throttle.logged(rows, logged.touched(ends, number))
         seen = Observation()
         kept = rows.join(taken.select(*PAIR, "us", "n"), [*PAIR, "us", "n"], "left_semi")
         kept = kept.observe(seen, F.count(F.lit(1)).alias("samples"), F.count_if(F.col("size") > 0).alias("windows")).persist()
         logs.records(kept, names).write.mode("overwrite").json(f"{log}/batch={number}")
-        latest_table(spark, latest).merge(logs.records(rows, names), number, logs.latest_records)
+        # Only evaluations of a pair's last moment can be its latest record.
+        few = ends.limit(SENT_CANDIDATES + 1).count() <= SENT_CANDIDATES
+        newest = rows.join(F.broadcast(ends) if few else ends, [*PAIR, "us"], "left_semi")
+        latest_table(spark, latest).merge(logs.records(newest, names), number, logs.latest_records)
         now = kept.groupBy(*PAIR).agg(F.max_by(F.struct(F.col("us").alias("last_us"), F.col("edge").alias("last_edge")), F.struct("us", "n")).alias("x")).select(*PAIR, "x.*")
         logged.merge(now, number, lambda both: both.groupBy(*PAIR).agg(F.max_by(F.struct("last_us", "last_edge"), "last_us").alias("x")).select(*PAIR, "x.*"))
         if counters:
             counters.add(seen.get)
-        rows.unpersist(), kept.unpersist(), batch.unpersist()
+        ends.unpersist(), rows.unpersist(), kept.unpersist(), batch.unpersist()
 
     return write

@@ -4,12 +4,14 @@ import random
 import time
 from itertools import product
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from crossbook.operators import depth, resolution
-from crossbook.streaming import throttle
+from crossbook.sources import logs
+from crossbook.streaming import live, throttle
 
 
 @pytest.fixture(scope="module")
@@ -176,3 +178,53 @@ def test_throttle_goes_from_run_to_run(spark, monkeypatch, run_rows):
     assert sorted(map(repr, throttle.logged_by_doubling(table, run_rows).collect())) == want and len(want) > 100
     if run_rows > 1000:
         assert sum(kept[1:]) < 100 and len(kept) < 8
+
+
+class _State:
+    value = None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_legs_of_a_long_batch(monkeypatch):
+    """A pair's rows come in parts, and are those that a loop over the updates gives."""
+    monkeypatch.setattr(live, "_PART_ROWS", 50, raising=False)
+    rng, legs = random.Random(8), live._Legs(10)
+    states, timers = {}, []
+    handle = type("Handle", (), {"getValueState": lambda _, name, schema: states.setdefault(name, _State()), "registerTimer": lambda _, ms: timers.append(ms)})()
+    legs.init(handle)
+    now, n = {}, 0
+    for batch in range(4):
+        rows = [(rng.choice("ab") if batch else "b", batch * 400 + rng.randint(0, 600), f"{batch}-{i}", "q", "m", None) for i in range(300)]
+        frame = pd.DataFrame(rows, columns=["leg", "us", "book", "question", "method", "resolution_match"])
+        parts = list(legs.handleInputRows(("x", "y"), iter([frame[:120], frame[120:]]), None))
+        want = []
+        for leg, us, book, *rest in sorted(rows, key=lambda r: (r[1], r[0])):
+            if leg in now and us < now[leg][0]:
+                continue
+            now[leg] = us, book
+            n += 1
+            if len(now) == 2:
+                want.append(("x", "y", n, us, *rest, now["a"][1], now["b"][1]))
+        assert [tuple(r) for part in parts for r in part.itertuples(index=False)] == want and (want or not batch)
+        assert max(map(len, parts)) <= 50 and len(timers) == 1
+
+
+def test_latest_records_of_last_moments_only(spark, tmp_path, monkeypatch):
+    rng, rows = random.Random(9), []
+    book = lambda us: f'{{"yes_depth":[{{"price":{rng.choice([0.3, 0.4])},"size":5.0}}],"no_depth":[{{"price":{rng.choice([0.4, 0.5])},"size":3.0}}],"updated_us":{us}}}'
+    for i in range(200):
+        us = 1_000_000 * (i // 2)
+        rows.append((f"a:{i % 3}", "b", i + 1, us, "q", "structured", None, book(us), book(us)))
+    batch = spark.createDataFrame(rows, live._MET)
+    evaluated = live.evaluated(batch).withColumn("ts", F.timestamp_micros("us"))
+    want = {tuple(r) for r in logs.latest_records(logs.records(evaluated)).collect()}
+    seen, latest = [], logs.latest_records
+    monkeypatch.setattr(logs, "latest_records", lambda rows: (seen.append(rows.count()), latest(rows))[1])
+    live.live_sinks(*(str(tmp_path / x) for x in ("log", "latest", "last")))(batch, 0)
+    assert {tuple(r) for r in live.latest_table(spark, str(tmp_path / "latest")).read().collect()} == want and len(want) == 3
+    assert seen and seen[0] <= 6
