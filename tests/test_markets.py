@@ -158,6 +158,49 @@ def test_match_questions_by_brute_force(spark):
     assert {(r.a_id, r.b_id): (r.score, r.b_question, r.delta_days) for r in got.collect()} == want and len(want) > 10
 
 
+@pytest.mark.parametrize("threshold", [0.4, 0.5, 0.75, 0.8, 0.9])
+def test_match_questions_without_a_limit(spark, monkeypatch, threshold):
+    """No word is too frequent to meet by, whatever rows have a text and however far their days lie apart."""
+    import difflib
+    import re
+
+    monkeypatch.setattr(resolution, "BLOCK", 3)
+    rng = random.Random(round(threshold * 100))
+    words = "rain snow frost hail wind storm marl dover".split()
+    asked = ["Will " + " ".join(rng.sample(words, rng.randrange(1, 6))) + rng.choice(["?", ".", ""]) for _ in range(30)] + ["Will it?", "", None]
+    row = lambda i, n: (f"k{i}", rng.choice(asked), rng.sample(asked[:-1], n), rng.choice([None, *[datetime(2026, 1, 1 + d, h) for d in (0, 3, 14, 27) for h in (0, 9)]]), None, None, i)
+    left, right = [row(i, 0) for i in range(120)], [row(i, rng.randrange(3)) for i in range(60)]
+    right += [(f"s{i}", asked[0], [], datetime(2026, 1, 4), None, None, i) for i in range(20)]
+    tokens = lambda t: {w for w in re.findall("[a-z0-9]+", (t or "").lower()) if len(w) > 1 and w not in ("will", "it")}
+    want = Counter()
+    for a in left:
+        for b in right:
+            texts = [t for t in [b[1], *b[2]] if t]
+            x = tokens(a[1])
+            if a[3] is None or b[3] is None or abs((a[3] - b[3]).days) > 10 or not any(x & tokens(t) for t in texts):
+                continue
+            found = []
+            for at, t in enumerate(texts):
+                jaccard = len(x & tokens(t)) / len(x | tokens(t))
+                found.append((-(0.5 * jaccard + 0.5 * difflib.SequenceMatcher(None, a[1].lower(), t.lower()).ratio()), at, t))
+            if -min(found)[0] >= threshold:
+                want[a[0], b[0], a[1], min(found)[2], round(-min(found)[0], 4), abs((a[3] - b[3]).days)] += 1
+    kinds = "id string, question string, aliases array<string>, resolution timestamp, event string, futures string, ord long"
+    got = resolution.match_questions(spark.createDataFrame(left, kinds), spark.createDataFrame(right, kinds), threshold=threshold)
+    assert Counter((r.a_id, r.b_id, r.a_question, r.b_question, r.score, r.delta_days) for r in got.collect()) == want and len(want) > 20
+
+
+def test_questions_of_frequent_words(spark):
+    """Words that more than 2,000 markets have are words to meet by."""
+    rows = spark.range(2_600).select(
+        F.concat(F.lit("k"), F.col("id")).alias("id"), F.when(F.col("id") % 2 == 0, "Will rain reach Marl?").otherwise("Will snow reach Dover?").alias("question"), F.array().cast("array<string>").alias("aliases"),
+        F.timestamp_micros(F.lit(0)).alias("resolution"), F.lit(None).cast("string").alias("event"), F.lit(None).cast("string").alias("futures"), F.col("id").alias("ord"),
+    )
+    rows = rows.unionByName(rows.withColumn("id", F.concat(F.lit("l"), "ord")))
+    got = resolution.match_questions(rows.filter("ord < 3 and id like 'k%'"), rows).collect()
+    assert Counter((r.a_id, r.b_question, r.score) for r in got) == {("k0", "Will rain reach Marl?", 1.0): 2600, ("k1", "Will snow reach Dover?", 1.0): 2600, ("k2", "Will rain reach Marl?", 1.0): 2600}
+
+
 def test_level_states(spark):
     rng = random.Random(1)
     rows, want, book, last, on = [], {}, {}, None, 0
